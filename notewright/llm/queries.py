@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .language_id import op10_language_id
 from .sharding import op7_sharding
+from .token_counts import op6_token_counts
 
-QUERIES = {f.__name__: f for f in (op7_sharding,)}
+QUERIES = {f.__name__: f for f in (op6_token_counts, op7_sharding, op10_language_id)}
 SQL: dict[str, str] = {}
