@@ -125,6 +125,12 @@ def words(texts: pa.Array, table: np.ndarray) -> Words:
     return Words(coded.indices.to_numpy().astype(np.int64), before[offsets - offsets[0]], coded.dictionary)
 
 
+def joined(offsets: np.ndarray, flat: pa.Array) -> pa.Array:
+    """For each row the strings flat[offsets[i]:offsets[i + 1]], joined by one blank."""
+    lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), flat) if flat.type == pa.string() else pa.LargeListArray.from_arrays(pa.array(offsets), flat)
+    return pc.binary_join(lists, pa.scalar(" ", flat.type))
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     with np.errstate(over="ignore"):
