@@ -9,7 +9,8 @@ from .near_dedup import op5_near_dedup
 from .sentencepiece_codec import op1_sentencepiece
 from .sharding import op7_sharding
 from .substring_dedup import OP3_SQL, op3_substring_dedup
+from .suffix_tree_lm import op2_suffix_tree_lm
 from .token_counts import op6_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_substring_dedup, op4_decontamination, op5_near_dedup, op6_token_counts, op7_sharding, op9_license_scan, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_suffix_tree_lm, op3_substring_dedup, op4_decontamination, op5_near_dedup, op6_token_counts, op7_sharding, op9_license_scan, op10_language_id)}
 SQL: dict[str, str] = {"op3_substring_dedup": OP3_SQL, "op4_decontamination": OP4_SQL}
