@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from .common import mixed, read, steps
 
 MARK = "▁"
-CELLS, LONG_WORD, STEP, TABLE_BITS, PAIRS = 1 << 19, 128, 12 << 20, 24, 2_000_000
+CELLS, LONG_WORD, STEP, TABLE_BITS, PAIR_BITS, PAIRS = 1 << 19, 128, 6 << 20, 24, 20, 1_000_000
 _LOADED: dict[str, Pieces] = {}
 
 
@@ -75,7 +75,9 @@ class Pieces:
             long = units[sizes > n]
             self.inner[_pair_slot(long[:, n - 1], long[:, n])] = True
         self.alone = np.fromiter((self.bpe and t in self.ids and self.merged(t) == [t] for t in self.text), bool, len(self.text))
-        self.pair_keys, self.pair_good = np.zeros(0, np.int64), np.zeros(0, bool)
+        # Pairs already judged: a table with one place a hash, and all of them behind it.
+        self.pair_keys, self.pair_good = np.full(1 << PAIR_BITS, -1, np.int64), np.zeros(1 << PAIR_BITS, bool)
+        self.judged: dict[int, bool] = {}
 
     @staticmethod
     def of(name: str, model: bytes) -> Pieces:
@@ -103,19 +105,22 @@ class Pieces:
         keys = (left * len(self.text) + right)[~out]
         if not len(keys):
             return out
-        if len(self.pair_keys) > PAIRS:
-            self.pair_keys, self.pair_good = self.pair_keys[:0], self.pair_good[:0]
-        at = np.searchsorted(self.pair_keys, keys)
-        missing = at == len(self.pair_keys)
-        missing[~missing] = self.pair_keys[at[~missing]] != keys[~missing]
-        if missing.any():
-            new = np.unique(keys[missing])
-            good = np.fromiter((self.pair_holds(*divmod(k, len(self.text))) for k in new.tolist()), bool, len(new))
-            self.pair_keys, self.pair_good = np.concatenate([self.pair_keys, new]), np.concatenate([self.pair_good, good])
-            order = np.argsort(self.pair_keys, kind="stable")
-            self.pair_keys, self.pair_good = self.pair_keys[order], self.pair_good[order]
-            at = np.searchsorted(self.pair_keys, keys)
-        out[~out] = self.pair_good[at]
+        slot = (mixed(keys.astype(np.uint64)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+        hold = self.pair_good[slot]
+        missing = np.flatnonzero(self.pair_keys[slot] != keys)
+        if len(missing):
+            if len(self.judged) > PAIRS:
+                self.judged.clear()
+            new, place = np.unique(keys[missing], return_inverse=True)
+            good = np.empty(len(new), bool)
+            for i, k in enumerate(new.tolist()):
+                known = self.judged.get(k)
+                if known is None:
+                    known = self.judged[k] = self.pair_holds(*divmod(k, len(self.text)))
+                good[i] = known
+            hold[missing] = good[place]
+            self.pair_keys[slot[missing]], self.pair_good[slot[missing]] = keys[missing], good[place]
+        out[~out] = hold
         return out
 
     def pair_holds(self, left: int, right: int) -> bool:
@@ -315,23 +320,28 @@ def _span_hash(units: np.ndarray) -> np.ndarray:
     return mixed(out)
 
 
-def encoded(docs: DataFrame, model: bytes) -> DataFrame:
-    """docs with ids (array of int) of the text; all columns stay (ids is replaced if there)."""
-    name, docs = hashlib.sha256(model).hexdigest(), docs.drop("ids")
-    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+def encoded(docs: DataFrame, model: bytes, decode: str | None = None) -> DataFrame:
+    """docs with ids (array of int) of the text and, in the column that decode names, the text decoded from them.
+
+    All other columns stay; those two are replaced if there.
+    """
+    name, docs = hashlib.sha256(model).hexdigest(), docs.drop("ids", *([decode] if decode else []))
+    more = [T.StructField("ids", T.ArrayType(T.IntegerType())), *([T.StructField(decode, T.StringType())] if decode else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces.of(name, model)
         for batch in steps(batches, limit=STEP):
             ids, starts = pieces.encoded(batch.column("text"))
-            lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "ids"])
+            new = [pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids))]
+            if decode:
+                new.append(pa.array(pieces.decoded(ids, starts), pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *(f.name for f in more)])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *more]))
 
 
 def decoded(rows: DataFrame, model: bytes, column: str = "decoded") -> DataFrame:
-    """rows with the text that their ids stand for, in column."""
+    """rows with the text that their ids stand for, in column (replaced if there); null ids give an empty text."""
     name, rows = hashlib.sha256(model).hexdigest(), rows.drop(column)
     schema = T.StructType([*rows.schema.fields, T.StructField(column, T.StringType())])
 
@@ -360,7 +370,6 @@ def model_bytes(path: str | None = None) -> bytes:
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_chars, n_ids, ids, round_trip (whether decoding gives the text back, bare word marks read as blanks)."""
-    model = model_bytes()
-    rows = decoded(encoded(read(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
+    rows = encoded(read(spark, sf_dir, "documents").select("doc_id", "text"), model_bytes(), "decoded")
     text = F.coalesce("text", F.lit(""))
     return rows.select("doc_id", F.length(text).cast("long").alias("n_chars"), F.size("ids").cast("long").alias("n_ids"), "ids", (F.col("decoded") == F.replace(text, F.lit(MARK), F.lit(" "))).alias("round_trip"))
