@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontamination import OP4_SQL, op4_decontamination
+from .fingerprints import op8_fingerprints
 from .language_id import op10_language_id
 from .license_scan import op9_license_scan
 from .near_dedup import op5_near_dedup
@@ -12,5 +13,5 @@ from .substring_dedup import OP3_SQL, op3_substring_dedup
 from .suffix_tree_lm import op2_suffix_tree_lm
 from .token_counts import op6_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_suffix_tree_lm, op3_substring_dedup, op4_decontamination, op5_near_dedup, op6_token_counts, op7_sharding, op9_license_scan, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_suffix_tree_lm, op3_substring_dedup, op4_decontamination, op5_near_dedup, op6_token_counts, op7_sharding, op8_fingerprints, op9_license_scan, op10_language_id)}
 SQL: dict[str, str] = {"op3_substring_dedup": OP3_SQL, "op4_decontamination": OP4_SQL}
