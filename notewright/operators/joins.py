@@ -78,7 +78,7 @@ def without_silence(tokens: DataFrame, silences: DataFrame, least: float = 0.1)
         long = tail["end"] - tail["start"] > least
         short_head = x["s"] - h["start"] < least
         last_piece = F.element_at(pieces, -1)
-        closed = F.concat(F.slice(pieces, 1, F.size(pieces) - 1), F.array(_piece(F.concat(last_piece["word"], F.lit(" ")), last_piece["start"], last_piece["end"], F.lit(True))))
+        closed = F.concat(F.slice(pieces, 1, F.size(pieces) - 1), F.array(_piece(F.concat(F.rtrim(last_piece["word"]), F.lit(" ")), last_piece["start"], last_piece["end"], F.lit(True))))
         moved = state(_piece(h["word"], tail["start"], tail["end"], h["is_word_end"]), pieces, st["split"], st["gone"])
         whole = state(_piece(h["word"], h["start"], x["s"], h["is_word_end"]), pieces, st["split"], st["gone"])
         first = state(_piece(F.regexp_replace(h["word"], " $", ""), h["start"], x["s"], F.lit(False)), F.concat(pieces, F.array(tail)), F.lit(True), st["gone"])
