@@ -65,6 +65,8 @@ def packed(batch: pa.RecordBatch, buckets: int, window: int) -> Iterator[tuple]:
     if not len(w.codes):
         return
     first, count, minimiser = super_kmers(w.hashes()[w.codes], w.offsets, window)
+    if not len(first):
+        return
     flat = w.vocabulary.take(pa.array(w.codes))
     starts = np.concatenate([[0], np.cumsum(pc.binary_length(flat).to_numpy(zero_copy_only=False) + 1)])
     line = joined(np.array([0, len(flat)], np.int64), flat)[0].as_buffer().to_pybytes()
@@ -179,8 +181,11 @@ def row_key() -> Column:
     return F.coalesce(F.expr("try_cast(doc_id as long)"), F.xxhash64("doc_id", "text"))
 
 
-def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs with text (the kept words joined by one blank), n_words and n_removed; other columns stay."""
+def deduplicated(docs: DataFrame, window: int = WINDOW, whole: bool = False) -> DataFrame:
+    """docs with text (the kept words joined by one blank), n_words and n_removed; other columns stay.
+
+    whole: texts that lose no word stay as they are, white space and all.
+    """
     docs = docs.drop("n_words", "n_removed")
     found = repeated_ranges(docs.select("doc_id", "text"), window)
     names = [f.name for f in docs.schema.fields]
@@ -199,6 +204,8 @@ def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             keep = np.cumsum(hit[:-1]) == 0
             kept = np.concatenate([[0], np.cumsum(keep)])[w.offsets]
             text = joined(kept, w.vocabulary.take(pa.array(w.codes[keep]))).cast(pa.string())
+            if whole:
+                text = pc.if_else(pa.array(np.diff(kept) == w.counts), batch.column("text"), text)
             columns = {n: batch.column(n) for n in names} | {"text": text, "n_words": pa.array(w.counts), "n_removed": pa.array(w.counts - np.diff(kept))}
             yield pa.RecordBatch.from_pydict(columns)
 
