@@ -13,11 +13,13 @@ from pyspark.sql.window import Window as W
 
 from ..functions import dims
 from ..functions import expr as E
+from ..functions import text as X
 from ..operators import generators as G
 from ..operators import joins as J
 from ..operators import linkage as L
 from ..operators import music as M
 from ..operators import sequences as S
+from ..sources import tables as TB
 from ..sources import karaoke_txt as K
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -356,3 +358,68 @@ def q_merge_words(spark, d):
     word = F.when(F.col("seq") % 3 == 0, "~ ").when(F.col("seq") % 3 == 1, "la").otherwise("~")
     t = n.select("song_id", "seq", word.alias("word"), "start", "end", F.lit(False).alias("is_hyphen"), (F.col("seq") % 3 == 0).alias("is_word_end"), "note", "midi", F.lit(0.005).alias("bpm"))
     return S.merged_syllables(t)
+
+
+@query("""SELECT o_orderkey, b / 4 AS file_bpm, round(60.0::DOUBLE / b * 0.25, 9) AS sixteenth, trunc(x * 1000)::INT AS gap_ms, greatest(round_even(x * 4, 0) / 4, 0.25) AS quarters, trunc(x * 16000 * 2)::BIGINT AS frame,
+ (o_orderkey % 100)::INT - 48 AS pitch, translate(['C♯4','D♭3'][(o_orderkey % 2 + 1)::INT], '♯♭', '#b') AS plain,
+ format('{}:{:02d}:{:02d}.{:03d}', m // 3600000, m // 60000 % 60, m // 1000 % 60, m % 1000) AS clock FROM (SELECT o_orderkey, (o_orderkey % 200 + 30)::DOUBLE AS b, o_totalprice / 1000 AS x, round_even(o_totalprice, 0)::BIGINT AS m FROM orders)""")
+def q_scalars(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice", (F.col("o_orderkey") % 200 + 30).cast("double").alias("b"), (F.col("o_totalprice") / 1000).alias("x"))
+    name = F.when(F.col("o_orderkey") % 2 == 0, "C♯4").otherwise("D♭3")
+    return o.select(
+        "o_orderkey", E.file_bpm(F.col("b")).alias("file_bpm"), F.round(E.note_length(F.col("b"), 0.25), 9).alias("sixteenth"), E.gap_ms(F.col("x")).alias("gap_ms"), E.sheet_quarters(F.col("x")).alias("quarters"),
+        E.frame_index(F.col("x"), F.lit(16000), F.lit(2)).alias("frame"), E.midi_to_file_pitch((F.col("o_orderkey") % 100).cast("int")).alias("pitch"), E.plain_accidentals(name).alias("plain"), E.clock(F.rint("o_totalprice") / 1000).alias("clock"),
+    )
+
+
+@query("""SELECT p_partkey, trim(replace(replace(replace(lower(p_name || ' Official Video'), 'official video', ''), 'official music video', ''), 'offizielles musikvideo', '')) AS title, translate(p_name || '.,', '.,', '') AS word,
+ ['English','German','French'][(p_partkey % 3 + 1)::INT] AS language, [['C','D','E','F','G','A','B'],['D','E','F#','G','A','B','C#']][(p_partkey % 2 + 1)::INT] AS allowed, (p_size - least(p_size, 20)) // 2 AS crop_left FROM part""")
+def q_titles(spark, d):
+    code = F.element_at(F.array(F.lit("en"), F.lit("de"), F.lit("fr")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    return table(spark, d, "part").select(
+        "p_partkey", E.plain_title(F.concat("p_name", F.lit(" Official Video"))).alias("title"), E.without_stops(F.concat("p_name", F.lit(".,"))).alias("word"), E.language_name(code).alias("language"),
+        E.allowed_notes((F.col("p_partkey") % 2 * 2).cast("int"), "major").alias("allowed"), E.crop(F.col("p_size"), F.lit(20))["left"].cast("int").alias("crop_left"),
+    )
+
+
+@query("SELECT page_id, CASE WHEN p LIKE '%.txt' THEN 'repitch' WHEN p LIKE 'https:%' THEN 'url' ELSE 'media' END AS kind FROM (SELECT page_id, CASE page_id % 3 WHEN 0 THEN url WHEN 1 THEN 'song.txt' ELSE 'song.mp3' END AS p FROM pages)")
+def q_route(spark, d):
+    k = F.col("page_id") % 3
+    return K.routed(table(spark, d, "pages").select("page_id", F.when(k == 0, F.col("url")).when(k == 1, "song.txt").otherwise("song.mp3").alias("path"))).select("page_id", "kind")
+
+
+@query(f"""WITH {FR}, w AS (SELECT song_id, frame_idx AS seq, CASE WHEN conf >= 0.1 THEN t END AS s, CASE WHEN conf >= 0.1 THEN t + 1 END AS e, word || ' ' AS word, coalesce(CASE WHEN conf >= 0.1 THEN conf END, 0) AS confidence FROM fr),
+k AS (SELECT *, count(e) OVER (PARTITION BY song_id ORDER BY seq) AS c, last_value(e IGNORE NULLS) OVER (PARTITION BY song_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v FROM w),
+n AS (SELECT *, row_number() OVER (PARTITION BY song_id, c ORDER BY seq) AS r FROM k)
+SELECT song_id, seq - 1 AS seq, word, confidence, round(coalesce(s, CASE WHEN c = 0 THEN 0.2 * (r - 1) ELSE v + 0.2 * (r - 1) - 0.1 END), 3) AS start, round(coalesce(e, CASE WHEN c = 0 THEN 0.2 * (r - 1) + 0.1 ELSE v + 0.2 * (r - 1) END), 3) AS stop FROM n""")
+def q_recognised(spark, d):
+    have = F.col("conf") >= 0.1
+    word = F.struct(F.col("frame_idx"), F.struct("word", F.when(have, F.col("t")).alias("start"), F.when(have, F.col("t") + 1).alias("end"), F.when(have, F.col("conf")).alias("score")).alias("w"))
+    songs = frames(spark, d).groupBy("song_id").agg(F.array_sort(F.collect_list(word)).alias("p"))
+    results = songs.select("song_id", F.array(F.struct(F.transform("p", lambda x: x["w"]).alias("words"))).alias("segments"))
+    out = TB.recognised(results)
+    return out.select("song_id", "seq", "word", "confidence", F.round("start", 3).alias("start"), F.round("end", 3).alias("stop"))
+
+
+@query("SELECT o_orderkey AS song_id, o_orderpriority || CASE WHEN n = 1 THEN '' ELSE ' (' || (n - 1) || ')' END AS name FROM (SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) AS n FROM orders)")
+def q_unused_names(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("song_id"), F.concat_ws("/", F.col("o_custkey").cast("string"), "o_orderpriority").alias("name"))
+    return TB.unused_names(o).select("song_id", F.regexp_replace("name", "^[0-9]+/", "").alias("name"))
+
+
+@query()
+def q_number_words(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(X.number_words("text", "lang")).alias("words"))
+
+
+@query()
+def q_ascii_fold(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(X.ascii_folded("text")).alias("folded"))
+
+
+@query(f"WITH {FR}, l AS (SELECT song_id, string_agg(b, chr(10) ORDER BY o) AS t FROM (SELECT DISTINCT song_id, 0 AS o, '#VERSION:1.1.0' AS b FROM fr UNION ALL SELECT DISTINCT song_id, 1, '#ARTIST:' || song_id FROM fr UNION ALL SELECT DISTINCT song_id, 2, '#BPM:390.0' FROM fr UNION ALL SELECT song_id, frame_idx + 10, concat_ws(' ', ':', frame_idx * 4, 2, {MIDI.format('freq')} - 48, word) FROM fr) GROUP BY song_id) SELECT song_id, md5(t || chr(10) || 'E') AS content_md5 FROM l")
+def q_song_files(spark, d):
+    f = frames(spark, d)
+    songs = f.select("song_id").distinct().select("song_id", F.lit("1.1.0").alias("version"), F.col("song_id").cast("string").alias("artist"), F.lit("390.0").alias("bpm"), F.lit("https://x").alias("video_url"))
+    n = f.select("song_id", F.col("frame_idx").alias("seq"), (F.col("frame_idx") * 4).alias("start_beat"), F.lit(2).alias("length"), (E.hz_to_midi(F.col("freq")) - 48).alias("pitch"), "word", F.lit(False).alias("line_break"), F.lit(0).alias("break_beat"))
+    return K.files(K.header_lines(songs).unionByName(K.note_text(n))).select("song_id", F.md5("content").alias("content_md5"))

@@ -74,3 +74,9 @@ def retitled(path: Column) -> Column:
     stem = F.regexp_replace(F.regexp_extract(path, r"[^/\\]*$", 0), r"\.[^.]*$", "")
     two = F.split(stem, " - ", 2)
     return F.struct(F.when(F.size(two) == 2, two[0]).alias("artist"), F.element_at(two, -1).alias("title"))
+
+
+def routed(inputs: DataFrame) -> DataFrame:
+    """inputs(path) with kind: `repitch` for text files, `url` for https addresses, else `media`."""
+    kind = F.when(F.endswith("path", F.lit(".txt")), "repitch").when(F.startswith("path", F.lit("https:")), "url").otherwise("media")
+    return inputs.withColumn("kind", kind)
