@@ -19,6 +19,7 @@ from ..operators import joins as J
 from ..operators import linkage as L
 from ..operators import music as M
 from ..operators import sequences as S
+from ..sources import exports as EX
 from ..sources import tables as TB
 from ..sources import karaoke_txt as K
 
@@ -423,3 +424,20 @@ def q_song_files(spark, d):
     songs = f.select("song_id").distinct().select("song_id", F.lit("1.1.0").alias("version"), F.col("song_id").cast("string").alias("artist"), F.lit("390.0").alias("bpm"), F.lit("https://x").alias("video_url"))
     n = f.select("song_id", F.col("frame_idx").alias("seq"), (F.col("frame_idx") * 4).alias("start_beat"), F.lit(2).alias("length"), (E.hz_to_midi(F.col("freq")) - 48).alias("pitch"), "word", F.lit(False).alias("line_break"), F.lit(0).alias("break_beat"))
     return K.files(K.header_lines(songs).unionByName(K.note_text(n))).select("song_id", F.md5("content").alias("content_md5"))
+
+
+@query(f"WITH {FR} SELECT song_id, frame_idx AS seq, 'chunk_' || frame_idx || '_' || regexp_replace(word, '[^A-Za-z0-9]+', '', 'g') || '.wav' AS file, trunc(conf * 16000 * 2)::BIGINT AS first_frame, trunc((conf + 1) * 16000 * 2)::BIGINT AS last_frame FROM fr")
+def q_chunk_manifest(spark, d):
+    t = frames(spark, d).select("song_id", F.col("frame_idx").alias("seq"), "word", F.col("conf").alias("start"), (F.col("conf") + 1).alias("end"))
+    return EX.chunk_manifest(t, 16000, 2)
+
+
+@query(f"WITH {FR}, e AS (SELECT song_id, min(t) AS low, max(t) AS high FROM fr GROUP BY song_id), k AS (SELECT song_id, unnest(generate_series((ceil(low / 604800) * 604800)::BIGINT, (floor(high / 604800) * 604800)::BIGINT, 604800))::DOUBLE AS tick FROM e UNION SELECT song_id, low FROM e UNION SELECT song_id, high FROM e) SELECT song_id, tick, (row_number() OVER (PARTITION BY song_id ORDER BY tick) - 1)::INT AS tick_no FROM k")
+def q_time_ticks(spark, d):
+    return EX.time_ticks(frames(spark, d), 604800)
+
+
+@query(f"WITH {FR}, m AS (SELECT *, {MIDI.format('freq')} AS midi, {NAMES}[({MIDI.format('freq')} % 12 + 12) % 12 + 1] AS nm FROM fr) SELECT song_id, md5('<score-partwise version=\"4.0\"><part-list><score-part id=\"P1\"><part-name>Vocals</part-name></score-part></part-list><part id=\"P1\"><measure number=\"1\"><attributes><divisions>4</divisions></attributes>' || string_agg('<note><pitch><step>' || nm[1:1] || '</step>' || CASE WHEN contains(nm, '#') THEN '<alter>1</alter>' ELSE '' END || '<octave>' || (floor(midi / 12.0) - 1)::INT || '</octave></pitch><duration>' || (greatest(round_even(conf * 4, 0) / 4, 0.25) * 4)::BIGINT || '</duration><lyric><text>' || word || '</text></lyric></note>', '' ORDER BY frame_idx) || '</measure></part></score-partwise>') AS xml_md5 FROM m GROUP BY song_id")
+def q_music_xml(spark, d):
+    n = frames(spark, d).select("song_id", F.col("frame_idx").alias("seq"), E.hz_to_midi(F.col("freq")).alias("midi"), F.lit(0.0).alias("start"), F.col("conf").alias("end"), "word")
+    return EX.music_xml(n).select("song_id", F.md5("xml").alias("xml_md5"))
