@@ -24,7 +24,7 @@ from pyspark.sql.window import Window as W
 
 from .common import read
 
-FIRST_WIDTH, WIDTHS, BLOCK, ROUNDS, BUCKET_ROWS = 8, (8, 32, 128), 12, 10, 500
+FIRST_WIDTH, WIDTHS, BLOCK, ROUNDS, BUCKET_ROWS = 8, (8, 16, 64), 12, 10, 500
 _BREAK = r"\n|(?<=[.!?]) "
 
 
@@ -44,24 +44,31 @@ def digests(text: Column) -> Column:
     return F.transform(F.transform(parts, lambda p: F.xxhash64(p)), lambda d: F.struct(d.alias("d"), F.xxhash64(d).alias("c")))
 
 
-def _empty(width: int) -> Column:
-    """The cells: where in a digest the row's bits are (s), which column (k), and the content: count, XOR of digests, of checks."""
-    bits = width.bit_length() - 1
-    return F.array(*[_cell(F.lit(row * bits), F.lit(column).cast("long"), F.lit(0), F.lit(0).cast("long"), F.lit(0).cast("long")) for row in range(3) for column in range(width)])
-
-
 def _cell(s: Column, k: Column, n: Column, d: Column, c: Column) -> Column:
+    """A cell: where in a digest its row's bits are (s), which column it is (k), and its count, XOR of digests and XOR of checks."""
     return F.struct(s.alias("s"), k.alias("k"), n.alias("n"), d.alias("d"), c.alias("c"))
 
 
-def _changed(cell: Column, item: Column, sign: Column, width: int) -> Column:
-    """The cell with an item put in (sign 1) or taken out (-1), if it is one of the item's."""
+def _without(cell: Column, item: Column, width: int) -> Column:
+    """The cell with a pure cell's content taken out, if it is one of that item's cells."""
     inside = F.call_function("shiftrightunsigned", item["d"], cell["s"]).bitwiseAND(F.lit(width - 1).cast("long")) == cell["k"]
-    return F.when(inside, _cell(cell["s"], cell["k"], cell["n"] + sign, cell["d"].bitwiseXOR(item["d"]), cell["c"].bitwiseXOR(item["c"]))).otherwise(cell)
+    return F.when(inside, _cell(cell["s"], cell["k"], cell["n"] - item["n"], cell["d"].bitwiseXOR(item["d"]), cell["c"].bitwiseXOR(item["c"]))).otherwise(cell)
 
 
 def sketch(items: Column, width: int) -> Column:
-    return F.transform(_empty(width), lambda cell: F.aggregate(items, cell, lambda at, x: _changed(at, x, F.lit(1), width)))
+    """The cells, row by row; each takes the items whose bits name its column."""
+    bits, none = width.bit_length() - 1, F.lit(0).cast("long")
+
+    def filled(shift: int) -> Callable[[Column], Column]:
+        def cell(column: Column) -> Column:
+            own = F.filter(items, lambda x: F.shiftrightunsigned(x["d"], shift).bitwiseAND(F.lit(width - 1).cast("long")) == column)
+            put = lambda at, x: _cell(at["s"], at["k"], at["n"] + 1, at["d"].bitwiseXOR(x["d"]), at["c"].bitwiseXOR(x["c"]))
+            return F.aggregate(own, _cell(F.lit(shift), column, F.lit(0), none, none), put)
+
+        return cell
+
+    columns = F.array(*[F.lit(k).cast("long") for k in range(width)])
+    return F.concat(*[F.transform(columns, filled(row * bits)) for row in range(3)])
 
 
 def peeled(left: Column, right: Column, width: int) -> Column:
@@ -71,7 +78,7 @@ def peeled(left: Column, right: Column, width: int) -> Column:
     def turn(state: Column, _: Column) -> Column:
         alone = F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (F.xxhash64(c["d"]) == c["c"]))
         pure = F.array_distinct(F.transform(alone, lambda c: F.struct(c["n"], c["d"], c["c"])))
-        left_over = lambda p: F.transform(state["cells"], lambda c: F.aggregate(p, c, lambda at, x: _changed(at, x, -x["n"], width)))
+        left_over = lambda p: F.transform(state["cells"], lambda c: F.aggregate(p, c, lambda at, x: _without(at, x, width)))
         more = lambda p: F.struct(left_over(p).alias("cells"), (state["only"] + F.size(F.filter(p, lambda x: x["n"] == 1))).alias("only"))
         return let(pure, lambda p: F.when(F.size(p) == 0, state).otherwise(more(p)))
 
