@@ -108,10 +108,10 @@ def test_indel_ratio(spark):
 
 def test_text_round_trip(spark):
     songs = spark.createDataFrame([("s", "1.1.0", "A", "T", "390.0", "500")], "song_id string, version string, artist string, title string, bpm string, gap string")
-    notes = spark.createDataFrame([("s", 0, 0, 52, 1, "Ultra ", True, 60), ("s", 1, 65, 39, 2, "is ", False, 0)], "song_id string, seq int, start_beat int, length int, pitch int, word string, line_break boolean, break_beat int")
+    notes = spark.createDataFrame([("s", 0, 0, 52, 1, "Alpha ", True, 60), ("s", 1, 65, 39, 2, "is ", False, 0)], "song_id string, seq int, start_beat int, length int, pitch int, word string, line_break boolean, break_beat int")
     text = K.files(K.header_lines(songs).unionByName(K.note_text(notes))).first().content
-    assert text == "#VERSION:1.1.0\n#ARTIST:A\n#TITLE:T\n#BPM:390.0\n#GAP:500\n: 0 52 1 Ultra \n- 60\n: 65 39 2 is \nE"
+    assert text == "#VERSION:1.1.0\n#ARTIST:A\n#TITLE:T\n#BPM:390.0\n#GAP:500\n: 0 52 1 Alpha \n- 60\n: 65 39 2 is \nE"
     lines = spark.createDataFrame([("s", i, x) for i, x in enumerate(text.split("\n"))], "song_id string, line_no int, line string")
     got = K.note_lines(lines).orderBy("line_no").select("start_beat", "pitch", "word").collect()
-    assert [tuple(r) for r in got] == [(0.0, 1, "Ultra"), (65.0, 2, "is")]
+    assert [tuple(r) for r in got] == [(0.0, 1, "Alpha"), (65.0, 2, "is")]
     assert K.headers(lines).first().artist == "A"
