@@ -17,7 +17,6 @@ State: one chunk of STEP_BYTES of text, or the blocks of a bucket.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANK_WORDS_LOWER, mixed, partitions, read, steps, words, written
+from .common import BLANK_WORDS_LOWER, freed, mixed, partitions, read, steps, words, written
 
 MIN_CONTEXT, DIVERGENCE, SMOOTH = 8, 6.0, 8.0
 END = np.uint64(0x5E17D0F7E27A1C3B)
@@ -216,14 +215,15 @@ def scored(docs: DataFrame) -> DataFrame:
     def adder(level: int) -> Callable[[pa.Table], pa.Table]:
         return lambda group: added(group, level)
 
+    def answers(level: int) -> DataFrame:
+        return written(passed(level, _BLOCK, blocks).groupBy("bucket").applyInArrow(adder(level), _ANSWER), "answers")
+
     for level in range(4):
-        asks = passed(level, _BLOCK, blocks)
-        kept.append(written(asks.groupBy("bucket").applyInArrow(adder(level), _ANSWER), "answers"))
+        kept.append(answers(level))
         if level == 0:
             found = kept[1].agg(F.sum("total"), F.sum("seen")).first()
             tokens, seen = found[0] or 0, found[1] or 0
-        gc.collect()
-        spark._jvm.System.gc()  # Spark's cleaner then removes the pass's shuffle files
+        freed(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return passed(4, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_long long", lambda chunk, _: chunk.scores(tokens))
 
