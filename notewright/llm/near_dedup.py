@@ -2,12 +2,14 @@
 
 Documents with equal shingle sets are one node. Each of TREES orders sorts the nodes by signature values, its own first
 DEPTH of them hashed into the partitioning key and the next ones behind. A region is a run with one prefix. Small
-regions offer all their pairs; a larger one goes deeper, to its sub-regions with longer common prefixes, and also offers
-each node's neighbours in the order and the region's first node. Pairs whose signatures agree in fewer
+regions offer all their pairs; a larger one first goes deeper, to its sub-regions with longer common prefixes, and also
+offers each node's neighbours in the order and the region's first node. Pairs whose signatures agree in fewer
 than AGREE of the values are let go: at similarity 0.75 that, like sharing no prefix, has a chance below 1 in 100,000.
 
 Confirming has rounds: first each node's BEST most alike pairs; then, as linked nodes have become one component, all offered
-pairs that still lie between two components. Components come from hooking every node to its smallest neighbour and
+pairs that still lie between two components; last, all pairs of larger regions that still do. Those are compared in blocks
+of CROWD nodes, each block with each, first by signatures and then, for nodes that have an alike one, on the full sets; a
+task gives back only as many links as hold its nodes together. Components come from hooking every node to its smallest neighbour and
 contracting, in DataFrame operations; links, labels and sets never go to the driver.
 
 Nulls and texts without words have no shingles and no links. A row without doc_id takes part, but names a component only
@@ -33,6 +35,7 @@ TREES, DEPTH, DEEPER, SMALL, BEST = 24, 3, 4, 8, 2
 VALUES = TREES * DEPTH
 AGREE = int(VALUES * 0.75 - 5.4 * (VALUES * 0.75 * 0.25) ** 0.5)
 HELD_ROWS, SET_BYTES = 1 << 20, 6
+CROWD, COLUMNS = 512, 2048
 _SEEDS = mixed(np.arange(1, 2 * VALUES + 1, dtype=np.uint64)).reshape(2, VALUES) | np.uint64(1)
 
 
@@ -231,6 +234,80 @@ def _freed(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def _low(values: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(values), np.uint32).astype(np.uint8).reshape(-1, VALUES)
+
+
+def near_others(group: pa.Table) -> pa.Table:
+    """region, node of two blocks' rows (region, node, root, values) that agree enough with one of another component."""
+    low, root = _low(group.column("values").to_pylist()), group.column("root").to_numpy()
+    agree = np.zeros((len(low), len(low)), np.uint8)
+    for k in range(VALUES):
+        agree += low[:, k, None] == low[None, :, k]
+    near = ((agree >= AGREE) & (root[:, None] != root[None, :])).any(axis=1)
+    return group.select(["region", "node"]).filter(pa.array(near))
+
+
+def crowd_links(group: pa.Table) -> pa.Table:
+    """a, b: links between components of two blocks' rows (node, root, size, members), no more than hold the nodes together."""
+    nodes, root, size = (group.column(c).to_numpy() for c in ("node", "root", "size"))
+    n, row = len(nodes), np.repeat(np.arange(len(nodes)), size)
+    _, code, times = np.unique(np.concatenate([_members(m.as_py()) for m in group.column("members")]), return_inverse=True, return_counts=True)
+    shared = times[code] > 1
+    row, code = row[shared], np.unique(code[shared], return_inverse=True)[1]
+    order = np.argsort(code, kind="stable")
+    row, code = row[order], code[order]
+    both = np.zeros((n, n), np.float32)
+    for begin in range(0, int(code[-1]) + 1 if len(code) else 0, COLUMNS):
+        a, b = np.searchsorted(code, [begin, begin + COLUMNS])
+        has = np.zeros((n, COLUMNS), np.float32)
+        has[row[a:b], code[a:b] - begin] = 1
+        both += has @ has.T
+    both = both.astype(np.int64)
+    link = (100 * both >= PERCENT * (size[:, None] + size[None, :] - both)) & (root[:, None] != root[None, :])
+    left, right, done = [], [], np.zeros(n, bool)
+    for seed in range(n):
+        reached = [] if done[seed] else [seed]
+        done[seed] = True
+        while reached:
+            x = reached.pop()
+            new = np.flatnonzero(link[x] & ~done)
+            done[new] = True
+            left += [x] * len(new)
+            right += new.tolist()
+            reached += new.tolist()
+    a, b = nodes[np.array(left, np.int64)], nodes[np.array(right, np.int64)]
+    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """rows(region, node, ..) once for each pair of its region's blocks that has its own: left and right tell the pair."""
+    sizes = rows.groupBy("region").agg(F.ceil(F.count("*") / CROWD).cast("int").alias("_blocks"))
+    own = rows.join(sizes, "region").withColumn("_own", F.pmod(F.hash("node"), F.col("_blocks")))
+    other = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    return other.withColumn("left", F.least("_own", "_other")).withColumn("right", F.greatest("_own", "_other")).drop("_own", "_other", "_blocks")
+
+
+def crowded(docs: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """a, b: links between the components (node, root) found so far, of all pairs of nodes in regions over SMALL."""
+    labelled = nodes.select("node", "values").join(roots, "node", "left").select("node", "values", F.coalesce("root", "node").alias("root"))
+    labelled = written(labelled, "labelled")
+    trees = labelled.select("node", "values").mapInArrow(planted_trees, "prefix long, deep long, deeper long, node long").select("prefix", "node")
+    trees = trees.join(labelled.select("node", "root"), "node")
+    sizes = trees.groupBy("prefix").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.bit_xor(F.xxhash64("node")).alias("whose"))
+    large = sizes.filter((F.col("n") > SMALL) & (F.col("low") != F.col("high")))
+    large = large.groupBy("whose", "n").agg(F.min("prefix").alias("region")).select("region")  # one of the regions of the same nodes
+    rows = written(trees.join(large, trees["prefix"] == large["region"]).select("region", "node", "root"), "crowds")
+    near = _in_blocks(rows).join(labelled.select("node", "values"), "node").select("region", "left", "right", "node", "root", "values")
+    near = written(near.groupBy("region", "left", "right").applyInArrow(near_others, "region long, node long").distinct(), "near")
+    _freed(docs.sparkSession)
+    wanted = near.select("node").distinct().join(nodes.select("node", "owner"), "node").select(F.col("owner").alias("_owner")).distinct()
+    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_owner")), "left_semi").select("text")
+    sets = texts.mapInArrow(sets_of, "node long, size long, members binary").dropDuplicates(["node"])
+    full = _in_blocks(near).join(sets, "node").join(labelled.select("node", "root"), "node")
+    return full.select("region", "left", "right", "node", "root", "size", "members").groupBy("region", "left", "right").applyInArrow(crowd_links, "a long, b long")
+
+
 def candidates(nodes: DataFrame) -> DataFrame:
     """a, b, agree: offered pairs of nodes(node, values) and the number of signature values in which they agree."""
     trees = nodes.select("node", "values").mapInArrow(planted_trees, "prefix long, deep long, deeper long, node long")
@@ -273,6 +350,11 @@ def grouped(docs: DataFrame) -> DataFrame:
     if not rest.isEmpty():
         more = written(links(docs, rest, nodes.select("node", "owner")), "links")
         _freed(spark)
+        found = found.unionByName(more)
+        roots = components(found)
+    more = written(crowded(docs, nodes, roots), "links")
+    _freed(spark)
+    if not more.isEmpty():
         roots = components(found.unionByName(more))
     named = nodes.select("node", "owner").join(roots, "node", "left").select("node", "owner", F.coalesce("root", "node").alias("root"))
     names = named.groupBy("root").agg(F.min("owner").alias("component_id"))

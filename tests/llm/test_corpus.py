@@ -116,6 +116,27 @@ def test_near_dedup(spark):
     assert ordered(r[2:] for r in repeated) == ordered([(4, True), (4, True), (4, False), (None, True)])
 
 
+def test_large_group_that_links_through_one_base(spark):
+    """Variants alike to one text but not to each other, beside documents that share just a passage with it."""
+    rng, rows = random.Random(8), []
+    for g in range(3):
+        base = [f"w{g}.{i}" for i in range(304)]
+        rows.append((1000 + g, " ".join(base)))
+        for i in range(220):
+            w = list(base)
+            for k in rng.sample(range(58), 7):
+                w[7 + 5 * k] = f"v{g}.{i}.{k}"
+            rows.append((g * 220 + i, " ".join(w)))
+        rows += [(2000 + 40 * g + i, " ".join(base[:150] + [f"x{g}.{i}.{k}" for k in range(70)])) for i in range(40)]
+    assert ordered(near_dedup.grouped(frame(spark, rows)).collect()) == linked(rows)
+
+
+def test_large_regions_in_blocks(spark, monkeypatch):
+    """Regions of several blocks lose no pair of theirs."""
+    monkeypatch.setattr(near_dedup, "CROWD", 16)
+    test_large_group_that_links_through_one_base(spark)
+
+
 def test_held_regions_stay_linked(monkeypatch):
     """A region cut into parts still hangs together by its first node."""
     monkeypatch.setattr(near_dedup, "HELD_ROWS", 20)
