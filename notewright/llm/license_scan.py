@@ -2,8 +2,9 @@
 
 Each word moves the automaton; the length of the longest suffix of the words read that stands in some template is the
 matching statistic there. Where a match of at least LONG words ends (the next word shortens it), it covers a span of
-every template that holds it; a template's spans in one document are chained, and the share of its words they cover is
-the template's score. A template with a share of COVERED or more gives its label.
+every template that holds it. A template's spans are chained: in order in text and template, with at most GAP words of
+text from one to the next. The share of the template's words that its best chain covers is its score. A share of COVERED or
+more gives the label, unless some of the template is missing and all that was found stands in another label's notice as well.
 
 Base phrases are templates too, and their places are exact: a phrase ends at a word when its state is the automaton's
 state there, long enough, or one of that state's suffixes. Words that stand in no template reset the automaton, so only
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import ALNUM_WORDS_LOWER, read, steps, words
 
-LONG, COVERED = 3, 0.75
+LONG, COVERED, GAP = 3, 0.75, 8
 
 #: Phrases and labels of the base scan.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -131,8 +132,8 @@ class Scanner:
         self.words = sorted({w for t, _ in self.templates for w in t})
         self.fewest = min((len(t) for t, _ in self.templates), default=0)
 
-    def streamed(self, stream: list[str]) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
-        """Base places (phrase, start) and covered spans (template, from, to) of a run of template words."""
+    def streamed(self, stream: list[str]) -> tuple[list[tuple[int, int]], list[tuple[int, int, int, int]]]:
+        """Base places (phrase, start) and covered spans (template, from, to, start) of a run of template words."""
         step, link, length = self.auto.next, self.auto.link, self.auto.length
         places, spans = [], []
         s = size = 0
@@ -144,35 +145,60 @@ class Scanner:
             s = step[s].get(word, 0)
             size = size + 1 if s else 0
             if had >= self.long and size <= had:
-                spans += [(t, e - had, e) for t, e in self.auto.ends[was]]
+                spans += [(t, e - had, e, i - had) for t, e in self.auto.ends[was]]
             for k in self.here[s]:
                 if size >= len(self.base[k][0]):
                     places.append((k, i + 1 - len(self.base[k][0])))
             for k in self.up[s]:
                 places.append((k, i + 1 - len(self.base[k][0])))
         if size >= self.long:
-            spans += [(t, e - size, e) for t, e in self.auto.ends[s]]
+            spans += [(t, e - size, e, len(stream) - size) for t, e in self.auto.ends[s]]
         return places, spans
 
-    def chained(self, spans: list[tuple[int, int, int]]) -> tuple[set[str], float]:
-        """Labels and the best share of the templates' words that the spans cover."""
-        by: dict[int, list[tuple[int, int]]] = {}
-        for t, a, b in spans:
-            by.setdefault(t, []).append((a, b))
-        labels, best = set(), 0.0
+    def chain(self, own: list[tuple[int, int, int]]) -> tuple[int, list[tuple[int, int]]]:
+        """Words covered by the best chain of one template's spans (start, from, to), and its pieces of text (start, stop)."""
+        own = sorted(own)
+        longest = max(b - a for _, a, b in own)
+        got, before, cut = [], [], []
+        first = 0
+        for i, (x, a, b) in enumerate(own):
+            got.append(b - a)
+            before.append(-1)
+            cut.append(0)
+            while own[first][0] + longest + GAP < x:
+                first += 1
+            for j in range(first, i):
+                y, c, d = own[j]
+                stop = y + d - c
+                trim = max(0, d - a, stop - x)
+                if c <= a and x - stop <= GAP and trim < b - a and got[j] + b - a - trim > got[i]:
+                    got[i], before[i], cut[i] = got[j] + b - a - trim, j, trim
+        i = best = max(range(len(own)), key=got.__getitem__)
+        pieces = []
+        while i >= 0:
+            x, a, b = own[i]
+            pieces.append((x + cut[i], x + b - a))
+            i = before[i]
+        return got[best], pieces[::-1]
+
+    def chained(self, spans: list[tuple[int, int, int, int]]) -> tuple[set[str], float, tuple[int, int] | None]:
+        """Labels, the best share of a template's words in one chain, and the first and last word of that chain."""
+        by: dict[int, list[tuple[int, int, int]]] = {}
+        for t, a, b, x in spans:
+            by.setdefault(t, []).append((x, a, b))
+        best, where, enough = 0.0, None, []
         for t, own in by.items():
-            end = got = 0
-            for a, b in sorted(own):
-                got += max(0, b - max(a, end))
-                end = max(end, b)
+            got, pieces = self.chain(own)
             share = got / len(self.templates[t][0])
-            best = max(best, share)
+            if share > best:
+                best, where = share, (pieces[0][0], pieces[-1][1] - 1)
             if share >= self.covered:
-                labels.add(self.templates[t][1])
-        return labels, best
+                enough.append((share, self.templates[t][1], {i for a, b in pieces for i in range(a, b)}))
+        labels = {label for share, label, at in enough if share == 1 or not any(at <= more for _, other, more in enough if other != label)}
+        return labels, best, where
 
     def scanned(self, texts: pa.Array) -> list[tuple]:
-        """(n_words, base places, base labels, all labels, score) of each text of a step."""
+        """(n_words, base places, base labels, all labels, score, first and last word of the best chain) of each text of a step."""
         w = words(texts, ALNUM_WORDS_LOWER)
         known = pc.is_in(w.vocabulary, pa.array(self.words, w.vocabulary.type)).to_numpy(zero_copy_only=False)
         mask = np.concatenate([[False], known[w.codes] if len(w.codes) else np.zeros(0, bool), [False]]).astype(np.int8)
@@ -194,18 +220,18 @@ class Scanner:
                 own = found.setdefault(row, ([], []))
                 first = a - int(w.offsets[row])
                 own[0].extend((k, first + i) for k, i in places)
-                own[1].extend(spans)
+                own[1].extend((t, c, d, first + x) for t, c, d, x in spans)
         out = []
         for row, n in enumerate(w.counts.tolist()):
             places, spans = found.get(row, ([], []))
-            labels, score = self.chained(spans)
+            labels, score, where = self.chained(spans)
             base = {self.base[k][1] for k, _ in places}
-            out.append((n, [i for _, i in places], sorted(base), sorted(base | labels), max(score, 1.0 if base else 0.0)))
+            out.append((n, [i for _, i in places], sorted(base), sorted(base | labels), max(score, 1.0 if base else 0.0), where))
         return out
 
 
 def licenses(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:
-    """One row for each row of docs(doc_id, text): counts, first and last base place, labels, score."""
+    """One row for each row of docs(doc_id, text): counts, first and last base place, labels, score, place of the best chain."""
     scanner = scanner or Scanner()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,11 +246,13 @@ def licenses(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:
                 "base_labels": pa.array([",".join(r[2]) for r in rows], pa.string()),
                 "labels": pa.array([",".join(r[3]) for r in rows], pa.string()),
                 "score": pa.array([float(r[4]) for r in rows], pa.float64()),
+                "chain_first": pa.array([r[5] and r[5][0] for r in rows], pa.int64()),
+                "chain_last": pa.array([r[5] and r[5][1] for r in rows], pa.int64()),
             }
             yield pa.RecordBatch.from_pydict(columns)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, chain_first long, chain_last long")
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

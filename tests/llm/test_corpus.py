@@ -240,6 +240,21 @@ def test_license_scan():
         assert {label for p, label in scanner.templates if at(p)} <= set(got[3]) and 0 <= got[4] <= 1
 
 
+def test_license_chains():
+    """Fragments far apart and notices without what tells them from others give no label; a notice with a word changed does."""
+    far = " ".join(["filler"] * 2000)
+    found = lambda text: license_scan.Scanner().scanned(pa.array([text]))[0]
+    scattered = found(f"it was released under the sea {far} see the MIT License")
+    assert scattered[3] == [] and scattered[4] == 0.6
+    assert found(f"the MIT license {far} released under the")[3] == found("the mit license released under the")[3] == []
+    assert found("licensed under the GNU General Public License")[3] == found("licensed under the GNU General Public License, version 4")[3] == ["gpl"]
+    assert found("licensed under the GNU General Public License, version 2")[3] == ["gpl", "gpl-2.0"]
+    assert found("licensed under the GNU General Public License, version 3")[3] == ["gpl", "gpl-3.0"]
+    notice = license_scan.TEMPLATES["mit"][1].split()
+    edited = found(f"{far} {' '.join([*notice[:12], 'whatever', *notice[13:]])} {far}")
+    assert edited[3] == ["mit"] and 0.9 < edited[4] < 1 and edited[5] == (2000, 2000 + len(notice) - 1)
+
+
 def test_license_frame(spark):
     rows = license_scan.licenses(frame(spark, [(None, None), (1, "Released under the MIT License."), (1, "Released under the MIT License.")])).collect()
     assert rows[0].score == 0 and rows[0].labels == "" and rows[0].first_word is None
