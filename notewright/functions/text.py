@@ -19,8 +19,25 @@ DE = "null eins zwei drei vier fünf sechs sieben acht neun zehn elf zwölf drei
 DE_TENS = "zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig".split()
 ES = "cero uno dos tres cuatro cinco seis siete ocho nueve diez once doce trece catorce quince dieciséis diecisiete dieciocho diecinueve veinte veintiuno veintidós veintitrés veinticuatro veinticinco veintiséis veintisiete veintiocho veintinueve".split()
 ES_TENS = "treinta cuarenta cincuenta sesenta setenta ochenta noventa".split()
+FR = "zéro un deux trois quatre cinq six sept huit neuf dix onze douze treize quatorze quinze seize dix-sept dix-huit dix-neuf".split()
+FR_TENS = "vingt trente quarante cinquante soixante soixante quatre-vingt quatre-vingt".split()
 ES_HUNDREDS = "ciento doscientos trescientos cuatrocientos quinientos seiscientos setecientos ochocientos novecientos".split()
 
+#: Powers of 1000 from 10^6 on: the short scale, the long one with -illiard between, and millions of millions.
+EN_SCALES = [x + "illion" for x in "m b tr quadr quint sext sept oct non".split()]
+DE_SCALES = [x + y for x in "M B Tr Quadr Quint Sext Sept Okt Non".split() for y in ("illion", "illiarde")]
+FR_SCALES = [x + y for x in "m b tr quadr quint sext sept oct non".split() for y in ("illion", "illiard")]
+ES_SCALES = [x + "ill" for x in "m b tr cuatr".split()]
+
+
+def _split(n: int, scales: list[str], step: int) -> tuple[int, str, int]:
+    """How many of the largest scale in n, its name, and the rest; scales are 10^6 and each step times the one before."""
+    k = (len(str(n)) - 7) // (len(str(step)) - 1)
+    if k >= len(scales):
+        raise ValueError(n)
+    much, rest = divmod(n, 10**6 * step**k)
+    return much, scales[k], rest
+
 
 def english(n: int) -> str:
     if n < 20:
@@ -29,11 +46,8 @@ def english(n: int) -> str:
         return EN_TENS[n // 10 - 2] + (f"-{EN[n % 10]}" if n % 10 else "")
     if n < 1000:
         return f"{EN[n // 100]} hundred" + (f" and {english(n % 100)}" if n % 100 else "")
-    for size, name in ((10**9, "billion"), (10**6, "million"), (1000, "thousand")):
-        if n >= size:
-            rest = n % size
-            return f"{english(n // size)} {name}" + (("" if not rest else f" and {english(rest)}") if rest < 100 else f", {english(rest)}")
-    raise ValueError(n)
+    much, name, rest = (n // 1000, "thousand", n % 1000) if n < 10**6 else _split(n, EN_SCALES, 1000)
+    return f"{english(much)} {name}" + (("" if not rest else f" and {english(rest)}") if rest < 100 else f", {english(rest)}")
 
 
 def german(n: int) -> str:
@@ -46,8 +60,8 @@ def german(n: int) -> str:
         return ("ein" if n // 100 == 1 else DE[n // 100]) + "hundert" + (german(n % 100) if n % 100 else "")
     if n < 10**6:
         return ("ein" if n // 1000 == 1 else german(n // 1000)) + "tausend" + (german(n % 1000) if n % 1000 else "")
-    much = n // 10**6
-    return ("eine Million" if much == 1 else f"{german(much)} Millionen") + (f" {german(n % 10**6)}" if n % 10**6 else "")
+    much, name, rest = _split(n, DE_SCALES, 1000)
+    return (f"eine {name}" if much == 1 else f"{german(much)} {name.removesuffix('e')}en") + (f" {german(rest)}" if rest else "")
 
 
 def spanish(n: int) -> str:
@@ -61,25 +75,46 @@ def spanish(n: int) -> str:
         return ES_HUNDREDS[n // 100 - 1] + (f" {spanish(n % 100)}" if n % 100 else "")
     if n < 10**6:
         return ("" if n // 1000 == 1 else f"{spanish(n // 1000)} ") + "mil" + (f" {spanish(n % 1000)}" if n % 1000 else "")
-    much = n // 10**6
-    return ("un millón" if much == 1 else f"{spanish(much)} millones") + (f" {spanish(n % 10**6)}" if n % 10**6 else "")
+    much, name, rest = _split(n, ES_SCALES, 10**6)
+    return (f"un {name}ón" if much == 1 else f"{spanish(much)} {name}ones") + (f" {spanish(rest)}" if rest else "")
+
+
+def french(n: int) -> str:
+    if n < 20:
+        return FR[n]
+    if n < 100:
+        tens, rest = FR_TENS[n // 10 - 2], n % 20 if n >= 60 else n % 10
+        if not rest:
+            return "quatre-vingts" if n == 80 else tens
+        return f"{tens} et {FR[rest]}" if rest % 10 == 1 and n < 80 else f"{tens}-{FR[rest]}"
+    if n < 1000:
+        head = "cent" if n < 200 else f"{FR[n // 100]} cent"
+        return f"{head} {french(n % 100)}" if n % 100 else head + ("s" if n >= 200 else "")
+    if n < 10**6:
+        much = french(n // 1000)
+        much = much[:-1] if much.endswith(("cents", "vingts")) else much
+        return ("" if n < 2000 else f"{much} ") + "mille" + (f" {french(n % 1000)}" if n % 1000 else "")
+    much, name, rest = _split(n, FR_SCALES, 1000)
+    return f"{french(much)} {name}" + ("s" if much > 1 else "") + (f" {french(rest)}" if rest else "")
 
 
-LANGUAGES: dict[str, Callable[[int], str]] = {"en": english, "de": german, "es": spanish}
+LANGUAGES: dict[str, Callable[[int], str]] = {"en": english, "de": german, "es": spanish, "fr": french}
 _TOKENS = regex.compile(r"\d+|\W+|\w+")
 
 
 def spelled(line: str | None, language: str | None) -> str | None:
-    """line with its numbers in words; a language without number words loses them, numbers of 10^12 and more stay."""
+    """line with its numbers in words; a language without number words loses them, numbers beyond a language's scales stay."""
     if line is None:
         return None
     words = LANGUAGES.get(language or "")
     out = []
     for token in _TOKENS.findall(line):
-        if token.isdecimal() and token.isascii() and len(token) <= 12:
-            out.append(words(int(token)) if words else "")
-        else:
-            out.append(token)
+        if token.isdecimal() and token.isascii():
+            try:
+                token = words(int(token)) if words else ""
+            except ValueError:  # so for the digits that int() does not read
+                pass
+        out.append(token)
     return "".join(out)
 
 

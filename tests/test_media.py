@@ -33,6 +33,20 @@ def test_midi_bytes(spark):
     assert data[:4] == b"MThd" and b"la " in data and b"\x90\x3c\x64" in data and data.endswith(b"\xff\x2f\x00")
 
 
+def test_number_words_of_french_and_large_numbers():
+    words = {0: "zéro", 16: "seize", 21: "vingt et un", 60: "soixante", 61: "soixante et un", 70: "soixante-dix", 71: "soixante et onze", 77: "soixante-dix-sept", 80: "quatre-vingts", 81: "quatre-vingt-un", 90: "quatre-vingt-dix", 91: "quatre-vingt-onze", 99: "quatre-vingt-dix-neuf"}
+    words |= {100: "cent", 101: "cent un", 200: "deux cents", 201: "deux cent un", 1000: "mille", 1980: "mille neuf cent quatre-vingts", 3003: "trois mille trois", 80000: "quatre-vingt mille", 200000: "deux cent mille", 10**6: "un million", 2 * 10**8: "deux cents millions", 10**9 + 1: "un milliard un"}
+    assert {n: X.spelled(str(n), "fr") for n in words} == words
+    big = 2 * 10**15 + 10**12 + 3 * 10**9 + 7
+    assert X.spelled(f"a {big}", "fr") == "a deux billiards un billion trois milliards sept"
+    assert X.spelled(f"a {big}", "de") == "a zwei Billiarden eine Billion drei Milliarden sieben"
+    assert X.spelled(f"a {big}", "en") == "a two quadrillion, one trillion, three billion and seven"
+    assert X.spelled(f"a {2 * 10**12 + 3 * 10**9 + 7}", "es") == "a dos billones tres mil millones siete"
+    assert X.spelled(f"a {big}", "xx") == "a "
+    assert X.spelled("9" * 33, "en").startswith("nine hundred and ninety-nine nonillion, ") and X.spelled("9" * 34, "en") == "9" * 34
+    assert X.spelled("9" * 5000, "fr") == "9" * 5000
+
+
 def test_number_words():
     assert X.spelled("I have 1 million dollars and 2 cents.", "en") == "I have one million dollars and two cents."
     assert X.spelled("Hello world 1, 2!. 3. 4? Test 100#", "en") == "Hello world one, two!. three. four? Test one hundred#"
