@@ -276,6 +276,12 @@ def q_clean(spark, d):
     return table(spark, d, "documents").filter("lang = 'en'").select("doc_id", F.md5(E.clean(F.col("text"))).alias("clean"))
 
 
+@query()
+def q_clean_all(spark, d):
+    """All documents, whatever their language; no SQL, as engines differ in lower() of some letters."""
+    return table(spark, d, "documents").select("doc_id", F.md5(E.clean(F.col("text"))).alias("clean"))
+
+
 @query("SELECT p_partkey, coalesce(map {'aac': 'aac', 'mp3': 'mp3', 'opus': 'opus', 'vorbis': 'ogg', 'flac': 'flac', 'pcm_s16le': 'wav', 'ac3': 'ac3'}[c], 'wav') AS extension FROM (SELECT p_partkey, ['aac','mp3','opus','vorbis','flac','pcm_s16le','ac3','other'][(p_partkey % 8 + 1)::INT] AS c FROM part)")
 def q_codec_map(spark, d):
     codec = F.element_at(F.array(*[F.lit(x) for x in ("aac", "mp3", "opus", "vorbis", "flac", "pcm_s16le", "ac3", "other")]), (F.col("p_partkey") % 8 + 1).cast("int"))

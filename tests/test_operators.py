@@ -1,6 +1,8 @@
 """Golden cases and slow models of the operators that SQL does not express."""
 
+import hashlib
 import random
+import string
 
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from notewright.operators import generators as G
 from notewright.operators import joins as J
 from notewright.operators import linkage as L
 from notewright.operators import sequences as S
+from notewright.plans import queries as plans
 from notewright.sources import karaoke_txt as K
 
 
@@ -115,3 +118,10 @@ def test_text_round_trip(spark):
     got = K.note_lines(lines).orderBy("line_no").select("start_beat", "pitch", "word").collect()
     assert [tuple(r) for r in got] == [(0.0, 1, "Alpha"), (65.0, 2, "is")]
     assert K.headers(lines).first().artist == "A"
+
+
+def test_clean_of_all_languages(spark, tmp_path):
+    texts = [(1, " It's, GOOD! ", "en"), (2, "Über-Maß: Öl?", "de"), (3, "¿Qué TAL? ÑU", "es"), (4, "L'Été (à ÇA)", "fr"), (5, "No. LANG", None), (6, None, "fr"), (7, "...", "de")]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {d: t if t is None else hashlib.md5("".join(c for c in t if c not in string.punctuation).lower().strip(" ").encode()).hexdigest() for d, t, _ in texts}
+    assert {r.doc_id: r.clean for r in plans.q_clean_all(spark, str(tmp_path)).collect()} == want
