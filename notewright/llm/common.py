@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gc
+import ctypes
 import math
 import tempfile
 import uuid
@@ -16,6 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that one vectorised step looks at; a larger document is a step of its own.
 STEP_BYTES = 8 << 20
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Parameters of the C library's mallopt.
+_MMAP_THRESHOLD, _TRIM_THRESHOLD = -3, -1
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,19 +26,25 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set."""
+    """The folder that driver and executors share. Unset, it is a temporary one, which only a master on this machine allows."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="notewright-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: df as a table in the shared folder, which outlives any executor."""
+    """Cut the lineage: df as a table in the shared folder, which outlives any executor. Its plan's shuffle files go when it is written."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path, was = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, was)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -48,11 +57,15 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def freed(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove the shuffle files of plans that nothing refers to any more."""
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
+def lean() -> None:
+    """Have a worker give freed memory back to the system: large blocks are mapped one by one, Arrow's too."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(_MMAP_THRESHOLD, 1 << 20)
+        libc.mallopt(_TRIM_THRESHOLD, 4 << 20)
+    except (OSError, AttributeError):  # another C library: blocks stay in its pool
+        pass
 
 
 def partitions(spark: SparkSession) -> int:

@@ -18,7 +18,6 @@ if no other row does (null). Repeated rows are copies. Rows are told apart by th
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -228,12 +227,6 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def _freed(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove the shuffle files of plans that are done with."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def _low(values: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(values), np.uint32).astype(np.uint8).reshape(-1, VALUES)
 
@@ -300,7 +293,6 @@ def crowded(docs: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
     rows = written(trees.join(large, trees["prefix"] == large["region"]).select("region", "node", "root"), "crowds")
     near = _in_blocks(rows).join(labelled.select("node", "values"), "node").select("region", "left", "right", "node", "root", "values")
     near = written(near.groupBy("region", "left", "right").applyInArrow(near_others, "region long, node long").distinct(), "near")
-    _freed(docs.sparkSession)
     wanted = near.select("node").distinct().join(nodes.select("node", "owner"), "node").select(F.col("owner").alias("_owner")).distinct()
     texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_owner")), "left_semi").select("text")
     sets = texts.mapInArrow(sets_of, "node long, size long, members binary").dropDuplicates(["node"])
@@ -337,23 +329,19 @@ def grouped(docs: DataFrame) -> DataFrame:
     rows = written(docs.select("doc_id", "text").mapInArrow(described, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, node long, values binary"), "described")
     nodes = rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("owner"), F.first("values").alias("values"))
     pairs = written(candidates(nodes), "pairs")
-    _freed(spark)
     ends = pairs.select("a", "b", "agree", F.explode(F.array("a", "b")).alias("end"))
     best = ends.withColumn("_rank", F.row_number().over(W.partitionBy("end").orderBy(F.desc("agree"), "a", "b"))).filter(F.col("_rank") <= BEST)
     best = written(best.select("a", "b").distinct(), "best")
     found = written(links(docs, best, nodes.select("node", "owner")), "links")
-    _freed(spark)
     roots = components(found)
     to = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"_{end}"))
     apart = pairs.select("a", "b").join(best, ["a", "b"], "left_anti").join(to("a"), "a", "left").join(to("b"), "b", "left")
     rest = written(apart.filter(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b"), "rest")
     if not rest.isEmpty():
         more = written(links(docs, rest, nodes.select("node", "owner")), "links")
-        _freed(spark)
         found = found.unionByName(more)
         roots = components(found)
     more = written(crowded(docs, nodes, roots), "links")
-    _freed(spark)
     if not more.isEmpty():
         roots = components(found.unionByName(more))
     named = nodes.select("node", "owner").join(roots, "node", "left").select("node", "owner", F.coalesce("root", "node").alias("root"))

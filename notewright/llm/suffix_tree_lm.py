@@ -1,61 +1,79 @@
-"""Language-model scores from a probabilistic suffix tree over words.
-
-States are contexts of 0, 1 or 2 preceding words. A context that occurs MIN_CONTEXT times in training is kept when some
-next token tells it from its suffix: seen twice or more after it, with count * ln(P(token | context) / P(token | suffix)) of
-at least DIVERGENCE. A token is scored at the longest kept context of the words before it; a state's distribution is
-smoothed with its suffix's, (count + SMOOTH * P(token | suffix)) / (count of the context + SMOOTH), and the root's is
-(count + 1) / (tokens + distinct tokens + 1), which leaves the last share to any unknown token.
-
-The tree grows with the corpus, so nothing of it goes to the driver or to every task. Texts are kept as chunks in the shared
-folder. In each pass every chunk asks for just the counts it needs: its distinct keys, sorted and packed into one block for
-each bucket of the key hash; a bucket adds up the blocks and answers each chunk in the order asked. Passes: words, words
-after a word, words after two words, contexts to keep, scores. A key, however frequent, is once in each block.
-
-Null texts are empty: one token, the end. A row without doc_id belongs to training. Repeated rows count each.
-State: one chunk of STEP_BYTES of text, or the blocks of a bucket.
+"""Language-model scores from a probabilistic suffix tree over words, its contexts as long as the corpus supports.
+
+States are contexts: the empty one, and sequences of preceding words of one document. A context s is *considered* when it
+occurs MIN_CONTEXT times in training, is one word or the context without its first word is kept and the one without its
+last word is considered. It is *kept* when some next token tells it from its suffix (s without its first word): seen twice
+or more after it, with count * ln(P(token | s) / P(token | suffix)) of at least DIVERGENCE. So with a state all its
+suffixes are states, and depth has no limit but these tests. A state's distribution is smoothed with its suffix's,
+(count + SMOOTH * P(token | suffix)) / (count of s + SMOOTH), the empty context's is (count + 1) / (tokens + distinct tokens
++ 1), which leaves the last share to any unknown token. A token is scored at the longest state that ends before it.
+
+The tree grows with the corpus, so nothing of it goes to the driver or to every task. Texts become chunks of word numbers in
+the shared folder. Level by level, every chunk asks for just the counts it needs: its distinct keys (64-bit hashes of word
+sequences) in one block for each bucket; a bucket adds up the blocks and answers each chunk in the order asked. With
+the sequences of level k a chunk asks which contexts of level k - 1 are kept; chunks that see a telling token say so. The
+passes end when no chunk has anything left to ask. A key, however frequent, is once in each block. From level REPLAYED on
+few places are left, and a chunk's state is stored instead of being worked out again from its words and answers.
+
+Null texts are empty: one token, the end. A row without doc_id belongs to training. Repeated rows count each. A very long text
+is a chunk of its own. Other columns are not read. State: one chunk, or the blocks of a bucket; buckets grow with the input.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANK_WORDS_LOWER, freed, mixed, partitions, read, steps, words, written
+from .common import BLANK_WORDS_LOWER, dropped, lean, mixed, read, steps, words, written
 
 MIN_CONTEXT, DIVERGENCE, SMOOTH = 8, 6.0, 8.0
+CHUNK_BYTES, BUCKET_BYTES, REPLAYED = 4 << 20, 16 << 20, 4
 END = np.uint64(0x5E17D0F7E27A1C3B)
-_BLOCK = "bucket int, chunk long, keys binary, counts binary"
+_NEXT, _FLAG = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_QUESTION = "bucket int, chunk long, keys binary, counts binary"
 _ANSWER = "chunk long, pass int, bucket int, data binary, total long, seen long"
 
 
 def _shrunk(values: np.ndarray) -> bytes:
     """Numbers in byte planes, so that what is regular in them is compressed."""
-    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize).T
     return len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
-def _grown(data: bytes, kind: type) -> np.ndarray:
+def _grown(data: bytes, kind: np.dtype | type) -> np.ndarray:
     n, size = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
     planes = np.frombuffer(pa.decompress(data[8:], n * size, codec="zstd", asbytes=True), np.uint8)
     return np.ascontiguousarray(planes.reshape(size, n).T).reshape(-1).view(kind)
 
 
+def _packed(arrays: dict[str, np.ndarray], **others: object) -> bytes:
+    return pickle.dumps(({k: (v.dtype.str, _shrunk(v)) for k, v in arrays.items()}, others))
+
+
+def _unpacked(data: bytes) -> tuple[dict[str, np.ndarray], dict]:
+    arrays, others = pickle.loads(data)
+    return {k: _grown(v, np.dtype(kind)) for k, (kind, v) in arrays.items()}, others
+
+
 def _order(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of sorted keys bucket by bucket, and where each bucket's begin."""
-    bucket = (keys % np.uint64(buckets)).astype(np.int64)
+    """Places of keys bucket by bucket, and where each bucket's begin."""
+    bucket = (keys % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
     order = np.argsort(bucket, kind="stable")
     return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
-def asked(chunk: int, keys: np.ndarray, counts: np.ndarray, buckets: int) -> Iterator[tuple]:
+def asked(chunk: int, keys: np.ndarray, counts: np.ndarray, buckets: int) -> pa.Table:
     order, at = _order(keys, buckets)
-    for b in np.flatnonzero(np.diff(at)).tolist():
-        own = order[at[b] : at[b + 1]]
-        yield b, chunk, _shrunk(np.diff(keys[own], prepend=np.uint64(0))), _shrunk(counts[own].astype(np.uint32))
+    own = np.flatnonzero(np.diff(at)).tolist()
+    parts = [order[at[b] : at[b + 1]] for b in own]
+    columns = [pa.array(own, pa.int32()), pa.array([chunk] * len(own), pa.int64()), pa.array([keys[p].tobytes() for p in parts], pa.binary()), pa.array([_shrunk(counts[p].astype(np.uint32)) for p in parts], pa.binary())]
+    return pa.table(columns, names=["bucket", "chunk", "keys", "counts"])
 
 
 def answered(keys: np.ndarray, answers: dict[int, bytes], buckets: int) -> np.ndarray:
@@ -68,10 +86,11 @@ def answered(keys: np.ndarray, answers: dict[int, bytes], buckets: int) -> np.nd
 
 def added(blocks: pa.Table, number: int) -> pa.Table:
     """One bucket: the sum of each key over all blocks, put back in each block's order."""
+    lean()
     rows = blocks.num_rows
-    keys = [np.cumsum(_grown(x.as_py(), np.uint64), dtype=np.uint64) for x in blocks.column("keys")]
+    keys = [np.frombuffer(x.as_py(), np.uint64) for x in blocks.column("keys")]
     counts = np.concatenate([_grown(x.as_py(), np.uint32) for x in blocks.column("counts")])
-    distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+    place, distinct = pd.factorize(np.concatenate(keys))
     sums = np.bincount(place, weights=counts, minlength=len(distinct)).astype(np.int64)
     ends = np.cumsum([len(k) for k in keys])
     data = [_shrunk(sums[p]) for p in np.split(place, ends[:-1])]
@@ -81,151 +100,197 @@ def added(blocks: pa.Table, number: int) -> pa.Table:
     })
 
 
-class Chunk:
-    """A chunk's tokens and what is known of them so far; shared by all passes."""
-
-    def __init__(self, batch: pa.RecordBatch, answers: list[dict[int, bytes]], buckets: int, tokens: int, seen: int):
-        self.batch = batch
-        w = words(batch.column("text"), BLANK_WORDS_LOWER)
-        n = w.counts + 1
-        self.offsets = np.concatenate([[0], np.cumsum(n)])
-        h = np.full(self.offsets[-1], END, np.uint64)
-        inner = np.ones(len(h), bool)
-        inner[self.offsets[1:] - 1] = False
-        h[inner] = w.hashes()[w.codes]
-        self.place = np.arange(len(h)) - np.repeat(self.offsets[:-1], n)
-        self.train = np.repeat(~np.array(batch.column("held_out").to_pylist(), bool), n)
-        self.h, self.buckets, self.answers = h, buckets, answers
-        self.distinct, self.word = np.unique(h, return_inverse=True)
-        self.level = len(answers)
-        with np.errstate(over="ignore"):
-            one = mixed(_before(h, 1) * np.uint64(0x9E3779B97F4A7C15) + h * np.uint64(0xD6E8FEB86659FD93))
-            two = mixed(_before(h, 2) * np.uint64(0xA0761D6478BD642F) + one)
-        self.context = [_before(h, 1), mixed(_before(one, 1) + np.uint64(1))]
-        if self.level > 0:
-            self.c0 = answered(self.distinct, answers[0], buckets)[self.word]
-            self.p0 = (self.c0 + 1) / (tokens + seen + 1)
-            self.n1 = np.where(self.place >= 1, _before(self.c0, 1), 0)  # count of the one-word context
-            self.use1 = self.n1 >= MIN_CONTEXT
-            self.gram1, self.at1 = np.unique(one[self.use1] >> np.uint64(12), return_inverse=True)
-        if self.level > 1:
-            self.c1 = np.zeros(len(h), np.int64)
-            self.c1[self.use1] = answered(self.gram1, answers[1], buckets)[self.at1]
-            self.p1 = np.where(self.use1, (self.c1 + SMOOTH * self.p0) / (self.n1 + SMOOTH), self.p0)
-            self.n2 = np.where(self.place >= 2, _before(self.c1, 1), 0)
-            self.use2 = self.n2 >= MIN_CONTEXT
-            self.gram2, self.at2 = np.unique(two[self.use2] >> np.uint64(12), return_inverse=True)
-        if self.level > 2:
-            self.c2 = np.zeros(len(h), np.int64)
-            self.c2[self.use2] = answered(self.gram2, answers[2], buckets)[self.at2]
-            used = np.concatenate([self.context[0][self.use1], self.context[1][self.use2]])
-            self.contexts, self.at3 = np.unique(used, return_inverse=True)
+class Walk:
+    """The places of a chunk whose context may still grow, and what is known of its rows.
 
-    def question(self) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted distinct keys, and what this chunk adds to each."""
-        if self.level == 0:
-            return self.distinct, np.bincount(self.word[self.train], minlength=len(self.distinct))
-        if self.level == 1:
-            return self.gram1, np.bincount(self.at1[self.train[self.use1]], minlength=len(self.gram1))
-        if self.level == 2:
-            return self.gram2, np.bincount(self.at2[self.train[self.use2]], minlength=len(self.gram2))
-        split = [_diverges(self.c1, self.n1, self.p0)[self.use1], _diverges(self.c2, self.n2, self.p1)[self.use2]]
-        return self.contexts, np.bincount(self.at3[np.concatenate(split)], minlength=len(self.contexts)) > 0
-
-    def scores(self, tokens: int) -> pa.Table:
-        kept = answered(self.contexts, self.answers[3], self.buckets)[self.at3] > 0
-        kept1, kept2 = np.zeros(len(self.h), bool), np.zeros(len(self.h), bool)
-        n1 = int(self.use1.sum())
-        kept1[self.use1], kept2[self.use2] = kept[:n1], kept[n1:]
-        p = np.where(kept1, self.p1, self.p0)
-        p = np.where(kept2, (self.c2 + SMOOTH * p) / (self.n2 + SMOOTH), p)
-        total = lambda x: np.add.reduceat(x, self.offsets[:-1])
-        return pa.table({
-            "doc_id": self.batch.column("doc_id"), "held_out": self.batch.column("held_out"), "n_tokens": pa.array(np.diff(self.offsets)), "n_known": pa.array(total((self.c0 > 0).astype(np.int64))),
-            "train_tokens": pa.array([tokens] * self.batch.num_rows, pa.int64()), "base_score": pa.array(total(np.log10(self.p0))), "score": pa.array(total(np.log10(p))), "n_long": pa.array(total(kept2.astype(np.int64))),
-        })
-
-
-def _before(x: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros_like(x)
-    out[n:] = x[:-n] if len(x) > n else x[:0]
-    return out
+    Of each place: its word's hash, the hash and count of the sequence that ends with it (`gram`, `count`: context and word), its
+    context's hash, whether the word tells that context from its suffix, and P(word) at the suffix and at the context.
+    """
+
+    PLACES = ("at", "row", "depth", "train", "word", "gram", "count", "context", "tells", "safe", "near")
 
+    def __init__(self, level: int, places: dict[str, np.ndarray], rows: dict[str, np.ndarray]):
+        self.level, self.places, self.rows = level, places, rows
 
-def _diverges(count: np.ndarray, context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
-    expected = np.maximum(context * suffix, 1e-300)
-    return (count >= 2) & (count * np.log(np.maximum(count, 1) / expected) >= DIVERGENCE)
+    @staticmethod
+    def begun(tokens: dict[str, np.ndarray], held: np.ndarray) -> Walk:
+        n = np.diff(tokens["offsets"])
+        row = np.repeat(np.arange(len(n), dtype=np.int32), n)
+        depth = (np.arange(len(row)) - np.repeat(tokens["offsets"][:-1], n)).astype(np.int32)
+        word = tokens["vocabulary"][tokens["codes"]]
+        return Walk(0, {"at": np.arange(len(row), dtype=np.int32), "row": row, "depth": depth, "train": ~held[row], "word": word, "gram": word}, {"n_tokens": n})
+
+    def question(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct keys, and what this chunk adds to each."""
+        x = self.places
+        if self.level == 0:
+            self.codes, keys = pd.factorize(x["word"])
+            return keys, np.bincount(self.codes[x["train"]], minlength=len(keys))
+        follows = (x["at"][1:] == x["at"][:-1] + 1) & (x["depth"][1:] >= self.level) & (x["count"][:-1] >= MIN_CONTEXT)
+        self.some = np.flatnonzero(follows) + 1
+        with np.errstate(over="ignore"):
+            self.grams = mixed(x["gram"][self.some - 1] * _NEXT + x["word"][self.some] + np.uint64(self.level))
+            self.codes, keys = pd.factorize(self.grams)
+            counts = np.bincount(self.codes[x["train"][self.some]], minlength=len(keys))
+            self.sequences = len(keys)
+            if self.level > 1:
+                self.flags, contexts = pd.factorize(mixed(x["context"] ^ _FLAG))
+                keys = np.concatenate([keys, contexts])
+                counts = np.concatenate([counts, np.bincount(self.flags[x["tells"]], minlength=len(contexts)) > 0])
+        return keys, counts
+
+    def learn(self, values: np.ndarray, tokens: int, seen: int) -> None:
+        """Take the answers to the last question, settle the places whose longest state is known, go on with the others."""
+        x, rows = self.places, self.rows
+        if self.level == 0:
+            x["count"] = values[self.codes]
+            x["near"] = (x["count"] + 1) / (tokens + seen + 1)
+            x["safe"] = x["near"]
+            total = lambda w: np.bincount(x["row"], weights=w, minlength=len(rows["n_tokens"]))
+            rows["n_known"], rows["base"] = total(x["count"] > 0).astype(np.int64), total(np.log10(x["near"]))
+            rows["score"], rows["n_long"] = np.zeros(len(rows["n_tokens"])), np.zeros(len(rows["n_tokens"]), np.int64)
+        else:
+            kept = np.ones(len(x["at"]), bool) if self.level == 1 else values[self.sequences :][self.flags] > 0
+            goes = np.zeros(len(kept), bool)
+            goes[self.some] = kept[self.some]
+            ends = ~goes
+            settled = x["row"][ends]
+            rows["score"] += np.bincount(settled, weights=np.log10(np.where(kept, x["near"], x["safe"])[ends]), minlength=len(rows["score"]))
+            rows["n_long"] += np.bincount(settled[(self.level - 1 - ~kept[ends]) >= 2], minlength=len(rows["score"]))
+            on = goes[self.some]
+            new, before = self.some[on], self.some[on] - 1
+            count, suffix, times = values[: self.sequences][self.codes[on]], x["near"][new], x["count"][before]
+            tells = (count >= 2) & (count * np.log(np.maximum(count, 1) / (times * suffix)) >= DIVERGENCE)
+            same = {k: x[k][new] for k in ("at", "row", "depth", "train", "word")}
+            self.places = {**same, "gram": self.grams[on], "count": count, "context": x["gram"][before], "tells": tells, "safe": suffix, "near": (count + SMOOTH * suffix) / (times + SMOOTH)}
+        self.level += 1
+
+    def state(self) -> tuple[dict[str, np.ndarray], dict]:
+        return {**{f"p_{k}": self.places[k] for k in self.PLACES}, **{f"r_{k}": v for k, v in self.rows.items()}}, {"level": self.level}
+
+    @staticmethod
+    def of(arrays: dict[str, np.ndarray], others: dict) -> Walk:
+        return Walk(others["level"], {k[2:]: v for k, v in arrays.items() if k[:2] == "p_"}, {k[2:]: v for k, v in arrays.items() if k[:2] == "r_"})
 
 
 def _ipc(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, batch.schema) as out:
         out.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
 
-def _state(group: pa.Table, level: int) -> tuple[pa.RecordBatch, list[dict[int, bytes]]]:
-    answers: list[dict[int, bytes]] = [{} for _ in range(level)]
-    batch = None
-    for number, bucket, data in zip(group.column("pass").to_pylist(), group.column("bucket").to_pylist(), group.column("data"), strict=True):
-        if number < 0:
-            batch = pa.ipc.open_stream(data.as_py()).read_next_batch()
-        else:
-            answers[number][bucket] = data.as_py()
-    return batch, answers
-
-
 def chunks(docs: DataFrame) -> DataFrame:
-    """The texts in packed chunks of (doc_id, text, held_out), as rows like the answers'."""
+    """The texts as chunks of word numbers, as rows like the answers'; total: bytes of text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        lean()
         base = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
-        for k, batch in enumerate(steps(batches)):
-            yield pa.RecordBatch.from_arrays([pa.array([base + k]), pa.array([-1], pa.int32()), pa.array([-1], pa.int32()), pa.array([_ipc(batch)], pa.binary()), pa.array([0]), pa.array([0])], names=["chunk", "pass", "bucket", "data", "total", "seen"])
+        for k, batch in enumerate(steps(batches, limit=CHUNK_BYTES)):
+            w = words(batch.column("text"), BLANK_WORDS_LOWER)
+            offsets = np.concatenate([[0], np.cumsum(w.counts + 1)])
+            codes = np.full(offsets[-1], len(w.vocabulary), np.int32)
+            inner = np.ones(len(codes), bool)
+            inner[offsets[1:] - 1] = False
+            codes[inner] = w.codes
+            data = _packed({"codes": codes, "offsets": offsets, "vocabulary": np.append(w.hashes(), END)}, rows=_ipc(batch.select(["doc_id", "held_out"])))
+            yield pa.RecordBatch.from_arrays([pa.array([base + k]), pa.array([-1], pa.int32()), pa.array([-1], pa.int32()), pa.array([data], pa.binary()), pa.array([batch.column("text").nbytes]), pa.array([0])], names=["chunk", "pass", "bucket", "data", "total", "seen"])
 
     return docs.mapInArrow(run, _ANSWER)
 
 
+def _walked(group: pa.Table, buckets: int, tokens: int, seen: int) -> tuple[Walk, bytes]:
+    """A chunk's walk with all its answers learnt, and its rows' doc_id and held_out."""
+    answers: dict[int, dict[int, bytes]] = {}
+    data = b""
+    for number, bucket, x in zip(group.column("pass").to_pylist(), group.column("bucket").to_pylist(), group.column("data"), strict=True):
+        if number < 0:
+            data = x.as_py()
+        else:
+            answers.setdefault(number, {})[bucket] = x.as_py()
+    arrays, others = _unpacked(data)
+    if "level" in others:
+        walk = Walk.of(arrays, others)
+    else:
+        held = pa.ipc.open_stream(others["rows"]).read_next_batch().column("held_out")
+        walk = Walk.begun(arrays, np.array(held.to_pylist(), bool))
+    for number in range(walk.level, max(answers, default=-1) + 1):  # a level without answers is one without questions
+        keys, _ = walk.question()
+        walk.learn(answered(keys, answers.get(number, {}), buckets), tokens, seen)
+    return walk, others["rows"]
+
+
 def scored(docs: DataFrame) -> DataFrame:
     """Scores of each row of docs(doc_id, text, held_out), learnt from those that are not held out."""
-    spark = docs.sparkSession
-    buckets = max(64, 4 * partitions(spark))
     state = written(chunks(docs.select("doc_id", "text", "held_out")), "chunks")
+    size = state.agg(F.sum("total")).first()[0] or 0
+    buckets = max(64, size // BUCKET_BYTES)
     kept, tokens, seen = [state], 0, 0
 
-    def passed(level: int, schema: str, out: Callable[[Chunk, int], pa.Table]) -> DataFrame:
-        n, v = tokens, seen
-
-        def run(group: pa.Table) -> pa.Table:
-            batch, answers = _state(group, level)
-            return out(Chunk(batch, answers, buckets, n, v), group.column("chunk")[0].as_py())
-
+    def every() -> DataFrame:
         rows = kept[0]
         for more in kept[1:]:
             rows = rows.unionByName(more)
-        return rows.groupBy("chunk").applyInArrow(run, schema)
-
-    def blocks(chunk: Chunk, number: int) -> pa.Table:
-        rows = list(asked(number, *chunk.question(), buckets))
-        columns = zip(*rows, strict=True) if rows else ([], [], [], [])
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "chunk", "keys", "counts"])
+        return rows.groupBy("chunk")
 
     def adder(level: int) -> Callable[[pa.Table], pa.Table]:
         return lambda group: added(group, level)
 
-    def answers(level: int) -> DataFrame:
-        return written(passed(level, _BLOCK, blocks).groupBy("bucket").applyInArrow(adder(level), _ANSWER), "answers")
+    def asker(n: int, v: int) -> Callable[[pa.Table], pa.Table]:
+        def ask(group: pa.Table) -> pa.Table:
+            lean()
+            walk, _ = _walked(group, buckets, n, v)
+            return asked(group.column("chunk")[0].as_py(), *walk.question(), buckets)
+
+        return ask
 
-    for level in range(4):
-        kept.append(answers(level))
+    for level in range(REPLAYED):
+        kept.append(written(every().applyInArrow(asker(tokens, seen), _QUESTION).groupBy("bucket").applyInArrow(adder(level), _ANSWER), "answers"))
         if level == 0:
             found = kept[1].agg(F.sum("total"), F.sum("seen")).first()
             tokens, seen = found[0] or 0, found[1] or 0
-        freed(spark)
+
+    n, v = tokens, seen
+    stored = f"{_QUESTION}, pass int, data binary"
+
+    def store(group: pa.Table) -> pa.Table:
+        """The chunk's state as a row like the answers', and its question."""
+        lean()
+        walk, rows = _walked(group, buckets, n, v)
+        chunk = group.column("chunk")[0].as_py()
+        arrays, others = walk.state()
+        keys, counts = walk.question()
+        own = pa.table({"bucket": pa.array([-1], pa.int32()), "chunk": pa.array([chunk]), "keys": pa.array([None], pa.binary()), "counts": pa.array([len(keys).to_bytes(8, "little")], pa.binary()), "pass": pa.array([-1], pa.int32()), "data": pa.array([_packed(arrays, rows=rows, **others)], pa.binary())})
+        return pa.concat_tables([own, asked(chunk, keys, counts, buckets)], promote_options="default")
+
+    level = REPLAYED
+    while True:
+        table = written(every().applyInArrow(store, stored), "states")
+        for old in kept:
+            dropped(old)
+        kept = [table.filter("bucket < 0").select("chunk", "pass", "bucket", "data", F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("seen"))]
+        questions = table.filter("bucket >= 0").select("bucket", "chunk", "keys", "counts")
+        if questions.isEmpty():
+            break
+        answers = written(questions.groupBy("bucket").applyInArrow(adder(level), _ANSWER), "answers")
+        kept.append(answers)
+        level += 1
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return passed(4, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_long long", lambda chunk, _: chunk.scores(tokens))
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        for batch in batches:
+            for data in batch.column("data"):
+                arrays, others = _unpacked(data.as_py())
+                walk, rows = Walk.of(arrays, others), pa.ipc.open_stream(others["rows"]).read_next_batch()
+                walk.question()
+                walk.learn(np.zeros(0, np.int64), n, v)  # no chunk has a question left
+                r = walk.rows
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("held_out"), pa.array(r["n_tokens"]), pa.array(r["n_known"]), pa.array([n] * len(r["base"]), pa.int64()), pa.array(r["base"]), pa.array(r["score"]), pa.array(r["n_long"])], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_long"])
+
+    return kept[0].select("data").mapInArrow(scores, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_long long")
 
 
 def held_out() -> Column:

@@ -148,31 +148,41 @@ def test_held_regions_stay_linked(monkeypatch):
     assert reach == set(range(100))
 
 
+def suffix_tree(texts, deepest):
+    """The model by its definition: counts of sequences, and the contexts kept."""
+    c = [collections.Counter(tuple(w[i - k : i + 1]) for _, w, held in texts if not held for i in range(k, len(w))) for k in range(deepest + 2)]
+    total, distinct = sum(c[0].values()), len(c[0])
+
+    def p(s, x):
+        if not s:
+            return (c[0][(x,)] + 1) / (total + distinct + 1)
+        return (c[len(s)][(*s, x)] + lm.SMOOTH * p(s[1:], x)) / (c[len(s) - 1][s] + lm.SMOOTH)
+
+    considered, kept = [{()}], [{()}]
+    for k in range(1, deepest + 1):
+        considered.append({s for s, n in c[k - 1].items() if None not in s and n >= lm.MIN_CONTEXT and s[1:] in kept[-1] and s[:-1] in considered[-1]})
+        kept.append({g[:-1] for g, n in c[k].items() if g[:-1] in considered[-1] and n >= 2 and n * math.log(n / (c[k - 1][g[:-1]] * p(g[1:-1], g[-1]))) >= lm.DIVERGENCE})
+    return c, total, kept, p
+
+
 def test_suffix_tree_scores(spark):
-    rows = [*documents(spark), (None, None), (1, ""), (2, "A b"), (2, "A b")]
+    rng = random.Random(3)
+    refrain = [rng.choice("uvwxyz") for _ in range(40)]
+    own = [" ".join(rng.choice("uvwxyz") for _ in range(30)) + " " + " ".join(refrain[: rng.randint(4, 40)]) for _ in range(120)]
+    rows = [*documents(spark), (None, None), (1, ""), (2, "A b"), (2, "A b"), (3, " ".join(["long"] * 30_000)), *[(10**6 + i, t) for i, t in enumerate(own)]]
     texts = [(d, blank_words(lower(t)) + [None], d is not None and zlib.crc32(str(d).encode()) % 7 == 2) for d, t in rows]
-    c = [collections.Counter(tuple(w[i - k : i + 1]) for _, w, held in texts if not held for i in range(k, len(w))) for k in range(3)]
-    total, distinct = sum(c[0].values()), len(c[0])
-    p0 = lambda x: (c[0][(x,)] + 1) / (total + distinct + 1)
-    p1 = lambda a, x: (c[1][(a, x)] + lm.SMOOTH * p0(x)) / (c[0][(a,)] + lm.SMOOTH)
-    apart = lambda n, s, p: n >= 2 and n * math.log(n / (s * p)) >= lm.DIVERGENCE
-    one = {a for (a, x), n in c[1].items() if c[0][(a,)] >= lm.MIN_CONTEXT and apart(n, c[0][(a,)], p0(x))}
-    two = {(a, b) for (a, b, x), n in c[2].items() if c[1][(a, b)] >= lm.MIN_CONTEXT and apart(n, c[1][(a, b)], p1(b, x))}
-    assert one and two
+    c, total, kept, p = suffix_tree(texts, 14)
+    assert kept[4] and not kept[14]
     want = []
     for d, w, held in texts:
         base = score = 0.0
         for i, x in enumerate(w):
-            p = p0(x)
-            base += math.log10(p)
-            if i >= 1 and w[i - 1] in one:
-                p = p1(w[i - 1], x)
-            if i >= 2 and (w[i - 2], w[i - 1]) in two:
-                p = (c[2][tuple(w[i - 2 : i + 1])] + lm.SMOOTH * p) / (c[1][(w[i - 2], w[i - 1])] + lm.SMOOTH)
-            score += math.log10(p)
-        want.append((d, held, len(w), sum(c[0][(x,)] > 0 for x in w), total, round(base, 5), round(score, 5)))
+            base += math.log10(p((), x))
+            k = max(k for k in range(min(i, 13) + 1) if tuple(w[i - k : i]) in kept[k])
+            score += math.log10(p(tuple(w[i - k : i]), x))
+        want.append((d, held, len(w), sum(c[0][(x,)] > 0 for x in w), total, round(base, 4), round(score, 4)))
     df = frame(spark, rows).withColumn("held_out", lm.held_out())
-    got = [(*r[:5], round(r[5], 5), round(r[6], 5)) for r in lm.scored(df).collect()]
+    got = [(*r[:5], round(r[5], 4), round(r[6], 4)) for r in lm.scored(df).collect()]
     assert ordered(got) == ordered(want)
     assert lm.scored(df.limit(0)).count() == 0
 
