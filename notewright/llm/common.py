@@ -62,12 +62,22 @@ def lean() -> None:
     pa.set_memory_pool(pa.system_memory_pool())
     try:
         libc = ctypes.CDLL(None)
-        libc.mallopt(_MMAP_THRESHOLD, 1 << 20)
-        libc.mallopt(_TRIM_THRESHOLD, 4 << 20)
+        libc.mallopt(_MMAP_THRESHOLD, 8 << 20)
+        libc.mallopt(_TRIM_THRESHOLD, 16 << 20)
     except (OSError, AttributeError):  # another C library: blocks stay in its pool
         pass
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until df has no column of that name."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import BLANK_WORDS_LOWER, dropped, lean, mixed, read, steps, words, written
 
 MIN_CONTEXT, DIVERGENCE, SMOOTH = 8, 6.0, 8.0
-CHUNK_BYTES, BUCKET_BYTES, REPLAYED = 4 << 20, 16 << 20, 4
+CHUNK_BYTES, BUCKET_BYTES, REPLAYED = 6 << 20, 16 << 20, 4
 END = np.uint64(0x5E17D0F7E27A1C3B)
 _NEXT, _FLAG = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _QUESTION = "bucket int, chunk long, keys binary, counts binary"
@@ -62,17 +62,16 @@ def _unpacked(data: bytes) -> tuple[dict[str, np.ndarray], dict]:
 
 
 def _order(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of keys bucket by bucket, and where each bucket's begin."""
-    bucket = (keys % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
-    order = np.argsort(bucket, kind="stable")
-    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+    """Places of keys in ascending order, and where each bucket's begin; a bucket is a range of keys."""
+    order = np.argsort(keys)
+    return order, np.searchsorted(keys[order], np.array([(b << 64) // buckets for b in range(buckets)], np.uint64)).tolist() + [len(keys)]
 
 
 def asked(chunk: int, keys: np.ndarray, counts: np.ndarray, buckets: int) -> pa.Table:
     order, at = _order(keys, buckets)
     own = np.flatnonzero(np.diff(at)).tolist()
     parts = [order[at[b] : at[b + 1]] for b in own]
-    columns = [pa.array(own, pa.int32()), pa.array([chunk] * len(own), pa.int64()), pa.array([keys[p].tobytes() for p in parts], pa.binary()), pa.array([_shrunk(counts[p].astype(np.uint32)) for p in parts], pa.binary())]
+    columns = [pa.array(own, pa.int32()), pa.array([chunk] * len(own), pa.int64()), pa.array([_shrunk(np.diff(keys[p], prepend=np.uint64(0))) for p in parts], pa.binary()), pa.array([_shrunk(counts[p].astype(np.uint32)) for p in parts], pa.binary())]
     return pa.table(columns, names=["bucket", "chunk", "keys", "counts"])
 
 
@@ -88,7 +87,7 @@ def added(blocks: pa.Table, number: int) -> pa.Table:
     """One bucket: the sum of each key over all blocks, put back in each block's order."""
     lean()
     rows = blocks.num_rows
-    keys = [np.frombuffer(x.as_py(), np.uint64) for x in blocks.column("keys")]
+    keys = [np.cumsum(_grown(x.as_py(), np.uint64), dtype=np.uint64) for x in blocks.column("keys")]
     counts = np.concatenate([_grown(x.as_py(), np.uint32) for x in blocks.column("counts")])
     place, distinct = pd.factorize(np.concatenate(keys))
     sums = np.bincount(place, weights=counts, minlength=len(distinct)).astype(np.int64)
@@ -100,77 +99,92 @@ def added(blocks: pa.Table, number: int) -> pa.Table:
     })
 
 
+def _used(ids: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids in a table without the entries that none of them names."""
+    mark = np.zeros(len(table), bool)
+    mark[ids] = True
+    return (np.cumsum(mark, dtype=np.int32) - 1)[ids], table[mark]
+
+
 class Walk:
     """The places of a chunk whose context may still grow, and what is known of its rows.
 
-    Of each place: its word's hash, the hash and count of the sequence that ends with it (`gram`, `count`: context and word), its
-    context's hash, whether the word tells that context from its suffix, and P(word) at the suffix and at the context.
+    Of each place: its word, the sequence of context and word that ends with it (`gram`) and that one's count, its context, whether
+    the word tells that context from its suffix, and P(word) at the suffix and at the context. Words, grams and contexts are
+    numbers in tables of their hashes.
     """
 
-    PLACES = ("at", "row", "depth", "train", "word", "gram", "count", "context", "tells", "safe", "near")
+    TABLES = ("word", "gram", "context")
 
-    def __init__(self, level: int, places: dict[str, np.ndarray], rows: dict[str, np.ndarray]):
-        self.level, self.places, self.rows = level, places, rows
+    def __init__(self, level: int, places: dict[str, np.ndarray], tables: dict[str, np.ndarray], rows: dict[str, np.ndarray]):
+        self.level, self.places, self.tables, self.rows = level, places, tables, rows
 
     @staticmethod
     def begun(tokens: dict[str, np.ndarray], held: np.ndarray) -> Walk:
         n = np.diff(tokens["offsets"])
         row = np.repeat(np.arange(len(n), dtype=np.int32), n)
         depth = (np.arange(len(row)) - np.repeat(tokens["offsets"][:-1], n)).astype(np.int32)
-        word = tokens["vocabulary"][tokens["codes"]]
-        return Walk(0, {"at": np.arange(len(row), dtype=np.int32), "row": row, "depth": depth, "train": ~held[row], "word": word, "gram": word}, {"n_tokens": n})
+        places = {"at": np.arange(len(row), dtype=np.int32), "row": row, "depth": depth, "train": ~held[row], "word": tokens["codes"], "gram": tokens["codes"]}
+        return Walk(0, places, {"word": tokens["vocabulary"], "gram": tokens["vocabulary"]}, {"n_tokens": n})
 
     def question(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct keys, and what this chunk adds to each."""
-        x = self.places
+        x, tables = self.places, self.tables
         if self.level == 0:
-            self.codes, keys = pd.factorize(x["word"])
-            return keys, np.bincount(self.codes[x["train"]], minlength=len(keys))
+            self.codes, self.sequences = x["word"], tables["word"]
+            return self.sequences, np.bincount(self.codes[x["train"]], minlength=len(self.sequences))
         follows = (x["at"][1:] == x["at"][:-1] + 1) & (x["depth"][1:] >= self.level) & (x["count"][:-1] >= MIN_CONTEXT)
         self.some = np.flatnonzero(follows) + 1
         with np.errstate(over="ignore"):
-            self.grams = mixed(x["gram"][self.some - 1] * _NEXT + x["word"][self.some] + np.uint64(self.level))
-            self.codes, keys = pd.factorize(self.grams)
-            counts = np.bincount(self.codes[x["train"][self.some]], minlength=len(keys))
-            self.sequences = len(keys)
-            if self.level > 1:
-                self.flags, contexts = pd.factorize(mixed(x["context"] ^ _FLAG))
-                keys = np.concatenate([keys, contexts])
-                counts = np.concatenate([counts, np.bincount(self.flags[x["tells"]], minlength=len(contexts)) > 0])
-        return keys, counts
+            grams = mixed(tables["gram"][x["gram"][self.some - 1]] * _NEXT + tables["word"][x["word"][self.some]] + np.uint64(self.level))
+        self.codes, self.sequences = pd.factorize(grams)
+        counts = np.bincount(self.codes[x["train"][self.some]], minlength=len(self.sequences))
+        if self.level == 1:
+            return self.sequences, counts
+        self.flags, contexts = _used(x["context"], tables["context"])
+        told = np.zeros(len(contexts), np.int64)
+        told[self.flags[x["tells"]]] = 1
+        return np.concatenate([self.sequences, mixed(contexts ^ _FLAG)]), np.concatenate([counts, told])
 
     def learn(self, values: np.ndarray, tokens: int, seen: int) -> None:
         """Take the answers to the last question, settle the places whose longest state is known, go on with the others."""
         x, rows = self.places, self.rows
         if self.level == 0:
-            x["count"] = values[self.codes]
-            x["near"] = (x["count"] + 1) / (tokens + seen + 1)
+            p = (values + 1) / (tokens + seen + 1)
+            x["count"], x["near"] = values[self.codes], p[self.codes]
             x["safe"] = x["near"]
-            total = lambda w: np.bincount(x["row"], weights=w, minlength=len(rows["n_tokens"]))
-            rows["n_known"], rows["base"] = total(x["count"] > 0).astype(np.int64), total(np.log10(x["near"]))
+            total = lambda w: np.bincount(x["row"], weights=w[self.codes], minlength=len(rows["n_tokens"]))
+            rows["n_known"], rows["base"] = total(values > 0).astype(np.int64), total(np.log10(p))
             rows["score"], rows["n_long"] = np.zeros(len(rows["n_tokens"])), np.zeros(len(rows["n_tokens"]), np.int64)
         else:
-            kept = np.ones(len(x["at"]), bool) if self.level == 1 else values[self.sequences :][self.flags] > 0
+            kept = np.ones(len(x["at"]), bool) if self.level == 1 else values[len(self.sequences) :][self.flags] > 0
             goes = np.zeros(len(kept), bool)
             goes[self.some] = kept[self.some]
-            ends = ~goes
-            settled = x["row"][ends]
-            rows["score"] += np.bincount(settled, weights=np.log10(np.where(kept, x["near"], x["safe"])[ends]), minlength=len(rows["score"]))
-            rows["n_long"] += np.bincount(settled[(self.level - 1 - ~kept[ends]) >= 2], minlength=len(rows["score"]))
-            on = goes[self.some]
-            new, before = self.some[on], self.some[on] - 1
-            count, suffix, times = values[: self.sequences][self.codes[on]], x["near"][new], x["count"][before]
-            tells = (count >= 2) & (count * np.log(np.maximum(count, 1) / (times * suffix)) >= DIVERGENCE)
+            ends = np.flatnonzero(~goes)
+            settled, sure = x["row"][ends], kept[ends]
+            rows["score"] += np.bincount(settled, weights=np.log10(np.where(sure, x["near"][ends], x["safe"][ends])), minlength=len(rows["score"]))
+            rows["n_long"] += np.bincount(settled[self.level - 1 - ~sure >= 2], minlength=len(rows["score"]))
+            on = np.flatnonzero(goes[self.some])
+            new, codes = self.some[on], self.codes[on]
+            before = new - 1
+            count, suffix, times = values[codes], x["near"][new], x["count"][before]
+            twice = np.flatnonzero(count >= 2)
+            tells = np.zeros(len(on), bool)
+            tells[twice] = count[twice] * np.log(count[twice] / (times[twice] * suffix[twice])) >= DIVERGENCE
             same = {k: x[k][new] for k in ("at", "row", "depth", "train", "word")}
-            self.places = {**same, "gram": self.grams[on], "count": count, "context": x["gram"][before], "tells": tells, "safe": suffix, "near": (count + SMOOTH * suffix) / (times + SMOOTH)}
+            self.places = {**same, "gram": codes, "count": count, "context": x["gram"][before], "tells": tells, "safe": suffix, "near": (count + SMOOTH * suffix) / (times + SMOOTH)}
+            self.tables = {"word": self.tables["word"], "gram": self.sequences, "context": self.tables["gram"]}
         self.level += 1
 
     def state(self) -> tuple[dict[str, np.ndarray], dict]:
-        return {**{f"p_{k}": self.places[k] for k in self.PLACES}, **{f"r_{k}": v for k, v in self.rows.items()}}, {"level": self.level}
+        for k in self.TABLES:
+            self.places[k], self.tables[k] = _used(self.places[k], self.tables[k])
+        parts = {"p": self.places, "t": self.tables, "r": self.rows}
+        return {f"{part}_{k}": v for part, own in parts.items() for k, v in own.items()}, {"level": self.level}
 
     @staticmethod
     def of(arrays: dict[str, np.ndarray], others: dict) -> Walk:
-        return Walk(others["level"], {k[2:]: v for k, v in arrays.items() if k[:2] == "p_"}, {k[2:]: v for k, v in arrays.items() if k[:2] == "r_"})
+        return Walk(others["level"], *({k[2:]: v for k, v in arrays.items() if k[0] == part} for part in "ptr"))
 
 
 def _ipc(batch: pa.RecordBatch) -> bytes:
