@@ -1,14 +1,16 @@
 """Benchmark decontamination in DataFrame operations only.
 
 The windows of benchmark items (WINDOW consecutive normalised words; a shorter item is one window) are hashed and
-broadcast when their number is within BROADCAST_WINDOWS, else joined by shuffling the hashes. Each document's window
-hashes are exploded beside its word array, and the words of every hash hit are compared, so results are exact. A
-document without a hit moves no text. Hits are grouped by document, so a window that a third of all documents share
-loads no single task.
-
-Null texts have no words and no hits. Rows with equal doc_id and text get equal results; a row without a doc_id is a
-document too. Items without an item_id mark words but are not listed. Only doc_id, text, item_id are read, so further
-columns cannot clash.
+broadcast while their words and item lists take at most BROADCAST_BYTES. Each text is read and split once: the hashes of
+its windows of every size are exploded beside its word array, with one more row that carries its number of words, and the
+words of every hash hit are compared, so results are exact. A document without a hit sends just that row. Beyond
+BROADCAST_BYTES only hash, document and place are shuffled to the benchmark's hashes; the words of what meets there are compared
+after a join back to the texts. Hits are grouped by document, so a window that a third of all documents share loads no single task.
+
+Null and empty texts have no words and no hits. A very long text is exploded like any other. Rows with equal doc_id and text
+are repeated rows: each gets the same result. A row without a doc_id is a document too. Overlapping hits mark a word once.
+Items without an item_id mark words but are not listed; equal items are listed each; without items nothing is hit. Only
+doc_id, text, item_id are read, so further columns cannot clash.
 """
 
 from __future__ import annotations
@@ -20,18 +22,18 @@ from pyspark.sql import functions as F
 
 from .common import read
 
-WINDOW, BROADCAST_WINDOWS = 10, 200_000
+WINDOW, BROADCAST_BYTES = 10, 64 << 20
 _BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def normal_words(text: str) -> Column:
-    lower = F.translate(F.coalesce(F.col(text), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    whole = F.coalesce(F.col(text), F.lit(""))
+    lower = F.when(F.octet_length(whole) == F.length(whole), F.lower(whole)).otherwise(F.translate(whole, string.ascii_uppercase, string.ascii_lowercase))
     return F.array_remove(F.split(lower, _BREAKS), "")
 
 
 def window_hashes(words: str, k: int) -> Column:
-    """Hashes of all k-word windows; the sequence is empty where there are fewer words."""
+    """Hashes of all k-word windows; none where there are fewer words."""
     places = F.when(F.size(words) >= k, F.sequence(F.lit(1), F.size(words) - (k - 1))).otherwise(F.expr("cast(array() as array<int>)"))
     return F.transform(places, lambda i: F.xxhash64(F.slice(F.col(words), i, k)))
 
@@ -44,43 +46,68 @@ def benchmark_windows(bench: DataFrame, window: int = WINDOW) -> DataFrame:
     return b.groupBy("k", "g").agg(F.collect_set("item").alias("items")).withColumn("h", F.xxhash64("g"))
 
 
-def hits(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, _text (hash of the text), n_hit, items: one row for each document with a hit."""
+def _place(sizes: list[int], n: Column, pos: Column) -> tuple[Column, Column]:
+    """First word and number of words of the window at a place of the concatenated windows of all sizes; place 0 is none."""
+    start, size, before = F.lit(-1), F.lit(0), F.lit(1)
+    for k in sizes:
+        here = pos >= before
+        start, size = F.when(here, pos - before).otherwise(start), F.when(here, F.lit(k)).otherwise(size)
+        before = before + F.greatest(n - (k - 1), F.lit(0))
+    return start, size
+
+
+def found_windows(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, _text (hash of the text), n, span, items: a row without span and items for each row of docs, and one for each hit."""
     grams = benchmark_windows(bench, window)
-    sizes = {r["k"]: r["n"] for r in grams.groupBy("k").agg(F.count("*").alias("n")).collect()}  # at most `window` rows
-    small = sum(sizes.values()) <= BROADCAST_WINDOWS
-    rows = docs.select("doc_id", F.xxhash64("text").alias("_text"), normal_words("text").alias("_w"))
-    found = None
-    for k in sorted(sizes) or [window]:
-        side = grams.filter(F.col("k") == k).select("h", "g", "items")
-        # An inner explode would infer a filter that computes the hashes once more, with the words split anew for each.
-        own = rows.withColumn("_hs", window_hashes("_w", k)).select("doc_id", "_text", "_w", F.posexplode_outer("_hs").alias("_at", "h"))
-        same = F.slice("_w", F.col("_at") + 1, k).between(F.col("g"), F.col("g"))  # an equality would become a second join key
-        joined = own.join(F.broadcast(side) if small else side, "h").filter(same)
-        part = joined.select("doc_id", "_text", F.struct(F.col("_at").alias("a"), (F.col("_at") + k).alias("b")).alias("span"), "items")
-        found = part if found is None else found.unionByName(part)
-    grouped = found.groupBy("doc_id", "_text").agg(F.sort_array(F.collect_set("span")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    measured = grams.groupBy("k").agg(F.sum(F.aggregate("g", F.lit(0).cast("long"), lambda n, w: n + F.octet_length(w) + 8)).alias("words"), F.sum(F.aggregate("items", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x) + 8)).alias("items"))
+    rows = measured.collect()  # at most `window` rows
+    sizes, small = sorted(r["k"] for r in rows), sum(r["words"] + r["items"] for r in rows) <= BROADCAST_BYTES
+    side = grams.select("h", "g", "items")
+    split = docs.select("doc_id", F.xxhash64("text").alias("_text"), normal_words("text").alias("_w"))
+    none = F.expr("cast(array(null) as array<bigint>)")
+    # An inner explode would infer a filter that computes the hashes once more, with the words split anew for each.
+    every = split.withColumn("_hs", F.concat(none, *[window_hashes("_w", k) for k in sizes]))
+    exploded = every.select("doc_id", "_text", "_w", F.posexplode_outer("_hs").alias("_pos", "h"))
+    start, size = _place(sizes, F.size("_w"), F.col("_pos"))
+    same = F.slice("_w", start + 1, size).between(F.col("g"), F.col("g"))  # an equality would become a second join key
+    span = F.when(F.col("_pos") > 0, F.struct(start.alias("a"), (start + size).alias("b"))).alias("span")
+    if small:
+        joined = exploded.join(F.broadcast(side), (exploded["h"] == side["h"]) & same, "left").filter((F.col("_pos") == 0) | F.col("items").isNotNull())
+        return joined.select("doc_id", "_text", F.size("_w").alias("n"), span, "items")
+    met = exploded.select("doc_id", "_text", "_pos", "h").join(side, "h").select(F.col("doc_id").alias("_id"), F.col("_text").alias("_t"), "_pos", "g", "items")
+    split = split.dropDuplicates(["doc_id", "_text"])
+    hit = split.join(met, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_t"))).filter(same)
+    marks = docs.select("doc_id", F.xxhash64("text").alias("_text"), F.size(normal_words("text")).alias("n"))
+    return marks.select("*", F.lit(None).cast("struct<a:int,b:int>").alias("span"), F.lit(None).cast("array<string>").alias("items")).unionByName(hit.select("doc_id", "_text", F.size("_w").alias("n"), span, "items"))
+
+
+def grouped(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, _text, copies, n_words, n_hit, items: one row for each doc_id and text."""
+    found = found_windows(docs, bench, window)
+    out = found.groupBy("doc_id", "_text").agg(
+        F.count_if(F.col("span").isNull()).alias("copies"),
+        F.max("n").cast("long").alias("n_words"),
+        F.sort_array(F.collect_set("span")).alias("spans"),
+        F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
+    )
     covered = F.aggregate(
         "spans",
         F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")),
         lambda acc, s: F.struct(F.greatest(acc["end"], s["b"]).alias("end"), (acc["n"] + F.greatest(F.lit(0), s["b"] - F.greatest(s["a"], acc["end"]))).alias("n")),
         lambda acc: acc["n"],
     )
-    return grouped.select("doc_id", "_text", covered.alias("n_hit"), "items")
+    return out.select("doc_id", "_text", "copies", "n_words", covered.alias("n_hit"), "items")
 
 
 def contaminated(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted strings) for each row of docs(doc_id, text)."""
-    h = hits(docs, bench, window)
-    rows = docs.select("doc_id", F.xxhash64("text").alias("_text"), F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long").alias("n_words"))
-    h = h.select(F.col("doc_id").alias("_id"), F.col("_text").alias("_t"), "n_hit", "items")
-    out = rows.join(h, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_t")), "left")
-    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.sort_array(F.coalesce("items", F.expr("cast(array() as array<string>)"))).alias("items"))
+    g = grouped(docs, bench, window).select("*", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("_copy"))
+    return g.select("doc_id", "n_words", "n_hit", F.sort_array("items").alias("items"))
 
 
 def clean(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs without the documents that hold a benchmark window; all columns stay."""
-    h = hits(docs.select("doc_id", "text"), bench, window).select(F.col("doc_id").alias("_hit_id"), F.col("_text").alias("_hit_text"))
+    h = grouped(docs.select("doc_id", "text"), bench, window).filter("n_hit > 0").select(F.col("doc_id").alias("_hit_id"), F.col("_text").alias("_hit_text"))
     return docs.join(h, docs["doc_id"].eqNullSafe(h["_hit_id"]) & (F.xxhash64(docs["text"]) == h["_hit_text"]), "left_anti")
 
 

@@ -1,36 +1,34 @@
 """Document fingerprints by an invertible Bloom lookup sketch of paragraph digests, in DataFrame operations only.
 
 A paragraph is what stands between line breaks, cut further after a full stop, exclamation or question mark before a blank;
-a document is the set of their 64-bit digests. A sketch has 3 rows of `width` cells; a digest is in one cell of each row, which
-holds a count, the XOR of its digests and the XOR of their checks. Sketches of two versions subtract cell by cell; cells left
-with one digest give it up and it is taken from its other cells, until all are empty. What has come out is the difference of
-the sets, and from its size and the sets' sizes follows their likeness (Jaccard), exactly.
-
-The fingerprint is the sketch of FIRST_WIDTH. When it cannot be peeled, the digests are divided by some of their bits into
-blocks of about BLOCK digests, each sketched with FIRST_WIDTH and, where that fails, with the next of WIDTHS; a block that fails even then (two digests that agree in all cells) is compared digest by digest.
-
-Null texts are empty: no paragraphs, and two empty sets are alike (1.0). Equal texts have equal fingerprints. The next
-document is found within buckets of the doc_id range; buckets that hold many more rows than others are divided again. Rows
-without doc_id come last; rows with equal doc_id are ordered by their text's hash.
+a document is the set of their 64-bit digests. A sketch has ROWS rows of 2^bits cells; a digest is in one cell of each row,
+which holds a count, the XOR of its digests and the XOR of their checks. The fingerprint is the sketch with PRINT_BITS.
+
+To compare two versions their sketches are subtracted cell by cell: both are added up, one of them negated, as table rows of
+the cells that are not empty, so width costs nothing. Cells left with one digest give it up and it is taken from its other
+cells, row after row, ROUNDS times. When all cells are empty, what came out is the difference of the sets, side by side, and
+with their sizes the likeness (Jaccard), exactly. Where cells are left, or the sizes disagree, the pair is sketched again
+with rows four times as wide, until none is left. Sets themselves are never compared.
+
+Null texts are empty: no paragraphs, an empty fingerprint, and two empty sets are alike (1.0). Repeated paragraphs count once. Equal
+texts have equal fingerprints. Repeated rows are rows of their own, one after the other. The next document is found within
+buckets of the doc_id range; buckets that hold many more rows than others are divided again. Rows without doc_id come last;
+rows with equal doc_id are ordered by their text's hash. doc_id may be of any integer type, or a string. A very long text is
+spread over rows like any other. Only doc_id and text are read, so further columns cannot clash.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from .common import read
-
-FIRST_WIDTH, WIDTHS, BLOCK, ROUNDS, BUCKET_ROWS = 8, (8, 16, 64), 12, 10, 500
-_BREAK = r"\n|(?<=[.!?]) "
+from .common import partitions, read, written
 
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with value worked out once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+PRINT_BITS, LEAST_BITS, ROWS, ROUNDS, WIDER = 3, 6, 3, 2, 2
+BUCKET_ROWS, PART_BYTES, GROUP = 500, 8 << 20, 1024
+_SUBSET_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
 
 
 def settled(df: DataFrame, **columns: Column) -> DataFrame:
@@ -39,138 +37,197 @@ def settled(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def digests(text: Column) -> Column:
-    """Distinct digests of the paragraphs, each with its check."""
-    parts = F.array_distinct(F.filter(F.split(text, _BREAK), lambda p: p != ""))
-    return F.transform(F.transform(parts, lambda p: F.xxhash64(p)), lambda d: F.struct(d.alias("d"), F.xxhash64(d).alias("c")))
+    """Distinct digests of the paragraphs."""
+    for stop in ". ", "! ", "? ":
+        text = F.replace(text, F.lit(stop), F.lit(stop[0] + "\n"))
+    parts = F.array_distinct(F.filter(F.split(text, "\n"), lambda p: p != ""))
+    return F.transform(parts, lambda p: F.xxhash64(p))
+
 
+def check(d: Column) -> Column:
+    return F.xxhash64(d, F.lit(ROWS)).bitwiseAND(F.lit(0xFFFFFFFF))
 
-def _cell(s: Column, k: Column, n: Column, d: Column, c: Column) -> Column:
-    """A cell: where in a digest its row's bits are (s), which column it is (k), and its count, XOR of digests and XOR of checks."""
-    return F.struct(s.alias("s"), k.alias("k"), n.alias("n"), d.alias("d"), c.alias("c"))
 
+def cell_of(d: Column, row: int | Column, bits: Column) -> Column:
+    """Number of the cell that a digest has in a row: column * ROWS + row."""
+    row = F.lit(row) if isinstance(row, int) else row
+    return F.xxhash64(d, row).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1) * ROWS + row
 
-def _without(cell: Column, item: Column, width: int) -> Column:
-    """The cell with a pure cell's content taken out, if it is one of that item's cells."""
-    inside = F.call_function("shiftrightunsigned", item["d"], cell["s"]).bitwiseAND(F.lit(width - 1).cast("long")) == cell["k"]
-    return F.when(inside, _cell(cell["s"], cell["k"], cell["n"] - item["n"], cell["d"].bitwiseXOR(item["d"]), cell["c"].bitwiseXOR(item["c"]))).otherwise(cell)
 
+def sketch(items: Column, bits: int = PRINT_BITS) -> Column:
+    """The cells (cell, n, d, c) of a set that are not empty, in order."""
 
-def sketch(items: Column, width: int) -> Column:
-    """The cells, row by row; each takes the items whose bits name its column."""
-    bits, none = width.bit_length() - 1, F.lit(0).cast("long")
+    def filled(number: int) -> Column:
+        own = F.filter(items, lambda d: cell_of(d, number % ROWS, F.lit(bits)) == number)
+        return F.aggregate(
+            own,
+            F.struct(F.lit(number).alias("cell"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("d"), F.lit(0).cast("long").alias("c")),
+            lambda at, d: F.struct(at["cell"].alias("cell"), (at["n"] + 1).alias("n"), at["d"].bitwiseXOR(d).alias("d"), at["c"].bitwiseXOR(check(d)).alias("c")),
+        )
 
-    def filled(shift: int) -> Callable[[Column], Column]:
-        def cell(column: Column) -> Column:
-            own = F.filter(items, lambda x: F.shiftrightunsigned(x["d"], shift).bitwiseAND(F.lit(width - 1).cast("long")) == column)
-            put = lambda at, x: _cell(at["s"], at["k"], at["n"] + 1, at["d"].bitwiseXOR(x["d"]), at["c"].bitwiseXOR(x["c"]))
-            return F.aggregate(own, _cell(F.lit(shift), column, F.lit(0), none, none), put)
+    return F.filter(F.array(*[filled(k) for k in range(ROWS << bits)]), lambda x: x["n"] > 0)
 
-        return cell
 
-    columns = F.array(*[F.lit(k).cast("long") for k in range(width)])
-    return F.concat(*[F.transform(columns, filled(row * bits)) for row in range(3)])
+def written_out(cells: Column) -> Column:
+    return F.array_join(F.transform(cells, lambda x: F.concat_ws(":", x["cell"].cast("string"), x["n"].cast("string"), F.hex(x["d"]), F.hex(x["c"]))), " ")
 
 
-def peeled(left: Column, right: Column, width: int) -> Column:
-    """How many digests only the left sketch has; null when the difference cannot be peeled."""
-    difference = F.zip_with(left, right, lambda x, y: _cell(x["s"], x["k"], x["n"] - y["n"], x["d"].bitwiseXOR(y["d"]), x["c"].bitwiseXOR(y["c"])))
+def _added(cells: DataFrame, keys: list[str]) -> DataFrame:
+    summed = cells.groupBy(*keys, "kind", "cell").agg(F.sum("n").alias("n"), F.bit_xor("d").alias("d"), F.bit_xor("c").alias("c"))
+    return summed.filter((F.col("n") != 0) | (F.col("d") != 0) | (F.col("c") != 0))
 
-    def turn(state: Column, _: Column) -> Column:
-        alone = F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (F.xxhash64(c["d"]) == c["c"]))
-        pure = F.array_distinct(F.transform(alone, lambda c: F.struct(c["n"], c["d"], c["c"])))
-        left_over = lambda p: F.transform(state["cells"], lambda c: F.aggregate(p, c, lambda at, x: _without(at, x, width)))
-        more = lambda p: F.struct(left_over(p).alias("cells"), (state["only"] + F.size(F.filter(p, lambda x: x["n"] == 1))).alias("only"))
-        return let(pure, lambda p: F.when(F.size(p) == 0, state).otherwise(more(p)))
 
-    start = F.struct(difference.alias("cells"), F.lit(0).alias("only"))
-    empty = lambda s: F.forall(s["cells"], lambda c: (c["n"] == 0) & (c["d"] == 0) & (c["c"] == 0))
-    return F.aggregate(F.array(*[F.lit(k) for k in range(ROUNDS)]), start, turn, lambda s: F.when(empty(s), s["only"]))
+def differences(rows: DataFrame, keys: list[str], pairs: list[tuple[str, str]], wider: int = 0) -> DataFrame:
+    """keys, kind (place of the pair + len(pairs) * bits), cell, n, d, c: the subtracted sketches of each pair of columns of digests."""
+    sizes = [F.size(c) for c in {c for pair in pairs for c in pair}]
+    bits = F.greatest(F.lit(LEAST_BITS), F.ceil(F.log2(F.greatest(*sizes, F.lit(1)).cast("double"))).cast("int") + 3) + wider
+    sides = [F.struct((F.lit(p) + len(pairs) * F.col("_bits")).alias("kind"), F.lit(sign).cast("long").alias("n"), F.col(name).alias("items")) for p, pair in enumerate(pairs) for sign, name in zip((1, -1), pair, strict=True)]
+    every = rows.withColumn("_bits", bits).select(*keys, "_bits", F.inline(F.array(*sides)))
+    every = every.select(*keys, "_bits", "kind", "n", F.explode("items").alias("d"))
+    every = every.select(*keys, "_bits", "kind", "n", "d", F.explode(F.array(*[F.lit(r) for r in range(ROWS)])).alias("_row"))
+    return _added(every.select(*keys, "kind", cell_of(F.col("d"), F.col("_row"), F.col("_bits")).alias("cell"), "n", "d", check(F.col("d")).alias("c")), keys)
 
 
-def only_left(pair: Column) -> Column:
-    """How many digests of pair.a are not in pair.b: from the fingerprints (x, y) or, where they fail, from blocks of growing width."""
+LEFT, RIGHT = -1, -2
 
-    def block(own: Column) -> Column:
-        tries = [peeled(sketch(own["a"], width), sketch(own["b"], width), width) for width in WIDTHS]
-        return F.coalesce(*tries, F.size(F.array_except(own["a"], own["b"])))
 
-    def in_blocks(n: Column) -> Column:
-        of = lambda x, g: F.filter(x, lambda d: F.pmod(F.shiftrightunsigned(d["d"], 32), n) == g)
-        blocks = F.transform(F.sequence(F.lit(0), n - 1), lambda g: let(F.struct(of(pair["a"], g).alias("a"), of(pair["b"], g).alias("b")), block))
-        return F.aggregate(blocks, F.lit(0), lambda s, x: s + x)
+def peeled(cells: DataFrame, keys: list[str], n_pairs: int, named: bool = False) -> DataFrame:
+    """The cells after peeling. What came out has cell LEFT or RIGHT: how many in n, or with named one row for each digest d."""
+    bits = F.floor(F.col("kind") / n_pairs).cast("int")
+    d, c, n = F.col("d"), F.col("c"), F.col("n")
+    for row in [*range(ROWS)] * ROUNDS:
+        pure = (F.col("cell") % ROWS == row) & (F.abs("n") == 1) & (c == check(d)) & (F.col("cell") == cell_of(d, row, bits))
+        zero = F.lit(0).cast("long")
+        side = F.when(n > 0, F.lit(LEFT)).otherwise(F.lit(RIGHT)).cast("long")
+        out = F.struct(side.alias("cell"), F.lit(1).cast("long").alias("n"), zero.alias("d"), zero.alias("c"), *([d.alias("out")] if named else []))
+        rest = [F.struct(cell_of(d, (row + k) % ROWS, bits).alias("cell"), (-n).alias("n"), d.alias("d"), c.alias("c"), *([F.lit(None).cast("long").alias("out")] if named else [])) for k in range(1, ROWS)]
+        same = F.struct("cell", "n", "d", "c", *([F.col("out") if "out" in cells.columns else F.lit(None).cast("long").alias("out")] if named else []))
+        given = cells.select(*keys, "kind", F.inline(F.when((F.col("cell") >= 0) & pure, F.array(out, *rest)).otherwise(F.array(same))))
+        cells = _added(given, [*keys, "out"] if named else keys)
+    return cells
 
-    n = F.greatest(F.lit(1), F.ceil((F.size(pair["a"]) + F.size(pair["b"])) / F.lit(BLOCK)).cast("int"))
-    return F.coalesce(peeled(pair["x"], pair["y"], FIRST_WIDTH), let(n, in_blocks))
 
+def recovered(rows: DataFrame, keys: list[str], left: str, right: str) -> DataFrame:
+    """keys, side (left or right), digest: what only one of two columns of digests has, read off their subtracted sketches.
 
-def likeness(left: str, right: str, missing: str) -> Column:
-    """Jaccard likeness of two sets from their sizes and what only the left one has."""
-    both, union = F.size(left) - F.col(missing), F.size(right) + F.col(missing)
-    return F.when(union == 0, F.lit(1.0)).otherwise(both / F.greatest(union, F.lit(1)))
+    Rows whose sketches do not peel are tried again with wider ones; keys tell rows apart.
+    """
+    found, todo, wider = None, rows, 0
+    while True:
+        cells = written(peeled(differences(todo, keys, [(left, right)], wider), keys, 1, named=True), "peeled")
+        stuck = cells.filter("cell >= 0").select(*keys).distinct()
+        out = cells.filter("cell < 0").join(stuck, keys, "left_anti").select(*keys, F.when(F.col("cell") == LEFT, "left").otherwise("right").alias("side"), F.col("out").alias("digest"))
+        found = out if found is None else found.unionByName(out)
+        if stuck.isEmpty():
+            return found
+        todo, wider = rows.join(stuck, keys, "left_semi"), wider + WIDER
 
 
-def written_out(cells: str) -> Column:
-    return F.array_join(F.transform(F.col(cells), lambda c: F.concat_ws(":", c["n"].cast("string"), F.hex(c["d"]), F.hex(c["c"]))), " ")
+def _number(docs: DataFrame) -> Column:
+    """A long that grows with doc_id."""
+    if isinstance(docs.schema["doc_id"].dataType, T.StringType):
+        head = F.substring(F.encode("doc_id", "UTF-8"), 1, 7)
+        return F.conv(F.rpad(F.hex(head), 14, "0"), 16, 10).cast("long")
+    return F.col("doc_id").cast("long")
 
 
-def bucketed(docs: DataFrame, rows: int = BUCKET_ROWS) -> DataFrame:
+def bucketed(docs: DataFrame, low: int | None, high: int | None, n_rows: int, rows: int = BUCKET_ROWS) -> DataFrame:
     """docs with _bucket: ranges of descending doc_id of about `rows` rows; rows without doc_id in the last."""
-    bounds = docs.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).first()
-    if bounds["low"] is None:
-        return docs.withColumn("_bucket", F.struct(F.lit(1).cast("long").alias("a"), F.lit(0).cast("long").alias("b")))
-    n = max(1, bounds["n"] // rows)
-    width = max(1, -(-(bounds["high"] - bounds["low"] + 1) // n))
-    coarse = F.coalesce(F.expr(f"({bounds['high']}L - doc_id) div {width}L"), F.lit(n + 1).cast("long"))
-    out = docs.withColumn("_a", coarse)
-    sizes = out.select("_a", "doc_id").groupBy("_a").agg(F.count("*").alias("_n"), F.min("doc_id").alias("_low"), F.max("doc_id").alias("_high"))
+    if low is None:
+        return docs.withColumn("_bucket", F.lit(0).cast("long"))
+    n = max(1, n_rows // rows)
+    width = max(1, -(-(high - low + 1) // n))
+    out = docs.withColumn("_num", _number(docs)).withColumn("_a", F.coalesce(F.expr(f"({high}L - _num) div {width}L"), F.lit(n + 1).cast("long")))
+    sizes = out.groupBy("_a").agg(F.count("*").alias("_n"), F.min("_num").alias("_low"), F.max("_num").alias("_high"))
     heavy = sizes.filter((F.col("_n") > 4 * rows) & (F.col("_high") > F.col("_low")))
-    if heavy.isEmpty():
-        return out.withColumn("_bucket", F.struct(F.col("_a").alias("a"), F.lit(0).cast("long").alias("b"))).drop("_a")
-    step = F.expr(f"greatest(1L, (_high - _low) div (_n div {rows}))")
-    out = out.join(heavy.select("_a", "_high", step.alias("_step")), "_a", "left")
-    fine = F.coalesce(F.expr("(_high - doc_id) div _step"), F.lit(0).cast("long"))
-    return out.withColumn("_bucket", F.struct(F.col("_a").alias("a"), fine.alias("b"))).drop("_a", "_high", "_step")
+    if not heavy.isEmpty():
+        out = out.join(heavy.select("_a", "_high", F.expr(f"greatest(1L, (_high - _low) div (_n div {rows}))").alias("_step")), "_a", "left")
+        fine = F.coalesce(F.expr("(_high - _num) div _step"), F.lit(0).cast("long"))
+    else:
+        fine = F.lit(0).cast("long")
+    return out.withColumn("_bucket", F.col("_a") * (1 << 20) + F.least(fine, F.lit((1 << 20) - 1))).select(*docs.columns, "_bucket")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text, items) with next_text and next_items: those of the next row in descending doc_id, at the end the first's."""
-    keyed = bucketed(docs)
+    """_bucket, _i, doc_id, text, next_id, next_text of docs(doc_id, text): the next row in descending doc_id, after the last the first.
+
+    _bucket and _i tell rows apart; the rows of a bucket are in one partition.
+    """
+    found = docs.agg(F.min(_number(docs)).alias("low"), F.max(_number(docs)).alias("high"), F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).first()
+    into = lambda df: bucketed(df, found["low"], found["high"], found["n"])
+    parts = max(partitions(docs.sparkSession), (found["size"] or 0) // PART_BYTES)
     w = W.partitionBy("_bucket").orderBy(F.desc_nulls_last("doc_id"), F.xxhash64("text"))
-    led = keyed.withColumns({
-        "_first": F.row_number().over(w) == 1, "_last": F.lead(F.lit(1)).over(w).isNull(),
-        "next_text": F.lead("text").over(w), "next_items": F.lead("items").over(w),
-    })
-    buckets = bucketed(docs.select("doc_id")).select("_bucket").distinct()
-    order = W.orderBy("_bucket")
-    after = buckets.withColumn("_next", F.coalesce(F.lead("_bucket").over(order), F.first("_bucket").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))))
-    heads = led.filter("_first").select(F.col("_bucket").alias("_next"), F.col("text").alias("next_text"), F.col("items").alias("next_items"))
-    columns = ["doc_id", "text", "items", "next_text", "next_items"]
-    tails = led.filter("_last").select("doc_id", "text", "items", "_bucket").join(after, "_bucket").join(heads, "_next")
-    return led.filter(~F.col("_last")).select(*columns).unionByName(tails.select(*columns))
+    keyed = into(docs).repartition(parts, "_bucket").withColumn("_i", F.row_number().over(w))
+    led = keyed.withColumns({"_last": F.lead(F.lit(1)).over(w).isNull(), "_id": F.lead("doc_id").over(w), "_text": F.lead("text").over(w)})
+    # The next bucket's first row for each bucket's last one: buckets in groups, so that one window holds groups only.
+    buckets = into(docs.select("doc_id")).select("_bucket").distinct().withColumn("_g", F.expr(f"_bucket div {GROUP << 20}"))
+    groups = buckets.groupBy("_g").agg(F.min("_bucket").alias("_first"))
+    order = W.orderBy("_g")
+    groups = groups.select("_g", F.coalesce(F.lead("_first").over(order), F.first("_first").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("_later"))
+    after = buckets.withColumn("_next", F.lead("_bucket").over(W.partitionBy("_g").orderBy("_bucket"))).join(groups, "_g").select(F.col("_bucket").alias("_of"), F.coalesce("_next", "_later").alias("_next"))
+    heads = keyed.filter("_i = 1").select(F.col("_bucket").alias("_next"), F.col("doc_id").alias("_head_id"), F.col("text").alias("_head"))
+    tails = after.join(heads, "_next").drop("_next")
+    out = led.join(tails, (F.col("_bucket") == F.col("_of")) & F.col("_last"), "left")
+    return out.select("_bucket", "_i", "doc_id", "text", F.when(F.col("_last"), F.col("_head_id")).otherwise(F.col("_id")).alias("next_id"), F.when(F.col("_last"), F.col("_head")).otherwise(F.col("_text")).alias("next_text"))
+
+
+KEYS = ["_bucket", "_i"]
+
+
+def edited_of(rows: DataFrame) -> DataFrame:
+    """rows(text, next_text) with n_chars and edited: the second half of the text replaced by the next one's beginning."""
+    rows = settled(rows, n_chars=F.length("text").cast("long"), _half=F.expr("cast(length(text) div 2 as int)"))
+    return settled(rows, edited=F.concat(F.expr("substring(text, 1, cast(n_chars as int) - _half)"), F.expr("substring(next_text, 1, _half)"))).drop("_half")
+
+
+def differing(rows: DataFrame, wider: int = 0) -> DataFrame:
+    """_bucket, _i, how many digests only one side has for the pairs text/edited and text/next_text, and whether some stay hidden."""
+    sets = edited_of(rows).select(*KEYS, digests(F.col("text")).alias("own"), digests(F.col("edited")).alias("after"), digests(F.col("next_text")).alias("next"))
+    left = peeled(differences(sets, KEYS, [("own", "after"), ("own", "next")], wider), KEYS, 2)
+    count = lambda pair, side: F.sum(F.when((F.col("kind") % 2 == pair) & (F.col("cell") == side), F.col("n")).otherwise(0))
+    return left.groupBy(*KEYS).agg(
+        count(0, LEFT).alias("gone_edited"), count(0, RIGHT).alias("new_edited"), count(1, LEFT).alias("gone_next"), count(1, RIGHT).alias("new_next"), F.max(F.col("cell") >= 0).alias("stuck"),
+    )
+
+
+def likeness(size: Column, gone: str, new: str) -> Column:
+    """Jaccard likeness from the left set's size and what only either has."""
+    gone, new = F.coalesce(gone, F.lit(0)), F.coalesce(new, F.lit(0))
+    union = size + new
+    return F.when(union == 0, F.lit(1.0)).otherwise((size - gone) / F.greatest(union, F.lit(1)))
 
 
 def fingerprinted(docs: DataFrame) -> DataFrame:
     """The columns of op8 for each row of docs(doc_id, text)."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(rows.withColumn("items", digests(F.col("text"))))
-    rows = settled(rows, n_chars=F.length("text").cast("long"), half=F.expr("cast(length(text) div 2 as int)"))
-    edited = F.concat(F.expr("substring(text, 1, cast(n_chars as int) - half)"), F.expr("substring(next_text, 1, half)"))
-    rows = settled(rows, edited=edited).drop("text", "next_text")
-    rows = settled(rows, edited_items=digests(F.col("edited")), edited_sha256=F.sha2("edited", 256)).drop("edited")
-    rows = settled(rows, cells=sketch(F.col("items"), FIRST_WIDTH), edited_cells=sketch(F.col("edited_items"), FIRST_WIDTH), next_cells=sketch(F.col("next_items"), FIRST_WIDTH))
-    pairs = F.array(*[F.struct(F.col("items").alias("a"), F.col(f"{other}_items").alias("b"), F.col("cells").alias("x"), F.col(f"{other}_cells").alias("y")) for other in ("edited", "next")])
-    rows = settled(settled(rows, pairs=pairs), gone=F.transform("pairs", only_left))
-    rows = rows.withColumns({"gone_edited": F.element_at("gone", 1), "gone_next": F.element_at("gone", 2)})
-    return rows.select(
-        "doc_id",
-        "n_chars",
-        "edited_sha256",
-        written_out("cells").alias("fingerprint"),
-        written_out("edited_cells").alias("edited_fingerprint"),
-        likeness("items", "edited_items", "gone_edited").alias("near_edited"),
-        likeness("items", "next_items", "gone_next").alias("near_next"),
-        F.size("items").cast("long").alias("n_paragraphs"),
-    )
+    spark = docs.sparkSession
+    whole = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = with_next(whole)
+    own = edited_of(rows).select(*KEYS, "doc_id", "n_chars", "next_id", F.xxhash64("text").alias("_hash"), F.xxhash64("next_text").alias("_next_hash"), F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("text")).alias("_own"), digests(F.col("edited")).alias("_after"))
+    own = settled(own.select("*", F.size("_own").alias("_n"), F.size("_after").alias("_m")), _cells=sketch(F.col("_own")), _cells2=sketch(F.col("_after")))
+    own = own.select(*KEYS, "doc_id", "n_chars", "edited_sha256", written_out(F.col("_cells")).alias("fingerprint"), written_out(F.col("_cells2")).alias("edited_fingerprint"), "_n", "_m", "_hash", "next_id", "_next_hash")
+
+    def told(left: DataFrame, found: DataFrame) -> DataFrame:
+        x = left.join(found, KEYS, "left")
+        fits = F.col("_n") - F.coalesce("gone_edited", F.lit(0)) + F.coalesce("new_edited", F.lit(0)) == F.col("_m")
+        x = x.withColumn("_done", ~F.coalesce("stuck", F.lit(False)) & fits)
+        return x.select(*left.columns, likeness(F.col("_n"), "gone_edited", "new_edited").alias("near_edited"), likeness(F.col("_n"), "gone_next", "new_next").alias("near_next"), "_done")
+
+    was = spark.conf.get(_SUBSET_KEYS)
+    spark.conf.set(_SUBSET_KEYS, "false")  # both sides have a bucket in one partition, so this join needs no shuffle
+    try:
+        done = written(told(own, differing(rows)), "fingerprints")
+    finally:
+        spark.conf.set(_SUBSET_KEYS, was)
+    out, wider = done.filter("_done"), WIDER
+    todo = done.filter("not _done").drop("near_edited", "near_next", "_done")
+    while not todo.isEmpty():
+        texts = whole.withColumn("_h", F.xxhash64("text")).join(todo.select(F.col("doc_id").alias("_d"), F.col("_hash").alias("_k")).union(todo.select("next_id", "_next_hash")).distinct(), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_k")), "left_semi").dropDuplicates(["doc_id", "_h"])
+        side = lambda name, key, at: todo.select(*KEYS, F.col(name).alias("_d"), F.col(key).alias("_k")).join(texts, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_k"))).select(*KEYS, F.col("text").alias(at))  # noqa: E731, B023
+        again = side("doc_id", "_hash", "text").join(side("next_id", "_next_hash", "next_text"), KEYS)
+        tried = written(told(todo, differing(again, wider)), "fingerprints")
+        out = out.unionByName(tried.filter("_done"))
+        todo, wider = tried.filter("not _done").drop("near_edited", "near_next", "_done"), wider + WIDER
+    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", F.col("_n").cast("long").alias("n_paragraphs"))
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

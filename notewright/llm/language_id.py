@@ -4,9 +4,11 @@ Features are the shares of hashed byte trigrams of the whole lower-cased text (r
 classifier's value for a text is the mean weight of its trigrams: one pass, however long the text is. Families come from
 the training rows: languages whose mean feature vectors are more alike than the average pair are one family.
 
-Learning uses at most SAMPLE rows of each language, those with the smallest seeded hash of doc_id among the training
-rows; everything else covers all rows. Null texts and texts without a letter are `und` with score 0, as is everything
-when there is nothing to learn from. Rows with equal texts get equal predictions.
+Learning uses at most SAMPLE rows of each language, those with the smallest seeded hash of doc_id and text among the
+training rows (rows equal in both are one); everything else covers all rows. Null and empty texts and texts without a letter
+are `und` with score 0, as is everything when there is nothing to learn from. A prediction depends on the text alone: equal
+texts get equal ones, whatever rows stand beside them; a tie of duels goes to the larger sum of values, then to the first
+language by name. A very long text is one step of its own, read whole. All input columns stay.
 """
 
 from __future__ import annotations
@@ -21,9 +23,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mapped, read, steps
+from .common import lean, mapped, read, steps
 
-DIMS, SAMPLE, UNKNOWN = 4096, 500, "und"
+DIMS, SAMPLE, STEP, UNKNOWN = 4096, 500, 2 << 20, "und"
 _B = np.arange(256)
 _TABLE = np.where((_B >= 128) | ((_B >= 97) & (_B <= 122)), _B, np.where((_B >= 65) & (_B <= 90), _B + 32, 32)).astype(np.uint8)
 
@@ -33,7 +35,9 @@ def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     joined = pc.binary_join_element_wise(mapped(texts, _TABLE), *[pa.scalar(x, pa.large_string()) for x in (" ", "")])
     _, offsets, data = joined.buffers()
     raw = np.frombuffer(data, np.uint8)[: int(np.frombuffer(offsets, np.int64)[-1])].astype(np.uint32)
+    ends = np.frombuffer(offsets, np.int64)[1 : len(texts) + 1] - 1  # each text's own blank at its end
     before, after = np.roll(raw, 1), np.roll(raw, -1)
+    after[ends] = 32
     code = (before * np.uint32(0x9E3779B1)) ^ (raw * np.uint32(0x85EBCA77)) ^ (after * np.uint32(0xC2B2AE3D))
     code = ((code ^ (code >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(20)
     return code.astype(np.int64), np.frombuffer(offsets, np.int64)[: len(texts) + 1]
@@ -53,7 +57,7 @@ def machine(x: np.ndarray, side: np.ndarray, rounds: int = 300, penalty: float =
     """Linear support vector machine (squared hinge, both sides weigh the same) by accelerated descent; side: +1 or -1."""
     weight = np.where(side > 0, 0.5 / max(1, (side > 0).sum()), 0.5 / max(1, (side < 0).sum())).astype(np.float32)
     a = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1)
-    step = 1.0 / (2 * float((weight * (a * a).sum(axis=1)).sum()) + penalty)
+    step = 1.0 / (2 * float((weight * np.einsum("ij,ij->i", a, a)).sum()) + penalty)
     w = ahead = np.zeros(a.shape[1], np.float32)
     for k in range(rounds):
         slack = np.maximum(0, 1 - side * (a @ ahead))
@@ -135,15 +139,16 @@ class Model:
 def learned(rows: DataFrame, sample: int = SAMPLE, seed: int = 7) -> Model | None:
     """Fit on at most sample rows of each language of rows(doc_id, text, lang)."""
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rows = rows.withColumn("_h", F.abs(F.xxhash64(F.lit(seed), "doc_id") % 1_000_000_007))
+    rows = rows.withColumn("_h", F.abs(F.xxhash64(F.lit(seed), "doc_id", "text") % 1_000_000_007))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
     top = F.create_map(*[F.lit(v) for g, n in sorted(counts.items()) for v in (g, int(min(1.0, 1.5 * sample / n + 64 / n) * 1_000_000_007))])
-    chosen = rows.filter(F.col("_h") <= top[F.col("lang")]).select("_h", "lang", "text")
+    chosen = rows.filter(F.col("_h") <= top[F.col("lang")]).groupBy("_h", "lang").agg(F.min("text").alias("text"))
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches):
+        lean()
+        for batch in steps(batches, limit=STEP):
             texts, keep = batch.column("text"), has_letter(batch.column("text"))
             if keep.any():
                 batch = batch.filter(pa.array(keep))
@@ -167,7 +172,8 @@ def identified(docs: DataFrame, model: Model | None) -> DataFrame:
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches):
+        lean()
+        for batch in steps(batches, limit=STEP):
             texts = batch.column("text")
             names, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
             good = has_letter(texts)

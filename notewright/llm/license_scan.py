@@ -10,8 +10,9 @@ Base phrases are templates too, and their places are exact: a phrase ends at a w
 state there, long enough, or one of that state's suffixes. Words that stand in no template reset the automaton, so only
 runs of template words are streamed; the rest is found by vectorised look-up.
 
-Null and empty texts have no words, no labels and score 0. Equal texts get equal results. State: the templates' automaton
-and one step of text.
+Null and empty texts have no words, no labels and score 0. Equal texts, repeated rows among them, get equal results. Of chains
+that cover as much, the one that ends first counts. A very long text is a step of its own, read whole. Only doc_id and
+text are read, so further columns cannot clash. State: the templates' automaton and one step of text.
 """
 
 from __future__ import annotations
@@ -23,37 +24,54 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import ALNUM_WORDS_LOWER, read, steps, words
+from .common import ALNUM_WORDS_LOWER, lean, read, steps, words
 
-LONG, COVERED, GAP = 3, 0.75, 8
+LONG, COVERED, GAP, STEP = 3, 0.75, 8, 4 << 20
 
 #: Phrases and labels of the base scan.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Well-known licence notices, as lower-case words.
+#: Well-known licence notices and whole short licences, as lower-case words.
+_MIT_GRANT = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"
+_MIT_NOTICE = "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"
+_MIT_WARRANTY = "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+_BSD_HEAD = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
+_BSD_CLAUSES = "1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+_BSD_NAMES = "3 neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+_BSD_WARRANTY = "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+_GPL_NOTICE = "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"
+_GPL_WARRANTY = "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"
 TEMPLATES = {
     "mit": [
         "released under the mit license",
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
-        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+        _MIT_GRANT,
+        _MIT_NOTICE,
+        f"{_MIT_GRANT} including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions {_MIT_NOTICE} {_MIT_WARRANTY}",
     ],
+    "isc": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"],
     "apache-2.0": [
         "licensed under the apache license version 2 0",
         "you may not use this file except in compliance with the license you may obtain a copy of the license at",
         "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
     ],
-    "gpl-3.0": ["licensed under the gnu general public license version 3"],
-    "gpl-2.0": ["licensed under the gnu general public license version 2"],
-    "gpl-notice": [
-        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
-    ],
+    "gpl-3.0": ["licensed under the gnu general public license version 3", f"{_GPL_NOTICE} either version 3 of the license or at your option any later version {_GPL_WARRANTY}"],
+    "gpl-2.0": ["licensed under the gnu general public license version 2", f"{_GPL_NOTICE} either version 2 of the license or at your option any later version {_GPL_WARRANTY}"],
+    "gpl-notice": [_GPL_NOTICE],
     "lgpl": ["gnu lesser general public license"],
+    "agpl-3.0": ["licensed under the gnu affero general public license version 3"],
     "cc-by-nc-4.0": ["licensed under cc by nc 4 0", "creative commons attribution noncommercial 4 0 international license"],
     "cc-by-4.0": ["licensed under cc by 4 0", "creative commons attribution 4 0 international license"],
     "cc-by-sa-4.0": ["licensed under cc by sa 4 0", "creative commons attribution sharealike 4 0 international license"],
-    "bsd": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
-    "mpl-2.0": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
-}
+    "cc0-1.0": ["to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"],
+    "bsd": [_BSD_HEAD],
+    "bsd-2-clause": [f"{_BSD_HEAD} {_BSD_CLAUSES} {_BSD_WARRANTY}"],
+    "bsd-3-clause": [f"{_BSD_HEAD} {_BSD_CLAUSES} {_BSD_NAMES} {_BSD_WARRANTY}"],
+    "zlib": ["this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions 1 the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required 2 altered source versions must be plainly marked as such and must not be misrepresented as being the original software 3 this notice may not be removed or altered from any source distribution"],
+    "unlicense": ["this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"],
+    "bsl-1.0": ["permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so"],
+    "mpl-2.0": ["this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0", "this source code form is subject to the terms of the mozilla public license v 2 0"],
+}
 
 
 class Automaton:
@@ -235,7 +253,8 @@ def licenses(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:
     scanner = scanner or Scanner()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches):
+        lean()
+        for batch in steps(batches, limit=STEP):
             rows = scanner.scanned(batch.column("text"))
             columns = {
                 "doc_id": batch.column("doc_id"),

@@ -1,25 +1,36 @@
 """Near-duplicate groups by an LSH forest over minhash signatures, with every link confirmed on the full shingle sets.
 
 Documents with equal shingle sets are one node. Each of TREES orders sorts the nodes by signature values, its own first
-DEPTH of them hashed into the partitioning key and the next ones behind. A region is a run with one prefix. Small
-regions offer all their pairs; a larger one first goes deeper, to its sub-regions with longer common prefixes, and also
-offers each node's neighbours in the order and the region's first node. Pairs whose signatures agree in fewer
-than AGREE of the values are let go: at similarity 0.75 that, like sharing no prefix, has a chance below 1 in 100,000.
+DEPTH of them hashed into the partitioning key and the next ones behind. A region is a run with one prefix.
 
-Confirming has rounds: first each node's BEST most alike pairs; then, as linked nodes have become one component, all offered
-pairs that still lie between two components; last, all pairs of larger regions that still do. Those are compared in blocks
-of CROWD nodes, each block with each, first by signatures and then, for nodes that have an alike one, on the full sets; a
-task gives back only as many links as hold its nodes together. Components come from hooking every node to its smallest neighbour and
-contracting, in DataFrame operations; links, labels and sets never go to the driver.
+First, cheaply: neighbours in every order (all pairs of regions of up to NEIGHBOURS nodes) are candidates. Pairs whose signatures
+agree in fewer than AGREE of the values are let go: at similarity 0.75 that has a chance below 1 in 100,000. Confirming has rounds:
+each node's BEST most alike pairs, then all candidates that still lie between two components of what is linked.
+
+Then, wholly: every region that still holds more than one component is compared, all nodes with all, by signatures, and nodes
+that have an alike one in another component on their full sets; a task gives back only as many links as hold its nodes
+together, and works on two blocks of CROWD nodes at most. A region of over WHOLE nodes is not compared: its depth grows, two
+values at a time, until its parts, runs with a longer common prefix, have at most WHOLE. So work per node is bounded, whatever
+passage a third of all may share. Where regions went deeper, fewer trees than usual can catch a pair; nodes with a quarter of
+their trees or more in such regions are planted in another forest with signatures of their own, up to FORESTS.
+
+At similarity 0.75 a pair shares no prefix of DEPTH values in any of the 24 trees with a chance of 2 in a million. That holds
+for regions of up to WHOLE nodes that are not one component; in parts of larger ones, d values deep, a tree catches a pair with
+0.75^d, so links of texts that are alike to one among tens of thousands only can be lost there.
+
+Components come from hooking every node to its smallest neighbour and contracting, in DataFrame operations; links, labels and
+sets never go to the driver. A node is told by a 64-bit digest of its set, sets are compared as 48-bit numbers of their shingles.
 
 Nulls and texts without words have no shingles and no links. A row without doc_id takes part, but names a component only
 if no other row does (null). Repeated rows are copies. Rows are told apart by their sets alone, so equal doc_ids do no harm.
+Ties of likeness go to the smaller nodes. A very long text is a step of its own. Only doc_id and text are read, so further
+columns cannot clash.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,15 +38,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import BLANK_WORDS_LOWER, dropped, grams, mixed, read, steps, words, written
+from .common import BLANK_WORDS_LOWER, dropped, grams, lean, mixed, read, steps, words, written
 
 SHINGLE, PERCENT = 5, 75
-TREES, DEPTH, DEEPER, SMALL, BEST = 24, 3, 4, 8, 2
+TREES, DEPTH, DEEPER, NEIGHBOURS, BEST, FORESTS = 24, 3, 4, 8, 2, 3
 VALUES = TREES * DEPTH
 AGREE = int(VALUES * 0.75 - 5.4 * (VALUES * 0.75 * 0.25) ** 0.5)
-HELD_ROWS, SET_BYTES = 1 << 20, 6
-CROWD, COLUMNS = 512, 2048
-_SEEDS = mixed(np.arange(1, 2 * VALUES + 1, dtype=np.uint64)).reshape(2, VALUES) | np.uint64(1)
+HELD_ROWS, SET_BYTES, STEP = 1 << 20, 6, 4 << 20
+CROWD, WHOLE, COLUMNS = 512, 16_384, 2048
+_SEEDS = mixed(np.arange(1, 2 * VALUES * FORESTS + 1, dtype=np.uint64)).reshape(FORESTS, 2, VALUES) | np.uint64(1)
 
 
 def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -54,12 +65,12 @@ def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out) if out else np.zeros(0, np.uint64), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def signatures(sets: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """VALUES 32-bit minhashes of each set that is not empty."""
+def signatures(sets: np.ndarray, starts: np.ndarray, forest: int = 0) -> np.ndarray:
+    """VALUES 32-bit minhashes of each set that is not empty; each forest has its own."""
     full = starts[:-1][np.diff(starts) > 0]
     out = np.zeros((len(full), VALUES), np.uint32)
     for k in range(VALUES if len(full) else 0):
-        x = (sets ^ _SEEDS[0, k]) * _SEEDS[1, k]
+        x = (sets ^ _SEEDS[forest, 0, k]) * _SEEDS[forest, 1, k]
         out[:, k] = np.minimum.reduceat(x ^ (x >> np.uint64(29)), full) >> np.uint64(32)
     return out
 
@@ -70,7 +81,8 @@ def node(own: np.ndarray) -> int:
 
 def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, n_shingles, node and signature (null without shingles) of each row of (doc_id, text)."""
-    for batch in steps(batches):
+    lean()
+    for batch in steps(batches, limit=STEP):
         sets, starts = shingle_sets(batch.column("text"))
         sizes = np.diff(starts)
         full = sizes > 0
@@ -95,43 +107,35 @@ def planted_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([*(pa.array(c.view(np.int64)) for c in columns), pa.array(n)], names=["prefix", "deep", "deeper", "node"])
 
 
-def _offers(rows: np.ndarray, first: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of sorted rows (prefix, deep, deeper, node); first: the first node of a region that began in an earlier part."""
+def _offers(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of neighbours in sorted rows (prefix, deep, deeper, node)."""
     n = len(rows)
     left, right = [], []
-    lags = np.zeros((SMALL, n), bool)
     same = np.ones(n - 1, bool)
+    lags = np.zeros((NEIGHBOURS, n), bool)
     for depth in range(3):
         same = same & (rows[1:, depth] == rows[:-1, depth])
         run = np.concatenate([[0], np.cumsum(~same)])
         size = np.bincount(run)[run]
-        begin = np.concatenate([[0], np.flatnonzero(~same) + 1])[run]
-        for lag in range(1, min(SMALL, n)):
+        for lag in range(1, min(NEIGHBOURS, n)):
             near = run[lag:] == run[:-lag]
-            lags[lag, : n - lag] |= near & ((size[:-lag] <= SMALL) | (lag <= 2) & (depth == 0))
-        if depth == 0:
-            star = (size > SMALL) & (begin != np.arange(n))
-            left.append(rows[begin[star], 3])
-            right.append(rows[star, 3])
-        if depth == 0 and first is not None:
-            left.append(np.full(int((run == 0).sum()), first))
-            right.append(rows[run == 0, 3])
-    for lag in range(1, min(SMALL, n)):
+            lags[lag, : n - lag] |= near & ((size[:-lag] <= NEIGHBOURS) | (lag <= 2))
+    for lag in range(1, min(NEIGHBOURS, n)):
         at = np.flatnonzero(lags[lag])
         left.append(rows[at, 3])
         right.append(rows[at + lag, 3])
-    a, b = np.concatenate(left), np.concatenate(right)
+    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
     return np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
 
 
 def offered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """a, b: candidate pairs of a partition sorted by its columns. A region of over HELD_ROWS rows goes in parts, each linked to its first nodes."""
+    """a, b: candidate pairs of a partition sorted by its columns. A region of over HELD_ROWS rows goes in parts that share two rows."""
+    lean()
     held = np.zeros((0, 4), np.int64)
-    begun: tuple[int, int] | None = None  # prefix and first node of a region of which a part is done
 
     def taken(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if len(rows):
-            a, b = _offers(rows, begun[1] if begun is not None and begun[0] == rows[0, 0] else None)
+        if len(rows) > 1:
+            a, b = _offers(rows)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
@@ -146,15 +150,14 @@ def offered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = held[last:]
         if len(held) > HELD_ROWS:
             yield from taken(held)
-            if begun is None or begun[0] != held[0, 0]:
-                begun = int(held[0, 0]), int(held[0, 3])
-            held = held[:0]
+            held = held[-2:]
     yield from taken(held)
 
 
 def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """node, size, members: the shingle set of each row of (text), as sorted numbers of SET_BYTES bytes."""
-    for batch in steps(batches):
+    lean()
+    for batch in steps(batches, limit=STEP):
         sets, starts = shingle_sets(batch.column("text"))
         own = [sets[a:b] for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True) if b > a]
         if own:
@@ -183,10 +186,7 @@ def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(docs: DataFrame, pairs: DataFrame, owners: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes that are linked; owners(node, owner): a doc_id of each node."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = nodes.join(owners, "node").select(F.col("owner").alias("_owner")).distinct()
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_owner")), "left_semi").select("text")
-    sets = texts.mapInArrow(sets_of, "node long, size long, members binary").dropDuplicates(["node"])
+    sets = sets_for(docs, owners, pairs.select(F.explode(F.array("a", "b")).alias("node")))
     with_b = pairs.join(sets.select(F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("members").alias("members_b")), "b")
     both = with_b.join(sets.select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("members").alias("members_a")), "a")
     return both.select("a", "b", "size_a", "members_a", "size_b", "members_b").mapInArrow(confirmed, "a long, b long")
@@ -281,23 +281,97 @@ def _in_blocks(rows: DataFrame) -> DataFrame:
     return other.withColumn("left", F.least("_own", "_other")).withColumn("right", F.greatest("_own", "_other")).drop("_own", "_other", "_blocks")
 
 
+def keyed(depth: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """tree, key, node, root of rows (tree or null for all, node, root, values): the key is of the first depth values in the tree's order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v = np.frombuffer(b"".join(batch.column("values").to_pylist()), np.uint32).reshape(-1, VALUES)
+            own = batch.column("tree").to_numpy(zero_copy_only=False) if batch.column("tree").null_count == 0 else None
+            for t in range(TREES):
+                rows = np.arange(len(v)) if own is None else np.flatnonzero(own == t)
+                key = np.full(len(rows), t, np.uint64)
+                for k in range(depth):
+                    key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + v[rows, (t * DEPTH + k) % VALUES])
+                at = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), t, np.int32)), pa.array(key.view(np.int64)), batch.column("node").take(at), batch.column("root").take(at)], names=["tree", "key", "node", "root"])
+
+    return run
+
+
+_KEYED = "tree int, key long, node long, root long"
+
+
+def regions(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """region, node, root of the regions of labelled(node, root, values) with several components, as deep as it takes for WHOLE nodes; and the nodes that a quarter of the trees held deeper."""
+    rows = written(labelled.withColumn("tree", F.lit(None).cast("int")).mapInArrow(keyed(DEPTH), _KEYED), "keyed")
+    parts, deeper, depth, used = [], None, DEPTH, []
+    while True:
+        sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.bit_xor(F.xxhash64("node")).alias("whose"))
+        sizes = written(sizes.filter("low <> high").drop("low", "high"), "sizes")
+        fits = sizes.filter((F.col("n") <= WHOLE) | F.lit(depth == VALUES))
+        fits = fits.groupBy("whose", "n").agg(F.min("key").alias("region")).select("region")  # one of the regions of the same nodes
+        parts.append(written(rows.join(fits, rows["key"] == fits["region"]).select("region", "node", "root"), "regions"))
+        large = sizes.filter(F.col("n") > WHOLE).select("key")
+        if depth == VALUES or large.isEmpty():
+            break
+        more = rows.join(large, "key")
+        if deeper is None:
+            deeper = written(more.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") >= TREES // 4).select("node"), "deeper")
+        depth = min(VALUES, depth + 2)
+        used += [rows, sizes]
+        rows = written(more.select("tree", "node", "root").join(labelled.select("node", "values"), "node").mapInArrow(keyed(depth), _KEYED), "keyed")
+    for table in [*used, rows, sizes]:
+        dropped(table)
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out, deeper if deeper is not None else labelled.select("node").limit(0)
+
+
+def sets_for(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, size, members of the wanted(node), from one text of each."""
+    owners = wanted.select("node").distinct().join(nodes.select("node", "owner"), "node").select(F.col("owner").alias("_owner")).distinct()
+    texts = docs.select("doc_id", "text").join(owners, F.col("doc_id").eqNullSafe(F.col("_owner")), "left_semi").select("text")
+    return texts.mapInArrow(sets_of, "node long, size long, members binary").dropDuplicates(["node"])
+
+
+def signed_anew(forest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """node, values of rows (text), with the signatures of another forest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        for batch in steps(batches, limit=STEP):
+            sets, starts = shingle_sets(batch.column("text"))
+            own = [node(sets[a:b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True) if b > a]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([v.tobytes() for v in signatures(sets, starts, forest)], pa.binary())], names=["node", "values"])
+
+    return run
+
+
 def crowded(docs: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """a, b: links between the components (node, root) found so far, of all pairs of nodes in regions over SMALL."""
-    labelled = nodes.select("node", "values").join(roots, "node", "left").select("node", "values", F.coalesce("root", "node").alias("root"))
-    labelled = written(labelled, "labelled")
-    trees = labelled.select("node", "values").mapInArrow(planted_trees, "prefix long, deep long, deeper long, node long").select("prefix", "node")
-    trees = trees.join(labelled.select("node", "root"), "node")
-    sizes = trees.groupBy("prefix").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.bit_xor(F.xxhash64("node")).alias("whose"))
-    large = sizes.filter((F.col("n") > SMALL) & (F.col("low") != F.col("high")))
-    large = large.groupBy("whose", "n").agg(F.min("prefix").alias("region")).select("region")  # one of the regions of the same nodes
-    rows = written(trees.join(large, trees["prefix"] == large["region"]).select("region", "node", "root"), "crowds")
-    near = _in_blocks(rows).join(labelled.select("node", "values"), "node").select("region", "left", "right", "node", "root", "values")
-    near = written(near.groupBy("region", "left", "right").applyInArrow(near_others, "region long, node long").distinct(), "near")
-    wanted = near.select("node").distinct().join(nodes.select("node", "owner"), "node").select(F.col("owner").alias("_owner")).distinct()
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_owner")), "left_semi").select("text")
-    sets = texts.mapInArrow(sets_of, "node long, size long, members binary").dropDuplicates(["node"])
-    full = _in_blocks(near).join(sets, "node").join(labelled.select("node", "root"), "node")
-    return full.select("region", "left", "right", "node", "root", "size", "members").groupBy("region", "left", "right").applyInArrow(crowd_links, "a long, b long")
+    """a, b: links between the components (node, root) found so far, of all pairs of nodes that share a region."""
+    labels = nodes.select("node", "values").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "values")
+    labelled, found = written(labels, "labelled"), None
+    for forest in range(FORESTS):
+        rows, deeper = regions(labelled)
+        near = _in_blocks(rows).join(labelled.select("node", "values"), "node").select("region", "left", "right", "node", "root", "values")
+        near = written(near.groupBy("region", "left", "right").applyInArrow(near_others, "region long, node long").distinct(), "near")
+        full = _in_blocks(near).join(sets_for(docs, nodes, near), "node").join(labelled.select("node", "root"), "node")
+        full = full.select("region", "left", "right", "node", "root", "size", "members").groupBy("region", "left", "right").applyInArrow(crowd_links, "a long, b long")
+        full = written(full.distinct(), "links")
+        found = full if found is None else found.unionByName(full)
+        dropped(near)
+        if forest == FORESTS - 1 or deeper.isEmpty():
+            break
+        owners = deeper.join(nodes.select("node", "owner"), "node").select(F.col("owner").alias("_owner")).distinct()
+        texts = docs.select("doc_id", "text").join(owners, F.col("doc_id").eqNullSafe(F.col("_owner")), "left_semi").select("text")
+        anew = texts.mapInArrow(signed_anew(forest + 1), "node long, values binary").dropDuplicates(["node"]).join(deeper, "node", "left_semi")
+        labelled = written(anew.join(labelled.select("node", "root"), "node").select("node", "root", "values"), "labelled")
+    return found
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
@@ -325,9 +399,10 @@ def candidates(nodes: DataFrame) -> DataFrame:
 
 def grouped(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text)."""
-    spark = docs.sparkSession
     rows = written(docs.select("doc_id", "text").mapInArrow(described, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, node long, values binary"), "described")
-    nodes = rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("owner"), F.first("values").alias("values"))
+    nodes = written(rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("owner"), F.first("values").alias("values")), "nodes")
+    rows_out = written(rows.drop("values"), "rows")
+    dropped(rows)
     pairs = written(candidates(nodes), "pairs")
     ends = pairs.select("a", "b", "agree", F.explode(F.array("a", "b")).alias("end"))
     best = ends.withColumn("_rank", F.row_number().over(W.partitionBy("end").orderBy(F.desc("agree"), "a", "b"))).filter(F.col("_rank") <= BEST)
@@ -337,17 +412,20 @@ def grouped(docs: DataFrame) -> DataFrame:
     to = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"_{end}"))
     apart = pairs.select("a", "b").join(best, ["a", "b"], "left_anti").join(to("a"), "a", "left").join(to("b"), "b", "left")
     rest = written(apart.filter(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b"), "rest")
+    dropped(pairs)
+    dropped(best)
     if not rest.isEmpty():
-        more = written(links(docs, rest, nodes.select("node", "owner")), "links")
-        found = found.unionByName(more)
+        found = found.unionByName(written(links(docs, rest, nodes.select("node", "owner")), "links"))
         roots = components(found)
-    more = written(crowded(docs, nodes, roots), "links")
+    dropped(rest)
+    more = crowded(docs, nodes, roots)
     if not more.isEmpty():
         roots = components(found.unionByName(more))
     named = nodes.select("node", "owner").join(roots, "node", "left").select("node", "owner", F.coalesce("root", "node").alias("root"))
     names = named.groupBy("root").agg(F.min("owner").alias("component_id"))
     named = written(named.join(names, "root").select("node", "component_id"), "named")
-    out = rows.drop("values").join(named, "node", "left")
+    dropped(nodes)
+    out = rows_out.join(named, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))

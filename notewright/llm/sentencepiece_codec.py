@@ -10,8 +10,9 @@ prefix ends in exactly one piece such that it and the piece before it, merged an
 candidates are scored 1 if that holds and the part before has an encoding, else minus infinity. Both give the library's ids.
 Characters without a piece become their UTF-8 bytes' pieces, or the unknown piece.
 
-Null and empty texts have no ids. Decoding gives the normalised text back. Only models with the identity
-normaliser are taken; others raise ValueError. State: one step of text, and the pairs of pieces seen.
+Null and empty texts have no ids. Decoding gives the normalised text back. Repeated rows are encoded each, with equal ids. A
+tie of two candidates goes to the longer piece. A very long text is a step of its own. Only models with the identity
+normaliser are taken; others raise ValueError. State: one step of text, and at most PAIRS pairs of pieces.
 """
 
 from __future__ import annotations
@@ -26,10 +27,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mixed, read, steps
+from .common import lean, mixed, read, steps
 
 MARK = "▁"
-CELLS, LONG_WORD, STEP, TABLE_BITS, PAIR_BITS, PAIRS = 1 << 19, 128, 6 << 20, 24, 20, 1_000_000
+CELLS, LONG_WORD, STEP, TABLE_BITS, PAIR_BITS, PAIRS = 1 << 18, 128, 2 << 20, 24, 20, 200_000
 _LOADED: dict[str, Pieces] = {}
 
 
@@ -329,6 +330,7 @@ def encoded(docs: DataFrame, model: bytes, decode: str | None = None) -> DataFra
     more = [T.StructField("ids", T.ArrayType(T.IntegerType())), *([T.StructField(decode, T.StringType())] if decode else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         pieces = Pieces.of(name, model)
         for batch in steps(batches, limit=STEP):
             ids, starts = pieces.encoded(batch.column("text"))
@@ -346,6 +348,7 @@ def decoded(rows: DataFrame, model: bytes, column: str = "decoded") -> DataFrame
     schema = T.StructType([*rows.schema.fields, T.StructField(column, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         pieces = Pieces.of(name, model)
         for whole in batches:
             for k in range(0, whole.num_rows, 1000):

@@ -1,12 +1,16 @@
 """Sharding by proportional stratified interleaving, in DataFrame operations only.
 
-Rows of each source are shuffled by a seeded hash and ranked; the fractional rank (rank - 1/2) / size spreads every
-source evenly over [0, 1), so contiguous cuts of the rows sorted by it hold each source in the mixture's share.
-Both ranks have two levels: about sqrt(rows) hash buckets are counted, their running totals are joined back, and
-only the place within a bucket is a window. A source with a third of all rows is so spread over all tasks.
+Rows of each source are shuffled by a seeded hash of their group (op7: their text), then of the row, and ranked; the fractional
+rank (rank - 1/2) / size spreads every source evenly over [0, 1), so contiguous cuts of the rows sorted by it hold each source
+in the mixture's share. Both ranks have two levels: about sqrt(rows) hash buckets are counted, their running totals are
+joined back, and only the place within a bucket is a window. Buckets that one group has made heavy are divided by the row's
+hash, so a source or a text with a third of all rows is spread over all tasks.
 
-Null source: a stratum of its own. Null text: no bytes, CRC of no bytes. Equal rows take places next to each other.
-Equal texts may go to different shards: the law kept is `rows`, which a large group of copies would break.
+The law kept is `rows`. Copies of a text take neighbouring places, in all sources about the same fraction, so that they share a
+shard unless one of the cuts falls between them, as it must within a group that is larger than a shard.
+
+Null source: a stratum of its own. Null and empty texts: no bytes, CRC of no bytes. Equal rows take places next to each other
+and are interchangeable. A very long text counts as one row. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,38 +21,45 @@ from pyspark.sql.window import Window as W
 
 from .common import read, root_buckets
 
+HEAVY = 8
+
 
-def _running(counts: DataFrame, by: list[str], bucket: str) -> DataFrame:
+def _running(counts: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """Rows before each bucket, and rows of all buckets, within by."""
     w = W.partitionBy(*by)
     return counts.withColumns({
-        "_before": F.coalesce(F.sum("_n").over(w.orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)),
+        "_before": F.coalesce(F.sum("_n").over(w.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)),
         "_all": F.sum("_n").over(w),
     })
 
 
-def interleaved(rows: DataFrame, stratum: str, order: list[str], n_shards: int, seed: int = 42) -> DataFrame:
+def interleaved(rows: DataFrame, stratum: str, group: list[str], order: list[str], n_shards: int, seed: int = 42) -> DataFrame:
     """rows with `shard` (0 to n_shards - 1, sizes at most one apart) and `slot` (0, 1, ... within the shard).
 
-    order: columns that tell rows apart; rows equal in all of them are interchangeable. An empty table gives no rows.
-    Columns of the input keep their names; those that start with an underscore are the operator's own.
+    group: columns whose equal values stand together; order: columns that tell a group's rows apart (rows equal in all of them
+    are interchangeable). Columns of the input keep their names; those that start with an underscore are the operator's own.
     """
     total = rows.count()
     n = root_buckets(total)
     keyed = rows.withColumn("_stratum", F.coalesce(F.concat(F.lit("="), F.col(stratum).cast("string")), F.lit("null")))
-    keyed = keyed.withColumn("_h", F.xxhash64(F.lit(seed), *order))
-    keyed = keyed.withColumn("_bucket", F.pmod(F.shiftright("_h", 20), F.lit(n)))
-    within = _running(keyed.groupBy("_stratum", "_bucket").agg(F.count("*").alias("_n")), ["_stratum"], "_bucket")
-    place = F.row_number().over(W.partitionBy("_stratum", "_bucket").orderBy("_h", *order))
-    ranked = keyed.withColumn("_place", place).join(within.drop("_n"), ["_stratum", "_bucket"])
+    keyed = keyed.withColumns({"_g": F.xxhash64(F.lit(seed), *group), "_h": F.xxhash64(F.lit(seed), *group, *order)})
+    keyed = keyed.withColumn("_bucket", F.pmod(F.shiftright("_g", 20), F.lit(n)))
+    # At most n / HEAVY buckets hold more than HEAVY * n of the rows: few enough to broadcast, whatever the input.
+    heavy = keyed.groupBy("_stratum", "_bucket").agg(F.count("*").alias("_n")).filter(F.col("_n") > HEAVY * n)
+    heavy = heavy.select("_stratum", "_bucket", F.ceil(F.col("_n") / n).alias("_splits"))
+    keyed = keyed.join(F.broadcast(heavy), ["_stratum", "_bucket"], "left")
+    keyed = keyed.withColumn("_sub", F.pmod(F.shiftright("_h", 20), F.coalesce("_splits", F.lit(1)))).drop("_splits")
+    within = _running(keyed.groupBy("_stratum", "_bucket", "_sub").agg(F.count("*").alias("_n")), ["_stratum"], ["_bucket", "_sub"])
+    place = F.row_number().over(W.partitionBy("_stratum", "_bucket", "_sub").orderBy("_g", "_h", *order))
+    ranked = keyed.withColumn("_place", place).join(within.drop("_n"), ["_stratum", "_bucket", "_sub"])
     ranked = ranked.withColumn("_at", (F.col("_before") + F.col("_place") - F.lit(0.5)) / F.col("_all")).drop("_before", "_all", "_place")
     cut = ranked.withColumn("_part", F.floor(F.col("_at") * n))
-    parts = _running(cut.groupBy("_part").agg(F.count("*").alias("_n")), [], "_part").drop("_n", "_all")
+    parts = _running(cut.groupBy("_part").agg(F.count("*").alias("_n")), [], ["_part"]).drop("_n", "_all")
     place = F.row_number().over(W.partitionBy("_part").orderBy("_at", "_stratum", "_h", *order))
     put = cut.withColumn("_place", place).join(parts, "_part").withColumn("_pos", F.col("_before") + F.col("_place") - 1)
     put = put.withColumn("shard", F.expr(f"cast((_pos * {n_shards}) div {max(total, 1)} as int)"))
     first = F.expr(f"(shard * cast({total} as bigint) + {n_shards - 1}) div {n_shards}")
-    return put.withColumn("slot", F.col("_pos") - first).drop("_stratum", "_h", "_bucket", "_part", "_at", "_place", "_before", "_pos")
+    return put.withColumn("slot", F.col("_pos") - first).drop("_stratum", "_g", "_h", "_bucket", "_sub", "_part", "_at", "_place", "_before", "_pos")
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str, n_shards: int = 16) -> DataFrame:
@@ -58,5 +69,5 @@ def op7_sharding(spark: SparkSession, sf_dir: str, n_shards: int = 16) -> DataFr
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.coalesce(F.crc32(F.encode("text", "UTF-8")), F.lit(0)).cast("long").alias("text_crc32"),
     )
-    out = interleaved(docs, "source", ["doc_id", "text_crc32", "size"], n_shards)
+    out = interleaved(docs, "source", ["text_crc32", "size"], ["doc_id"], n_shards)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

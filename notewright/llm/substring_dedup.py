@@ -7,10 +7,16 @@ once with the list of their places. A bucket thus gets every occurrence of each
 twice repeat wholly, minimisers seen once are done, and the windows of the others are sorted, so that equal ones stand
 together: counts are exact and compare the words themselves. What goes back is (document, word range), joined to the texts.
 
-A word is removed when a window that covers it starts anywhere else too, judged on the input. Null texts have no
+A GRAM-word sequence that many documents share would send all their windows around it to one bucket. So a first pass finds the
+frequent ones: each step gives those that make up over SHARE / 2 of its grams, and those that are over SHARE / 2 of all
+grams in sum (at most 2 / SHARE of them, none of over SHARE is missed) are a window's minimiser only if it holds nothing else.
+Windows within a shared passage are then equal strings, once in each step's block; those that reach out of it go elsewhere.
+
+A word is removed when a window that covers it starts anywhere else too, judged on the input. Null and empty texts have no
 words. Repeated rows repeat their windows, so long ones lose all words. Rows are told apart by doc_id and text; rows equal
-in both have equal results. Texts of fewer than WINDOW words stay whole.
-State: one step's strings, and one bucket's, which shrinks as the number of buckets follows spark.sql.shuffle.partitions.
+in both have equal results. Texts of fewer than WINDOW words stay whole. Of equal smallest hashes the leftmost is the minimiser.
+A very long text is a step of its own. Other columns stay, whatever their names, but for n_words and n_removed.
+State: one step's strings, and one bucket's; the number of buckets follows the size of the input.
 """
 
 from __future__ import annotations
@@ -18,24 +24,31 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLANK_WORDS, grams, joined, partitions, read, steps, words
+from .common import BLANK_WORDS, dropped, grams, joined, lean, partitions, read, steps, unused, words, written
 
 WINDOW, GRAM, PLACE_BITS = 35, 4, 28
+SHARE, LEAST, STEP, BUCKET_BYTES = 1 / 20_000, 64, 4 << 20, 16 << 20
+_NONE = np.zeros(0, np.uint64)
 _ENTRY = np.dtype([("minimiser", "<u8"), ("uses", "<u4")])
 _PLACE = np.dtype([("key", "<i8"), ("text", "<i4"), ("start", "<u4")])
 
 
-def minimisers(hashes: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """For each window of the word hashes: the place of its minimiser, and all gram hashes."""
+def minimisers(hashes: np.ndarray, window: int = WINDOW, gram: int = GRAM, frequent: np.ndarray = _NONE) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of the word hashes: the place of its minimiser, and all gram hashes; frequent (sorted) grams come last."""
     g = grams(hashes, gram)
     places = np.uint64((1 << PLACE_BITS) - 1)
-    low = (g & ~places) | np.arange(len(g), dtype=np.uint64)
+    rank = g >> np.uint64(1)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, g), len(frequent) - 1)
+        rank |= (frequent[at] == g).astype(np.uint64) << np.uint64(63)
+    low = (rank & ~places) | np.arange(len(g), dtype=np.uint64)
     width, done = window - gram + 1, 1
     while done < width:
         step = min(done, width - done)
@@ -44,11 +57,11 @@ def minimisers(hashes: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tu
     return (low & places).astype(np.int64), g
 
 
-def super_kmers(hashes: np.ndarray, offsets: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def super_kmers(hashes: np.ndarray, offsets: np.ndarray, window: int = WINDOW, gram: int = GRAM, frequent: np.ndarray = _NONE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First window, number of windows, and minimiser hash of each run of windows with one minimiser place."""
     if len(hashes) < window:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    at, g = minimisers(hashes, window, gram)
+    at, g = minimisers(hashes, window, gram, frequent)
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     whole = owner[: len(at)] == owner[window - 1 :]
     new = whole.copy()
@@ -59,12 +72,12 @@ def super_kmers(hashes: np.ndarray, offsets: np.ndarray, window: int = WINDOW, g
     return first, total[ends] - total[first], g[at[first]]
 
 
-def packed(batch: pa.RecordBatch, buckets: int, window: int) -> Iterator[tuple]:
+def packed(batch: pa.RecordBatch, buckets: int, window: int, frequent: np.ndarray = _NONE) -> Iterator[tuple]:
     """(bucket, strings, entries, places) blocks of a step of (key, text hash, text)."""
     w = words(batch.column("text"), BLANK_WORDS)
     if not len(w.codes):
         return
-    first, count, minimiser = super_kmers(w.hashes()[w.codes], w.offsets, window)
+    first, count, minimiser = super_kmers(w.hashes()[w.codes], w.offsets, window, GRAM, frequent)
     if not len(first):
         return
     flat = w.vocabulary.take(pa.array(w.codes))
@@ -161,20 +174,48 @@ def counted(blocks: pa.Table, window: int) -> pa.Table:
     })
 
 
+def frequent_grams(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """The sorted hashes of frequent grams (at most 2 / SHARE), and the bytes of all texts of docs(text)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        for batch in steps(batches, limit=STEP):
+            w = words(batch.column("text"), BLANK_WORDS)
+            place, distinct = pd.factorize(grams(w.hashes()[w.codes], GRAM))
+            times = np.bincount(place, minlength=len(distinct))
+            often = np.flatnonzero(times > SHARE / 2 * len(place))
+            size = pa.array([batch.column("text").nbytes] + [0] * len(often))
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(np.zeros(1, np.int64), distinct[often].view(np.int64))), pa.array(np.append(len(place), times[often])), pa.array([True] + [False] * len(often)), size], names=["gram", "n", "whole", "size"])
+
+    found = docs.select("text").mapInArrow(count, "gram long, n long, whole boolean, size long").groupBy("whole", "gram").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
+    found = written(found, "grams")
+    total = found.filter("whole").first()
+    least = max(LEAST, SHARE / 2 * (total["n"] if total else 0))
+    often = found.filter(~F.col("whole") & (F.col("n") > least)).select("gram").collect()
+    dropped(found)
+    return np.sort(np.array([r["gram"] for r in often], np.int64).view(np.uint64)), total["size"] if total else 0
+
+
 def repeated_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """_key, _hash, ranges: the repeated word ranges of each document that has any."""
-    buckets = max(64, 4 * partitions(docs.sparkSession))
+    """key, hash, ranges: the repeated word ranges of each document that has any."""
+    frequent, size = frequent_grams(docs)
+    buckets = max(64, 4 * partitions(docs.sparkSession), size // BUCKET_BYTES)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in steps(batches):
-            rows = list(packed(batch, buckets, window))
+            rows = list(packed(batch, buckets, window, frequent))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "strings", "entries", "places"])
 
+    def count(blocks: pa.Table) -> pa.Table:
+        lean()
+        return counted(blocks, window)
+
     keyed = docs.select(row_key().alias("key"), F.hash("text").alias("hash"), "text")
     blocks = keyed.mapInArrow(send, "bucket int, strings binary, entries binary, places binary")
-    found = blocks.groupBy("bucket").applyInArrow(lambda t: counted(t, window), "key long, hash int, a int, b int")
-    return found.groupBy(F.col("key").alias("_key"), F.col("hash").alias("_hash")).agg(F.collect_list(F.struct("a", "b")).alias("_ranges"))
+    found = blocks.groupBy("bucket").applyInArrow(count, "key long, hash int, a int, b int")
+    return found.groupBy("key", "hash").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
 
 
 def row_key() -> Column:
@@ -187,17 +228,19 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, whole: bool = False) ->
     whole: texts that lose no word stay as they are, white space and all.
     """
     docs = docs.drop("n_words", "n_removed")
-    found = repeated_ranges(docs.select("doc_id", "text"), window)
+    key, hash_, key2, hash2, ranges, first, stop = unused(docs, "_key", "_hash", "_of", "_its", "_ranges", "_a", "_b")
+    found = repeated_ranges(docs.select("doc_id", "text"), window).toDF(key2, hash2, ranges)
     names = [f.name for f in docs.schema.fields]
-    rows = docs.withColumns({"_k": row_key(), "_h": F.hash("text")})
-    rows = rows.join(found, (F.col("_k") == F.col("_key")) & (F.col("_h") == F.col("_hash")), "left").select(*names, F.col("_ranges.a").alias("_a"), F.col("_ranges.b").alias("_b"))
+    rows = docs.withColumns({key: row_key(), hash_: F.hash("text")})
+    rows = rows.join(found, (F.col(key) == F.col(key2)) & (F.col(hash_) == F.col(hash2)), "left").select(*names, F.col(ranges)["a"].alias(first), F.col(ranges)["b"].alias(stop))
     schema = T.StructType([*(T.StructField(f.name, T.StringType()) if f.name == "text" else f for f in docs.schema.fields), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches):
+        lean()
+        for batch in steps(batches, limit=STEP):
             w = words(batch.column("text"), BLANK_WORDS)
             hit = np.zeros(len(w.codes) + 1, np.int32)
-            starts, stops = pc.fill_null(batch.column("_a"), []), pc.fill_null(batch.column("_b"), [])
+            starts, stops = pc.fill_null(batch.column(first), []), pc.fill_null(batch.column(stop), [])
             shift = np.repeat(w.offsets[:-1], pc.list_value_length(starts).to_numpy(zero_copy_only=False))
             np.add.at(hit, starts.flatten().to_numpy(zero_copy_only=False) + shift, 1)
             np.add.at(hit, stops.flatten().to_numpy(zero_copy_only=False) + shift, -1)

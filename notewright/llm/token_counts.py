@@ -3,11 +3,14 @@
 A *stable* cut is a place at which byte-level pre-tokenizing starts a new piece whatever stands further away: before a
 blank between two characters that are not white space, on both sides of such a line feed, and between an ASCII letter
 and ASCII punctuation other than an apostrophe. Merges never cross pieces, so the encodings of both sides of a cut, put
-together, are the encoding of the whole. Texts with a special token's string or Unicode white space are not cut so.
+together, are the encoding of the whole. That is proven for one kind of file only: BPE without dropout, byte-level
+pre-tokenizing with its usual pattern and no prefix blank, no normaliser. With any other, whole texts are encoded.
 
-Ordinary documents are cut at every stable place and each distinct piece is encoded once per step. Huge ones go in
-overlapping chunks encoded with offsets: two neighbours are spliced at the last stable cut inside their overlap at which
-both have a token border; where the overlap has none, it is doubled and both are encoded again (at last one chunk).
+Huge texts (over HUGE_CHARS) go in overlapping chunks encoded with offsets: two neighbours are spliced at the last blank
+inside their overlap that is a stable cut and at which both have a token border; where the overlap has none, it is doubled and
+both are encoded again (at last one chunk). Strings of special tokens hold no white space, so none lies across such a blank.
+Other texts are cut at every stable place and each distinct piece is encoded once per step, but for those with a special
+token's string or Unicode white space, which are encoded whole.
 
 Null and empty texts have no tokens. Repeated rows are counted each. The state is one step's distinct pieces and a
 cache of at most CACHE pieces, whatever the input's size.
@@ -15,6 +18,7 @@ cache of at most CACHE pieces, whatever the input's size.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -24,9 +28,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read, steps
+from .common import lean, read, steps
 
-HUGE_CHARS, CHUNK_CHARS, OVERLAP_CHARS = 65_536, 16_384, 256
+HUGE_CHARS, CHUNK_CHARS, OVERLAP_CHARS = 16_384, 8_192, 256
 CACHE, CACHED_CHARS, JOINED = 1_000_000, 24, 512
 _STABLE = re.compile(r"(?<=\S) (?=\S)")
 _LOADED: dict[str, BytePairs] = {}
@@ -42,7 +46,13 @@ class BytePairs:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        added = self.library.get_added_tokens_decoder().values()
+        self.specials = [t.content for t in added]
+        spec = json.loads(self.library.to_str())
+        before, model = spec["pre_tokenizer"] or {}, spec["model"]
+        usual = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+        plain = not any(re.search(r"\s", t.content) or t.lstrip or t.rstrip or t.single_word for t in added)
+        self.cuttable = usual and plain and spec["normalizer"] is None and model["type"] == "BPE" and not model.get("dropout")
         self.cache: dict[str, int] = {}
 
     @staticmethod
@@ -59,9 +69,6 @@ class BytePairs:
         found = self.library.encode(text, add_special_tokens=False).offsets
         return np.fromiter((a for a, _ in found), np.int64, len(found))
 
-    def whole(self, text: str) -> bool:
-        return any(s in text for s in self.specials)
-
     def pieces(self, pieces: list[str]) -> np.ndarray:
         """Tokens of each distinct piece. Those that begin with a blank are encoded many as one text and told apart by offsets."""
         out = np.zeros(len(pieces), np.int64)
@@ -144,10 +151,11 @@ def counted(tok: BytePairs, texts: pa.Array) -> np.ndarray:
     out = np.zeros(len(texts), np.int64)
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     chars = pc.utf8_length(texts).to_numpy(zero_copy_only=False)
+    if not tok.cuttable:
+        return np.array(tok.sizes(texts.to_pylist()), np.int64)
     usual = chars <= HUGE_CHARS
     for i in np.flatnonzero(~usual):
-        text = texts[int(i)].as_py()
-        out[i] = tok.sizes([text])[0] if tok.whole(text) else spliced(tok, text)
+        out[i] = spliced(tok, texts[int(i)].as_py())
     odd = pc.match_substring_regex(texts, r"[\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]").to_numpy(zero_copy_only=False)
     for special in tok.specials:
         odd |= pc.match_substring(texts, special).to_numpy(zero_copy_only=False)
@@ -165,6 +173,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for each row of docs(doc_id, text); path: the tokenizer's file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         tok = BytePairs.of(path)
         for batch in steps(batches):
             texts = batch.column("text")

@@ -31,7 +31,7 @@ def plain_words(text):
 
 def frame(spark, rows):
     """doc_id and text, beside columns whose names the operators use themselves."""
-    return spark.createDataFrame([(*r, 0, "x") for r in rows], "doc_id long, text string, n_words int, a string")
+    return spark.createDataFrame([(*r, 0, "x", 1, 1, 1) for r in rows], "doc_id long, text string, n_words int, a string, _a int, _key int, _hash int")
 
 
 def ordered(rows):
@@ -75,6 +75,29 @@ def test_substring_dedup_small_windows(spark):
     assert substring_dedup.deduplicated(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_substring_dedup_of_a_passage_in_a_third_of_all(spark, monkeypatch):
+    """Its words are no minimisers, no bucket gets all of its surroundings, and the result is the same."""
+    monkeypatch.setattr(substring_dedup, "LEAST", 4)
+    rng = random.Random(7)
+    passage = [f"p{i}" for i in range(50)]
+    rows = []
+    for i in range(240):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(90)]
+        rows.append((i, " ".join(own[:40] + (passage if i % 3 == 0 else []) + own[40:])))
+    df = frame(spark, rows)
+    often, size = substring_dedup.frequent_grams(df)
+    assert len(often) == 47 and size > 0
+    assert ordered(substring_dedup.deduplicated(df).select("doc_id", "n_words", "n_removed", F.sha2("text", 256)).collect()) == removed(rows, 35)
+    w = substring_dedup.words(pa.array([t for _, t in rows]), substring_dedup.BLANK_WORDS)
+    most = []
+    for frequent in (substring_dedup._NONE, often):
+        first, count, minimiser = substring_dedup.super_kmers(w.hashes()[w.codes], w.offsets, frequent=frequent)
+        flat = w.codes.tolist()
+        strings = {(m, tuple(flat[a : a + n + 34])) for a, n, m in zip(first.tolist(), count.tolist(), minimiser.tolist())}
+        most.append(max(collections.Counter(m for m, _ in strings).values()))
+    assert most[0] >= 80 and most[1] <= 2
+
+
 def linked(rows):
     sets = []
     for _, t in rows:
@@ -137,8 +160,28 @@ def test_large_regions_in_blocks(spark, monkeypatch):
     test_large_group_that_links_through_one_base(spark)
 
 
+def test_crowded_regions_go_deeper(spark, monkeypatch):
+    """With few nodes to a region: depth grows, forests are added, and no link between different texts is lost."""
+    monkeypatch.setattr(near_dedup, "CROWD", 24)
+    monkeypatch.setattr(near_dedup, "WHOLE", 24)
+    calls = []
+    real = near_dedup.signed_anew
+    monkeypatch.setattr(near_dedup, "signed_anew", lambda forest: calls.append(forest) or real(forest))
+    rng, rows = random.Random(9), []
+    shared = [f"s{i}" for i in range(200)]
+    for g in range(400):
+        own = [f"w{g}.{i}" for i in range(80)]
+        for c in range(2):
+            w = shared + own
+            for _ in range(2 * c):
+                w[rng.randrange(len(w))] = f"v{g}.{rng.random()}"
+            rows.append((2 * g + c, " ".join(w)))
+    assert ordered(near_dedup.grouped(frame(spark, rows)).collect()) == linked(rows)
+    assert calls
+
+
 def test_held_regions_stay_linked(monkeypatch):
-    """A region cut into parts still hangs together by its first node."""
+    """A region cut into parts still hangs together by the rows they share."""
     monkeypatch.setattr(near_dedup, "HELD_ROWS", 20)
     rows = pa.table({"prefix": [5] * 100, "deep": list(range(100)), "deeper": [0] * 100, "node": list(range(100))})
     pairs = [p for b in near_dedup.offered(iter(rows.to_batches(max_chunksize=7))) for p in zip(b.column("a").to_pylist(), b.column("b").to_pylist())]
@@ -202,6 +245,28 @@ def test_fingerprints(spark):
     prints = {r.doc_id: r.fingerprint for r in out}
     assert prints[5] == prints[7] != prints[9]
     assert fingerprints.fingerprinted(frame(spark, rows).limit(0)).count() == 0
+    named = fingerprints.fingerprinted(frame(spark, rows[3:6]).withColumn("doc_id", F.concat(F.lit("k"), F.col("doc_id").cast("string")))).collect()
+    assert {r.doc_id for r in named} == {"k9", "k1000000000000", "k11"}
+
+
+def test_fingerprints_retry_wider(spark, monkeypatch):
+    """Sketches that are too narrow do not peel; wider ones give the same rows."""
+    rows = frame(spark, [(i, ". ".join(f"p{i % 4}.{j}" for j in range(40))) for i in range(60)])
+    want = ordered(fingerprints.fingerprinted(rows).collect())
+    monkeypatch.setattr(fingerprints, "LEAST_BITS", -20)
+    monkeypatch.setattr(fingerprints, "differences", lambda rows, keys, pairs, wider=0, real=fingerprints.differences: real(rows, keys, pairs, wider - 5))
+    assert ordered(fingerprints.fingerprinted(rows).collect()) == want
+
+
+def test_sketches_give_back_the_differing_digests(spark):
+    rng, sets = random.Random(6), []
+    for i in range(300):
+        a = {rng.getrandbits(63) for _ in range(rng.choice([0, 1, 30, 200]))}
+        b = {x for x in a if rng.random() < 0.7} | {rng.getrandbits(63) for _ in range(rng.choice([0, 1, 40]))}
+        sets.append((i, sorted(a), sorted(b)))
+    df = spark.createDataFrame(sets, "id long, a array<long>, b array<long>")
+    got = {(r.id, r.side, r.digest) for r in fingerprints.recovered(df, ["id"], "a", "b").collect()}
+    assert got == {(i, side, x) for i, a, b in sets for side, only in (("left", set(a) - set(b)), ("right", set(b) - set(a))) for x in only}
 
 
 def test_decontamination(spark):
@@ -216,16 +281,20 @@ def test_decontamination(spark):
 
 
 def test_decontamination_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", 0)
+    want = ordered(decontamination.op4_decontamination(spark, D).collect())
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", 0)
+    assert ordered(decontamination.op4_decontamination(spark, D).collect()) == want
     bench = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
-    assert decontamination.contaminated(frame(spark, [(1, "zero one two three")]), bench).first().n_hit == 3
+    rows = [(1, "zero one two three"), (1, "zero one two three"), (None, "ONE, two-three"), (2, None), (3, "x " * 50_000 + "one two three")]
+    got = decontamination.contaminated(frame(spark, rows), bench).collect()
+    assert ordered((r.doc_id, r.n_words, r.n_hit) for r in got) == ordered([(1, 4, 3), (1, 4, 3), (None, 3, 3), (2, 0, 0), (3, 50_003, 3)])
 
 
 def test_sharding(spark):
     rng = random.Random(1)
     rows = [(i, rng.choice(["a", "a", "a", "b", None])) for i in range(997)] + [(5, "a"), (5, "a")]
     df = spark.createDataFrame(rows, "doc_id long, source string")
-    got = sharding.interleaved(df, "source", ["doc_id"], 16).collect()
+    got = sharding.interleaved(df, "source", ["doc_id"], ["doc_id"], 16).collect()
     slots = collections.defaultdict(list)
     for r in got:
         slots[r.shard].append(r.slot)
@@ -234,7 +303,33 @@ def test_sharding(spark):
     for source in ("a", "b", None):
         each = [sum(r.shard == s and r.source == source for r in got) for s in range(16)]
         assert max(each) - min(each) <= 2
-    assert sharding.interleaved(df.limit(0), "source", ["doc_id"], 16).count() == 0
+    assert sharding.interleaved(df.limit(0), "source", ["doc_id"], ["doc_id"], 16).count() == 0
+
+
+def test_sharding_query(spark, tmp_path):
+    """Sizes, checksums, law and slots of the query; copies stand together, also a text with a third of all rows."""
+    rng = random.Random(4)
+    rows = [(i, "hot" if i % 3 == 0 else f"é text {i % 300}", rng.choice(["a", "a", None])) for i in range(3000)] + [(None, None, "a"), (None, "", None), (7, "x" * 200_000, "b")]
+    for name, frame_, want in (("small", spark.createDataFrame(rows, "doc_id long, text string, source string"), rows), ("data", spark.read.parquet(f"{D}/documents.parquet").select("doc_id", "text", "source"), None)):
+        frame_.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        want = want or [tuple(r) for r in frame_.collect()]
+        got = sharding.op7_sharding(spark, f"{tmp_path}/{name}").collect()
+        bare = lambda t: (len((t or "").encode()) + 1, zlib.crc32((t or "").encode()))
+        assert ordered((r.doc_id, r.size, r.text_crc32) for r in got) == ordered((d, *bare(t)) for d, t, _ in want)
+        assert {r.law for r in got} == {"rows"} and {r.grown_shard for r in got} == {None}
+        slots, texts, source = collections.defaultdict(list), collections.defaultdict(list), {d: s for d, _, s in want}
+        sizes = collections.Counter(source.values())
+        for r in got:
+            slots[r.shard].append(r.slot)
+            texts[r.text_crc32, source[r.doc_id]].append(r.shard)
+        assert set(slots) == set(range(16)) and max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+        assert all(max(s) - min(s) <= 16 * len(s) / sizes[at] + 2 for (_, at), s in texts.items())
+
+
+def test_sharding_divides_heavy_buckets(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "HEAVY", 1)
+    test_sharding(spark)
 
 
 def test_license_scan():
@@ -250,6 +345,62 @@ def test_license_scan():
         assert {label for p, label in scanner.templates if at(p)} <= set(got[3]) and 0 <= got[4] <= 1
 
 
+def test_license_labels_by_a_slow_model():
+    """Matching statistics by comparing with every place of every template, chains by trying every predecessor."""
+    scanner, rng = license_scan.Scanner(), random.Random(11)
+    names = [(" ".join(t), t, label) for t, label in scanner.templates]
+
+    def cut(t):
+        a = rng.randrange(len(t))
+        return t[a : a + rng.randint(1, 40)]
+
+    texts = []
+    for _ in range(150):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            t = list(rng.choice(names)[1])
+            for _ in range(rng.randint(0, 3)):
+                t[rng.randrange(len(t))] = rng.choice(["zz", "the", "software"])
+            parts += [t if rng.random() < 0.4 else cut(t), ["filler"] * rng.choice([0, 2, 8, 9, 30])]
+        texts.append([w for p in parts for w in p])
+
+    def slow(w):
+        longest = [max(k for k in range(e + 2) if not k or any(f" {' '.join(w[e + 1 - k : e + 1])} " in f" {n} " for n, _, _ in names)) for e in range(len(w))]
+        spans = collections.defaultdict(list)
+        for e, k in enumerate(longest):
+            if k >= scanner.long and (e + 1 == len(w) or longest[e + 1] <= k):
+                for i, (_, t, _) in enumerate(names):
+                    spans[i] += [(e + 1 - k, b, b + k) for b in range(len(t) - k + 1) if t[b : b + k] == w[e + 1 - k : e + 1]]
+        found, best = [], 0.0
+        for i, own in spans.items():
+            own, got = sorted(own), []
+            for x, a, b in own:
+                steps = [(0, None, 0)]
+                for j, (y, c, d) in enumerate(own[: len(got)]):
+                    trim = max(0, d - a, y + d - c - x)
+                    if c <= a and x - (y + d - c) <= license_scan.GAP and trim < b - a:
+                        steps.append((got[j][0] - trim, j, trim))
+                most = max(v for v, _, _ in steps)
+                v, j, trim = next(s for s in steps if s[0] == most)
+                got.append((v + b - a, (got[j][1] if j is not None else set()) | set(range(x + trim, x + b - a))))
+            if got:
+                most = max(g[0] for g in got)
+                share, places = most / len(names[i][1]), next(g[1] for g in got if g[0] == most)
+                best = max(best, share)
+                if share >= scanner.covered:
+                    found.append((share, names[i][2], places))
+        labels = {g for s, g, at in found if s == 1 or not any(at <= more for _, other, more in found if other != g)}
+        base = {g for p, g in scanner.base if any(w[i : i + len(p)] == p for i in range(len(w)))}
+        return sorted(labels | base), max(best, 1.0 if base else 0.0)
+
+    got = scanner.scanned(pa.array([" ".join(t) for t in texts]))
+    assert [(g[3], round(g[4], 9)) for g in got] == [(a, round(b, 9)) for a, b in map(slow, texts)]
+    assert sum(bool(g[3]) for g in got) > 60
+    assert scanner.scanned(pa.array(["word " * 300_000 + "released under the mit license"]))[0][3:] == (["mit"], 1.0, (300_000, 300_004))
+    for label in ("bsd-2-clause", "bsd-3-clause", "zlib", "isc", "mit"):
+        assert label in scanner.scanned(pa.array([license_scan.TEMPLATES[label][-1]]))[0][3]
+
+
 def test_license_chains():
     """Fragments far apart and notices without what tells them from others give no label; a notice with a word changed does."""
     far = " ".join(["filler"] * 2000)
@@ -288,6 +439,64 @@ def test_language_edges(spark):
     assert language_id.learned(df.withColumn("lang", F.lit(None).cast("string"))) is None
 
 
+def test_language_of_a_text_depends_on_it_alone(spark):
+    """Whatever rows and steps stand beside it; and features by a slow model."""
+    one = pa.array(["a", "ab", "É x", "", "1"], pa.large_string())
+    code, at = language_id.trigrams(one)
+    for i, t in enumerate(one.to_pylist()):
+        for other in ("b", "zz", "\xff"):
+            pair, ends = language_id.trigrams(pa.array([other, t, other], pa.large_string()))
+            assert pair[ends[1] : ends[2]].tolist() == code[at[i] : at[i + 1]].tolist()
+        raw = bytes(language_id._TABLE[b] for b in (t + " ").encode())
+        around = b" " + raw + b" "
+        want = []
+        for k in range(len(raw)):
+            x = 0
+            for b, m in zip(around[k : k + 3], (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)):
+                x ^= b * m & 0xFFFFFFFF
+            want.append(((x ^ (x >> 15)) * 0x2C1B3C6D & 0xFFFFFFFF) >> 20)
+        assert code[at[i] : at[i + 1]].tolist() == want
+    docs = spark.read.parquet(f"{D}/documents.parquet").select("doc_id", "text", "lang")
+    model = language_id.learned(docs)
+    bare = {r.doc_id: r.text for r in docs.collect()}
+    value = lambda text, k: sum(model.weights[c, k] for c in language_id.trigrams(pa.array([text], pa.large_string()))[0]) / (len(text.encode()) + 1) + model.weights[-1, k]
+
+    def slow(text):
+        sure, level, names = 1.0, -1, model.families
+        while True:
+            duels = [(model.pairs[k][1:], value(text, k)) for k in range(len(model.pairs)) if model.pairs[k][0] == level]
+            scores = [[v if a == c else -v for (a, b), v in duels if c in (a, b)] for c in range(len(names))]
+            rank = [sum(x > 0 for x in s) + 0.5 / (1 + math.exp(-max(-30, min(30, sum(s))))) for s in scores]
+            best = rank.index(max(rank))
+            sure *= 1 / (1 + math.exp(-2 * max(-15, min(15, min(scores[best], default=15)))))
+            if level >= 0:
+                return names[best], sure
+            level, names = best, model.families[best]
+
+    seen = {}
+    for parts, size in ((1, 10_000), (7, 3)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        rows = language_id.identified(docs.repartition(parts, F.xxhash64("text", F.lit(parts))), model).collect()
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        now = {r.doc_id: (r.lang_pred, round(r.score, 6)) for r in rows}
+        assert now == (seen or now)
+        seen = now
+    for d, t in list(bare.items())[:60]:
+        if t and any(c.isalpha() for c in t):
+            name, sure = slow(t)
+            assert seen[d][0] == name and abs(seen[d][1] - sure) < 1e-3
+
+
+def test_language_sample_is_bounded(spark):
+    """Rows that share a doc_id, or have none, count once for each text."""
+    same = spark.range(10_000).selectExpr("cast(null as long) as doc_id", "if(id % 2 = 0, 'the and of', 'der und die') as text", "if(id % 2 = 0, 'en', 'de') as lang")
+    more = spark.range(4_000).selectExpr("cast(null as long) as doc_id", "concat('le la ', id) as text", "'fr' as lang")
+    model = language_id.learned(same.unionByName(more), sample=20)
+    df = spark.createDataFrame([(1, "the of"), (2, "le la"), (3, "und die")], "doc_id long, text string")
+    assert [r.lang_pred for r in language_id.identified(df, model).collect()] == ["en", "fr", "de"]
+    assert language_id.identified(spark.createDataFrame([(1, "der " * 400_000)], "doc_id long, text string"), model).first().lang_pred == "de"
+
+
 def test_pipeline(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     words = lambda seed, n: " ".join(random.Random(seed).choice(["the", "and", "of", "house", "tree", "river", "stone", "under"]) + str(random.Random(seed * 1000 + i).randrange(10**6)) for i in range(n))

@@ -37,6 +37,29 @@ def test_count_query_columns(spark):
     assert tc.token_counts(df.limit(0), pt.path("byte_bpe_50k.json")).count() == 0
 
 
+def test_huge_texts_through_the_query(spark, tmp_path, monkeypatch):
+    """Texts of over HUGE_CHARS are spliced, special strings and all, and count as the library counts them."""
+    tok = tc.BytePairs.of(pt.path("byte_bpe_50k.json"))
+    rng = random.Random(9)
+    long = ["".join(rng.choice(BITS + [" ", " word", " thing", ", and"] * 8) for _ in range(40_000)), "a " * 40_000, "x" * 70_000, "é日 " * 30_000 + "<|endoftext|> end<|endoftext|>", ""]
+    assert sum(len(t) > 65_536 for t in long) == 4
+    spark.createDataFrame(list(enumerate(long)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in tc.op6_token_counts(spark, str(tmp_path)).collect()}
+    sizes = tok.sizes(long)
+    assert got == {i: (len(t.encode()), n, n > 512) for i, (t, n) in enumerate(zip(long, sizes))}
+    calls = []
+    monkeypatch.setattr(tc, "spliced", lambda tok, text: calls.append(len(text)) or 0)
+    tc.counted(tok, pa.array(long))
+    assert len(calls) == 4
+
+
+def test_other_files_are_not_cut():
+    """A file of another kind of tokenizer: whole texts, as the library gives them."""
+    tok = tc.BytePairs(pt.path("word_bpe_49k.json"))
+    t = texts(300, 40)
+    assert not tok.cuttable and tc.counted(tok, pa.array(t)).tolist() == tok.sizes([x or "" for x in t])
+
+
 def models():
     from sentencepiece import sentencepiece_model_pb2 as pb
 
