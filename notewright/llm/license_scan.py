@@ -147,9 +147,18 @@ class Scanner:
             at.setdefault(self.auto.state(phrase), []).append(k)
         self.here = [at.get(s, []) for s in range(len(self.auto.length))]
         self.up = [[k for a in self.auto.above(s)[1:] for k in at.get(a, [])] for s in range(len(self.auto.length))]
+        # Whole templates that stand within others: a match that goes on past their end shows them all the same.
+        text = [f" {' '.join(t)} " for t, _ in self.templates]
+        self.inside = [[(j, i) for j, (u, _) in enumerate(self.templates) if text[j] in text[k] and u != t for i in range(len(t) - len(u) + 1) if t[i : i + len(u)] == u] for k, (t, _) in enumerate(self.templates)]
         self.words = sorted({w for t, _ in self.templates for w in t})
         self.fewest = min((len(t) for t, _ in self.templates), default=0)
 
+    def spans(self, state: int, size: int, start: int) -> list[tuple[int, int, int, int]]:
+        """Spans (template, from, to, start) of a match of `size` words that ends in a state, and of whole templates within it."""
+        out = [(t, e - size, e, start) for t, e in self.auto.ends[state]]
+        more = {(j, 0, len(self.templates[j][0]), start + i - a) for t, a, b, _ in out for j, i in self.inside[t] if a <= i and i + len(self.templates[j][0]) <= b}
+        return [*out, *sorted(more)]
+
     def streamed(self, stream: list[str]) -> tuple[list[tuple[int, int]], list[tuple[int, int, int, int]]]:
         """Base places (phrase, start) and covered spans (template, from, to, start) of a run of template words."""
         step, link, length = self.auto.next, self.auto.link, self.auto.length
@@ -163,14 +172,14 @@ class Scanner:
             s = step[s].get(word, 0)
             size = size + 1 if s else 0
             if had >= self.long and size <= had:
-                spans += [(t, e - had, e, i - had) for t, e in self.auto.ends[was]]
+                spans += self.spans(was, had, i - had)
             for k in self.here[s]:
                 if size >= len(self.base[k][0]):
                     places.append((k, i + 1 - len(self.base[k][0])))
             for k in self.up[s]:
                 places.append((k, i + 1 - len(self.base[k][0])))
         if size >= self.long:
-            spans += [(t, e - size, e, len(stream) - size) for t, e in self.auto.ends[s]]
+            spans += self.spans(s, size, len(stream) - size)
         return places, spans
 
     def chain(self, own: list[tuple[int, int, int]]) -> tuple[int, list[tuple[int, int]]]:

@@ -21,7 +21,7 @@ from pyspark.sql.window import Window as W
 
 from .common import read, root_buckets
 
-HEAVY = 8
+HEAVY, CLASSES = 8, 256
 
 
 def _running(counts: DataFrame, by: list[str], order: list[str]) -> DataFrame:
@@ -48,7 +48,9 @@ def interleaved(rows: DataFrame, stratum: str, group: list[str], order: list[str
     heavy = keyed.groupBy("_stratum", "_bucket").agg(F.count("*").alias("_n")).filter(F.col("_n") > HEAVY * n)
     heavy = heavy.select("_stratum", "_bucket", F.ceil(F.col("_n") / n).alias("_splits"))
     keyed = keyed.join(F.broadcast(heavy), ["_stratum", "_bucket"], "left")
-    keyed = keyed.withColumn("_sub", F.pmod(F.shiftright("_h", 20), F.coalesce("_splits", F.lit(1)))).drop("_splits")
+    # Within these, classes of groups come first, so that only the heavy group's class is spread.
+    sub = F.pmod("_g", F.lit(CLASSES)) * F.col("_splits") + F.pmod(F.shiftright("_h", 20), F.col("_splits"))
+    keyed = keyed.withColumn("_sub", F.coalesce(sub, F.lit(0))).drop("_splits")
     within = _running(keyed.groupBy("_stratum", "_bucket", "_sub").agg(F.count("*").alias("_n")), ["_stratum"], ["_bucket", "_sub"])
     place = F.row_number().over(W.partitionBy("_stratum", "_bucket", "_sub").orderBy("_g", "_h", *order))
     ranked = keyed.withColumn("_place", place).join(within.drop("_n"), ["_stratum", "_bucket", "_sub"])

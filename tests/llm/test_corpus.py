@@ -371,9 +371,11 @@ def test_license_labels_by_a_slow_model():
             if k >= scanner.long and (e + 1 == len(w) or longest[e + 1] <= k):
                 for i, (_, t, _) in enumerate(names):
                     spans[i] += [(e + 1 - k, b, b + k) for b in range(len(t) - k + 1) if t[b : b + k] == w[e + 1 - k : e + 1]]
+        for i, (_, t, _) in enumerate(names):  # whole templates, also within a longer match
+            spans[i] += [(x, 0, len(t)) for x in range(len(w) - len(t) + 1) if len(t) >= scanner.long and w[x : x + len(t)] == t]
         found, best = [], 0.0
         for i, own in spans.items():
-            own, got = sorted(own), []
+            own, got = sorted(set(own)), []
             for x, a, b in own:
                 steps = [(0, None, 0)]
                 for j, (y, c, d) in enumerate(own[: len(got)]):
@@ -489,7 +491,7 @@ def test_language_of_a_text_depends_on_it_alone(spark):
 
 def test_language_sample_is_bounded(spark):
     """Rows that share a doc_id, or have none, count once for each text."""
-    same = spark.range(10_000).selectExpr("cast(null as long) as doc_id", "if(id % 2 = 0, 'the and of', 'der und die') as text", "if(id % 2 = 0, 'en', 'de') as lang")
+    same = spark.range(10_000).selectExpr("cast(null as long) as doc_id", "concat(if(id % 2 = 0, 'the and of ', 'der und die '), id div 2 % 50) as text", "if(id % 2 = 0, 'en', 'de') as lang")
     more = spark.range(4_000).selectExpr("cast(null as long) as doc_id", "concat('le la ', id) as text", "'fr' as lang")
     model = language_id.learned(same.unionByName(more), sample=20)
     df = spark.createDataFrame([(1, "the of"), (2, "le la"), (3, "und die")], "doc_id long, text string")
