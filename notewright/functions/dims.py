@@ -9,7 +9,23 @@ from pyspark.sql import functions as F
 NOTE_NAMES = ["C", "C#", "D", "D#", "E", "F", "F#", "G", "G#", "A", "A#", "B"]
 SCALES = {"major": [0, 2, 4, 5, 7, 9, 11], "minor": [0, 2, 3, 5, 7, 8, 10]}
 CODECS = {"aac": "aac", "mp3": "mp3", "opus": "opus", "vorbis": "ogg", "flac": "flac", "pcm_s16le": "wav", "pcm_s24le": "wav", "pcm_s32le": "wav", "ac3": "ac3", "eac3": "eac3"}
-LANGUAGES = {"en": "English", "de": "German", "fr": "French", "es": "Spanish", "it": "Italian", "pt": "Portuguese", "nl": "Dutch", "pl": "Polish", "ja": "Japanese", "ko": "Korean", "zh": "Chinese", "ru": "Russian", "tr": "Turkish", "sv": "Swedish"}
+LANGUAGES = dict(x.strip().split(" ", 1) for x in """
+aa Afar, ab Abkhazian, ae Avestan, af Afrikaans, ak Akan, am Amharic, an Aragonese, ar Arabic, as Assamese, av Avaric, ay Aymara, az Azerbaijani,
+ba Bashkir, be Belarusian, bg Bulgarian, bi Bislama, bm Bambara, bn Bengali, bo Tibetan, br Breton, bs Bosnian, ca Catalan, ce Chechen, ch Chamorro,
+co Corsican, cr Cree, cs Czech, cv Chuvash, cy Welsh, da Danish, de German, dv Divehi, dz Dzongkha, ee Ewe, el Greek, en English, eo Esperanto, es Spanish,
+et Estonian, eu Basque, fa Persian, ff Fulah, fi Finnish, fj Fijian, fo Faroese, fr French, fy Western Frisian, ga Irish, gd Scottish Gaelic, gl Galician,
+gn Guarani, gu Gujarati, gv Manx, ha Hausa, he Hebrew, hi Hindi, ho Hiri Motu, hr Croatian, ht Haitian Creole, hu Hungarian, hy Armenian, hz Herero,
+ia Interlingua, id Indonesian, ie Interlingue, ig Igbo, ik Inupiaq, io Ido, is Icelandic, it Italian, iu Inuktitut, ja Japanese, jv Javanese, ka Georgian,
+kg Kongo, ki Kikuyu, kj Kuanyama, kk Kazakh, kl Kalaallisut, km Khmer, kn Kannada, ko Korean, kr Kanuri, ks Kashmiri, ku Kurdish, kv Komi, kw Cornish,
+ky Kyrgyz, la Latin, lb Luxembourgish, lg Ganda, li Limburgish, ln Lingala, lo Lao, lt Lithuanian, lu Luba-Katanga, lv Latvian, mg Malagasy, mh Marshallese,
+mi Maori, mk Macedonian, ml Malayalam, mn Mongolian, mr Marathi, ms Malay, mt Maltese, my Burmese, na Nauru, nb Norwegian Bokmål, nd North Ndebele, ne Nepali,
+ng Ndonga, nl Dutch, nn Norwegian Nynorsk, no Norwegian, nr South Ndebele, nv Navajo, ny Nyanja, oc Occitan, oj Ojibwa, om Oromo, or Odia, os Ossetic,
+pa Punjabi, pi Pali, pl Polish, ps Pashto, pt Portuguese, qu Quechua, rm Romansh, rn Rundi, ro Romanian, ru Russian, rw Kinyarwanda, sa Sanskrit,
+sc Sardinian, sd Sindhi, se Northern Sami, sg Sango, si Sinhala, sk Slovak, sl Slovenian, sm Samoan, sn Shona, so Somali, sq Albanian, sr Serbian, ss Swati,
+st Southern Sotho, su Sundanese, sv Swedish, sw Swahili, ta Tamil, te Telugu, tg Tajik, th Thai, ti Tigrinya, tk Turkmen, tl Tagalog, tn Tswana, to Tongan,
+tr Turkish, ts Tsonga, tt Tatar, tw Twi, ty Tahitian, ug Uyghur, uk Ukrainian, ur Urdu, uz Uzbek, ve Venda, vi Vietnamese, vo Volapük, wa Walloon, wo Wolof,
+xh Xhosa, yi Yiddish, yo Yoruba, za Zhuang, zh Chinese, zu Zulu
+""".split(","))
 
 
 def names() -> Column:

@@ -42,13 +42,25 @@ def midi_to_file_pitch(midi: Column) -> Column:
 
 
 def hz_to_midi(hz: Column) -> Column:
-    return F.rint(12 * (F.log2(hz) - F.log2(F.lit(440.0))) + 69).cast("int")
+    """Null for a frequency of 0 or less."""
+    return F.when(hz > 0, F.rint(12 * (F.log2(hz) - F.log2(F.lit(440.0))) + 69).cast("int"))
 
 
 def midi_to_name(midi: Column) -> Column:
     return F.concat(F.element_at(names(), F.pmod(midi, F.lit(12)) + 1), (F.floor(midi / F.lit(12)) - 1).cast("string"))
 
 
+def name_to_midi(name: Column) -> Column:
+    """The number of a note name with its octave (sharps); null for anything else."""
+    pc = F.array_position(names(), F.regexp_extract(name, r"^([A-G]#?)(-?[0-9]+)$", 1)) - 1
+    octave = F.regexp_extract(name, r"^([A-G]#?)(-?[0-9]+)$", 2).try_cast("int")
+    return F.when((pc >= 0) & octave.isNotNull(), (octave + 1) * 12 + pc).cast("int")
+
+
+def name_to_file_pitch(name: Column) -> Column:
+    return midi_to_file_pitch(name_to_midi(name))
+
+
 def midi_to_hz(midi: Column) -> Column:
     return 440 * F.pow(F.lit(2.0), (midi - 69) / F.lit(12.0))
 
@@ -63,6 +75,11 @@ def beat_multiplier(bpm: Column) -> Column:
     return F.when(bpm > 0, F.greatest(F.ceil(F.lit(400.0) / bpm) - 1, F.lit(0)).cast("int")).otherwise(F.raise_error(F.lit("bpm must be positive")).cast("int"))
 
 
+def bpm_text(bpm: Column) -> Column:
+    """As a file has it: two decimals at most, one at least."""
+    return F.round(bpm, 2).cast("string")
+
+
 def half_even(x: Column) -> Column:
     return F.rint(x).cast("int")
 
@@ -92,6 +109,43 @@ def clean(text: Column) -> Column:
     return F.trim(F.lower(F.regexp_replace(text, r"[!-/:-@\[-`{-~]", "")))
 
 
+_MARKS = r"[!-/:-@\[-`{-~]"
+
+
+def punctuated(word: Column) -> Column:
+    return word.rlike(_MARKS)
+
+
+def bare(word: Column) -> Column:
+    """Without ASCII punctuation and blanks."""
+    return F.regexp_replace(word, r"[!-/:-@\[-`{-~ ]", "")
+
+
+def marked_syllables(word: Column, syllables: Column) -> Column:
+    """Syllables of the bare word with the word's marks put back: at most one before a letter, what is left after the last.
+
+    Null without at least two syllables, or for a bare word of over 100 letters.
+    """
+    letters = F.filter(F.split(word, ""), lambda c: c != "")
+    gone = F.filter(F.transform(letters, lambda c, i: F.when(c.rlike(r"[!-/:-@\[-`{-~ ]"), F.struct(i.alias("i"), c.alias("c")))), lambda x: x.isNotNull())
+    flat = F.flatten(F.transform(syllables, lambda s, k: F.transform(F.filter(F.split(s, ""), lambda c: c != ""), lambda c: F.struct(k.alias("k"), c.alias("c")))))
+    none = F.expr("cast(array() as array<struct<k:int,c:string>>)")
+
+    def step(st: Column, x: Column) -> Column:
+        hit = F.exists(gone, lambda g: g["i"] == st["i"])
+        text = F.when(hit & (st["n"] < F.size(gone)), F.concat(F.get(gone, st["n"])["c"], x["c"])).otherwise(x["c"])
+        more = F.when(hit, 1).otherwise(0)
+        return F.struct((st["i"] + 1 + more).alias("i"), (st["n"] + more).alias("n"), F.concat(st["out"], F.array(F.struct(x["k"].alias("k"), text.alias("c")))).alias("out"))
+
+    def told(st: Column) -> Column:
+        rest = F.array_join(F.transform(F.slice(gone, st["n"] + 1, F.size(gone)), lambda g: g["c"]), "")
+        own = F.transform(syllables, lambda s, k: F.array_join(F.transform(F.filter(st["out"], lambda x: x["k"] == k), lambda x: x["c"]), ""))
+        return F.transform(own, lambda s, k: F.when(k == F.size(own) - 1, F.concat(s, rest)).otherwise(s))
+
+    put = F.aggregate(flat, F.struct(F.lit(0).alias("i"), F.lit(0).alias("n"), none.alias("out")), step, told)
+    return F.when((F.size(syllables) > 1) & (F.length(bare(word)) <= 100), put)
+
+
 def plain_title(text: Column) -> Column:
     out = F.lower(text)
     for phrase in TITLE_PHRASES:
@@ -121,6 +175,20 @@ def language_name(code: Column) -> Column:
     return lookup(LANGUAGES, code)
 
 
+def version_in(names: Column) -> Column:
+    """Number after the program's name in the first of the names that has one; -1 without."""
+    found = F.filter(names, lambda n: n.rlike(r"MuseScore\s+\d+"))
+    return F.coalesce(F.regexp_extract(F.get(found, F.lit(0)), r"MuseScore\s+(\d+)", 1).try_cast("int"), F.lit(-1))
+
+
+def video_title(artist: Column, track: Column, title: Column, channel: Column) -> Column:
+    """artist and title of a video: its own fields, else the first two parts of a title with a dash, else channel and title."""
+    parts = F.split(title, "-")
+    own = F.struct(F.trim(artist).alias("artist"), F.trim(track).alias("title"))
+    cut = F.struct(F.trim(F.get(parts, F.lit(0))).alias("artist"), F.trim(F.get(parts, F.lit(1))).alias("title"))
+    return F.when(artist.isNotNull(), own).when(F.contains(title, F.lit("-")), cut).otherwise(F.struct(F.trim(channel).alias("artist"), F.trim(title).alias("title")))
+
+
 def file_name(text: Column) -> Column:
     out = F.translate(text, '<>/\\|*?:"', "()----")
     return F.when(F.endswith(out, F.lit(".")), F.regexp_replace(out, r"[ .]+$", "")).otherwise(out)
@@ -151,7 +219,7 @@ def crop(width: Column, height: Column) -> Column:
 
 
 def version_parts(version: Column) -> Column:
-    return F.transform(F.split(version, r"\."), lambda x: x.cast("int"))
+    return F.transform(F.split(version, r"\."), lambda x: x.try_cast("int"))
 
 
 def at_least(version: Column, other: str) -> Column:

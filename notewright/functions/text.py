@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
@@ -123,21 +123,30 @@ def number_words(line: pd.Series, language: pd.Series) -> pd.Series:
     return pd.Series([spelled(a, b) for a, b in zip(line, language, strict=True)], dtype=object)
 
 
+#: Latin letters that no decomposition takes apart, and signs with a usual ASCII spelling.
+FOLDED = {"ß": "ss", "ẞ": "SS", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ł": "l", "Ł": "L", "þ": "th", "Þ": "Th", "ð": "d", "Ð": "D", "ı": "i", "ħ": "h", "Ħ": "H", "ŋ": "ng", "Ŋ": "NG", "‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "--", "…": "...", "«": "<<", "»": ">>"}
+_FOLD = str.maketrans(FOLDED)
+
+
+def folded(text: str) -> str:
+    """Letters without their marks; what has no ASCII form goes."""
+    return text if text.isascii() else unicodedata.normalize("NFKD", text.translate(_FOLD)).encode("ascii", "ignore").decode()
+
+
 @F.pandas_udf(T.StringType())
 def ascii_folded(text: pd.Series) -> pd.Series:
-    """Letters without their marks; what has no ASCII form goes."""
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode())
+    return text.map(lambda t: None if t is None else folded(t))
 
 
 def language_region(asked: DataFrame, installed: DataFrame, offered: DataFrame) -> DataFrame:
     """The dictionary for each asked language: installed xx_XX, else the first installed with a region, else offered xx, xx_XX, the first offered.
 
-    asked(language), installed(code, ord), offered(code, ord); null where nothing fits.
+    asked(language), installed(code, ord), offered(code, ord); null where nothing fits. Codes meet languages as their beginnings, by an equi-join.
     """
     own = F.concat("language", F.lit("_"), F.upper("language"))
-    fits: Callable[[Column], Column] = lambda code: code.startswith(F.col("language")) & (~F.col("here") | code.contains("_"))
     rank = F.when(F.col("here") & (F.col("code") == own), 1).when(F.col("here"), 2).when(F.col("code") == F.col("language"), 3).when(F.col("code") == own, 4).otherwise(5)
-    every = installed.withColumn("here", F.lit(True)).unionByName(offered.withColumn("here", F.lit(False)))
-    found = asked.join(F.broadcast(every), fits(F.col("code")), "left").withColumn("_rank", rank)
+    every = installed.withColumn("here", F.lit(True)).unionByName(offered.withColumn("here", F.lit(False))).filter(~F.col("here") | F.contains("code", F.lit("_")))
+    heads = every.withColumn("language", F.explode(F.transform(F.sequence(F.lit(1), F.length("code")), lambda n: F.substr(F.col("code"), F.lit(1), n))))
+    found = asked.join(heads, "language", "left").withColumn("_rank", rank)
     first = F.row_number().over(W.partitionBy("language").orderBy("_rank", "ord"))
     return found.withColumn("_n", first).filter("_n = 1").select("language", "code")

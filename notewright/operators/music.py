@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dims
 from ..functions import expr as E
-from .joins import confident, in_range, modal
+from .joins import confident, in_index_range, in_range, index_ranges, modal
 
 STEP = 0.09
 
@@ -35,11 +37,18 @@ def pitch_of(segments: DataFrame, frames: DataFrame, width: float = 1.0) -> Data
     return modal(confident(rows, ["song_id", "seg"]).withColumn("midi", E.hz_to_midi(F.col("freq"))), ["song_id", "seg"], "midi", "frame_idx")
 
 
-def score(lines: DataFrame, frames: DataFrame, width: float = 1.0) -> DataFrame:
+def notes_of(segments: DataFrame, frames: DataFrame, width: float = 64) -> DataFrame:
+    """The modal midi note of each segment's frames, from the one nearest to its start up to the one nearest to its end: no segment of a song with frames is without."""
+    rows = in_index_range(index_ranges(segments, frames).select("song_id", "seg", "first_frame", "stop_frame"), frames.select("song_id", "frame_idx", "freq", "conf"), int(width))
+    return modal(confident(rows, ["song_id", "seg"]).withColumn("midi", E.hz_to_midi(F.col("freq"))), ["song_id", "seg"], "midi", "frame_idx")
+
+
+def score(lines: DataFrame, frames: DataFrame, width: float = 1.0, heard_by: Callable[..., DataFrame] = pitch_of) -> DataFrame:
     """Scores of lines(song_id, line_no, note_type, word, pitch, start_time, end_time) sung as frames(song_id, frame_idx, t, freq, conf).
 
     Each note is cut into parts of STEP seconds; a part counts when its modal note is the line's (accurate) or has its pitch class
-    (simple). Golden notes count double; a note with all parts hit earns its share of the 1000 points of line bonus.
+    (simple). Golden notes count double; a note with all parts hit earns its share of the 1000 points of line bonus. heard_by gives a
+    part's note: pitch_of from the frames in its time, notes_of from those nearest to its ends.
     """
     totals = lines.groupBy("song_id").agg(F.count("*").alias("_lines"))
     sung = lines.filter((F.col("word") != "") & (F.col("note_type") != "F"))
@@ -49,7 +58,7 @@ def score(lines: DataFrame, frames: DataFrame, width: float = 1.0) -> DataFrame:
         "seg": F.struct("line_no", "part"), "start": F.col("start_time") + F.col("part") * STEP,
         "end": F.when(F.col("part") == F.col("_parts") - 1, F.col("end_time")).otherwise(F.col("start_time") + (F.col("part") + 1) * STEP),
     })
-    heard = pitch_of(parts.select("song_id", "seg", "start", "end"), frames, width).select("song_id", "seg", "midi")
+    heard = heard_by(parts.select("song_id", "seg", "start", "end"), frames, width).select("song_id", "seg", "midi")
     hit = parts.join(heard, ["song_id", "seg"], "left").withColumns({
         "_a": F.coalesce(F.col("midi") == F.col("pitch") + 48, F.lit(False)), "_s": F.coalesce(F.pmod("midi", F.lit(12)) == F.pmod(F.col("pitch") + 48, F.lit(12)), F.lit(False)),
     })

@@ -61,7 +61,7 @@ FR = """fr AS (SELECT event_id, user_id AS song_id, epoch_us(ts) / 1000000.0::DO
   (row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id))::INT AS frame_idx FROM events)"""
 NT = FR + """, nt AS (SELECT song_id, frame_idx AS seq, word, t AS start, freq,
   least(t + 3600, coalesce(lead(t) OVER (PARTITION BY song_id ORDER BY frame_idx), t + 3600)) AS stop FROM fr)"""
-MIDI = "round_even(12 * (log2({0}) - log2(440.0)) + 69, 0)::INT"
+MIDI = "(CASE WHEN {0} > 0 THEN round_even(12 * (log2({0}) - log2(440.0)) + 69, 0)::INT END)"
 NAMES = "['C','C#','D','D#','E','F','F#','G','G#','A','A#','B']"
 
 
@@ -126,7 +126,21 @@ def q_mute_antijoin(spark, d):
     return J.unmuted(frames(spark, d), _silences(spark, d), 7200.0).select("event_id", "song_id")
 
 
-@query()
+_PIECE = "{'word': CASE WHEN more THEN '~' ELSE '~ ' END, 'start': e, 'stop': cut, 'we': NOT more}"
+
+
+@query(f"""WITH RECURSIVE {NT}, tk AS (SELECT song_id, seq, word || ' ' AS word, start, stop FROM nt), si AS (SELECT song_id, t + 600 AS s, t + 900 AS e FROM fr WHERE word = 'error'),
+ov AS (SELECT tk.song_id, seq, s, e, stop, row_number() OVER w AS k, lead(s) OVER w AS ns, lead(e) OVER w AS ne FROM tk JOIN si ON si.song_id = tk.song_id AND s <= stop AND e >= start WINDOW w AS (PARTITION BY tk.song_id, seq ORDER BY s, e)),
+sl AS (SELECT *, CASE WHEN ns < stop THEN ns ELSE stop END AS cut, coalesce(ne < stop, false) AS more FROM ov),
+rc AS (SELECT song_id, seq, 0::BIGINT AS k, word AS hw, start AS hs, stop AS he, true AS hl, []::STRUCT(word VARCHAR, start DOUBLE, stop DOUBLE, we BOOLEAN)[] AS ps, false AS sp, false AS gn FROM tk
+ UNION ALL SELECT song_id, seq, k, CASE WHEN kind = 'first' THEN regexp_replace(hw, ' $', '') ELSE hw END, CASE WHEN kind IN ('moved', 'late') THEN e ELSE hs END, CASE kind WHEN 'moved' THEN cut WHEN 'whole' THEN s WHEN 'first' THEN s WHEN 'early' THEN s ELSE he END, hl AND kind <> 'first',
+  CASE WHEN kind IN ('first', 'more') THEN list_append(ps, {_PIECE}) WHEN kind = 'close' THEN list_append(ps[:-2], {{'word': rtrim(ps[-1].word) || ' ', 'start': ps[-1].start, 'stop': ps[-1].stop, 'we': true}}) ELSE ps END, sp OR kind IN ('first', 'more', 'close'), gn OR kind = 'gone'
+  FROM (SELECT r.song_id, r.seq, sl.k, hw, hs, he, hl, ps, sp, gn, s, e, cut, more, CASE WHEN gn OR s > stop OR e < hs THEN 'none' WHEN s >= hs AND e <= stop THEN
+    CASE WHEN sp THEN CASE WHEN cut - e > 0.1 THEN 'more' WHEN NOT more AND len(ps) > 0 THEN 'close' ELSE 'none' END WHEN s - hs < 0.1 THEN 'moved' WHEN NOT cut - e > 0.1 THEN 'whole' ELSE 'first' END
+    WHEN s < hs AND e > stop THEN 'gone' WHEN s < hs THEN 'late' WHEN sp THEN 'none' ELSE 'early' END AS kind FROM rc r JOIN sl ON sl.song_id = r.song_id AND sl.seq = r.seq AND sl.k = r.k + 1)),
+fn AS (SELECT *, list_prepend({{'word': hw, 'start': hs, 'stop': he, 'we': hl}}, ps) AS a FROM (SELECT *, row_number() OVER (PARTITION BY song_id, seq ORDER BY k DESC) AS n FROM rc) WHERE n = 1 AND NOT gn),
+ex AS (SELECT song_id, seq, unnest(range(len(a)))::INT AS piece_no, unnest(a) AS x FROM fn)
+SELECT song_id, seq, piece_no, x.word AS word, x.start AS start, x.stop AS "end", x.we AS is_word_end FROM ex""")
 def q_interval_subtract(spark, d):
     t = notes(spark, d).select("song_id", "seq", F.concat("word", F.lit(" ")).alias("word"), "start", "end", F.lit(True).alias("is_word_end"))
     return J.without_silence(t, _silences(spark, d).withColumns({"start": F.col("start") + 600, "end": F.col("start") + 900}))
@@ -143,12 +157,14 @@ def q_grid_split(spark, d):
     return G.grid_split(o).select("song_id", "piece_no", "word", F.round("start", 8).alias("start"), F.round("end", 8).alias("stop"))
 
 
-@query("""WITH p AS (SELECT p_partkey, string_split(p_name, ' ') AS parts, p_size::DOUBLE AS stop FROM part),
-e AS (SELECT p_partkey, stop, len(parts) AS n, unnest(parts) AS word, unnest(range(0, len(parts)))::INT AS piece_no FROM p)
-SELECT p_partkey AS song_id, piece_no, word, round(CASE WHEN piece_no = 0 THEN 0 ELSE stop - stop / n * (n - piece_no) END, 6) AS start, round(stop - stop / n * (n - 1 - piece_no), 6) AS stop, piece_no = n - 1 AS is_word_end FROM e""")
+@query("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+')) AS word, generate_subscripts(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+'), 1) - 1 AS seq FROM documents),
+p AS (SELECT doc_id, seq, regexp_extract_all(word, '.{1,3}') AS parts, len(word)::DOUBLE AS stop FROM w),
+e AS (SELECT doc_id, seq, stop, len(parts) AS n, unnest(parts) AS word, unnest(range(0, len(parts)))::INT AS piece_no FROM p)
+SELECT doc_id AS song_id, seq::INT AS seq, piece_no, word, round(CASE WHEN piece_no = 0 THEN 0 ELSE stop - stop / n * (n - piece_no) END, 6) AS start, round(stop - stop / n * (n - 1 - piece_no), 6) AS stop, piece_no = n - 1 AS is_word_end FROM e""")
 def q_syllable_explode(spark, d):
-    t = table(spark, d, "part").select(F.col("p_partkey").alias("song_id"), F.lit(0).alias("seq"), F.col("p_name").alias("word"), F.lit(0.0).alias("start"), F.col("p_size").cast("double").alias("end"), F.split("p_name", " ").alias("parts"))
-    return G.syllables(t).select("song_id", "piece_no", "word", F.round("start", 6).alias("start"), F.round("end", 6).alias("stop"), "is_word_end")
+    w = table(spark, d, "documents").select(F.col("doc_id").alias("song_id"), F.posexplode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("seq", "word"))
+    t = w.select("song_id", "seq", "word", F.lit(0.0).alias("start"), F.length("word").cast("double").alias("end"), F.regexp_extract_all("word", F.lit(".{1,3}"), F.lit(0)).alias("parts"))
+    return G.syllables(t).select("song_id", "seq", "piece_no", "word", F.round("start", 6).alias("start"), F.round("end", 6).alias("stop"), "is_word_end")
 
 
 @query(f"""WITH {FR}, w AS (SELECT song_id, frame_idx AS seq, CASE WHEN conf >= 0.1 THEN t END AS s, CASE WHEN conf >= 0.1 THEN t + 1 END AS e FROM fr),
@@ -240,7 +256,7 @@ def q_score(spark, d):
     return M.score(lines, f.select("song_id", "frame_idx", "t", "freq", "conf"), 3600.0)
 
 
-@query(f"WITH {FR} SELECT song_id, round(quantile_cont(log10(freq), 0.01), 6) AS low, round(quantile_cont(log10(freq), 0.99), 6) AS high FROM fr GROUP BY song_id")
+@query(f"WITH {FR} SELECT song_id, round(quantile_cont(CASE WHEN freq > 0 THEN log10(freq) END, 0.01), 6) AS low, round(quantile_cont(CASE WHEN freq > 0 THEN log10(freq) END, 0.99), 6) AS high FROM fr GROUP BY song_id")
 def q_percentile_bounds(spark, d):
     p = frames(spark, d).groupBy("song_id").agg(F.percentile(F.log10("freq"), F.array(F.lit(0.01), F.lit(0.99))).alias("p"))
     return p.select("song_id", F.round(F.col("p")[0], 6).alias("low"), F.round(F.col("p")[1], 6).alias("high"))
@@ -271,14 +287,8 @@ def q_sanitize(spark, d):
     return table(spark, d, "pages").select("page_id", E.file_name(F.concat("url", F.lit("<a>|*?"))).alias("file_name"), E.alphanumeric(F.col("url")).alias("chunk_name"))
 
 
-@query(r"SELECT doc_id, md5(trim(lower(regexp_replace(text, '[!-/:-@\[-`{-~]', '', 'g')))) AS clean FROM documents WHERE lang = 'en'")
+@query(r"SELECT doc_id, md5(trim(lower(regexp_replace(text, '[!-/:-@\[-`{-~]', '', 'g')))) AS clean FROM documents")
 def q_clean(spark, d):
-    return table(spark, d, "documents").filter("lang = 'en'").select("doc_id", F.md5(E.clean(F.col("text"))).alias("clean"))
-
-
-@query()
-def q_clean_all(spark, d):
-    """All documents, whatever their language; no SQL, as engines differ in lower() of some letters."""
     return table(spark, d, "documents").select("doc_id", F.md5(E.clean(F.col("text"))).alias("clean"))
 
 
@@ -310,12 +320,11 @@ def q_swap_link(spark, d):
     return L.swapped_link(o.filter("ord % 2 = 0"), o.filter("ord % 2 <> 0"), F.col("_r"))
 
 
-@query("""WITH d AS (SELECT DISTINCT p_brand AS entry FROM part), e AS (SELECT entry, row_number() OVER (ORDER BY entry) AS ord FROM d), w AS (SELECT DISTINCT c_mktsegment AS word FROM customer UNION SELECT DISTINCT p_type FROM part)
+@query("""WITH d AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS entry FROM part), e AS (SELECT entry, row_number() OVER (ORDER BY entry) AS ord FROM d), w AS (SELECT DISTINCT unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+')) AS word FROM documents)
 SELECT word, entry, distance FROM (SELECT word, entry, levenshtein(word, entry)::INT AS distance, row_number() OVER (PARTITION BY word ORDER BY levenshtein(word, entry), ord) AS n FROM w, e) WHERE n = 1""")
 def q_nearest_word(spark, d):
-    part = table(spark, d, "part")
-    entries = part.select(F.col("p_brand").alias("entry")).distinct().select("entry", F.col("entry").alias("ord"))
-    words = table(spark, d, "customer").select(F.col("c_mktsegment").alias("word")).union(part.select("p_type"))
+    entries = table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("entry")).distinct().select("entry", F.col("entry").alias("ord"))
+    words = table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("word"))
     return L.nearest_word(words, entries)
 
 
@@ -331,7 +340,7 @@ _LINES = FR + f""", ln AS (SELECT song_id, frame_idx + 2 AS line_no, concat_ws('
  UNION ALL SELECT DISTINCT song_id, 0, '#BPM:120,5' FROM fr UNION ALL SELECT DISTINCT song_id, 1, '#GAP:500' FROM fr UNION ALL SELECT DISTINCT song_id, 2, '#VIDEOGAP:3' FROM fr)"""
 
 
-@query(f"WITH {FR} SELECT song_id, (frame_idx + 2)::INT AS line_no, CASE WHEN event_id % 4 = 0 THEN '*' ELSE ':' END AS note_type, {MIDI.format('freq')} - 48 AS pitch, 'la' AS word, round(frame_idx * 4 * 60 / 482.0 + 0.5, 6) AS start_time, round((frame_idx * 4 + event_id % 5 + 1) * 60 / 482.0 + 0.5, 6) AS end_time FROM fr")
+@query(f"WITH {FR} SELECT song_id, (frame_idx + 2)::INT AS line_no, CASE WHEN event_id % 4 = 0 THEN '*' ELSE ':' END AS note_type, {MIDI.format('freq')} - 48 AS pitch, CASE WHEN freq > 0 THEN 'la' ELSE '' END AS word, round(frame_idx * 4 * 60 / 482.0 + 0.5, 6) AS start_time, round((frame_idx * 4 + event_id % 5 + 1) * 60 / 482.0 + 0.5, 6) AS end_time FROM fr")
 def q_txt_parse(spark, d):
     return K.note_lines(_lines(spark, d)).select("song_id", "line_no", "note_type", "pitch", "word", F.round("start_time", 6).alias("start_time"), F.round("end_time", 6).alias("end_time"))
 
@@ -359,7 +368,14 @@ def q_title_split(spark, d):
     return table(spark, d, "part").select("p_partkey", K.retitled(F.concat(F.lit("/in/"), stem, F.lit(".mp3"))).alias("x")).select("p_partkey", "x.artist", "x.title")
 
 
-@query()
+@query(f"""WITH RECURSIVE {NT}, tk AS (SELECT song_id, seq, CASE seq % 3 WHEN 0 THEN '~ ' WHEN 1 THEN 'la' ELSE '~' END AS word, start, stop, seq % 3 = 0 AS we, word AS note, {MIDI.format('freq')} AS midi, 60.0::DOUBLE / 0.005 / 4 AS size FROM nt),
+fl AS (SELECT *, lag(note) OVER w AS prev, trim(word) = '~' AS tilde, note = lag(note) OVER w AS same, start - lag(stop) OVER w > size AS breath, NOT lag(we) OVER w AS open, abs(midi - lag(midi) OVER w) AS step FROM tk WINDOW w AS (PARTITION BY song_id ORDER BY seq)),
+sd AS (SELECT *, tilde AND stop - start <= 2 * size AND step BETWEEN 1 AND 2 AS slide FROM fl), jn AS (SELECT *, coalesce(NOT breath AND CASE WHEN tilde THEN same OR slide ELSE same AND open END, false) AS j FROM sd),
+rc AS (SELECT song_id, seq, seq AS head, word, start, stop, note, we FROM jn WHERE seq = 1
+ UNION ALL SELECT n.song_id, n.seq, CASE WHEN j THEN r.head ELSE n.seq END, CASE WHEN NOT j THEN n.word WHEN tilde THEN CASE WHEN n.word LIKE '% ' AND r.word NOT LIKE '% ' THEN r.word || ' ' ELSE r.word END
+   ELSE CASE WHEN rtrim(r.word) = '~' THEN '' ELSE rtrim(r.word) END || CASE WHEN rtrim(n.word) LIKE '~%' THEN substr(rtrim(n.word), 2) ELSE rtrim(n.word) END || CASE WHEN n.word LIKE '% ' THEN ' ' ELSE '' END END,
+  CASE WHEN j THEN r.start ELSE n.start END, n.stop, CASE WHEN NOT j THEN n.note WHEN slide AND NOT coalesce(same, false) THEN prev ELSE r.note END, CASE WHEN NOT j THEN n.we WHEN tilde THEN r.we OR n.word LIKE '% ' ELSE r.we OR n.we END FROM rc r JOIN jn n ON n.song_id = r.song_id AND n.seq = r.seq + 1)
+SELECT song_id, head AS seq, word, start, stop AS "end", note, false AS is_hyphen, we AS is_word_end FROM (SELECT *, row_number() OVER (PARTITION BY song_id, head ORDER BY seq DESC) AS n FROM rc) WHERE n = 1""")
 def q_merge_words(spark, d):
     n = notes(spark, d).withColumn("midi", E.hz_to_midi(F.col("freq")))
     word = F.when(F.col("seq") % 3 == 0, "~ ").when(F.col("seq") % 3 == 1, "la").otherwise("~")
@@ -419,7 +435,12 @@ def q_number_words(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(X.number_words("text", "lang")).alias("words"))
 
 
-@query()
+_FOLDED = "text"
+for _letter, _plain in X.FOLDED.items():
+    _FOLDED = f"""replace({_FOLDED}, '{_letter}', '{_plain.replace("'", "''")}')"""
+
+
+@query(f"SELECT doc_id, md5(regexp_replace(strip_accents({_FOLDED}), '[^\\x00-\\x7F]+', '', 'g')) AS folded FROM documents")
 def q_ascii_fold(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(X.ascii_folded("text")).alias("folded"))
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
+from ..functions import dims
 from ..functions import expr as E
 
 
@@ -15,6 +17,29 @@ def chunk_manifest(tokens: DataFrame, rate: int, channels: int) -> DataFrame:
     return tokens.select("song_id", "seq", name.alias("file"), at("start").alias("first_frame"), at("end").alias("last_frame"))
 
 
+def line_chunks(lines: DataFrame, rate: int, channels: int) -> DataFrame:
+    """The same for note lines(song_id, line_no, word, start_time, end_time)."""
+    return chunk_manifest(lines.select("song_id", F.col("line_no").alias("seq"), "word", F.col("start_time").alias("start"), F.col("end_time").alias("end")), rate, channels)
+
+
+def step_sizes(frames: DataFrame) -> DataFrame:
+    """song_id, step: the time of each song's second frame, for tracks that begin at 0."""
+    n = F.row_number().over(W.partitionBy("song_id").orderBy("frame_idx"))
+    return frames.withColumn("_n", n).filter("_n = 2").select("song_id", F.col("t").alias("step"))
+
+
+def pitch_axis(frames: DataFrame, margin: float = 0.05) -> DataFrame:
+    """song_id, note, y: the notes C0 to B8 whose log10 frequency is in the song's 1st to 99th percentile, a margin on both sides.
+
+    The 108 notes are a table by rule, so this join is broadcast.
+    """
+    log = F.when(F.col("freq") > 0, F.log10("freq"))
+    p = frames.groupBy("song_id").agg(F.percentile(log, F.array(F.lit(0.01), F.lit(0.99))).alias("p"))
+    bounds = p.select("song_id", F.greatest(F.lit(0.0), F.col("p")[0] - margin).alias("_low"), (F.col("p")[1] + margin).alias("_high"))
+    notes = dims.note_dim(frames.sparkSession).filter("octave between 0 and 8").select("note", F.log10("hz").alias("y"))
+    return bounds.join(F.broadcast(notes), F.col("y").between(F.col("_low"), F.col("_high"))).select("song_id", "note", "y")
+
+
 def time_ticks(frames: DataFrame, every: int) -> DataFrame:
     """Ticks of each song's time axis: the multiples of `every` seconds within it, and both ends."""
     ends = frames.groupBy("song_id").agg(F.min("t").alias("low"), F.max("t").alias("high"))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions import expr as E
+from ..operators.sequences import repitched
 
 #: Tags read, and headers written in this order with the first version that has them.
 TAGS = ["ARTIST", "TITLE", "MP3", "AUDIO", "VIDEO", "GAP", "BPM", "VIDEOGAP", "COVER", "BACKGROUND"]
@@ -25,9 +27,9 @@ def headers(lines: DataFrame) -> DataFrame:
 
 
 def note_lines(lines: DataFrame) -> DataFrame:
-    """Notes with their seconds; words lose blanks at their ends. A song without BPM or GAP gives null times."""
+    """Notes with their seconds; words lose blanks at their ends. A song without BPM or GAP gives null times; what should be a number and is none, a null."""
     parts = lines.filter(F.col("line").rlike("^[:*FRG] ")).withColumn("p", F.split(F.trim("line"), r"\s+"))
-    n = parts.select("song_id", "line_no", F.get("p", F.lit(0)).alias("note_type"), F.get("p", F.lit(1)).cast("double").alias("start_beat"), F.get("p", F.lit(2)).cast("double").alias("duration"), F.get("p", F.lit(3)).cast("int").alias("pitch"), F.coalesce(F.get("p", F.lit(4)), F.lit("")).alias("word"))
+    n = parts.select("song_id", "line_no", F.get("p", F.lit(0)).alias("note_type"), F.get("p", F.lit(1)).try_cast("double").alias("start_beat"), F.get("p", F.lit(2)).try_cast("double").alias("duration"), F.get("p", F.lit(3)).try_cast("int").alias("pitch"), F.coalesce(F.get("p", F.lit(4)), F.lit("")).alias("word"))
     n = n.join(headers(lines).select("song_id", "bpm", "gap"), "song_id", "left")
     at = lambda beat: E.note_second(beat, F.col("bpm"), F.col("gap"))
     return n.withColumns({"start_time": at(F.col("start_beat")), "end_time": at(F.col("start_beat") + F.col("duration"))}).drop("bpm", "gap")
@@ -80,3 +82,56 @@ def routed(inputs: DataFrame) -> DataFrame:
     """inputs(path) with kind: `repitch` for text files, `url` for https addresses, else `media`."""
     kind = F.when(F.endswith("path", F.lit(".txt")), "repitch").when(F.startswith("path", F.lit("https:")), "url").otherwise("media")
     return inputs.withColumn("kind", kind)
+
+
+def located(heads: DataFrame, folder: str = "") -> DataFrame:
+    """heads(song_id, artist, title, mp3, audio) with basename, audio_file, extension and found: mp3, else audio, else not found."""
+    audio = F.coalesce(F.nullif(F.col("mp3"), F.lit("")), F.nullif(F.col("audio"), F.lit("")))
+    name = F.concat_ws(" - ", F.trim("artist"), F.trim("title"))
+    return heads.select("song_id", name.alias("basename"), F.concat(F.lit(folder), audio).alias("audio_file"), F.regexp_extract(audio, r"\.([^./\\\\]*)$", 1).alias("extension"), audio.isNotNull().alias("found"))
+
+
+def song_headers(media: DataFrame, creator: str, karaoke: bool = False) -> DataFrame:
+    """The header table of automatically made songs, a row for each file to write.
+
+    media(song_id, basename, version, artist, title, year, genre, language, music_key, audio_extension, video_extension, video_url,
+    cover_url, has_cover). A song of a version before 1.1.0 gets a second file for karaoke, if asked for, with the instrumental.
+    """
+    file = lambda kind, ext: F.concat(F.col("basename"), F.lit(kind), F.lit("."), F.col(ext))
+    main = media.select(
+        "song_id", F.lit("main").alias("variant"), "version", "artist", "title", E.year(F.col("year")).alias("year"), E.language_name(F.col("language")).alias("language"), E.genres(F.col("genre")).alias("genre"),
+        F.when(F.col("has_cover"), F.concat("basename", F.lit(" [CO].jpg"))).alias("cover"), "cover_url", file("", "audio_extension").alias("mp3"), file("", "audio_extension").alias("audio"),
+        file(" [Vocals]", "audio_extension").alias("vocals"), file(" [Instrumental]", "audio_extension").alias("instrumental"), file("", "video_extension").alias("video"), "video_url",
+        F.concat(F.lit("key: "), "music_key").alias("tags"), F.lit(creator).alias("creator"), F.lit(creator).alias("comment"), F.concat("basename", F.lit(" [Karaoke]")).alias("_k"), "audio_extension",
+    )
+    other = main.filter(F.lit(karaoke) & ~E.at_least(F.col("version"), "1.1.0"))
+    other = other.withColumns({"variant": F.lit("karaoke"), "title": F.col("_k"), "mp3": F.concat("_k", F.lit("."), "audio_extension")})
+    return main.unionByName(other).drop("_k", "audio_extension")
+
+
+def repitched_files(lines: DataFrame, notes: DataFrame) -> DataFrame:
+    """song_id, content: lines(song_id, line_no, line) with the pitch of each `:` line replaced by that of the note(song_id, seq, note) of the same place among them."""
+    order = F.row_number().over(W.partitionBy("song_id").orderBy("line_no")) - 1
+    own = lines.filter(F.col("line").startswith(": ")).select("song_id", "line_no", order.alias("seq"))
+    pitches = own.join(notes.select("song_id", "seq", E.name_to_file_pitch(F.col("note")).alias("pitch")), ["song_id", "seq"]).select("song_id", "line_no", "pitch")
+    return verbatim(repitched(lines, pitches).withColumnRenamed("line_no", "ord"))
+
+
+def verbatim(lines: DataFrame) -> DataFrame:
+    """song_id, content: lines(song_id, ord, line) in order and nothing else."""
+    g = lines.groupBy("song_id").agg(F.array_sort(F.collect_list(F.struct("ord", "line"))).alias("p"))
+    return g.select("song_id", F.array_join(F.transform("p", lambda x: x["line"]), "\n").alias("content"))
+
+
+def audio_files(songs: DataFrame, karaoke: bool = False) -> DataFrame:
+    """song_id, kind, file: the audio files that songs(song_id, basename, version, extension) get beside their text."""
+    new = E.at_least(F.col("version"), "1.1.0")
+    item = lambda ok, kind, source: F.when(ok, F.struct(F.lit(source).alias("kind"), F.concat("basename", F.lit(f" [{kind}]."), "extension").alias("file")))
+    items = F.array(item(~new & F.lit(karaoke), "Karaoke", "instrumental"), item(new, "Instrumental", "instrumental"), item(new, "Vocals", "vocals"))
+    return songs.select("song_id", F.inline(F.array_compact(items)))
+
+
+def finished_files(automatic: DataFrame, given: DataFrame, scores: DataFrame | None = None) -> DataFrame:
+    """song_id, content: the lines(song_id, line_no, line) of automatic and of re-pitched songs, with their scores(song_id, score) put in."""
+    lines = automatic.unionByName(given)
+    return verbatim(lines.withColumnRenamed("line_no", "ord") if scores is None else with_score(lines, scores))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -14,6 +14,17 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, inferSchema=False)
 
 
+def words_of(text: Column) -> Column:
+    """The words of a text, in order, cut at white space."""
+    return F.filter(F.split(text, r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
+
+
+def read_words(spark: SparkSession, path: str) -> DataFrame:
+    """word, ord: the words of a word list, in order within each file."""
+    whole = spark.read.text(path, wholetext=True)
+    return whole.select(F.input_file_name().alias("file"), F.posexplode(words_of(F.col("value"))).alias("ord", "word"))
+
+
 def write_tokens_csv(tokens: DataFrame, path: str) -> None:
     """word,start,end,confidence of each song, in order, a folder for each song."""
     (tokens.repartition("song_id").sortWithinPartitions("song_id", "seq").select("song_id", "word", "start", "end", "confidence").write.partitionBy("song_id").csv(path, header=True))

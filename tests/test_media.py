@@ -1,4 +1,5 @@
 import io
+import struct
 import wave
 
 import numpy as np
@@ -77,3 +78,47 @@ def test_streamed_windows(spark, tmp_path):
         q = out.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
         q.awaitTermination(60)
         assert sorted(r.n for r in spark.table(name).collect()) == [1, 2]
+
+
+def test_other_wav_formats():
+    x = np.array([0.0, 0.5, -0.5, 0.25])
+
+    def riff(kind, bits, raw, channels=1):
+        fmt = struct.pack("<HHIIHH", kind, channels, 1000, 1000 * channels * bits // 8, channels * bits // 8, bits)
+        body = b"WAVE" + b"fmt " + struct.pack("<I", len(fmt)) + fmt + b"LIST" + struct.pack("<I", 3) + b"abc\0" + b"data" + struct.pack("<I", len(raw)) + raw
+        return b"RIFF" + struct.pack("<I", len(body)) + body
+
+    for data in (riff(3, 32, x.astype("<f4").tobytes()), riff(3, 64, x.astype("<f8").tobytes()), riff(1, 32, (x * 2**31).astype("<i4").tobytes()), riff(1, 24, b"".join(int(v * 2**23).to_bytes(3, "little", signed=True) for v in x)), riff(1, 8, (x * 128 + 128).astype(np.uint8).tobytes())):
+        got, rate = M.samples(data)
+        assert rate == 1000 and np.allclose(got, x, atol=1e-6)
+    assert np.allclose(M.samples(riff(1, 16, np.array([[16384, -16384], [16384, 16384]], "<i2").tobytes(), 2))[0], [0, 0.5])
+
+
+def test_chroma_and_tempo(spark):
+    rate = 8000
+    t = np.arange(10 * rate) / rate
+    chord = sum(np.sin(2 * np.pi * 440 * 2 ** ((m - 69) / 12) * t) for m in (60, 64, 67, 72))
+    clicks = np.zeros(12 * rate)
+    for k in range(24):
+        clicks[k * rate // 2 : k * rate // 2 + 200] = np.sin(np.arange(200))
+    songs = spark.createDataFrame([("chord", bytearray(wav(chord / 4, rate))), ("clicks", bytearray(wav(clicks, rate))), ("none", bytearray(wav(np.zeros(10), rate)))], "song_id string, data binary")
+    weights = {(r.song_id, r.pc): r.weight for r in M.chroma_weights(songs).collect()}
+    assert abs(sum(weights["chord", pc] for pc in range(12)) - 1) < 1e-9 and sum(weights["chord", pc] for pc in (0, 4, 7)) > 0.8
+    bpm = {r.song_id: r.bpm for r in M.tempos(songs).collect()}
+    assert abs(bpm["clicks"] - 120) < 2 and bpm["none"] == 0
+    assert sum(weights["none", pc] for pc in range(12)) == 0
+
+
+def test_chunks_and_muting(spark):
+    x = np.full(1000, 0.5)
+    songs = spark.createDataFrame([("s", bytearray(wav(x))), ("q", bytearray(wav(x)))], "song_id string, data binary")
+    spans = spark.createDataFrame([("s", 0.1, 0.3)], "song_id string, start double, end double")
+    got = {r.song_id: M.samples(bytes(r.data))[0] for r in M.muted_files(songs, spans).collect()}
+    assert (got["s"][100:300] == 0).all() and got["s"][99] > 0 and got["s"][300] > 0 and (got["q"] > 0).all()
+    manifest = spark.createDataFrame([("s", "a.wav", 10, 30)], "song_id string, file string, first_frame long, last_frame long")
+    chunk = M.chunk_files(songs, manifest).first()
+    assert chunk.file == "a.wav" and len(M.samples(bytes(chunk.data))[0]) == 20
+
+
+def test_folding():
+    assert [X.folded(t) for t in ("Straße", "Øre æ Łódź", "naïve “x”", "日本")] == ["Strasse", "Ore ae Lodz", 'naive "x"', ""]

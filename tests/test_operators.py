@@ -106,7 +106,7 @@ def test_syllables_without_parts(spark):
 
 def test_indel_ratio(spark):
     df = spark.createDataFrame([("abcd", "abxd"), ("", ""), (None, "a")], "a string, b string")
-    assert [r[0] for r in df.select(L.indel_ratio("a", "b")).collect()] == [0.75, 1.0, None]
+    assert [r[0] for r in df.select(L.indel_ratio(F.col("a"), F.col("b"))).collect()] == [0.75, 1.0, None]
 
 
 def test_text_round_trip(spark):
@@ -124,4 +124,56 @@ def test_clean_of_all_languages(spark, tmp_path):
     texts = [(1, " It's, GOOD! ", "en"), (2, "Über-Maß: Öl?", "de"), (3, "¿Qué TAL? ÑU", "es"), (4, "L'Été (à ÇA)", "fr"), (5, "No. LANG", None), (6, None, "fr"), (7, "...", "de")]
     spark.createDataFrame(texts, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     want = {d: t if t is None else hashlib.md5("".join(c for c in t if c not in string.punctuation).lower().strip(" ").encode()).hexdigest() for d, t, _ in texts}
-    assert {r.doc_id: r.clean for r in plans.q_clean_all(spark, str(tmp_path)).collect()} == want
+    assert {r.doc_id: r.clean for r in plans.q_clean(spark, str(tmp_path)).collect()} == want
+
+
+def test_malformed_note_lines(spark):
+    lines = spark.createDataFrame([("s", 0, "#BPM:120"), ("s", 1, "#GAP:0"), ("s", 2, ": 4 2 la"), ("s", 3, ": x 2 5 la"), ("s", 4, ":"), ("s", 5, "F 8 1 3 do")], "song_id string, line_no int, line string")
+    got = {r.line_no: (r.start_beat, r.pitch, r.word) for r in K.note_lines(lines).collect()}
+    assert got == {2: (4.0, None, ""), 3: (None, 5, "la"), 5: (8.0, 3, "do")}
+    assert values(spark, E.hz_to_midi, [440.0, 0.0, -1.0]) == [69, None, None]
+
+
+def test_index_ranges(spark):
+    """Frames nearest to the ends: the later one on a tie, the first of those at or after the time, one frame at least."""
+    rng = random.Random(2)
+    frames, segments, want = [], [], []
+    for song in range(12):
+        times = sorted(round(rng.uniform(0, 10) * 4) / 4 for _ in range(rng.randint(1, 40)))
+        frames += [(song, i, t, 440.0, 1.0) for i, t in enumerate(times)]
+
+        def near(x, times=times):
+            i = next((i for i, t in enumerate(times) if t >= x), len(times))
+            return i - 1 if i and (i == len(times) or x - times[i - 1] < times[i] - x) else i
+
+        for k in range(20):
+            a = rng.choice([rng.uniform(-1, 11), round(rng.uniform(0, 10) * 8) / 8])
+            b = a + rng.choice([0.01, 0.125, 2.0])
+            segments.append((song, k, a, b))
+            want.append((song, k, near(a), max(near(b), near(a) + 1)))
+    f = spark.createDataFrame(frames, "song_id int, frame_idx int, t double, freq double, conf double")
+    s = spark.createDataFrame(segments, "song_id int, seg int, start double, end double")
+    got = [(r.song_id, r.seg, r.first_frame, r.stop_frame) for r in J.index_ranges(s, f).collect()]
+    assert sorted(got) == sorted(want)
+    counts = J.in_index_range(J.index_ranges(s, f), f.select("song_id", "frame_idx"), 3).groupBy("song_id", "seg").count().collect()
+    assert sorted((r.song_id, r.seg, r["count"]) for r in counts) == sorted((a, b, d - c) for a, b, c, d in want)
+
+
+def test_marked_syllables(spark):
+    cases = [("(ab)c", ["a", "bc"], ["(a", "b)c"]), ("a-b!!", ["a", "b"], ["a", "-b!!"]), ("abc", ["abc"], None), ("a" * 101, ["a", "a" * 100], None), ("x--yz", ["x", "yz"], ["x", "-yz-"])]
+    df = spark.createDataFrame([(w, s) for w, s, _ in cases], "w string, s array<string>")
+    assert [r[0] for r in df.select(E.marked_syllables(F.col("w"), F.col("s"))).collect()] == [x for _, _, x in cases]
+
+
+def test_version_probe_and_gate(spark):
+    df = spark.createDataFrame([(["a", "MuseScore 4", "MuseScore 3"],), (["MuseScore"],), ([],)], "x array<string>")
+    assert [r[0] for r in df.select(E.version_in(F.col("x"))).collect()] == [4, -1, -1]
+    assert values(spark, lambda v: E.at_least(v, "1.1.0"), ["1.1.0", "1.0.9", "1.x.0"]) == [True, False, False]
+
+
+def test_word_search_in_blocks(spark):
+    words = spark.createDataFrame([("hose",), ("house",), ("zzz",), (None,)], "word string")
+    entries = spark.createDataFrame([("house", 1), ("horse", 0), ("z", 2)], "entry string, ord int")
+    for rows in (1, 2, 100):
+        got = sorted(map(tuple, L.nearest_word(words, entries, rows).collect()))
+        assert got == [("hose", "horse", 1), ("house", "house", 0), ("zzz", "z", 2)]

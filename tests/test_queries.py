@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from notewright.plans import queries as plans
+from notewright.plans import songs  # noqa: F401
 
 D = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -21,6 +22,8 @@ def duck():
 
 
 def normal(v):
+    if isinstance(v, (list, tuple)):
+        return tuple(normal(x) for x in v)
     return round(v, 6) + 0.0 if isinstance(v, float) else v
 
 
