@@ -27,7 +27,7 @@ from pyspark.sql.window import Window as W
 from .common import partitions, read, written
 
 PRINT_BITS, LEAST_BITS, ROWS, ROUNDS, WIDER = 3, 6, 3, 2, 2
-BUCKET_ROWS, PART_BYTES, GROUP = 500, 8 << 20, 1024
+BUCKET_ROWS, PART_BYTES, GROUP, FEW = 500, 8 << 20, 1024, 100_000
 _SUBSET_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
 
 
@@ -220,8 +220,10 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
         spark.conf.set(_SUBSET_KEYS, was)
     out, wider = done.filter("_done"), WIDER
     todo = done.filter("not _done").drop("near_edited", "near_next", "_done")
-    while not todo.isEmpty():
-        texts = whole.withColumn("_h", F.xxhash64("text")).join(todo.select(F.col("doc_id").alias("_d"), F.col("_hash").alias("_k")).union(todo.select("next_id", "_next_hash")).distinct(), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_k")), "left_semi").dropDuplicates(["doc_id", "_h"])
+    while (stuck := todo.count()) > 0:
+        wanted = todo.select(F.col("doc_id").alias("_d"), F.col("_hash").alias("_k")).union(todo.select("next_id", "_next_hash")).distinct()
+        wanted = F.broadcast(wanted) if stuck <= FEW else wanted  # as a rule one pair in some ten thousands
+        texts = whole.withColumn("_h", F.xxhash64("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_k")), "left_semi").dropDuplicates(["doc_id", "_h"])
         side = lambda name, key, at: todo.select(*KEYS, F.col(name).alias("_d"), F.col(key).alias("_k")).join(texts, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_k"))).select(*KEYS, F.col("text").alias(at))  # noqa: E731, B023
         again = side("doc_id", "_hash", "text").join(side("next_id", "_next_hash", "next_text"), KEYS)
         tried = written(told(todo, differing(again, wider)), "fingerprints")
