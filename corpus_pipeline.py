@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notewright.llm import decontamination, language_id, near_dedup, sentencepiece_codec, substring_dedup
-from notewright.llm.common import written
+from notewright.llm.common import dropped, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -21,15 +21,8 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one with the smallest doc_id, once.
-
-    A doc_id of which any row is kept stays, so rows that share a doc_id lose nothing.
-    """
-    groups = written(near_dedup.grouped(docs.select("doc_id", "text")), "groups")
-    fates = groups.groupBy("doc_id").agg(F.max("kept").alias("_kept"), F.count_if("kept").alias("_n"))
-    gone = fates.filter(~F.col("_kept")).select(F.col("doc_id").alias("_gone"))
-    kept = docs.select(COLUMNS).join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
-    return kept if fates.filter("_n > 1").isEmpty() else kept.dropDuplicates(["doc_id", "text"])  # only then are there repeated rows
+    """One row of each near-duplicate group stays: the one with the smallest doc_id, once. Rows without a doc_id or that share one are judged by their texts."""
+    return near_dedup.survivors(docs.select(COLUMNS))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,9 +56,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written to the shared folder and read again by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = written(docs, name)
+            if before is not None:
+                dropped(before)
+            before = docs
     return docs

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import BLANK_WORDS_LOWER, dropped, grams, lean, mixed, read, steps, words, written
+from .common import BLANK_WORDS_LOWER, dropped, grams, lean, mixed, read, steps, unused, words, written
 
 SHINGLE, PERCENT = 5, 75
 TREES, DEPTH, DEEPER, NEIGHBOURS, BEST, FORESTS = 24, 3, 4, 8, 2, 3
@@ -80,7 +80,7 @@ def node(own: np.ndarray) -> int:
 
 
 def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, n_shingles, node and signature (null without shingles) of each row of (doc_id, text)."""
+    """doc_id, hash, n_shingles, node and signature (null without shingles) of each row of (doc_id, hash, text)."""
     lean()
     for batch in steps(batches, limit=STEP):
         sets, starts = shingle_sets(batch.column("text"))
@@ -88,7 +88,7 @@ def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         full = sizes > 0
         nodes = [node(sets[a:b]) if b > a else None for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
         values = iter(signatures(sets, starts))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(nodes, pa.int64()), pa.array([next(values).tobytes() if f else None for f in full.tolist()], pa.binary())], names=["doc_id", "n_shingles", "node", "values"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), pa.array(sizes), pa.array(nodes, pa.int64()), pa.array([next(values).tobytes() if f else None for f in full.tolist()], pa.binary())], names=["doc_id", "hash", "n_shingles", "node", "values"])
 
 
 def planted_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -397,9 +397,10 @@ def candidates(nodes: DataFrame) -> DataFrame:
     return pairs.join(b, "b").join(a, "a").select("a", "b", "low_a", "low_b").mapInArrow(weighed, "a long, b long, agree int")
 
 
-def grouped(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text)."""
-    rows = written(docs.select("doc_id", "text").mapInArrow(described, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, node long, values binary"), "described")
+def members(docs: DataFrame) -> DataFrame:
+    """doc_id, hash (of the text), n_shingles, root, component_id for each row of docs(doc_id, text); root tells components, null: no words."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = written(docs.select("doc_id", F.xxhash64("text").alias("hash"), "text").mapInArrow(described, f"doc_id {kind}, hash long, n_shingles long, node long, values binary"), "described")
     nodes = written(rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("owner"), F.first("values").alias("values")), "nodes")
     rows_out = written(rows.drop("values"), "rows")
     dropped(rows)
@@ -423,12 +424,30 @@ def grouped(docs: DataFrame) -> DataFrame:
         roots = components(found.unionByName(more))
     named = nodes.select("node", "owner").join(roots, "node", "left").select("node", "owner", F.coalesce("root", "node").alias("root"))
     names = named.groupBy("root").agg(F.min("owner").alias("component_id"))
-    named = written(named.join(names, "root").select("node", "component_id"), "named")
+    named = written(named.join(names, "root").select("node", "root", "component_id"), "named")
     dropped(nodes)
     out = rows_out.join(named, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    return out.select("doc_id", "hash", "n_shingles", "root", component.alias("component_id"))
+
+
+def grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text)."""
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
+    return members(docs).select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
+def survivors(docs: DataFrame) -> DataFrame:
+    """docs with one row of each component, the one with the smallest doc_id (none: last, then the smallest text hash), and all without words; columns stay."""
+    key, hash_ = unused(docs, "_gone", "_hash")
+    rows = written(members(docs.select("doc_id", "text")).select("doc_id", "hash", "root"), "members")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
+    best = rows.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min(rank).alias("b")).select("root", "b.doc_id", "b.hash")
+    own = rows.filter(F.col("root").isNotNull()).groupBy("doc_id", "hash").agg(F.first("root").alias("root"), F.count("*").alias("n"))
+    own = written(own.join(best.withColumnRenamed("doc_id", "_d").withColumnRenamed("hash", "_h"), "root").select("doc_id", "hash", "n", (F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("hash") == F.col("_h"))).alias("stays")), "fates")
+    gone = own.filter("not stays").select(F.col("doc_id").alias(key), F.col("hash").alias(hash_))
+    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(hash_)), "left_anti")
+    return kept if own.filter("stays and n > 1").isEmpty() else kept.dropDuplicates(["doc_id", "text"])  # only then are there repeated rows
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -510,3 +510,56 @@ def test_pipeline(spark, tmp_path):
     out = {r.doc_id: r for r in pipeline.run(spark, str(tmp_path)).collect()}
     assert sorted(out) == [0, 2, 3, 7]
     assert len(pipeline.STAGES) == 5 and out[2].n_ids == len(out[2].ids) > 0
+
+
+def test_pipeline_stages_alone(spark, tmp_path):
+    """Each stage on nulls in any column, repeated rows, shared ids, a very long text, clashing columns, and on no rows."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    spark.createDataFrame([(1, "zwölf " * 3 + "one two three four five six seven eight nine ten")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    text = lambda k, n: " ".join(f"word{k}x{i}" for i in range(n))
+    rows = [(None, text(1, 50), "en", "s", None), (None, text(1, 49) + " end", None, None, 3), (None, text(2, 50), "en", "s", 1), (5, text(3, 50), "de", "s", 1), (5, text(4, 50), "de", "s", 1), (5, text(4, 50), "de", "s", 1), (6, text(3, 50), None, "s", 1), (7, None, "en", None, None), (8, "", "en", "s", 0), (9, text(9, 60_000), "en", "s", 1)]
+    df = spark.createDataFrame([(*r, 1, "x", 2) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, _hash int, root string, n_words int")
+    kept = {}
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, df, str(tmp_path))
+        kept[name] = sorted(((r.doc_id, getattr(r, "text", None) and r.text[:9]) for r in out.collect()), key=repr)
+        assert out.columns == (pipeline.COLUMNS if name != "sentencepiece" else ["doc_id", "lang", "source", "n_ids", "ids"])
+        assert stage(spark, df.limit(0), str(tmp_path)).count() == 0
+    assert len(kept["language_id"]) == 8 and len(kept["decontamination"]) == len(kept["sentencepiece"]) == 10
+    # One of the two null-id copies, the other null-id text, one of doc 5's copies, 5 instead of 6, and the texts without words.
+    assert collections.Counter(d for d, _ in kept["near_dedup"]) == {None: 2, 5: 2, 7: 1, 8: 1, 9: 1}
+    # Equal texts lose all their words, and so the document; the near copies lose what they share and keep their ends.
+    assert collections.Counter(d for d, _ in kept["substring_dedup"]) == {None: 3, 7: 1, 8: 1, 9: 1}
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    """The middle stages over the smallest tables, from the language stage's rows, by the slow models."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    first = pipeline.identify_languages(spark, docs, D).select("doc_id", "text").collect()
+    rows = [(r.doc_id, r.text) for r in first]
+    keep = {d for d, _, _, kept in linked(rows) if kept}
+    rows = [(d, t) for d, t in rows if d in keep]
+    cut = removed(rows, 35)
+    seen = collections.Counter(tuple(w[i : i + 35]) for w in (blank_words(t) for _, t in rows) for i in range(len(w) - 34))
+    left = []
+    for d, t in rows:
+        w = blank_words(t)
+        gone = set()
+        for i in range(len(w) - 34):
+            if seen[tuple(w[i : i + 35])] > 1:
+                gone |= set(range(i, i + 35))
+        if len(gone) < len(w):
+            left.append((d, " ".join(x for i, x in enumerate(w) if i not in gone) if gone else t))
+    assert len(cut) == len(rows)
+    items = [plain_words(r.text) for r in spark.read.parquet(f"{D}/benchmark.parquet").collect()]
+    windows = {tuple(w[i : i + min(len(w), 10)]) for w in items if w for i in range(len(w) - min(len(w), 10) + 1)}
+    sizes = {len(g) for g in windows}
+    clean = [(d, t) for d, t in left if not any(tuple(w[i : i + k]) in windows for w in [plain_words(t)] for k in sizes for i in range(len(w) - k + 1))]
+    import sentencepiece
+
+    from notewright.llm import sentencepiece_codec as sp
+
+    library = sentencepiece.SentencePieceProcessor(model_proto=sp.model_bytes())
+    got = {r.doc_id: r.ids for r in pipeline.run(spark, D).collect()}
+    assert got == {d: library.encode(t) for d, t in clean}
