@@ -43,12 +43,6 @@ def note_dim(spark: SparkSession) -> DataFrame:
     )
 
 
-def key_templates(spark: SparkSession) -> DataFrame:
-    """shift, mode, ord, pc, weight: 24 templates with the weight 1 on the scale's pitch classes and 0 elsewhere."""
-    rows = [(shift, mode, 2 * shift + k, pc, 1.0 if (pc - shift) % 12 in SCALES[mode] else 0.0) for shift in range(12) for k, mode in enumerate(SCALES) for pc in range(12)]
-    return spark.createDataFrame(rows, "shift int, mode string, ord int, pc int, weight double")
-
-
 def quantize_dim(spark: SparkSession) -> DataFrame:
     """shift, mode, pc, delta: steps from a pitch class to the nearest one of the key, the lower of two as near."""
     rows = []

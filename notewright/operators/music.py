@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dims
@@ -15,12 +15,25 @@ STEP = 0.09
 
 
 def key_of(chroma: DataFrame) -> DataFrame:
-    """key and mode of chroma(song_id, pc, weight): the template with the highest correlation, the first of equals; 24 templates are broadcast."""
-    spark = chroma.sparkSession
-    every = chroma.select("song_id").distinct().join(F.broadcast(dims.key_templates(spark)))
-    full = every.join(chroma.select("song_id", "pc", F.col("weight").alias("x")), ["song_id", "pc"], "left").withColumn("x", F.coalesce("x", F.lit(0.0)))
-    fit = full.groupBy("song_id", "shift", "mode", "ord").agg(F.when(F.stddev_pop("x") > 0, F.try_divide(F.covar_pop("x", "weight"), F.stddev_pop("x") * F.stddev_pop("weight"))).alias("r"))
-    best = fit.filter(F.col("r").isNotNull()).groupBy("song_id").agg(F.max_by(F.struct("shift", "mode", "r"), F.struct(F.round("r", 9), -F.col("ord"))).alias("b"))
+    """key and mode of chroma(song_id, pc, weight): the template with the highest correlation, the first of equals; null weights and pitch classes count nothing.
+
+    One shuffle: a song's twelve weights become one row, and its correlations with the 24 templates are sums over arrays.
+    """
+    at = lambda pc: F.coalesce(F.sum(F.when(F.col("pc") == pc, F.col("weight"))), F.lit(0.0))
+    songs = chroma.groupBy("song_id").agg(F.array(*[at(pc) for pc in range(12)]).alias("x"))
+    total = lambda values: F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
+    songs = songs.withColumns({"sx": total(F.col("x")), "sxx": total(F.transform("x", lambda v: v * v))})
+    spread = 12 * F.col("sxx") - F.col("sx") * F.col("sx")
+
+    def fit(shift: int, mode: str, order: int) -> Column:
+        inside = [(i + shift) % 12 for i in dims.SCALES[mode]]
+        n = len(inside)
+        both = total(F.array(*[F.col("x")[pc] for pc in inside]))
+        r = F.when(spread > 1e-12, (12 * both - F.col("sx") * n) / F.sqrt(spread * (12 * n - n * n)))
+        return F.struct(F.round(r, 9).alias("near"), F.lit(-order).alias("before"), F.lit(shift).alias("shift"), F.lit(mode).alias("mode"), r.alias("r"))
+
+    fits = F.array(*[fit(shift, mode, 2 * shift + k) for shift in range(12) for k, mode in enumerate(dims.SCALES)])
+    best = songs.select("song_id", F.array_max(F.filter(fits, lambda f: f["r"].isNotNull())).alias("b")).filter(F.col("b").isNotNull())
     return best.select("song_id", F.element_at(dims.names(), F.col("b.shift") + 1).alias("key"), "b.mode", F.round("b.r", 6).alias("r"))
 
 
