@@ -180,6 +180,26 @@ def test_crowded_regions_go_deeper(spark, monkeypatch):
     assert calls
 
 
+@pytest.mark.parametrize("whole", [near_dedup.WHOLE, 128])
+def test_recall_where_all_share_a_passage(spark, monkeypatch, whole):
+    """3,000 texts, two thirds of each one passage: every near copy is found, in regions compared whole and in deeper ones."""
+    monkeypatch.setattr(near_dedup, "WHOLE", whole)
+    rng, rows, pairs = random.Random(12), [], 0
+    shared = [f"s{i}" for i in range(160)]
+    for g in range(1500):
+        w = shared + [f"w{g}.{i}" for i in range(80)]
+        v = list(w)
+        for k in rng.sample(range(240), rng.choice([1, 2, 4, 5, 6])):
+            v[k] = f"v{g}.{k}"
+        rows += [(2 * g, " ".join(w)), (2 * g + 1, " ".join(v))]
+        a, b = ({tuple(x[i : i + 5]) for i in range(236)} for x in (w, v))
+        pairs += 100 * len(a & b) >= 75 * len(a | b)
+    got = {r.doc_id: r.component_id for r in near_dedup.grouped(frame(spark, rows)).collect()}
+    assert all(c in (d, d - d % 2) for d, c in got.items())
+    found = sum(got[2 * g + 1] == 2 * g for g in range(1500))
+    assert pairs > 1200 and 0.999 * pairs <= found <= pairs
+
+
 def test_held_regions_stay_linked(monkeypatch):
     """A region cut into parts still hangs together by the rows they share."""
     monkeypatch.setattr(near_dedup, "HELD_ROWS", 20)
