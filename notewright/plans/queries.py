@@ -430,7 +430,45 @@ def q_unused_names(spark, d):
     return TB.unused_names(o).select("song_id", F.regexp_replace("name", "^[0-9]+/", "").alias("name"))
 
 
-@query()
+def _list(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def _groups(least: int) -> str:
+    """Places of the groups of three digits from the highest down to `least` that are not 0; a: all groups, the lowest first."""
+    return f"list_filter(list_reverse(range({least}, len(a))), lambda k: a[k + 1] > 0)"
+
+
+_WORD = r"\p{L}\p{N}\p{M}_"
+#: Numbers in words: tables of 0 to 999, groups of three digits, each language's way to put them together.
+_SPELT = f"""c AS (SELECT {_list(X.EN)} AS en, {_list(X.EN_TENS)} AS en10, {_list(X.DE)} AS de, {_list(X.DE_TENS)} AS de10, {_list(X.ES)} AS es, {_list(X.ES_TENS)} AS es10, {_list(X.ES_HUNDREDS)} AS es100, {_list(X.FR)} AS fr, {_list(X.FR_TENS)} AS fr10),
+h AS (SELECT n, CASE WHEN n < 20 THEN en[n + 1] ELSE en10[n // 10 - 1] || CASE WHEN n % 10 > 0 THEN '-' || en[n % 10 + 1] ELSE '' END END AS en,
+ CASE WHEN n < 20 THEN de[n + 1] ELSE CASE WHEN n % 10 = 0 THEN '' WHEN n % 10 = 1 THEN 'einund' ELSE de[n % 10 + 1] || 'und' END || de10[n // 10 - 1] END AS de,
+ CASE WHEN n < 30 THEN es[n + 1] ELSE es10[n // 10 - 2] || CASE WHEN n % 10 > 0 THEN ' y ' || es[n % 10 + 1] ELSE '' END END AS es,
+ CASE WHEN n < 20 THEN fr[n + 1] WHEN n = 80 THEN 'quatre-vingts' WHEN x = 0 THEN fr10[n // 10 - 1] WHEN x % 10 = 1 AND n < 80 THEN fr10[n // 10 - 1] || ' et ' || fr[x + 1] ELSE fr10[n // 10 - 1] || '-' || fr[x + 1] END AS fr
+ FROM (SELECT n, CASE WHEN n >= 60 THEN n % 20 ELSE n % 10 END AS x FROM range(100) r(n)), c),
+th AS (SELECT m.n, CASE WHEN m.n < 100 THEN h.en ELSE c.en[m.n // 100 + 1] || ' hundred' || CASE WHEN h.n > 0 THEN ' and ' || h.en ELSE '' END END AS en,
+ CASE WHEN m.n < 100 THEN h.de ELSE CASE WHEN m.n < 200 THEN 'ein' ELSE c.de[m.n // 100 + 1] END || 'hundert' || CASE WHEN h.n > 0 THEN h.de ELSE '' END END AS de,
+ CASE WHEN m.n < 100 THEN h.es WHEN m.n = 100 THEN 'cien' ELSE c.es100[m.n // 100] || CASE WHEN h.n > 0 THEN ' ' || h.es ELSE '' END END AS es,
+ CASE WHEN m.n < 100 THEN h.fr ELSE CASE WHEN m.n < 200 THEN 'cent' ELSE c.fr[m.n // 100 + 1] || ' cent' END || CASE WHEN h.n > 0 THEN ' ' || h.fr WHEN m.n >= 200 THEN 's' ELSE '' END END AS fr FROM range(1000) m(n) JOIN h ON h.n = m.n % 100, c),
+v AS (SELECT list(en ORDER BY n) AS en, list(de ORDER BY n) AS de, list(es ORDER BY n) AS es, list(fr ORDER BY n) AS fr, {_list(["thousand", *X.EN_SCALES])} AS ens, {_list(X.DE_SCALES)} AS des, {_list(X.ES_SCALES)} AS ess, {_list(X.FR_SCALES)} AS frs FROM th),
+tk AS (SELECT doc_id, lang, unnest(w) AS tok, generate_subscripts(w, 1) AS pos FROM (SELECT doc_id, lang, regexp_extract_all(text, '[{_WORD}]+|[^{_WORD}]+') AS w FROM documents)),
+nu AS (SELECT DISTINCT lang, regexp_extract(tok, '^[0-9]+') AS raw FROM tk WHERE regexp_matches(tok, '^[0-9]')), dg AS (SELECT lang, raw, CASE WHEN ltrim(raw, '0') = '' THEN '0' ELSE ltrim(raw, '0') END AS d FROM nu),
+gr AS (SELECT lang, raw, d, CASE WHEN len(d) <= 60 THEN list_transform(range((len(d) + 2) // 3), lambda k: substr(d, greatest(len(d) - 3 * k - 2, 1), least(3, len(d) - 3 * k))::INT) END AS a FROM dg),
+lo AS (SELECT gr.*, v.*, coalesce(a[2], 0) AS g, CASE WHEN d = '0' OR a[1] > 0 THEN a[1] END AS u FROM gr, v),
+wd AS (SELECT lang, raw, CASE WHEN lang IS NULL OR lang NOT IN ('en', 'de', 'es', 'fr') THEN '' WHEN len(d) > CASE lang WHEN 'en' THEN 33 WHEN 'es' THEN 30 ELSE 60 END THEN raw WHEN lang = 'en' THEN
+  array_to_string(list_transform({_groups(1)}, lambda k: en[a[k + 1] + 1] || ' ' || ens[k]), ', ') || CASE WHEN u IS NULL THEN '' ELSE CASE WHEN len(a) = 1 THEN '' WHEN u < 100 THEN ' and ' ELSE ', ' END || en[u + 1] END
+ WHEN lang = 'de' THEN concat_ws(' ', nullif(array_to_string(list_transform({_groups(2)}, lambda k: CASE WHEN a[k + 1] = 1 THEN 'eine ' || des[k - 1] ELSE de[a[k + 1] + 1] || ' ' || regexp_replace(des[k - 1], 'e$', '') || 'en' END), ' '), ''),
+  nullif(CASE WHEN g = 0 THEN '' WHEN g = 1 THEN 'eintausend' ELSE de[g + 1] || 'tausend' END || CASE WHEN u IS NULL THEN '' ELSE de[u + 1] END, ''))
+ WHEN lang = 'fr' THEN concat_ws(' ', nullif(array_to_string(list_transform({_groups(2)}, lambda k: fr[a[k + 1] + 1] || ' ' || frs[k - 1] || CASE WHEN a[k + 1] > 1 THEN 's' ELSE '' END), ' '), ''),
+  CASE WHEN g = 1 THEN 'mille' WHEN g > 1 THEN regexp_replace(fr[g + 1], '(cent|vingt)s$', '\\1') || ' mille' END, CASE WHEN u IS NOT NULL THEN fr[u + 1] END)
+ ELSE concat_ws(' ', nullif(array_to_string(list_transform(list_filter(list_reverse(range(1, (len(a) + 1) // 2)), lambda j: a[2 * j + 1] + 1000 * coalesce(a[2 * j + 2], 0) > 0), lambda j: CASE WHEN a[2 * j + 1] = 1 AND coalesce(a[2 * j + 2], 0) = 0 THEN 'un ' || ess[j] || 'ón'
+   ELSE concat_ws(' ', CASE WHEN a[2 * j + 2] = 1 THEN 'mil' WHEN a[2 * j + 2] > 1 THEN es[a[2 * j + 2] + 1] || ' mil' END, CASE WHEN a[2 * j + 1] > 0 THEN es[a[2 * j + 1] + 1] END) || ' ' || ess[j] || 'ones' END), ' '), ''),
+  CASE WHEN g = 1 THEN 'mil' WHEN g > 1 THEN es[g + 1] || ' mil' END, CASE WHEN u IS NOT NULL THEN es[u + 1] END) END AS words FROM lo),
+pt AS (SELECT doc_id, string_agg(CASE WHEN raw IS NULL THEN tok ELSE words || substr(tok, len(raw) + 1) END, '' ORDER BY pos) AS line FROM tk LEFT JOIN wd ON regexp_matches(tok, '^[0-9]') AND raw = regexp_extract(tok, '^[0-9]+') AND wd.lang IS NOT DISTINCT FROM tk.lang GROUP BY doc_id)"""
+
+
+@query(f"WITH {_SPELT} SELECT doc_id, md5(CASE WHEN text IS NOT NULL THEN coalesce(line, '') END) AS words FROM documents LEFT JOIN pt USING (doc_id)")
 def q_number_words(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(X.number_words("text", "lang")).alias("words"))
 
