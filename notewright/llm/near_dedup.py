@@ -274,11 +274,24 @@ def crowd_links(group: pa.Table) -> pa.Table:
 
 
 def _in_blocks(rows: DataFrame) -> DataFrame:
-    """rows(region, node, ..) once for each pair of its region's blocks that has its own: left and right tell the pair."""
-    sizes = rows.groupBy("region").agg(F.ceil(F.count("*") / CROWD).cast("int").alias("_blocks"))
-    own = rows.join(sizes, "region").withColumn("_own", F.pmod(F.hash("node"), F.col("_blocks")))
-    other = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    return other.withColumn("left", F.least("_own", "_other")).withColumn("right", F.greatest("_own", "_other")).drop("_own", "_other", "_blocks")
+    """rows(region, node, root, ..) once for each group of two blocks that has its own: part, left and right tell the group.
+
+    Nodes of a region's largest component (root) are only compared with the others: part 0 has one block of each. Part 1 has
+    two blocks of others. So a region that is nearly one component goes in about as many rows as it has nodes.
+    """
+    sizes = rows.groupBy("region", "root").agg(F.count("*").alias("n")).groupBy("region").agg(F.max(F.struct("n", "root")).alias("_top"), F.sum("n").alias("_all"))
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / CROWD)).cast("int")
+    sizes = sizes.select("region", F.col("_top.root").alias("_root"), blocks(F.col("_top.n")).alias("_main"), blocks(F.col("_all") - F.col("_top.n")).alias("_others"), (F.col("_all") <= CROWD).alias("_small"))
+    x = rows.join(sizes, "region").withColumn("_is", F.col("root") == F.col("_root"))
+    x = x.withColumn("_own", F.when(F.col("_small"), 0).otherwise(F.pmod(F.hash("node"), F.when(F.col("_is"), F.col("_main")).otherwise(F.col("_others")))))
+    group = lambda part, left, right: F.struct(F.lit(part).alias("part"), left.alias("left"), right.alias("right"))
+    other = F.sequence(F.lit(0), F.col("_others") - 1)
+    main = F.transform(other, lambda o: group(0, o, F.col("_own")))
+    against = F.transform(F.sequence(F.lit(0), F.col("_main") - 1), lambda m: group(0, F.col("_own"), m))
+    among = F.transform(F.filter(other, lambda o: o != F.col("_own")), lambda o: group(1, F.least(o, F.col("_own")), F.greatest(o, F.col("_own"))))
+    one = F.array(group(0, F.lit(0), F.lit(0)))
+    places = F.when(F.col("_small"), one).when(F.col("_is"), main).otherwise(F.concat(against, among))
+    return x.select(*rows.columns, F.inline(places))
 
 
 def keyed(depth: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -358,10 +371,10 @@ def crowded(docs: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
     labelled, found = written(labels, "labelled"), None
     for forest in range(FORESTS):
         rows, deeper = regions(labelled)
-        near = _in_blocks(rows).join(labelled.select("node", "values"), "node").select("region", "left", "right", "node", "root", "values")
-        near = written(near.groupBy("region", "left", "right").applyInArrow(near_others, "region long, node long").distinct(), "near")
-        full = _in_blocks(near).join(sets_for(docs, nodes, near), "node").join(labelled.select("node", "root"), "node")
-        full = full.select("region", "left", "right", "node", "root", "size", "members").groupBy("region", "left", "right").applyInArrow(crowd_links, "a long, b long")
+        near = _in_blocks(rows).join(labelled.select("node", "values"), "node").select("region", "part", "left", "right", "node", "root", "values")
+        near = written(near.groupBy("region", "part", "left", "right").applyInArrow(near_others, "region long, node long").distinct(), "near")
+        full = _in_blocks(near.join(labelled.select("node", "root"), "node")).join(sets_for(docs, nodes, near), "node")
+        full = full.select("region", "part", "left", "right", "node", "root", "size", "members").groupBy("region", "part", "left", "right").applyInArrow(crowd_links, "a long, b long")
         full = written(full.distinct(), "links")
         found = full if found is None else found.unionByName(full)
         dropped(near)
