@@ -90,7 +90,7 @@ def test_blocks_have_the_least_cost():
 def test_search_skips_blocks(spark):
     """A query whose best documents stand out reads a small part of its lists."""
     rng = random.Random(5)
-    docs = [(i, " ".join(["x3"] * (20 if 4000 <= i < 4040 else 0) + [f"x{rng.randrange(50)}" for _ in range(60)])) for i in range(8000)]
+    docs = [(i, " ".join(["x3 x4"] * (20 if 4000 <= i < 4040 else 0) + [f"x{rng.randrange(50)}" for _ in range(60)])) for i in range(8000)]
     terms, queries = ls.texts_as_terms(["x3 x4"])
     shards = ls.postings(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), terms)
     n = ls.statistics(shards)
