@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
+from ..operators import alignment as A
+from ..operators import hyphenation as H
 from ..operators import joins as J
 from ..operators import linkage as L
 from ..operators import music as M
@@ -237,3 +239,53 @@ def q_release_facts(spark, d):
 def q_line_chunks(spark, d):
     li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("song_id"), F.col("l_linenumber").alias("line_no"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("word"), F.col("l_quantity").cast("double").alias("start_time"), (F.col("l_quantity").cast("double") + 1).alias("end_time"))
     return EX.line_chunks(li, 1000, 2)
+
+
+#: Patterns by rule, as many as consonants times vowels: a cut before a consonant and a vowel, none after a word's first vowel, none within ch, ph, sh and th.
+_CONSONANTS, _VOWELS = "bcdfghjklmnpqrstvwxz", "aeiouyäöüéèáíóúñ"
+_PATTERNS = f"""co AS (SELECT unnest(string_split('{_CONSONANTS}', '')) AS c), vo AS (SELECT unnest(string_split('{_VOWELS}', '')) AS v), la AS (SELECT unnest(['de', 'en', 'es', 'fr']) AS lang),
+pt AS (SELECT lang, '1' || c || v AS pattern FROM la, co, vo UNION ALL SELECT lang, '.' || v || '2' FROM la, vo UNION ALL SELECT lang, c || '2h' FROM la, co WHERE c IN ('c', 'p', 's', 't')
+  UNION ALL SELECT lang, '1' || c || 'h' || v FROM la, co, vo WHERE c IN ('c', 'p', 's', 't') UNION ALL SELECT lang, '2' || c || 'e.' FROM la, co WHERE lang IN ('en', 'fr')),
+pd AS (SELECT lang, regexp_replace(pattern, '[0-9]', '', 'g') AS letters, string_split_regex(pattern, '[^0-9]') AS ds FROM pt), pr AS (SELECT lang, letters, place - 1 AS place, ds[place]::INT AS digit FROM pd, range(1, 8) AS r(place) WHERE place <= len(ds) AND ds[place] <> '')"""
+
+
+def _rule_patterns(spark):
+    rows = []
+    for lang in ("de", "en", "es", "fr"):
+        rows += [(lang, f"1{c}{v}") for c in _CONSONANTS for v in _VOWELS] + [(lang, f".{v}2") for v in _VOWELS] + [(lang, f"{c}2h") for c in "cpst"]
+        rows += [(lang, f"1{c}h{v}") for c in "cpst" for v in _VOWELS] + [(lang, f"2{c}e.") for c in _CONSONANTS if lang in ("en", "fr")]
+    return spark.createDataFrame(rows, "lang string, pattern string")
+
+
+@query(f"""WITH {_PATTERNS}, dt AS (SELECT lang, unnest(string_split_regex(coalesce(text, ''), '[ \\t\\n]+')) AS word FROM documents),
+wd AS (SELECT lang, word, regexp_replace(word, '[!-/:-@\\[-`{{-~ ]', '', 'g') AS bare, count(*) AS n FROM dt WHERE word <> '' GROUP BY ALL),
+bw AS (SELECT DISTINCT lang, lower(bare) AS w FROM wd WHERE len(lower(bare)) BETWEEN 4 AND 100), dw AS (SELECT lang, w, '.' || w || '.' AS d FROM bw),
+st AS (SELECT *, unnest(range(1, len(d) + 1)) AS pos FROM dw), sb AS (SELECT lang, w, pos, k, substr(d, pos, k) AS letters FROM st, range(1, 5) AS r(k) WHERE pos + k - 1 <= len(d)),
+ht AS (SELECT sb.lang, w, pos + place - 2 AS cut, max(digit) AS digit FROM sb JOIN pr ON pr.lang = sb.lang AND pr.letters = sb.letters GROUP BY ALL),
+ct AS (SELECT lang, w, list(cut ORDER BY cut) AS cuts FROM ht WHERE digit % 2 = 1 AND cut BETWEEN 2 AND len(w) - 2 GROUP BY ALL)
+SELECT wd.lang, word, n, array_to_string(list_transform(range(0, len(cuts) + 1), lambda i: substr(bare, CASE WHEN i = 0 THEN 1 ELSE cuts[i] + 1 END, CASE WHEN i = len(cuts) THEN len(bare) ELSE cuts[i + 1] END - CASE WHEN i = 0 THEN 0 ELSE cuts[i] END)), '-') AS syllables,
+  (len(cuts) + 1)::INT AS n_syllables FROM wd LEFT JOIN ct ON ct.lang = wd.lang AND w = lower(bare) AND len(w) = len(bare)""")
+def q_syllables(spark, d):
+    docs = table(spark, d, "documents").select("lang", F.explode(F.split("text", "[ \\t\\n]+")).alias("word")).filter("word <> ''")
+    words = docs.groupBy("lang", "word").agg(F.count("*").alias("n"))
+    parts = H.hyphenated(words, _rule_patterns(spark))
+    return parts.select("lang", "word", "n", F.array_join(F.transform("parts", lambda p: E.bare(p)), "-").alias("syllables"), F.when(F.col("parts").isNotNull(), F.size("parts")).alias("n_syllables"))
+
+
+#: A song's frames as emissions of six symbols, its first four event types as words; quarters are exact in binary.
+_SYMBOLS = ["-", "|", *"cdefgiklnoprsuvw"]
+
+
+def _emissions(spark, d):
+    f = frames(spark, d).select("song_id", F.lit(0).alias("segment"), (F.col("frame_idx") - 1).alias("frame"), "event_id")
+    each = F.transform(F.array(*[F.lit(s) for s in _SYMBOLS]), lambda s, k: F.struct(s.alias("symbol"), (-((F.col("event_id") * (k * 5 + 3) + k) % 61) / F.lit(4.0)).alias("logp")))
+    return f.select("song_id", "segment", "frame", F.inline(each))
+
+
+def q_forced_alignment(spark, d):
+    first = frames(spark, d).filter("frame_idx <= 4").select("song_id", F.lit(0).alias("segment"), F.col("frame_idx").alias("seq"), "word", F.lit(0.0).alias("offset"))
+    out = A.aligned(first, _emissions(spark, d), 0.25)
+    return out.select("song_id", "seq", "word", "start", F.col("end").alias("stop"), F.round("score", 9).alias("score"))
+
+
+query()(q_forced_alignment)
