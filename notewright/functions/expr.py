@@ -76,8 +76,20 @@ def beat_multiplier(bpm: Column) -> Column:
 
 
 def bpm_text(bpm: Column) -> Column:
-    """As a file has it: two decimals at most, one at least."""
-    return F.round(bpm, 2).cast("string")
+    """As a file has it: two decimals at most, one at least, rounded by the number's exact binary value, without exponent.
+
+    Only an eighth can lie halfway between two hundredths, then the even one is taken. From 10^13 on there is no hundredth to round.
+    """
+    size = F.abs(bpm)
+    whole = F.floor(size).cast("long")
+    scale = 1 << 60  # the part after the point times this is an integer, but for numbers that round to 0 anyway
+    m = ((size - whole) * float(scale)).cast("long").cast("decimal(20,0)")
+    cents = F.floor(m * 100 / F.lit(scale).cast("decimal(20,0)")).cast("long")
+    twice, middle = m * 200, (2 * cents + 1).cast("decimal(20,0)") * F.lit(scale).cast("decimal(20,0)")
+    up = (twice > middle) | ((twice == middle) & (cents % 2 == 1))
+    cents = whole * 100 + cents + F.when(up, 1).otherwise(0)
+    text = F.concat(F.floor(cents / 100).cast("string"), F.lit("."), F.regexp_replace(F.lpad((cents % 100).cast("string"), 2, "0"), "0$", ""))
+    return F.when(size < 1e13, F.concat(F.when(bpm < 0, "-").otherwise(""), text)).otherwise(bpm.cast("string"))
 
 
 def half_even(x: Column) -> Column:
@@ -218,12 +230,22 @@ def crop(width: Column, height: Column) -> Column:
     return F.struct(F.floor((width - side) / 2).alias("left"), F.floor((height - side) / 2).alias("top"), side.alias("side"))
 
 
-def version_parts(version: Column) -> Column:
-    return F.transform(F.split(version, r"\."), lambda x: x.try_cast("int"))
+#: What a suffix of a version number ranks as; a release without one is 0.
+_SUFFIXES = {"dev": -4, "a": -3, "alpha": -3, "b": -2, "beta": -2, "c": -1, "rc": -1, "pre": -1, "preview": -1, "post": 1, "rev": 1, "r": 1}
+_VERSION = r"(?i)^\s*v?(\d+(?:\.\d+)*)(?:[-_.]?(dev|alpha|a|beta|b|preview|pre|rc|c|post|rev|r)[-_.]?(\d*))?\s*$"
+
+
+def version_key(version: Column) -> Column:
+    """numbers (without zeros at the end), rank and number of the suffix: in the order of versions; null for anything else."""
+    part = lambda k: F.regexp_extract(version, _VERSION, k)
+    numbers = F.transform(F.split(F.regexp_replace(part(1), r"(\.0+)+$", ""), r"\."), lambda x: x.try_cast("long"))
+    rank = F.coalesce(lookup({k: str(v) for k, v in _SUFFIXES.items()}, F.lower(part(2))).cast("int"), F.lit(0))
+    return F.when(version.rlike(_VERSION), F.struct(numbers.alias("numbers"), rank.alias("rank"), F.coalesce(part(3).try_cast("long"), F.lit(0).cast("long")).alias("n")))
 
 
 def at_least(version: Column, other: str) -> Column:
-    return version_parts(version) >= F.array(*[F.lit(int(x)) for x in other.split(".")])
+    """Whether a version is another one or a later one: missing parts are 0, a release candidate comes before its release. False for what is no version; null stays null."""
+    return F.when(version.isNotNull(), F.coalesce(version_key(version) >= version_key(F.lit(other)), F.lit(False)))
 
 
 def note_type(tag: Column) -> Column:

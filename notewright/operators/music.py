@@ -56,12 +56,13 @@ def notes_of(segments: DataFrame, frames: DataFrame, width: float = 64) -> DataF
     return modal(confident(rows, ["song_id", "seg"]).withColumn("midi", E.hz_to_midi(F.col("freq"))), ["song_id", "seg"], "midi", "frame_idx")
 
 
-def score(lines: DataFrame, frames: DataFrame, width: float = 1.0, heard_by: Callable[..., DataFrame] = pitch_of) -> DataFrame:
+def score(lines: DataFrame, frames: DataFrame, width: float = 64, heard_by: Callable[..., DataFrame] = notes_of) -> DataFrame:
     """Scores of lines(song_id, line_no, note_type, word, pitch, start_time, end_time) sung as frames(song_id, frame_idx, t, freq, conf).
 
     Each note is cut into parts of STEP seconds; a part counts when its modal note is the line's (accurate) or has its pitch class
     (simple). Golden notes count double; a note with all parts hit earns its share of the 1000 points of line bonus. heard_by gives a
-    part's note: pitch_of from the frames in its time, notes_of from those nearest to its ends.
+    part's note: notes_of from the frames nearest to its ends, at least one, so that each part of a song with frames hears a note; pitch_of from
+    those within its time, which a short part may not have.
     """
     totals = lines.groupBy("song_id").agg(F.count("*").alias("_lines"))
     sung = lines.filter((F.col("word") != "") & (F.col("note_type") != "F"))

@@ -112,7 +112,7 @@ def q_tag_list(spark, d):
     return table(spark, d, "part").select("p_partkey", F.concat(F.lit("key: "), "p_brand").alias("tags"), E.tag_list(F.split("p_type", " ")).alias("tag_list"))
 
 
-@query("""SELECT o_orderkey, [round(60.0::DOUBLE / b * q, 9) FOR q IN [4.0, 2.0, 1.0, 0.5, 0.25, 0.125]] AS lengths, round(x, 2)::VARCHAR AS bpm_text, b / 4 * 4 AS real_bpm, CASE WHEN o_orderkey % 4 = 0 THEN 'note_event_x' ELSE 'plain' END AS snake,
+@query("""SELECT o_orderkey, [round(60.0::DOUBLE / b * q, 9) FOR q IN [4.0, 2.0, 1.0, 0.5, 0.25, 0.125]] AS lengths, regexp_replace(printf('%.2f', x), '0$', '') AS bpm_text, b / 4 * 4 AS real_bpm, CASE WHEN o_orderkey % 4 = 0 THEN 'note_event_x' ELSE 'plain' END AS snake,
  CASE WHEN o_orderkey % 3 = 0 THEN '*' ELSE ':' END AS note_type, ['Afar','Zulu','Persian'][(o_orderkey % 3 + 1)::INT] AS language, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderkey % 40 - 8 END AS file_pitch
 FROM (SELECT o_orderkey, (o_orderkey % 200 + 30)::DOUBLE AS b, (o_orderkey % 1000)::DOUBLE / 8 AS x FROM orders)""")
 def q_note_scalars(spark, d):

@@ -1,6 +1,7 @@
 """Golden cases and slow models of the operators that SQL does not express."""
 
 import hashlib
+import math
 import random
 import string
 
@@ -11,6 +12,7 @@ from notewright.functions import expr as E
 from notewright.operators import generators as G
 from notewright.operators import joins as J
 from notewright.operators import linkage as L
+from notewright.operators import music as M
 from notewright.operators import sequences as S
 from notewright.plans import queries as plans
 from notewright.sources import karaoke_txt as K
@@ -169,6 +171,68 @@ def test_version_probe_and_gate(spark):
     df = spark.createDataFrame([(["a", "MuseScore 4", "MuseScore 3"],), (["MuseScore"],), ([],)], "x array<string>")
     assert [r[0] for r in df.select(E.version_in(F.col("x"))).collect()] == [4, -1, -1]
     assert values(spark, lambda v: E.at_least(v, "1.1.0"), ["1.1.0", "1.0.9", "1.x.0"]) == [True, False, False]
+    ordered = ["0.9", "1.0.dev1", "1.0a1", "1.0b2", "1.0rc1", "1", "1.0.0.post1", "1.1.dev3", "1.1.0rc1", "1.1", "v1.1.0", "1.1.0.0", "1.1.post2", "1.2.0rc1", "1.2", "1.10", "2"]
+    at = [None, "", "one", "1..1", "1.1.", *ordered]
+    assert values(spark, lambda v: E.at_least(v, "1.1.0"), at) == [None, False, False, False, False, *(ordered.index(x) >= ordered.index("1.1") for x in ordered)]
+    assert values(spark, lambda v: E.at_least(v, "1.2.0"), ["1.2", "1.2.0rc1", "1.1.9", "1.02"]) == [True, False, False, True]
+
+
+def test_bpm_text_is_python_rounding(spark):
+    rng = random.Random(11)
+    x = [2.675, 12345678.125, 12345678.375, 0.285, 1.005, 0.125, 0.375, 99.995, 199.999, 0.0, 0.004, 0.005, 120.0, 1e9 + 0.125, 2.5, 3e12 + 0.1, -2.675, 0.015, 1e-9]
+    x += [round(rng.uniform(0, 500), 3) for _ in range(400)] + [rng.uniform(0, 1) for _ in range(200)] + [k / 200 for k in range(1, 400, 2)] + [10 ** rng.uniform(-4, 11) for _ in range(200)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x)], "i int, v double")
+    got = {r.i: r.t for r in df.select("i", E.bpm_text(F.col("v")).alias("t")).collect()}
+    assert [got[i] for i in range(len(x))] == [str(round(v, 2)) for v in x]
+
+
+def sung_score(lines, frames, step=0.09):
+    """The score as it is defined, note by note: a part's frames are the slice between those nearest to its ends."""
+    times = [t for t, _, _ in frames]
+
+    def near(x):
+        i = next((i for i, t in enumerate(times) if t >= x), len(times))
+        return i - 1 if i and (i == len(times) or x - times[i - 1] < times[i] - x) else i
+
+    out = {}
+    for kind in ("accurate", "simple"):
+        n = g = parts = full = 0
+        for word, tag, pitch, a, b in lines:
+            if word == "" or tag == "F":
+                continue
+            count = int((b - a) / step) or 1
+            hits = 0
+            for p in range(count):
+                s, e = a + step * p, b if p == count - 1 else a + step * p + step
+                i, j = near(s), near(e)
+                own = frames[i:j] or [frames[i]]
+                sure = [f for f in own if f[2] > 0.4] or own
+                notes = [round(12 * (math.log2(f / 440)) + 69) for _, f, _ in sure]
+                midi = max(notes, key=lambda m: (notes.count(m), -notes.index(m)))
+                hits += midi == pitch + 48 if kind == "accurate" else midi % 12 == (pitch + 48) % 12
+            n, g, parts, full = n + hits * (tag not in "*G"), g + 2 * hits * (tag in "*G"), parts + count, full + (hits == count)
+        bonus = full * (1000 / len(lines))
+        top = 9000 if bonus else 10000
+        notes = round(top * n / parts)
+        out[kind] = (top, notes, g, round(bonus), round(notes + bonus + g))
+    return out
+
+
+def test_score_hears_the_nearest_frames(spark):
+    """Frames each 0.2 seconds: every part of 0.09 hears one, so a note sung right earns everything."""
+    frames = [(0.2 * k, 440.0, 1.0) for k in range(10)]
+    lines = [("la ", ":", 21, 0.0, 0.9), ("lo ", ":", 21, 0.9, 1.8)]
+    rng = random.Random(4)
+    rough = [(round(0.2 * k + rng.uniform(0, 0.1), 3), rng.choice([440.0, 220.0, 262.0]), rng.random()) for k in range(60)]
+    mixed = [(rng.choice(["la ", "~", ""]), rng.choice(":*FRG"), rng.choice([21, 9, 12]), round(0.5 * k, 2), round(0.5 * k + rng.choice([0.05, 0.3, 0.45]), 2)) for k in range(20)]
+    songs = {"right": (lines, frames), "rough": (mixed, rough)}
+    ln = spark.createDataFrame([(s, i, tag, w, p, a, b) for s, (x, _) in songs.items() for i, (w, tag, p, a, b) in enumerate(x)], "song_id string, line_no int, note_type string, word string, pitch int, start_time double, end_time double")
+    fr = spark.createDataFrame([(s, i, t, f, c) for s, (_, x) in songs.items() for i, (t, f, c) in enumerate(x)], "song_id string, frame_idx int, t double, freq double, conf double")
+    got = {(r.song_id, r.granularity): (r.max_score, r.notes, r.golden, r.line_bonus, r.score) for r in M.score(ln, fr).collect()}
+    assert got == {(s, k): v for s, (x, f) in songs.items() for k, v in sung_score(x, f).items()}
+    assert got[("right", "accurate")] == (9000, 9000, 0, 1000, 10000)
+    within = {(r.song_id, r.granularity): r.score for r in M.score(ln, fr, 1.0, M.pitch_of).collect()}
+    assert within[("right", "accurate")] < 10000
 
 
 def test_word_search_in_blocks(spark):
