@@ -1,16 +1,20 @@
 """Sharding by proportional stratified interleaving, in DataFrame operations only.
 
 Rows of each source are shuffled by a seeded hash of their group (op7: their text), then of the row, and ranked; the fractional
-rank (rank - 1/2) / size spreads every source evenly over [0, 1), so contiguous cuts of the rows sorted by it hold each source
-in the mixture's share. Both ranks have two levels: about sqrt(rows) hash buckets are counted, their running totals are
-joined back, and only the place within a bucket is a window. Buckets that one group has made heavy are divided by the row's
-hash, so a source or a text with a third of all rows is spread over all tasks.
+rank of a group's middle spreads every source evenly over [0, 1), so contiguous cuts of the rows sorted by it hold each source
+in the mixture's share. A group is one unit: it stands in the stratum of its first row (the smallest, by order), all its rows have one fraction,
+and rows of one fraction stand by group. So n shards, which take n - 1 cuts, divide n - 1 groups at most, whatever the number of sources.
 
-The law kept is `rows`. Copies of a text take neighbouring places, in all sources about the same fraction, so that they share a
-shard unless one of the cuts falls between them, as it must within a group that is larger than a shard.
+Ranks have two levels: about sqrt(rows) buckets are counted, their running totals are joined back, and only the place within a bucket is
+a window. A group of over HEAVY * sqrt(rows) rows, of which there can be sqrt(rows) / HEAVY, is a bucket of its own in both rankings and is
+divided by the row's hash, so a source or a text with a third of all rows is spread over all tasks.
 
-Null source: a stratum of its own. Null and empty texts: no bytes, CRC of no bytes. Equal rows take places next to each other
-and are interchangeable. A very long text counts as one row. An empty table gives no rows.
+The law kept is `rows`: counts at most one apart. The mixture of a shard differs from the whole one by a group at each end and by what the
+groups of several sources bring along.
+
+Null source: a stratum of its own. Null and empty texts: no bytes, CRC of no bytes, one group. Equal rows take places next to each other
+and are interchangeable. A very long text counts as one row. An empty table gives no rows. Columns of the input keep their names and values; the
+operator's own are named apart from them, but for `shard` and `slot`, which take the place of columns so named.
 """
 
 from __future__ import annotations
@@ -21,47 +25,68 @@ from pyspark.sql.window import Window as W
 
 from .common import read, root_buckets
 
-HEAVY, CLASSES = 8, 256
+HEAVY = 8
 
 
 def _running(counts: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """Rows before each bucket, and rows of all buckets, within by."""
     w = W.partitionBy(*by)
     return counts.withColumns({
-        "_before": F.coalesce(F.sum("_n").over(w.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)),
-        "_all": F.sum("_n").over(w),
+        "before": F.coalesce(F.sum("n").over(w.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)),
+        "every": F.sum("n").over(w),
     })
 
 
+def _in_one_stratum(keyed: DataFrame) -> DataFrame:
+    """The stratum of a group's first row for all its rows. Only groups that have several strata are joined back."""
+    mixed = keyed.groupBy("g").agg(F.min("stratum").alias("low"), F.max("stratum").alias("high"), F.min_by("stratum", "row").alias("own"))
+    mixed = mixed.filter("low <> high").select("g", "own")
+    return keyed.join(mixed, "g", "left").withColumn("stratum", F.coalesce("own", "stratum")).drop("own")
+
+
 def interleaved(rows: DataFrame, stratum: str, group: list[str], order: list[str], n_shards: int, seed: int = 42) -> DataFrame:
     """rows with `shard` (0 to n_shards - 1, sizes at most one apart) and `slot` (0, 1, ... within the shard).
 
-    group: columns whose equal values stand together; order: columns that tell a group's rows apart (rows equal in all of them
-    are interchangeable). Columns of the input keep their names; those that start with an underscore are the operator's own.
+    group: columns whose equal values stay together; order: columns that tell a group's rows apart (rows equal in all of them
+    are interchangeable).
     """
+    columns = [c for c in rows.columns if c.lower() not in ("shard", "slot")]
     total = rows.count()
     n = root_buckets(total)
-    keyed = rows.withColumn("_stratum", F.coalesce(F.concat(F.lit("="), F.col(stratum).cast("string")), F.lit("null")))
-    keyed = keyed.withColumns({"_g": F.xxhash64(F.lit(seed), *group), "_h": F.xxhash64(F.lit(seed), *group, *order)})
-    keyed = keyed.withColumn("_bucket", F.pmod(F.shiftright("_g", 20), F.lit(n)))
-    # At most n / HEAVY buckets hold more than HEAVY * n of the rows: few enough to broadcast, whatever the input.
-    heavy = keyed.groupBy("_stratum", "_bucket").agg(F.count("*").alias("_n")).filter(F.col("_n") > HEAVY * n)
-    heavy = heavy.select("_stratum", "_bucket", F.ceil(F.col("_n") / n).alias("_splits"))
-    keyed = keyed.join(F.broadcast(heavy), ["_stratum", "_bucket"], "left")
-    # Within these, classes of groups come first, so that only the heavy group's class is spread.
-    sub = F.pmod("_g", F.lit(CLASSES)) * F.col("_splits") + F.pmod(F.shiftright("_h", 20), F.col("_splits"))
-    keyed = keyed.withColumn("_sub", F.coalesce(sub, F.lit(0))).drop("_splits")
-    within = _running(keyed.groupBy("_stratum", "_bucket", "_sub").agg(F.count("*").alias("_n")), ["_stratum"], ["_bucket", "_sub"])
-    place = F.row_number().over(W.partitionBy("_stratum", "_bucket", "_sub").orderBy("_g", "_h", *order))
-    ranked = keyed.withColumn("_place", place).join(within.drop("_n"), ["_stratum", "_bucket", "_sub"])
-    ranked = ranked.withColumn("_at", (F.col("_before") + F.col("_place") - F.lit(0.5)) / F.col("_all")).drop("_before", "_all", "_place")
-    cut = ranked.withColumn("_part", F.floor(F.col("_at") * n))
-    parts = _running(cut.groupBy("_part").agg(F.count("*").alias("_n")), [], ["_part"]).drop("_n", "_all")
-    place = F.row_number().over(W.partitionBy("_part").orderBy("_at", "_stratum", "_h", *order))
-    put = cut.withColumn("_place", place).join(parts, "_part").withColumn("_pos", F.col("_before") + F.col("_place") - 1)
-    put = put.withColumn("shard", F.expr(f"cast((_pos * {n_shards}) div {max(total, 1)} as int)"))
+    keyed = rows.select(
+        F.struct(*columns).alias("kept"), F.struct(*order).alias("row"),
+        F.coalesce(F.concat(F.lit("="), F.col(stratum).cast("string")), F.lit("null")).alias("stratum"),
+        F.xxhash64(F.lit(seed), *group).alias("g"), F.xxhash64(F.lit(seed), *group, *order).alias("h"),
+    )
+    keyed = _in_one_stratum(keyed).withColumn("bucket", F.pmod(F.shiftright("g", 20), F.lit(n)))
+    # At most n / HEAVY groups hold more than HEAVY * n of the rows: few enough to broadcast, whatever the input.
+    heavy = keyed.groupBy("stratum", "bucket", "g").agg(F.count("*").alias("size")).filter(F.col("size") > HEAVY * n)
+    heavy = heavy.select("stratum", "bucket", "g", F.ceil(F.col("size") / n).alias("splits"))
+    keyed = keyed.join(F.broadcast(heavy), ["stratum", "bucket", "g"], "left")
+    # A bucket's other groups come first (own: null), then each heavy one.
+    keyed = keyed.withColumns({"own": F.when(F.col("splits").isNotNull(), F.col("g")), "split": F.coalesce(F.pmod(F.shiftright("h", 20), F.col("splits")), F.lit(0))}).drop("splits")
+    bucket = ["stratum", "bucket", "own", "split"]
+    within = _running(keyed.groupBy(*bucket).agg(F.count("*").alias("n")), ["stratum"], ["bucket", F.asc_nulls_first("own"), "split"])
+    spread = W.partitionBy("stratum", "bucket", "own")
+    within = within.select(*bucket, "every", F.when(F.col("own").isNull(), F.col("before")).otherwise(F.min("before").over(spread)).alias("before"), F.sum("n").over(spread).alias("size"))
+    ahead, members = F.rank().over(W.partitionBy(*bucket).orderBy("g")) - 1, F.count("*").over(W.partitionBy(*bucket, "g"))
+    ranked = keyed.withColumns({"ahead": ahead, "members": members}).alias("k").join(within.alias("w"), [F.col(f"k.{c}").eqNullSafe(F.col(f"w.{c}")) for c in bucket])
+    middle = F.when(F.col("k.own").isNull(), F.col("ahead") + F.col("members") / 2).otherwise(F.col("size") / 2)
+    ranked = ranked.select("kept", "row", "h", *[f"k.{c}" for c in ("stratum", "g", "own", "split")], ((F.col("before") + middle) / F.col("every")).alias("at"))
+    # The same again over all strata: a part's heavy groups lie between its other rows.
+    cut = ranked.withColumn("part", F.floor(F.col("at") * n))
+    unit = F.struct("at", "stratum", "g")
+    heavy = cut.filter(F.col("own").isNotNull()).groupBy("part").agg(F.collect_set(unit).alias("heavy"))
+    cut = cut.join(F.broadcast(heavy), "part", "left")
+    passed = F.coalesce(F.size(F.filter("heavy", lambda u: u < unit)), F.lit(0))
+    cut = cut.withColumn("piece", 2 * passed + F.when(F.col("own").isNotNull(), 1).otherwise(0)).drop("heavy")
+    part = ["part", "piece", "split"]
+    parts = _running(cut.groupBy(*part).agg(F.count("*").alias("n")), [], part).select(*part, "before")
+    place = F.row_number().over(W.partitionBy(*part).orderBy("at", "stratum", "g", "h", "row"))
+    put = cut.withColumn("place", place).join(parts, part).withColumn("pos", F.col("before") + F.col("place") - 1)
+    put = put.withColumn("shard", F.expr(f"cast((pos * {n_shards}) div {max(total, 1)} as int)"))
     first = F.expr(f"(shard * cast({total} as bigint) + {n_shards - 1}) div {n_shards}")
-    return put.withColumn("slot", F.col("_pos") - first).drop("_stratum", "_g", "_h", "_bucket", "_sub", "_part", "_at", "_place", "_before", "_pos")
+    return put.select("kept.*", "shard", (F.col("pos") - first).alias("slot"))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str, n_shards: int = 16) -> DataFrame:

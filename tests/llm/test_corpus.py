@@ -326,8 +326,17 @@ def test_sharding(spark):
     assert sharding.interleaved(df.limit(0), "source", ["doc_id"], ["doc_id"], 16).count() == 0
 
 
+def divided(got):
+    """Groups of equal texts that stand in several shards, and whether the rows of each are neighbours."""
+    at = collections.defaultdict(list)
+    for place, r in enumerate(sorted(got, key=lambda r: (r.shard, r.slot))):
+        at[r.text_crc32, r.size].append((place, r.shard))
+    assert all(x[-1][0] - x[0][0] == len(x) - 1 for x in at.values())
+    return sum(len({s for _, s in x}) > 1 for x in at.values())
+
+
 def test_sharding_query(spark, tmp_path):
-    """Sizes, checksums, law and slots of the query; copies stand together, also a text with a third of all rows."""
+    """Sizes, checksums, law and slots of the query; 16 shards divide 15 groups of copies at most, also with a text that a third of all rows has."""
     rng = random.Random(4)
     rows = [(i, "hot" if i % 3 == 0 else f"é text {i % 300}", rng.choice(["a", "a", None])) for i in range(3000)] + [(None, None, "a"), (None, "", None), (7, "x" * 200_000, "b")]
     for name, frame_, want in (("small", spark.createDataFrame(rows, "doc_id long, text string, source string"), rows), ("data", spark.read.parquet(f"{D}/documents.parquet").select("doc_id", "text", "source"), None)):
@@ -337,19 +346,38 @@ def test_sharding_query(spark, tmp_path):
         bare = lambda t: (len((t or "").encode()) + 1, zlib.crc32((t or "").encode()))
         assert ordered((r.doc_id, r.size, r.text_crc32) for r in got) == ordered((d, *bare(t)) for d, t, _ in want)
         assert {r.law for r in got} == {"rows"} and {r.grown_shard for r in got} == {None}
-        slots, texts, source = collections.defaultdict(list), collections.defaultdict(list), {d: s for d, _, s in want}
-        sizes = collections.Counter(source.values())
+        slots = collections.defaultdict(list)
         for r in got:
             slots[r.shard].append(r.slot)
-            texts[r.text_crc32, source[r.doc_id]].append(r.shard)
         assert set(slots) == set(range(16)) and max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
         assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-        assert all(max(s) - min(s) <= 16 * len(s) / sizes[at] + 2 for (_, at), s in texts.items())
+        assert divided(got) <= 15
+
 
+def test_sharding_of_larger_tables(spark):
+    """Few groups are divided and the mixture holds: no source is off its share of a shard by more than its groups at the ends."""
+    for name in ("sf0.01", "sf0.1"):
+        got = sharding.op7_sharding(spark, f"/root/testdata/{name}").collect()
+        assert divided(got) <= 15
+        source = {r.doc_id: r.source for r in spark.read.parquet(f"/root/testdata/{name}/documents.parquet").select("doc_id", "source").collect()}
+        all_, each = collections.Counter(source[r.doc_id] for r in got), collections.Counter((r.shard, source[r.doc_id]) for r in got)
+        copies = max(collections.Counter((r.text_crc32, r.size) for r in got).values())
+        assert all(abs(each[s, x] - n / 16) <= 2 * copies + 0.1 * n / 16 + 2 for x, n in all_.items() for s in range(16))
 
-def test_sharding_divides_heavy_buckets(spark, monkeypatch):
-    monkeypatch.setattr(sharding, "HEAVY", 1)
+
+@pytest.mark.parametrize("heavy", [1, 0])
+def test_sharding_divides_heavy_groups(spark, monkeypatch, tmp_path, heavy):
+    monkeypatch.setattr(sharding, "HEAVY", heavy)
     test_sharding(spark)
+    test_sharding_query(spark, tmp_path)
+
+
+def test_sharding_keeps_columns(spark):
+    """Columns named as the operator's own ones stay; a column shard is replaced."""
+    df = spark.createDataFrame([(i, "ab"[i % 2], i * 3, i * 5, 9) for i in range(40)], "doc_id long, source string, g long, at long, shard int")
+    got = sharding.interleaved(df, "source", ["doc_id"], ["doc_id"], 4)
+    assert got.columns == ["doc_id", "source", "g", "at", "shard", "slot"]
+    assert all(r.g == 3 * r.doc_id and r["at"] == 5 * r.doc_id and r.shard < 4 for r in got.collect())
 
 
 def test_license_scan():
