@@ -8,7 +8,7 @@ pre-tokenizing with its usual pattern and no prefix blank, no normaliser. With a
 
 Huge texts (over HUGE_CHARS) go in overlapping chunks encoded with offsets: two neighbours are spliced at the last blank
 inside their overlap that is a stable cut and at which both have a token border; where the overlap has none, it is doubled and
-both are encoded again (at last one chunk). Strings of special tokens hold no white space, so none lies across such a blank.
+encoded again; where the whole left chunk has none, that one is doubled, so the work stays linear in the text (at last it is one chunk). Strings of special tokens hold no white space, so none lies across such a blank.
 Other texts are cut at every stable place and each distinct piece is encoded once per step, but for those with a special
 token's string or Unicode white space, which are encoded whole.
 
@@ -127,21 +127,22 @@ def spliced(tok: BytePairs, text: str, chunk: int = CHUNK_CHARS, overlap: int =
     total, start, begin, stop, wide = 0, 0, 0, min(chunk, len(text)), overlap
     left = tok.borders(text[:stop])
     while stop < len(text):
-        low = max(begin + 1, stop - wide)
+        least = max(begin + 1, start)
+        low = max(begin + 1, stop - wide) if _STABLE.search(text, least, stop) else least
         end = min(len(text), stop + chunk)
-        right = tok.borders(text[low:end]) + low
-        common = np.intersect1d(left, right, assume_unique=False)
-        stable = [m.start() for m in _STABLE.finditer(text, low, stop)]
-        joint = np.intersect1d(common, np.array(stable, np.int64))
-        joint = joint[(joint > low) & (joint >= start)]
+        joint = np.array([m.start() for m in _STABLE.finditer(text, low, stop)], np.int64)
+        if len(joint):
+            right = tok.borders(text[low:end]) + low
+            joint = np.intersect1d(np.intersect1d(left, right), joint)
+            joint = joint[(joint > low) & (joint >= start)]
         if len(joint):
             at = int(joint[-1])
             total += int(np.count_nonzero((left >= start) & (left < at)))
             start, begin, stop, left, wide = at, low, end, right, overlap
-        elif low > max(begin + 1, start):
+        elif low > least:
             wide *= 2
-        else:  # nothing to hold on to up to here: the left chunk grows instead
-            stop = end
+        else:  # nothing to hold on to up to here: the left chunk becomes twice as long, so that all growing together costs its end length twice
+            stop = min(len(text), begin + 2 * (stop - begin))
             left, wide = tok.borders(text[begin:stop]) + begin, overlap
     return total + int(np.count_nonzero(left >= start))
 

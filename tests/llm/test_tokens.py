@@ -1,6 +1,7 @@
 """Token counts and SentencePiece ids against the libraries."""
 
 import random
+import time
 
 
 import pyarrow as pa
@@ -30,6 +31,19 @@ def test_spliced_chunks_equal_the_library():
     assert [tc.spliced(tok, x, 64, 8) for x in t] == tok.sizes(t)
 
 
+def test_texts_without_stable_blanks_take_linear_time():
+    tok, rng, took = tc.BytePairs.of(pt.path("byte_bpe_50k.json")), random.Random(5), []
+    for n in (100_000, 400_000, 1_600_000):
+        x = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+        began = time.time()
+        got = tc.spliced(tok, x)
+        took.append(time.time() - began)
+        assert got == tok.sizes([x])[0]
+    assert took[1] < 4 and took[2] < 8 * took[1] + 1
+    for x in ("ab  " * 60_000, "\n" * 200_000, "a b " * 20_000 + "z" * 90_000 + " c d" * 20_000, "z" * 9_000 + " y" + "z" * 50_000 + " x."):
+        assert tc.spliced(tok, x) == tok.sizes([x])[0]
+
+
 def test_count_query_columns(spark):
     df = spark.createDataFrame([(None, None, 1), (2, "", 2), (2, "", 2), (3, "hi there", 3)], "doc_id long, text string, n_tokens int")
     got = sorted(map(tuple, tc.token_counts(df, pt.path("byte_bpe_50k.json"), limit=1).collect()), key=repr)
