@@ -9,14 +9,14 @@ each node's BEST most alike pairs, then all candidates that still lie between tw
 
 Then, wholly: every region that still holds more than one component is compared, all nodes with all, by signatures, and nodes
 that have an alike one in another component on their full sets; a task gives back only as many links as hold its nodes
-together, and works on two blocks of CROWD nodes at most. A region of over WHOLE nodes is not compared: its depth grows, two
-values at a time, until its parts, runs with a longer common prefix, have at most WHOLE. So work per node is bounded, whatever
-passage a third of all may share. Where regions went deeper, fewer trees than usual can catch a pair; nodes with a quarter of
-their trees or more in such regions are planted in another forest with signatures of their own, up to FORESTS.
+together, and works on two blocks of CROWD nodes at most. That goes for regions with up to WHOLE * WHOLE pairs of a node outside the largest
+component and any other. The depth of larger ones adapts to the shingles themselves: their nodes' full sets are put in one order, the rarest
+shingle first, and a node joins a region for each of its first size - ceil(0.75 * size) + 1 shingles. Two sets of the wanted
+similarity share one of these, so no link between them is lost, and a passage that many share comes last in the order. These
+regions are compared in the same way, whatever their size.
 
-At similarity 0.75 a pair shares no prefix of DEPTH values in any of the 24 trees with a chance of 2 in a million. That holds
-for regions of up to WHOLE nodes that are not one component; in parts of larger ones, d values deep, a tree catches a pair with
-0.75^d, so links of texts that are alike to one among tens of thousands only can be lost there.
+At similarity 0.75 a pair shares no prefix of DEPTH values in any of the 24 trees with a chance of 2 in a million; of those that share
+one, every link is found but for what the signature threshold lets go.
 
 Components come from hooking every node to its smallest neighbour and contracting, in DataFrame operations; links, labels and
 sets never go to the driver. A node is told by a 64-bit digest of its set, sets are compared as 48-bit numbers of their shingles.
@@ -41,12 +41,12 @@ from pyspark.sql.window import Window as W
 from .common import BLANK_WORDS_LOWER, dropped, grams, lean, mixed, read, steps, unused, words, written
 
 SHINGLE, PERCENT = 5, 75
-TREES, DEPTH, DEEPER, NEIGHBOURS, BEST, FORESTS = 24, 3, 4, 8, 2, 3
+TREES, DEPTH, DEEPER, NEIGHBOURS, BEST = 24, 3, 4, 8, 2
 VALUES = TREES * DEPTH
 AGREE = int(VALUES * 0.75 - 5.4 * (VALUES * 0.75 * 0.25) ** 0.5)
 HELD_ROWS, SET_BYTES, STEP = 1 << 20, 6, 4 << 20
 CROWD, WHOLE, COLUMNS = 512, 16_384, 2048
-_SEEDS = mixed(np.arange(1, 2 * VALUES * FORESTS + 1, dtype=np.uint64)).reshape(FORESTS, 2, VALUES) | np.uint64(1)
+_SEEDS = mixed(np.arange(1, 2 * VALUES + 1, dtype=np.uint64)).reshape(2, VALUES) | np.uint64(1)
 
 
 def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -65,12 +65,12 @@ def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out) if out else np.zeros(0, np.uint64), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def signatures(sets: np.ndarray, starts: np.ndarray, forest: int = 0) -> np.ndarray:
-    """VALUES 32-bit minhashes of each set that is not empty; each forest has its own."""
+def signatures(sets: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """VALUES 32-bit minhashes of each set that is not empty."""
     full = starts[:-1][np.diff(starts) > 0]
     out = np.zeros((len(full), VALUES), np.uint32)
     for k in range(VALUES if len(full) else 0):
-        x = (sets ^ _SEEDS[forest, 0, k]) * _SEEDS[forest, 1, k]
+        x = (sets ^ _SEEDS[0, k]) * _SEEDS[1, k]
         out[:, k] = np.minimum.reduceat(x ^ (x >> np.uint64(29)), full) >> np.uint64(32)
     return out
 
@@ -294,55 +294,63 @@ def _in_blocks(rows: DataFrame) -> DataFrame:
     return x.select(*rows.columns, F.inline(places))
 
 
-def keyed(depth: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """tree, key, node, root of rows (tree or null for all, node, root, values): the key is of the first depth values in the tree's order."""
+def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, node, root of rows (node, root, values): one key for each tree, of its first DEPTH values."""
+    lean()
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        v = np.frombuffer(b"".join(batch.column("values").to_pylist()), np.uint32).reshape(-1, VALUES)
+        for t in range(TREES):
+            key = np.full(len(v), t, np.uint64)
+            for k in range(DEPTH):
+                key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + v[:, t * DEPTH + k])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("node"), batch.column("root")], names=["key", "node", "root"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lean()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            v = np.frombuffer(b"".join(batch.column("values").to_pylist()), np.uint32).reshape(-1, VALUES)
-            own = batch.column("tree").to_numpy(zero_copy_only=False) if batch.column("tree").null_count == 0 else None
-            for t in range(TREES):
-                rows = np.arange(len(v)) if own is None else np.flatnonzero(own == t)
-                key = np.full(len(rows), t, np.uint64)
-                for k in range(depth):
-                    key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + v[rows, (t * DEPTH + k) % VALUES])
-                at = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), t, np.int32)), pa.array(key.view(np.int64)), batch.column("node").take(at), batch.column("root").take(at)], names=["tree", "key", "node", "root"])
 
-    return run
+def _mixed(rows: DataFrame) -> DataFrame:
+    """key, n, others of the keys whose rows(key, node, root) have several roots: how many nodes, and how many outside the largest component; of keys with the same nodes one."""
+    roots = rows.groupBy("key", "root").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("whose"))
+    keys = roots.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("top"), F.bit_xor("whose").alias("whose"), F.count("*").alias("roots"))
+    several = keys.filter("roots > 1").groupBy("whose", "n").agg(F.min(F.struct("key", (F.col("n") - F.col("top")).alias("others"))).alias("k"))
+    return several.select("k.key", "n", "k.others")
 
 
-_KEYED = "tree int, key long, node long, root long"
+def regions(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """region, node, root of the regions of labelled(node, root, values) with several components; and node of those that are too large to be compared."""
+    rows = written(labelled.mapInArrow(keyed, "key long, node long, root long"), "keyed")
+    sizes = written(_mixed(rows), "sizes")
+    fits = F.col("n").cast("double") * F.col("others") <= float(WHOLE) ** 2
+    found = written(rows.join(sizes.filter(fits).select("key"), "key").select(F.col("key").alias("region"), "node", "root"), "regions")
+    large = written(rows.join(sizes.filter(~fits).select("key"), "key").select("node").distinct(), "large")
+    dropped(rows)
+    dropped(sizes)
+    return found, large
 
 
-def regions(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """region, node, root of the regions of labelled(node, root, values) with several components, as deep as it takes for WHOLE nodes; and the nodes that a quarter of the trees held deeper."""
-    rows = written(labelled.withColumn("tree", F.lit(None).cast("int")).mapInArrow(keyed(DEPTH), _KEYED), "keyed")
-    parts, deeper, depth, used = [], None, DEPTH, []
-    while True:
-        sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.bit_xor(F.xxhash64("node")).alias("whose"))
-        sizes = written(sizes.filter("low <> high").drop("low", "high"), "sizes")
-        fits = sizes.filter((F.col("n") <= WHOLE) | F.lit(depth == VALUES))
-        fits = fits.groupBy("whose", "n").agg(F.min("key").alias("region")).select("region")  # one of the regions of the same nodes
-        parts.append(written(rows.join(fits, rows["key"] == fits["region"]).select("region", "node", "root"), "regions"))
-        large = sizes.filter(F.col("n") > WHOLE).select("key")
-        if depth == VALUES or large.isEmpty():
-            break
-        more = rows.join(large, "key")
-        if deeper is None:
-            deeper = written(more.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") >= TREES // 4).select("node"), "deeper")
-        depth = min(VALUES, depth + 2)
-        used += [rows, sizes]
-        rows = written(more.select("tree", "node", "root").join(labelled.select("node", "values"), "node").mapInArrow(keyed(depth), _KEYED), "keyed")
-    for table in [*used, rows, sizes]:
-        dropped(table)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out, deeper if deeper is not None else labelled.select("node").limit(0)
+def shingles_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, size, key of rows (node, size, members): one for each shingle."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, CROWD):
+            part = batch.slice(k, CROWD)
+            own, size = np.concatenate([_members(m) for m in part.column("members").to_pylist()] or [np.zeros(0, np.int64)]), part.column("size").to_numpy()
+            at = pa.array(np.repeat(np.arange(len(size)), size))
+            yield pa.RecordBatch.from_arrays([part.column("node").take(at), part.column("size").take(at), pa.array(own.astype(np.int64))], names=["node", "size", "key"])
+
+
+def rare_regions(docs: DataFrame, nodes: DataFrame, labelled: DataFrame, large: DataFrame) -> DataFrame:
+    """region, node, root: for each of the large nodes the shingles of which two alike sets share one, the rarest first, as regions with several components."""
+    every = written(sets_for(docs, nodes, large).mapInArrow(shingles_of, "node long, size long, key long"), "shingles")
+    shared = every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    # Shingles of one node are its rarest: they take the first places and join it to nothing.
+    own = every.join(shared, "key").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("keys"))
+    first = F.col("size") - F.ceil(F.col("size") * PERCENT / 100) + 1 - (F.col("size") - F.size("keys"))
+    prefix = own.select("node", F.explode(F.slice("keys", F.lit(1), F.greatest(first, F.lit(0)).cast("int"))).alias("k")).select("node", F.col("k.key").alias("key"))
+    rows = written(prefix.join(labelled.select("node", "root"), "node").select("key", "node", "root"), "prefixes")
+    found = written(rows.join(_mixed(rows).select("key"), "key").select(F.col("key").alias("region"), "node", "root"), "regions")
+    dropped(every)
+    dropped(rows)
+    return found
 
 
 def sets_for(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -352,38 +360,25 @@ def sets_for(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.mapInArrow(sets_of, "node long, size long, members binary").dropDuplicates(["node"])
 
 
-def signed_anew(forest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """node, values of rows (text), with the signatures of another forest."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lean()
-        for batch in steps(batches, limit=STEP):
-            sets, starts = shingle_sets(batch.column("text"))
-            own = [node(sets[a:b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True) if b > a]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([v.tobytes() for v in signatures(sets, starts, forest)], pa.binary())], names=["node", "values"])
-
-    return run
+def compared(docs: DataFrame, nodes: DataFrame, labelled: DataFrame, rows: DataFrame) -> DataFrame:
+    """a, b: links between the components of labelled(node, root, values), of all pairs of nodes that share a region of rows(region, node, root)."""
+    near = _in_blocks(rows).join(labelled.select("node", "values"), "node").select("region", "part", "left", "right", "node", "root", "values")
+    near = written(near.groupBy("region", "part", "left", "right").applyInArrow(near_others, "region long, node long").distinct(), "near")
+    full = _in_blocks(near.join(labelled.select("node", "root"), "node")).join(sets_for(docs, nodes, near), "node")
+    full = full.select("region", "part", "left", "right", "node", "root", "size", "members").groupBy("region", "part", "left", "right").applyInArrow(crowd_links, "a long, b long")
+    full = written(full.distinct(), "links")
+    dropped(near)
+    return full
 
 
 def crowded(docs: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """a, b: links between the components (node, root) found so far, of all pairs of nodes that share a region."""
     labels = nodes.select("node", "values").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "values")
-    labelled, found = written(labels, "labelled"), None
-    for forest in range(FORESTS):
-        rows, deeper = regions(labelled)
-        near = _in_blocks(rows).join(labelled.select("node", "values"), "node").select("region", "part", "left", "right", "node", "root", "values")
-        near = written(near.groupBy("region", "part", "left", "right").applyInArrow(near_others, "region long, node long").distinct(), "near")
-        full = _in_blocks(near.join(labelled.select("node", "root"), "node")).join(sets_for(docs, nodes, near), "node")
-        full = full.select("region", "part", "left", "right", "node", "root", "size", "members").groupBy("region", "part", "left", "right").applyInArrow(crowd_links, "a long, b long")
-        full = written(full.distinct(), "links")
-        found = full if found is None else found.unionByName(full)
-        dropped(near)
-        if forest == FORESTS - 1 or deeper.isEmpty():
-            break
-        owners = deeper.join(nodes.select("node", "owner"), "node").select(F.col("owner").alias("_owner")).distinct()
-        texts = docs.select("doc_id", "text").join(owners, F.col("doc_id").eqNullSafe(F.col("_owner")), "left_semi").select("text")
-        anew = texts.mapInArrow(signed_anew(forest + 1), "node long, values binary").dropDuplicates(["node"]).join(deeper, "node", "left_semi")
-        labelled = written(anew.join(labelled.select("node", "root"), "node").select("node", "root", "values"), "labelled")
+    labelled = written(labels, "labelled")
+    rows, large = regions(labelled)
+    found = compared(docs, nodes, labelled, rows)
+    if not large.isEmpty():
+        found = found.unionByName(compared(docs, nodes, labelled, rare_regions(docs, nodes, labelled, large)))
     return found
 
 

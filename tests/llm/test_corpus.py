@@ -160,13 +160,25 @@ def test_large_regions_in_blocks(spark, monkeypatch):
     test_large_group_that_links_through_one_base(spark)
 
 
-def test_crowded_regions_go_deeper(spark, monkeypatch):
-    """With few nodes to a region: depth grows, forests are added, and no link between different texts is lost."""
-    monkeypatch.setattr(near_dedup, "CROWD", 24)
-    monkeypatch.setattr(near_dedup, "WHOLE", 24)
+@pytest.fixture
+def small_regions(monkeypatch):
+    """Regions of over 24 nodes count as large; how often their shingles were asked for."""
     calls = []
-    real = near_dedup.signed_anew
-    monkeypatch.setattr(near_dedup, "signed_anew", lambda forest: calls.append(forest) or real(forest))
+    real = near_dedup.rare_regions
+    monkeypatch.setattr(near_dedup, "WHOLE", 24)
+    monkeypatch.setattr(near_dedup, "rare_regions", lambda *args: calls.append(1) or real(*args))
+    return calls
+
+
+def test_stars_in_large_regions(spark, small_regions):
+    """A hub's 220 variants, in regions that are all too large to be compared as they are: no link is lost."""
+    test_large_group_that_links_through_one_base(spark)
+    assert small_regions
+
+
+def test_crowded_regions_by_rare_shingles(spark, monkeypatch, small_regions):
+    """800 texts with one passage, in regions that are too large: no link between different texts is lost."""
+    monkeypatch.setattr(near_dedup, "CROWD", 24)
     rng, rows = random.Random(9), []
     shared = [f"s{i}" for i in range(200)]
     for g in range(400):
@@ -177,12 +189,12 @@ def test_crowded_regions_go_deeper(spark, monkeypatch):
                 w[rng.randrange(len(w))] = f"v{g}.{rng.random()}"
             rows.append((2 * g + c, " ".join(w)))
     assert ordered(near_dedup.grouped(frame(spark, rows)).collect()) == linked(rows)
-    assert calls
+    assert small_regions
 
 
 @pytest.mark.parametrize("whole", [near_dedup.WHOLE, 128])
 def test_recall_where_all_share_a_passage(spark, monkeypatch, whole):
-    """3,000 texts, two thirds of each one passage: every near copy is found, in regions compared whole and in deeper ones."""
+    """3,000 texts, two thirds of each one passage: every near copy is found, in regions compared whole and by rare shingles."""
     monkeypatch.setattr(near_dedup, "WHOLE", whole)
     rng, rows, pairs = random.Random(12), [], 0
     shared = [f"s{i}" for i in range(160)]
