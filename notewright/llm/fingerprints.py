@@ -12,13 +12,16 @@ with rows four times as wide, until none is left. Sets themselves are never comp
 
 Null texts are empty: no paragraphs, an empty fingerprint, and two empty sets are alike (1.0). Repeated paragraphs count once. Equal
 texts have equal fingerprints. Repeated rows are rows of their own, one after the other. The next document is found within
-buckets of the doc_id range; buckets that hold many more rows than others are divided again. Rows without doc_id come last;
+buckets of the doc_id range; buckets that hold many more rows than others are divided again, as often as it takes. Rows without doc_id come last;
 rows with equal doc_id are ordered by their text's hash. doc_id may be of any integer type, or a string. A very long text is
 spread over rows like any other. Only doc_id and text are read, so further columns cannot clash.
 """
 
 from __future__ import annotations
 
+import os
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -123,29 +126,61 @@ def recovered(rows: DataFrame, keys: list[str], left: str, right: str) -> DataFr
         todo, wider = rows.join(stuck, keys, "left_semi"), wider + WIDER
 
 
-def _number(docs: DataFrame) -> Column:
-    """A long that grows with doc_id."""
-    if isinstance(docs.schema["doc_id"].dataType, T.StringType):
-        head = F.substring(F.encode("doc_id", "UTF-8"), 1, 7)
-        return F.conv(F.rpad(F.hex(head), 14, "0"), 16, 10).cast("long")
-    return F.col("doc_id").cast("long")
+HEAD = 7
+
+
+def _number(doc_id: Column, kind: T.DataType, skip: Column) -> Column:
+    """A long that grows with doc_id; of a string its HEAD bytes after the first `skip`, which others have too."""
+    if isinstance(kind, T.StringType):
+        head = F.substr(F.encode(doc_id, "UTF-8"), skip + 1, F.lit(HEAD))
+        return F.conv(F.rpad(F.hex(head), 2 * HEAD, "0"), 16, 10).cast("long")
+    return doc_id.cast("long")
+
+
+def _alike(low: Column, high: Column, kind: T.DataType) -> Column:
+    """How many bytes two different strings, and so all between them, begin with alike."""
+    if not isinstance(kind, T.StringType):
+        return F.lit(0)
+    pairs = lambda x: F.regexp_extract_all(F.hex(F.encode(x, "UTF-8")), F.lit("(..)"), F.lit(1))
+    return (F.array_position(F.zip_with(pairs(low), pairs(high), lambda x, y: F.coalesce(x == y, F.lit(False))), F.lit(False)) - 1).cast("int")
+
 
+def ranges(docs: DataFrame, least: int | str | None, most: int | str | None, n_rows: int, rows: int = BUCKET_ROWS) -> tuple[Callable[[DataFrame], DataFrame], int]:
+    """What gives a frame with doc_id its _bucket: ranges of descending doc_id, from most down to least, of about `rows` rows; and the numbers a first range spans.
 
-def bucketed(docs: DataFrame, low: int | None, high: int | None, n_rows: int, rows: int = BUCKET_ROWS) -> DataFrame:
-    """docs with _bucket: ranges of descending doc_id of about `rows` rows; rows without doc_id in the last."""
-    if low is None:
-        return docs.withColumn("_bucket", F.lit(0).cast("long"))
+    Ranges are of equal width, of strings past what all of them begin with; rows without doc_id are in the last. Those that come out much too
+    full are divided in the same way, between their own ends and past what these begin with, and so on, until none is.
+    """
+    if least is None:
+        return lambda df: df.withColumn("_bucket", F.lit(0).cast("long")), 1
+    kind, skip = docs.schema["doc_id"].dataType, 0
+    if isinstance(kind, T.StringType):
+        skip = len(os.path.commonprefix([least.encode(), most.encode()]))
+        low, high = (int.from_bytes(x.encode()[skip : skip + HEAD].ljust(HEAD, b"\0"), "big") for x in (least, most))
+    else:
+        low, high = int(least), int(most)
     n = max(1, n_rows // rows)
     width = max(1, -(-(high - low + 1) // n))
-    out = docs.withColumn("_num", _number(docs)).withColumn("_a", F.coalesce(F.expr(f"({high}L - _num) div {width}L"), F.lit(n + 1).cast("long")))
-    sizes = out.groupBy("_a").agg(F.count("*").alias("_n"), F.min("_num").alias("_low"), F.max("_num").alias("_high"))
-    heavy = sizes.filter((F.col("_n") > 4 * rows) & (F.col("_high") > F.col("_low")))
-    if not heavy.isEmpty():
-        out = out.join(heavy.select("_a", "_high", F.expr(f"greatest(1L, (_high - _low) div (_n div {rows}))").alias("_step")), "_a", "left")
-        fine = F.coalesce(F.expr("(_high - _num) div _step"), F.lit(0).cast("long"))
-    else:
-        fine = F.lit(0).cast("long")
-    return out.withColumn("_bucket", F.col("_a") * (1 << 20) + F.least(fine, F.lit((1 << 20) - 1))).select(*docs.columns, "_bucket")
+    levels, span = [], 1
+
+    def into(df: DataFrame) -> DataFrame:
+        out = df.withColumn("_num", _number(F.col("doc_id"), kind, F.lit(skip))).withColumn("_bucket", F.coalesce(F.expr(f"({high}L - _num) div {width}L"), F.lit(n + 1).cast("long")))
+        for ends, parts in levels:
+            out = out.join(ends, "_bucket", "left").withColumn("_num", _number(F.col("doc_id"), kind, F.col("_skip")))
+            out = out.withColumn("_bucket", F.col("_bucket") * parts + F.coalesce(F.expr("(_high - _num) div _step"), F.lit(0).cast("long"))).drop(*(c for c in ends.columns if c != "_bucket"))
+        return out.select(*df.columns, "_bucket")
+
+    while True:
+        sizes = into(docs.select("doc_id")).groupBy("_bucket").agg(F.count("*").alias("_n"), F.min("doc_id").alias("_low"), F.max("doc_id").alias("_high"))
+        heavy = sizes.filter((F.col("_n") > 4 * rows) & (F.col("_high") > F.col("_low"))).withColumn("_skip", _alike(F.col("_low"), F.col("_high"), kind))
+        heavy = heavy.select("_bucket", "_n", "_skip", *[_number(F.col(c), kind, F.col("_skip")).alias(c) for c in ("_low", "_high")])
+        heavy = written(heavy.select("_bucket", "_n", "_skip", "_high", F.expr(f"greatest(1L, (_high - _low) div (_n div {rows}))").alias("_step")), "ranges")
+        full = heavy.agg(F.max("_n")).first()[0]
+        parts = (full or 0) // rows * 2 + 2  # the width is rounded down, so there may be up to twice as many ranges
+        if full is None or (n + 2) * span * parts >= 1 << 62:
+            return into, span
+        levels.append((heavy.drop("_n"), parts))
+        span *= parts
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -153,14 +188,14 @@ def with_next(docs: DataFrame) -> DataFrame:
 
     _bucket and _i tell rows apart; the rows of a bucket are in one partition.
     """
-    found = docs.agg(F.min(_number(docs)).alias("low"), F.max(_number(docs)).alias("high"), F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).first()
-    into = lambda df: bucketed(df, found["low"], found["high"], found["n"])
+    found = docs.agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).first()
+    into, span = ranges(docs, found["least"], found["most"], found["n"])
     parts = max(partitions(docs.sparkSession), (found["size"] or 0) // PART_BYTES)
     w = W.partitionBy("_bucket").orderBy(F.desc_nulls_last("doc_id"), F.xxhash64("text"))
     keyed = into(docs).repartition(parts, "_bucket").withColumn("_i", F.row_number().over(w))
     led = keyed.withColumns({"_last": F.lead(F.lit(1)).over(w).isNull(), "_id": F.lead("doc_id").over(w), "_text": F.lead("text").over(w)})
     # The next bucket's first row for each bucket's last one: buckets in groups, so that one window holds groups only.
-    buckets = into(docs.select("doc_id")).select("_bucket").distinct().withColumn("_g", F.expr(f"_bucket div {GROUP << 20}"))
+    buckets = into(docs.select("doc_id")).select("_bucket").distinct().withColumn("_g", F.expr(f"_bucket div {GROUP * span}L"))
     groups = buckets.groupBy("_g").agg(F.min("_bucket").alias("_first"))
     order = W.orderBy("_g")
     groups = groups.select("_g", F.coalesce(F.lead("_first").over(order), F.first("_first").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("_later"))

@@ -281,6 +281,32 @@ def test_fingerprints(spark):
     assert {r.doc_id for r in named} == {"k9", "k1000000000000", "k11"}
 
 
+@pytest.mark.parametrize("ids", [
+    [f"https://site/{n}" for n in range(5000)],
+    [f"https://{s}/page-{n}" for s in ("a.example", "a.example/x", "b.example", "ü.example") for n in range(1200)] + ["", "https://a.example/page-1"],
+    [n if n % 2 else n * n * 10**9 for n in range(5000)],
+], ids=["urls", "sites", "numbers"])
+def test_next_documents_by_ranges(spark, ids):
+    """Ids that begin alike are spread over many buckets, and the next document is the next lower one, whatever the bucket."""
+    kind = "string" if isinstance(ids[0], str) else "long"
+    docs = spark.createDataFrame([(d, f"t{k}") for k, d in enumerate(ids)] + [(None, "none")], f"doc_id {kind}, text string")
+    got = fingerprints.with_next(docs).collect()
+    sizes = collections.Counter(r._bucket for r in got)
+    assert len(sizes) >= 6 and max(sizes.values()) <= 4 * fingerprints.BUCKET_ROWS
+    order = sorted(ids, key=lambda x: x.encode() if kind == "string" else x, reverse=True) + [None]
+    assert collections.Counter((r.doc_id, r.next_id) for r in got) == collections.Counter(zip(order, [*order[1:], order[0]]))
+
+
+def test_fingerprints_of_repeated_rows_and_long_texts(spark):
+    """Repeated rows are rows of their own, one after the other; a very long text is one like any other."""
+    long = "\n".join(f"paragraph {k} of many" for k in range(60_000))
+    rows = [(1, "a. b"), (1, "a. b"), (2, long), (3, long), (3, long), (None, "z")]
+    got = fingerprints.fingerprinted(frame(spark, rows)).collect()
+    assert sorted((r.doc_id or 0, r.n_chars, r.near_next) for r in got)[1:3] == [(1, 4, 0.0), (1, 4, 1.0)]
+    assert sorted((r.n_chars, r.near_next) for r in got if r.doc_id in (2, 3)) == [(len(long), 0.0), (len(long), 1.0), (len(long), 1.0)]
+    assert len({r.fingerprint for r in got if r.doc_id in (2, 3)}) == 1
+
+
 def test_fingerprints_retry_wider(spark, monkeypatch):
     """Sketches that are too narrow do not peel; wider ones give the same rows."""
     rows = frame(spark, [(i, ". ".join(f"p{i % 4}.{j}" for j in range(40))) for i in range(60)])
