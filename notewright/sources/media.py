@@ -25,13 +25,16 @@ def _chunks(data: bytes) -> dict[bytes, bytes]:
     return out
 
 
-def samples(data: bytes) -> tuple[np.ndarray, int]:
-    """Mono samples in [-1, 1] and their rate of a WAV file: integers of 8, 16, 24 or 32 bits, floats of 32 or 64."""
-    parts = _chunks(data)
-    kind, channels, rate, _, _, bits = struct.unpack("<HHIIHH", parts[b"fmt "][:16])
+def wav_format(fmt: bytes) -> tuple[int, int, int, int]:
+    """Kind, channels, rate and bits of a `fmt ` chunk."""
+    kind, channels, rate, _, _, bits = struct.unpack("<HHIIHH", fmt[:16])
     if kind == 0xFFFE:  # extensible: the kind stands in its extension
-        kind = int.from_bytes(parts[b"fmt "][24:26], "little")
-    raw = parts[b"data"]
+        kind = int.from_bytes(fmt[24:26], "little")
+    return kind, channels, rate, bits
+
+
+def mono(raw: bytes, kind: int, channels: int, bits: int) -> np.ndarray:
+    """Samples in [-1, 1], the mean of the channels."""
     if kind == 3:
         x = np.frombuffer(raw, {32: "<f4", 64: "<f8"}[bits])
     elif bits == 8:
@@ -43,7 +46,14 @@ def samples(data: bytes) -> tuple[np.ndarray, int]:
     else:
         x = np.frombuffer(raw, {16: "<i2", 32: "<i4"}[bits]) / 2.0 ** (bits - 1)
     x = x.astype(np.float32)
-    return x.reshape(-1, channels).mean(axis=1) if channels > 1 else x, rate
+    return x.reshape(-1, channels).mean(axis=1) if channels > 1 else x
+
+
+def samples(data: bytes) -> tuple[np.ndarray, int]:
+    """Mono samples in [-1, 1] and their rate of a WAV file: integers of 8, 16, 24 or 32 bits, floats of 32 or 64."""
+    parts = _chunks(data)
+    kind, channels, rate, bits = wav_format(parts[b"fmt "])
+    return mono(parts[b"data"], kind, channels, bits), rate
 
 
 def chroma(x: np.ndarray, rate: int, seconds: float = 60.0, size: int = 8192) -> np.ndarray:
