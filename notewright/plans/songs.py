@@ -10,6 +10,7 @@ from ..operators import hyphenation as H
 from ..operators import joins as J
 from ..operators import linkage as L
 from ..operators import music as M
+from ..operators import spectra as SP
 from ..sources import exports as EX
 from ..sources import karaoke_txt as K
 from ..sources import tables as TB
@@ -289,3 +290,39 @@ def q_forced_alignment(spark, d):
 
 
 query()(q_forced_alignment)
+
+
+@query(f"""WITH {FR}, f AS (SELECT song_id, frame_idx, t, log10(freq) AS y FROM fr WHERE freq > 0), e AS (SELECT song_id, min(t) AS lo, max(t) AS hi FROM f GROUP BY ALL),
+x AS (SELECT f.*, least(floor(CASE WHEN hi > lo THEN (t - lo) / (hi - lo) ELSE 0 END * 50), 49)::INT AS px FROM f JOIN e USING (song_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY song_id, px ORDER BY t, frame_idx) AS a, row_number() OVER (PARTITION BY song_id, px ORDER BY t DESC, frame_idx DESC) AS b,
+  row_number() OVER (PARTITION BY song_id, px ORDER BY y, t, frame_idx) AS c, row_number() OVER (PARTITION BY song_id, px ORDER BY y DESC, t, frame_idx) AS d FROM x)
+SELECT song_id, px, t, round(y, 9) AS y, frame_idx FROM r WHERE 1 IN (a, b, c, d)""")
+def q_plot_points(spark, d):
+    return EX.plot_points(frames(spark, d), 50).select("song_id", "px", "t", F.round("y", 9).alias("y"), "frame_idx")
+
+
+@query()
+def q_pitch_plot(spark, d):
+    f = frames(spark, d)
+    return EX.pitch_plot(f, gap=86400.0, words=f.filter("frame_idx % 20 = 1").select("song_id", "word", F.col("t").alias("start")))
+
+
+def _event_blocks(spark, d, block, after):
+    """A song's frequencies as samples: rows of `block` of them, with so many of the next ones."""
+    f = frames(spark, d).select("song_id", (F.col("frame_idx") - 1).cast("long").alias("i"), (F.col("freq") / 1000).cast("float").alias("x"))
+    totals = f.groupBy("song_id").agg(F.count("*").alias("total"))
+    own = F.floor(F.col("i") / block)
+    rows = f.select("song_id", "i", "x", F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), F.ceil((F.col("i") - block - after + 1) / block)), own)).alias("b"))
+    rows = rows.groupBy("song_id", "b").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("s")).join(totals, "song_id")
+    first = F.col("b") * block
+    return rows.select(F.col("song_id").cast("string").alias("song_id"), first.alias("first"), "total", F.lit(1000).alias("rate"), F.lit(0).alias("lead"), F.least(F.lit(block).cast("long"), F.col("total") - first).cast("int").alias("own"), F.transform("s", lambda v: v["x"]).alias("samples"))
+
+
+@query(f"""WITH {FR}, s AS (SELECT song_id, frame_idx - 1 AS i, (freq / 1000)::FLOAT::DOUBLE AS x FROM fr), n AS (SELECT song_id, count(*) AS total FROM s GROUP BY ALL),
+c AS (SELECT song_id, unnest(range(0, (total - 16) // 8 + 1)) AS "column" FROM n WHERE total >= 16), w AS (SELECT k, 0.5 - 0.5 * cos(2 * pi() * k / 15) AS w FROM range(16) AS r(k)),
+v AS (SELECT c.song_id, "column", k, x * w AS v FROM c JOIN s ON s.song_id = c.song_id AND i >= "column" * 8 AND i < "column" * 8 + 16 JOIN w ON k = i - "column" * 8),
+p AS (SELECT song_id, "column", bin, power(sum(v * cos(2 * pi() * bin * k / 16)), 2) + power(sum(v * sin(2 * pi() * bin * k / 16)), 2) AS p FROM v, range(9) AS b(bin) GROUP BY ALL)
+SELECT * FROM (SELECT song_id::VARCHAR AS song_id, "column", bin::INT AS bin, round(10 * log10(CASE WHEN bin IN (0, 8) THEN p ELSE 2 * p END / (1000 * (SELECT sum(w * w) FROM w))), 4) AS db FROM p WHERE p > 0) WHERE db > -110""")
+def q_spectrogram(spark, d):
+    rows = SP.spectrogram(_event_blocks(spark, d, 32, 15), 16, 8)
+    return rows.select("song_id", "column", "bin", F.round("db", 4).alias("db")).filter(F.col("db") > -110)

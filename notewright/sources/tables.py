@@ -8,6 +8,9 @@ from pyspark.sql.window import Window as W
 
 from ..operators.sequences import filled_times
 
+#: A word keeps the blank at its end, which tells that it ends there.
+_CSV = {"header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """All columns as strings, the header row off."""
@@ -27,12 +30,12 @@ def read_words(spark: SparkSession, path: str) -> DataFrame:
 
 def write_tokens_csv(tokens: DataFrame, path: str) -> None:
     """word,start,end,confidence of each song, in order, a folder for each song."""
-    (tokens.repartition("song_id").sortWithinPartitions("song_id", "seq").select("song_id", "word", "start", "end", "confidence").write.partitionBy("song_id").csv(path, header=True))
+    (tokens.repartition("song_id").sortWithinPartitions("song_id", "seq").select("song_id", "word", "start", "end", "confidence").write.partitionBy("song_id").csv(path, **_CSV))
 
 
 def write_frames_csv(frames: DataFrame, path: str) -> None:
     rows = frames.repartition("song_id").sortWithinPartitions("song_id", "frame_idx")
-    rows.select("song_id", F.col("t").alias("time"), F.col("freq").alias("frequency"), F.col("conf").alias("confidence")).write.partitionBy("song_id").csv(path, header=True)
+    rows.select("song_id", F.col("t").alias("time"), F.col("freq").alias("frequency"), F.col("conf").alias("confidence")).write.partitionBy("song_id").csv(path, **_CSV)
 
 
 def write_json(df: DataFrame, path: str) -> None:
