@@ -86,3 +86,12 @@ def score(lines: DataFrame, frames: DataFrame, width: float = 64, heard_by: Call
     top = F.when(bonus == 0, 10000).otherwise(9000)
     notes = F.rint(top * F.col("n") / F.col("parts"))
     return sums.select("song_id", "granularity", top.alias("max_score"), notes.cast("int").alias("notes"), F.rint(F.col("g")).cast("int").alias("golden"), F.rint(bonus).cast("int").alias("line_bonus"), F.rint(notes + bonus + F.col("g")).cast("int").alias("score"))
+
+
+def report(scores: DataFrame) -> DataFrame:
+    """song_id, text: both scores of a song in words, the simple one (octaves ignored) first."""
+    number = lambda c: F.col(c).cast("string")
+    line = F.concat(F.lit("Total: "), number("score"), F.lit(", notes: "), number("notes"), F.lit(", line bonus: "), number("line_bonus"), F.lit(", golden notes: "), number("golden"))
+    simple = F.col("granularity") == "simple"
+    own = scores.select("song_id", F.when(simple, 0).otherwise(1).alias("k"), F.concat(F.when(simple, "Simple (octave high ignored)").otherwise("Accurate (octave high matches)"), F.lit(" points\n"), line).alias("t"))
+    return own.groupBy("song_id").agg(F.sort_array(F.collect_list(F.struct("k", "t"))).alias("p")).select("song_id", F.array_join(F.transform("p", lambda x: x["t"]), "\n").alias("text"))

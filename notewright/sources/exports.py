@@ -70,6 +70,42 @@ def music_xml(notes: DataFrame) -> DataFrame:
     return songs.select("song_id", F.concat(F.lit(head), F.array_join(F.transform("p", lambda n: n["x"]), ""), F.lit("</measure></part></score-partwise>")).alias("xml"))
 
 
+BAR, DIVISIONS = 4, 4
+
+
+def sheet(notes: DataFrame, songs: DataFrame) -> DataFrame:
+    """song_id, xml: notes(song_id, seq, midi, start, end, word) one after the other in bars of four quarters, with the title, composer and tempo of songs(song_id, title, artist, bpm).
+
+    Durations are rounded to sixteenths, one at least; a note that passes a bar's end goes on tied in the next one, without its word. The last bar is
+    filled up with a rest. Songs without notes give no sheet, notes without a song one without a head.
+    """
+    n = notes.withColumn("_q", E.sheet_quarters(F.col("end") - F.col("start")))
+    n = n.withColumn("_to", F.sum("_q").over(W.partitionBy("song_id").orderBy("seq"))).withColumn("_from", F.col("_to") - F.col("_q"))
+    bars = F.sequence(F.floor(F.col("_from") / BAR), F.ceil(F.col("_to") / BAR) - 1)
+    n = n.withColumn("bar", F.explode(bars)).withColumns({"_a": F.greatest("_from", F.col("bar") * BAR), "_b": F.least("_to", (F.col("bar") + 1) * BAR)})
+    name = E.midi_to_name(F.col("midi"))
+    head, tail = F.col("_a") > F.col("_from"), F.col("_b") < F.col("_to")
+    mark = lambda tag: F.concat(F.when(head, f'<{tag} type="stop"/>').otherwise(""), F.when(tail, f'<{tag} type="start"/>').otherwise(""))
+    length = lambda q: (q * DIVISIONS).cast("long").cast("string")
+    note = F.concat(
+        F.lit("<note><pitch><step>"), F.substring(name, 1, 1), F.lit("</step>"), F.when(F.contains(name, F.lit("#")), "<alter>1</alter>").otherwise(""), F.lit("<octave>"), (F.floor(F.col("midi") / 12) - 1).cast("string"), F.lit("</octave></pitch><duration>"),
+        length(F.col("_b") - F.col("_a")), F.lit("</duration>"), mark("tie"), F.when(head | tail, F.concat(F.lit("<notations>"), mark("tied"), F.lit("</notations>"))).otherwise(""), F.when(~head, F.concat(F.lit("<lyric><text>"), escaped(F.trim("word")), F.lit("</text></lyric>"))).otherwise(""), F.lit("</note>"),
+    )
+    by_bar = n.select("song_id", "bar", "seq", "_b", note.alias("x")).groupBy("song_id", "bar").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "x"))), lambda v: v["x"]), "").alias("x"), F.max("_b").alias("_b"))
+    left = (F.col("bar") + 1) * BAR - F.col("_b")
+    rest = F.when(left > 0, F.concat(F.lit("<note><rest/><duration>"), length(left), F.lit("</duration></note>"))).otherwise("")
+    both = by_bar.select("song_id", "bar", F.concat("x", rest).alias("x")).groupBy("song_id").agg(F.sort_array(F.collect_list(F.struct("bar", "x"))).alias("bars"))
+    both = both.join(songs.select("song_id", "title", "artist", "bpm"), "song_id", "left")
+    part = lambda column, before, after: F.coalesce(F.concat(F.lit(before), escaped(F.col(column).cast("string")), F.lit(after)), F.lit(""))
+    tempo = F.coalesce(F.concat(F.lit('<direction><direction-type><metronome><beat-unit>quarter</beat-unit><per-minute>'), F.col("bpm").cast("int").cast("string"), F.lit('</per-minute></metronome></direction-type><sound tempo="'), F.col("bpm").cast("int").cast("string"), F.lit('"/></direction>')), F.lit(""))
+    first = F.concat(F.lit(f"<attributes><divisions>{DIVISIONS}</divisions><time><beats>{BAR}</beats><beat-type>4</beat-type></time></attributes>"), tempo)
+    measures = F.array_join(F.transform("bars", lambda b: F.concat(F.lit('<measure number="'), (b["bar"] + 1).cast("string"), F.lit('">'), F.when(b["bar"] == 0, first).otherwise(""), b["x"], F.lit("</measure>"))), "")
+    return both.select("song_id", F.concat(
+        F.lit('<score-partwise version="4.0">'), part("title", "<work><work-title>", "</work-title></work>"), part("artist", '<identification><creator type="composer">', "</creator></identification>"),
+        F.lit('<part-list><score-part id="P1"><part-name>Vocals</part-name></score-part></part-list><part id="P1">'), measures, F.lit("</part></score-partwise>"),
+    ).alias("xml"))
+
+
 def plot_points(frames: DataFrame, width: int, gap: float = float("inf")) -> DataFrame:
     """song_id, px, t, y, frame_idx, island: of each pixel column of a song's pitch track (log10 of the frequency) the first and last frame, the lowest and the highest.
 

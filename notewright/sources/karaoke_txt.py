@@ -20,9 +20,18 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return whole.select("song_id", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
 
 
-def headers(lines: DataFrame) -> DataFrame:
-    """One row a song, a column for each tag in TAGS: the text after the first colon of its last line, trimmed."""
-    tagged = lines.filter(F.col("line").startswith("#")).select("song_id", "line_no", F.regexp_extract("line", r"^#([^:]*):(.*)$", 1).alias("tag"), F.trim(F.regexp_extract("line", r"^#([^:]*):(.*)$", 2)).alias("value"))
+def headers(lines: DataFrame, compat: bool = False) -> DataFrame:
+    """One row a song, a column for each tag in TAGS: the text after the first colon of its last line, trimmed.
+
+    compat: as older readers take them. A line belongs to the first of TAGS that its own tag begins with, so VIDEOGAP and VIDEOURL are
+    VIDEO, COVERURL is COVER and so on, and its value is what stands between the first and the second colon, blanks and all.
+    """
+    own = lines.filter(F.col("line").startswith("#")).select("song_id", "line_no", F.regexp_extract("line", r"^#([^:]*)", 1).alias("tag"), "line")
+    if compat:
+        tag = F.coalesce(*[F.when(F.startswith("tag", F.lit(t)), t) for t in TAGS])
+        tagged = own.filter(F.contains("line", F.lit(":"))).select("song_id", "line_no", tag.alias("tag"), F.split_part("line", F.lit(":"), F.lit(2)).alias("value"))
+    else:
+        tagged = own.select("song_id", "line_no", F.when(F.contains("line", F.lit(":")), F.col("tag")).alias("tag"), F.trim(F.regexp_extract("line", r"^#([^:]*):(.*)$", 2)).alias("value"))
     return tagged.groupBy("song_id").agg(*[F.max_by(F.when(F.col("tag") == t, F.col("value")), F.when(F.col("tag") == t, F.col("line_no"))).alias(t.lower()) for t in TAGS])
 
 
@@ -35,6 +44,11 @@ def note_lines(lines: DataFrame) -> DataFrame:
     return n.withColumns({"start_time": at(F.col("start_beat")), "end_time": at(F.col("start_beat") + F.col("duration"))}).drop("bpm", "gap")
 
 
+def segments(notes: DataFrame) -> DataFrame:
+    """song_id, seq, note, start, end, word of note lines, as they come from note_lines."""
+    return notes.select("song_id", F.col("line_no").alias("seq"), E.midi_to_name(F.col("pitch") + 48).alias("note"), F.col("start_time").alias("start"), F.col("end_time").alias("end"), "word")
+
+
 def header_lines(songs: DataFrame) -> DataFrame:
     """ord, line of the headers of songs (song_id, version, and a nullable column for each header), gated by version."""
     have = {c.upper().replace("_", "") if c != "video_url" else "VIDEOURL": c for c in songs.columns}
@@ -117,6 +131,20 @@ def repitched_files(lines: DataFrame, notes: DataFrame) -> DataFrame:
     return verbatim(repitched(lines, pitches).withColumnRenamed("line_no", "ord"))
 
 
+def repitched_lines(lines: DataFrame, notes: DataFrame, compat: bool = False) -> DataFrame:
+    """lines(song_id, line_no, line) with the pitches of their `:` lines from notes(song_id, seq, note), one for each note line of any kind.
+
+    compat: as older writers do it, `:` lines take the notes one after the other, also those of the golden, rap and freestyle lines
+    between, so pitches slip by as many places.
+    """
+    own = lines.filter(F.col("line").rlike("^[:*FRG] ")).withColumn("_plain", F.startswith("line", F.lit(": ")))
+    w = W.partitionBy("song_id").orderBy("line_no")
+    seq = F.sum(F.col("_plain").cast("int")).over(w) - 1 if compat else F.row_number().over(w) - 1
+    own = own.withColumn("seq", seq).filter("_plain").select("song_id", "line_no", "seq")
+    pitches = own.join(notes.select("song_id", "seq", E.name_to_file_pitch(F.col("note")).alias("pitch")), ["song_id", "seq"]).select("song_id", "line_no", "pitch")
+    return repitched(lines, pitches)
+
+
 def verbatim(lines: DataFrame) -> DataFrame:
     """song_id, content: lines(song_id, ord, line) in order and nothing else."""
     g = lines.groupBy("song_id").agg(F.array_sort(F.collect_list(F.struct("ord", "line"))).alias("p"))

@@ -55,7 +55,25 @@ def recognised(results: DataFrame) -> DataFrame:
     return filled_times(out).withColumns({"is_hyphen": F.lit(False), "is_word_end": F.lit(True)})
 
 
-def unused_names(songs: DataFrame) -> DataFrame:
-    """songs(song_id, name) with repeated names numbered ` (1)`, ` (2)`, ... in order of song_id."""
+def unused_names(songs: DataFrame, most: int = 999) -> DataFrame:
+    """songs(song_id, name) with repeated names numbered ` (1)`, ` (2)`, ... in order of song_id; an error past ` (999)`."""
     n = F.row_number().over(W.partitionBy("name").orderBy("song_id")) - 1
-    return songs.withColumn("_n", n).select("song_id", F.when(F.col("_n") == 0, F.col("name")).otherwise(F.concat("name", F.lit(" ("), F.col("_n").cast("string"), F.lit(")"))).alias("name"))
+    name = F.when(F.col("_n") == 0, F.col("name")).when(F.col("_n") <= most, F.concat("name", F.lit(" ("), F.col("_n").cast("string"), F.lit(")")))
+    return songs.withColumn("_n", n).select("song_id", F.coalesce(name, F.when(F.col("name").isNotNull(), F.raise_error(F.concat(F.lit("no unused name for "), "name")))).alias("name"))
+
+
+def _place(spark: SparkSession, path: str) -> tuple:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Sorted names of what lies in a folder; none if there is no such folder."""
+    system, place = _place(spark, path)
+    return sorted(x.getPath().getName() for x in system.listStatus(place)) if system.exists(place) else []
+
+
+def remove_folder(spark: SparkSession, path: str) -> bool:
+    """Remove a folder of cached tables; False if there was none."""
+    system, place = _place(spark, path)
+    return bool(system.delete(place, True))
