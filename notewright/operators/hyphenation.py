@@ -61,5 +61,6 @@ def hyphenated(tokens: DataFrame, patterns: DataFrame, left: int = LEFT, right:
     found = word_cuts(tokens, patterns, left, right).select(F.col("lang").alias("_lang"), F.col("word").alias("_word"), F.col("cuts").alias("_cuts"))
     bare = E.bare(F.col("word"))
     both = tokens.join(found, (F.col("lang") == F.col("_lang")) & (F.lower(bare) == F.col("_word")), "left")
-    whole = F.col("_cuts").isNotNull() & (F.length(bare) == F.length("_word"))
-    return both.withColumn("parts", F.when(whole, E.marked_syllables(F.col("word"), sliced(bare, F.col("_cuts"))))).drop("_lang", "_word", "_cuts")
+    whole, plain = F.col("_cuts").isNotNull() & (F.length(bare) == F.length("_word")), bare == F.col("word")
+    parts = F.when(whole & plain, sliced(F.col("word"), F.col("_cuts"))).when(whole, E.marked_syllables(F.col("word"), sliced(bare, F.col("_cuts"))))
+    return both.withColumn("parts", parts).drop("_lang", "_word", "_cuts")
