@@ -283,15 +283,29 @@ def _emissions(spark, d):
     return f.select("song_id", "segment", "frame", F.inline(each))
 
 
+_LOG = "(-((event_id * ({0} * 5 + 3) + {0}) % 61) / 4.0::DOUBLE)"
+
+
+@query(f"""WITH RECURSIVE {FR}, wd AS (SELECT song_id, frame_idx AS seq, word, list_filter(string_split(lower(word), ''), lambda c: position(c IN 'cdefgiklnoprsuvw') > 0) AS cs FROM fr WHERE frame_idx <= 4),
+kn AS (SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY seq) AS n FROM wd WHERE len(cs) > 0),
+tk AS (SELECT song_id, seq, unnest(CASE WHEN n > 1 THEN list_prepend('|', cs) ELSE cs END) AS c, unnest(range(CASE WHEN n > 1 THEN 0 ELSE 1 END, len(cs) + 1)) AS i FROM kn),
+ls AS (SELECT song_id, list(position(c IN '-|cdefgiklnoprsuvw') - 1 ORDER BY seq, i) AS ks, list(CASE WHEN i = 0 THEN NULL ELSE seq END ORDER BY seq, i) AS own FROM tk GROUP BY ALL),
+ev AS (SELECT song_id, frame_idx - 1 AS t, event_id, (count(*) OVER (PARTITION BY song_id))::INT AS frames FROM fr),
+rc AS (SELECT song_id, -1 AS t, list_transform(range(0, len(ks) + 1), lambda j: CASE WHEN j = 0 THEN 0.0::DOUBLE ELSE '-infinity'::DOUBLE END) AS sc, []::BOOLEAN[][] AS st FROM ls
+ UNION ALL SELECT song_id, t, list_transform(range(1, len(sc) + 1), lambda j: greatest(stay[j], step[j])), list_append(st, list_transform(range(1, len(sc) + 1), lambda j: step[j] > stay[j]))
+ FROM (SELECT rc.song_id, ev.t, sc, st, list_transform(sc, lambda x: x + {_LOG.format('0')}) AS stay,
+  list_transform(range(0, len(sc)), lambda j: CASE WHEN j = 0 THEN '-infinity'::DOUBLE ELSE sc[j] + {_LOG.format('ks[j]')} END) AS step FROM rc JOIN ev ON ev.song_id = rc.song_id AND ev.t = rc.t + 1 JOIN ls ON ls.song_id = rc.song_id)),
+en AS (SELECT rc.song_id, st FROM rc JOIN (SELECT DISTINCT song_id, frames FROM ev) f ON f.song_id = rc.song_id AND rc.t = frames - 1 WHERE sc[-1] > '-infinity'::DOUBLE),
+bk AS (SELECT en.song_id, len(st) - 1 AS t, len(ks) AS j, st, st[-1][len(ks) + 1] AS moved FROM en JOIN ls USING (song_id)
+ UNION ALL SELECT song_id, t - 1, j - moved::INT, st, st[t][j - moved::INT + 1] FROM bk WHERE j - moved::INT > 0),
+pt AS (SELECT bk.song_id, own[j] AS seq, bk.t, exp(CASE WHEN moved THEN {_LOG.format('ks[j]')} ELSE {_LOG.format('0')} END) AS p FROM bk JOIN ls ON ls.song_id = bk.song_id JOIN ev ON ev.song_id = bk.song_id AND ev.t = bk.t)
+SELECT wd.song_id, wd.seq, word, min(t) * 0.25::DOUBLE AS start, (max(t) + 1) * 0.25::DOUBLE AS stop, round(avg(p), 9) AS score FROM wd LEFT JOIN pt ON pt.song_id = wd.song_id AND pt.seq = wd.seq GROUP BY ALL""")
 def q_forced_alignment(spark, d):
     first = frames(spark, d).filter("frame_idx <= 4").select("song_id", F.lit(0).alias("segment"), F.col("frame_idx").alias("seq"), "word", F.lit(0.0).alias("offset"))
     out = A.aligned(first, _emissions(spark, d), 0.25)
     return out.select("song_id", "seq", "word", "start", F.col("end").alias("stop"), F.round("score", 9).alias("score"))
 
 
-query()(q_forced_alignment)
-
-
 @query(f"""WITH {FR}, f AS (SELECT song_id, frame_idx, t, log10(freq) AS y FROM fr WHERE freq > 0), e AS (SELECT song_id, min(t) AS lo, max(t) AS hi FROM f GROUP BY ALL),
 x AS (SELECT f.*, least(floor(CASE WHEN hi > lo THEN (t - lo) / (hi - lo) ELSE 0 END * 50), 49)::INT AS px FROM f JOIN e USING (song_id)),
 r AS (SELECT *, row_number() OVER (PARTITION BY song_id, px ORDER BY t, frame_idx) AS a, row_number() OVER (PARTITION BY song_id, px ORDER BY t DESC, frame_idx DESC) AS b,
