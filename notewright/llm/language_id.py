@@ -4,8 +4,9 @@ Features are the shares of hashed byte trigrams of the whole lower-cased text (r
 classifier's value for a text is the mean weight of its trigrams: one pass, however long the text is. Families come from
 the training rows: languages whose mean feature vectors are more alike than the average pair are one family.
 
-Learning uses at most SAMPLE rows of each language, those with the smallest seeded hash of doc_id and text among the
-training rows (rows equal in both are one); everything else covers all rows. Null and empty texts and texts without a letter
+Learning knows the LANGUAGES most frequent labels (of equals the first by name) and uses at most SAMPLE rows of each, TOTAL in all: those
+with the smallest seeded hash of doc_id and text among the training rows (rows equal in both are one). So what comes to the driver is
+bounded, however many labels a dirty column has; everything else covers all rows. Null and empty texts and texts without a letter
 are `und` with score 0, as is everything when there is nothing to learn from. A prediction depends on the text alone: equal
 texts get equal ones, whatever rows stand beside them; a tie of duels goes to the larger sum of values, then to the first
 language by name. A very long text is one step of its own, read whole. All input columns stay.
@@ -25,7 +26,7 @@ from pyspark.sql import types as T
 
 from .common import lean, mapped, read, steps
 
-DIMS, SAMPLE, STEP, UNKNOWN = 4096, 500, 2 << 20, "und"
+DIMS, SAMPLE, TOTAL, LANGUAGES, STEP, UNKNOWN = 4096, 500, 20_000, 256, 2 << 20, "und"
 _B = np.arange(256)
 _TABLE = np.where((_B >= 128) | ((_B >= 97) & (_B <= 122)), _B, np.where((_B >= 65) & (_B <= 90), _B + 32, 32)).astype(np.uint8)
 
@@ -137,12 +138,14 @@ class Model:
 
 
 def learned(rows: DataFrame, sample: int = SAMPLE, seed: int = 7) -> Model | None:
-    """Fit on at most sample rows of each language of rows(doc_id, text, lang)."""
+    """Fit on at most sample rows of each language of rows(doc_id, text, lang), within the bounds of all."""
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = rows.withColumn("_h", F.abs(F.xxhash64(F.lit(seed), "doc_id", "text") % 1_000_000_007))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    most = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    counts = {r["lang"]: r["n"] for r in most.collect()}
     if not counts:
         return None
+    sample = min(sample, max(1, TOTAL // len(counts)))
     top = F.create_map(*[F.lit(v) for g, n in sorted(counts.items()) for v in (g, int(min(1.0, 1.5 * sample / n + 64 / n) * 1_000_000_007))])
     chosen = rows.filter(F.col("_h") <= top[F.col("lang")]).groupBy("_h", "lang").agg(F.min("text").alias("text"))
 

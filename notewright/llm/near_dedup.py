@@ -377,8 +377,13 @@ def crowded(docs: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
     labelled = written(labels, "labelled")
     rows, large = regions(labelled)
     found = compared(docs, nodes, labelled, rows)
+    dropped(rows)
     if not large.isEmpty():
-        found = found.unionByName(compared(docs, nodes, labelled, rare_regions(docs, nodes, labelled, large)))
+        rare = rare_regions(docs, nodes, labelled, large)
+        found = found.unionByName(compared(docs, nodes, labelled, rare))
+        dropped(rare)
+    dropped(large)
+    dropped(labelled)
     return found
 
 

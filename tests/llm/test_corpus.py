@@ -649,3 +649,18 @@ def test_pipeline_by_brute_force(spark, tmp_path):
     library = sentencepiece.SentencePieceProcessor(model_proto=sp.model_bytes())
     got = {r.doc_id: r.ids for r in pipeline.run(spark, D).collect()}
     assert got == {d: library.encode(t) for d, t in clean}
+
+
+def test_a_dirty_language_column_is_bounded(spark, monkeypatch):
+    """Thousands of labels: the most frequent ones are learnt, from so many rows in all; the rest are rows to predict like any other."""
+    monkeypatch.setattr(language_id, "LANGUAGES", 3)
+    monkeypatch.setattr(language_id, "TOTAL", 30)
+    taken = []
+    real = language_id.Model
+    monkeypatch.setattr(language_id, "Model", lambda x, names: taken.append(collections.Counter(names)) or real(x, names))
+    says = {"en": "the house and the garden of this year", "de": "das Haus und der Garten in diesem Jahr", "fr": "la maison et le jardin de cette ann\u00e9e"}
+    rows = [(i, f"{says[g]} {i}", g) for i, g in enumerate(list(says) * 40)] + [(1000 + i, f"{says['de']} x{i}", f"label-{i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = language_id.identified(df.select("doc_id", "text"), language_id.learned(df)).collect()
+    assert set(taken[0]) == set(says) and all(n == 10 for n in taken[0].values())
+    assert all(r.lang_pred == "de" for r in out if r.doc_id >= 1000) and all(r.lang_pred == list(says)[r.doc_id % 3] for r in out if r.doc_id < 1000)
