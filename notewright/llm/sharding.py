@@ -37,11 +37,18 @@ def _running(counts: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     })
 
 
-def _in_one_stratum(keyed: DataFrame) -> DataFrame:
-    """The stratum of a group's first row for all its rows. Only groups that have several strata are joined back."""
-    mixed = keyed.groupBy("g").agg(F.min("stratum").alias("low"), F.max("stratum").alias("high"), F.min_by("stratum", "row").alias("own"))
-    mixed = mixed.filter("low <> high").select("g", "own")
-    return keyed.join(mixed, "g", "left").withColumn("stratum", F.coalesce("own", "stratum")).drop("own")
+def _by_group(keyed: DataFrame, n: int) -> DataFrame:
+    """keyed with the stratum of its group's first row, and splits: into how many parts a heavy group is to go, else null.
+
+    Heavy groups hold more than HEAVY * n of the rows, so there are n / HEAVY of them at most: few enough to broadcast, whatever
+    the input. Of the others those that have several strata are joined; rows of heavy groups go by their own hash there, so none gathers.
+    """
+    groups = keyed.groupBy("g").agg(F.count("*").alias("size"), F.min("stratum").alias("low"), F.max("stratum").alias("high"), F.min_by("stratum", "row").alias("own"))
+    heavy = groups.filter(F.col("size") > HEAVY * n).select("g", F.col("own").alias("heavy_own"), F.ceil(F.col("size") / n).alias("splits"))
+    mixed = groups.filter((F.col("size") <= HEAVY * n) & (F.col("low") != F.col("high"))).select(F.col("g").alias("key"), F.lit(False).alias("is_heavy"), "own")
+    out = keyed.join(F.broadcast(heavy), "g", "left").withColumn("is_heavy", F.col("splits").isNotNull())
+    out = out.withColumn("key", F.when(F.col("is_heavy"), F.col("h")).otherwise(F.col("g"))).join(mixed, ["key", "is_heavy"], "left")
+    return out.withColumn("stratum", F.coalesce("heavy_own", "own", "stratum")).drop("key", "is_heavy", "own", "heavy_own")
 
 
 def interleaved(rows: DataFrame, stratum: str, group: list[str], order: list[str], n_shards: int, seed: int = 42) -> DataFrame:
@@ -58,11 +65,7 @@ def interleaved(rows: DataFrame, stratum: str, group: list[str], order: list[str
         F.coalesce(F.concat(F.lit("="), F.col(stratum).cast("string")), F.lit("null")).alias("stratum"),
         F.xxhash64(F.lit(seed), *group).alias("g"), F.xxhash64(F.lit(seed), *group, *order).alias("h"),
     )
-    keyed = _in_one_stratum(keyed).withColumn("bucket", F.pmod(F.shiftright("g", 20), F.lit(n)))
-    # At most n / HEAVY groups hold more than HEAVY * n of the rows: few enough to broadcast, whatever the input.
-    heavy = keyed.groupBy("stratum", "bucket", "g").agg(F.count("*").alias("size")).filter(F.col("size") > HEAVY * n)
-    heavy = heavy.select("stratum", "bucket", "g", F.ceil(F.col("size") / n).alias("splits"))
-    keyed = keyed.join(F.broadcast(heavy), ["stratum", "bucket", "g"], "left")
+    keyed = _by_group(keyed, n).withColumn("bucket", F.pmod(F.shiftright("g", 20), F.lit(n)))
     # A bucket's other groups come first (own: null), then each heavy one.
     keyed = keyed.withColumns({"own": F.when(F.col("splits").isNotNull(), F.col("g")), "split": F.coalesce(F.pmod(F.shiftright("h", 20), F.col("splits")), F.lit(0))}).drop("splits")
     bucket = ["stratum", "bucket", "own", "split"]
