@@ -1,4 +1,4 @@
-"""Spectra over blocks of samples: spectrograms, constant-Q chroma, denoising. One song is many rows, so many tasks.
+"""Work over blocks of samples: spectrograms, constant-Q chroma, denoising, silences, muting. One song is many rows, so many tasks.
 
 Each row of blocks (sources.wav_blocks.BLOCKS) works on the windows that begin, are centred, or overlap in its own samples, and needs as many of its
 neighbours' samples as these reach over; windows lie at multiples of the hop from the song's first sample, whatever the
@@ -169,3 +169,45 @@ def denoised(blocks: DataFrame, reduction_db: float = 12.0, size: int = 1024, ov
 
     both = blocks.join(noise_floor(blocks, size), "song_id", "left")
     return both.mapInArrow(run, blocks.schema)
+
+
+def silences(blocks: DataFrame, least_ms: int = 50, level_db: float = -50.0) -> DataFrame:
+    """song_id, sil_idx, start, end: spans of at least least_ms in which each window of that length has a root mean square below the level; windows start each millisecond.
+
+    Each block tells its runs of quiet windows; runs that meet at a border are one. Blocks need the samples of one window after them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _blocks(batches):
+            step = max(1, b.rate // 1000)
+            size = least_ms * step
+            first, stop = -(-b.first // step), min(-(-(b.first + b.own) // step), (b.total - size) // step + 1)
+            if stop <= first:
+                continue
+            x = b.slices(np.array([first * step]), (stop - 1 - first) * step + size)[0]
+            power = np.concatenate([[0.0], np.cumsum(x**2)])
+            at = (np.arange(first, stop) - first) * step
+            quiet = np.sqrt((power[at + size] - power[at]) / size) <= 10 ** (level_db / 20)
+            edge = np.flatnonzero(np.diff(quiet.astype(np.int8), prepend=0, append=0)) + first
+            yield pa.RecordBatch.from_arrays([pa.array([b.song] * (len(edge) // 2), pa.string()), pa.array(edge[::2].astype(np.int64)), pa.array(edge[1::2].astype(np.int64))], names=["song_id", "a", "b"])
+
+    runs = blocks.mapInArrow(run, "song_id string, a long, b long")
+    w = W.partitionBy("song_id").orderBy("a")
+    runs = runs.withColumn("_new", F.coalesce(F.col("a") > F.lag("b").over(w), F.lit(True)).cast("int")).withColumn("_run", F.sum("_new").over(w))
+    spans = runs.groupBy("song_id", "_run").agg((F.min("a") / 1000).alias("start"), ((F.max("b") - 1 + least_ms) / 1000).alias("end"))
+    return spans.select("song_id", (F.row_number().over(W.partitionBy("song_id").orderBy("_run")) - 1).alias("sil_idx"), "start", "end")
+
+
+def muted(blocks: DataFrame, spans: DataFrame) -> DataFrame:
+    """blocks with their samples set to 0 within spans(song_id, start, end) of seconds; a span goes to the blocks that it touches."""
+    size = F.col("_size")
+    sizes = blocks.groupBy("song_id").agg(F.max("rate").alias("_rate"), F.max("own").alias("_size"), F.max(F.size("samples")).alias("_all"))
+    own = spans.join(sizes, "song_id").withColumns({"_a": F.floor(F.col("start") * F.col("_rate")), "_b": F.floor(F.col("end") * F.col("_rate"))}).filter("_b > _a")
+    low, high = F.floor((F.col("_a") - F.col("_all")) / size), F.ceil((F.col("_b") + F.col("_all")) / size)
+    own = own.select("song_id", "_a", "_b", size, F.explode(F.sequence(F.greatest(low, F.lit(0).cast("long")), high)).alias("_k")).select("song_id", (F.col("_k") * size).alias("first"), F.struct("_a", "_b").alias("_s"))
+    own = own.groupBy("song_id", "first").agg(F.collect_list("_s").alias("_spans"))
+    start = F.col("first") - F.col("lead")
+    quiet = lambda i: F.exists("_spans", lambda s: (start + i >= s["_a"]) & (start + i < s["_b"]))
+    out = blocks.join(own, ["song_id", "first"], "left")
+    silent = F.transform("samples", lambda v, i: F.when(quiet(i), F.lit(0.0).cast("float")).otherwise(v))
+    return out.withColumn("samples", F.when(F.col("_spans").isNull(), F.col("samples")).otherwise(silent)).select(blocks.columns)

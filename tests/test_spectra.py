@@ -151,3 +151,27 @@ def test_denoise(spark):
     assert abs(level(out[0]) / level(x) - 1) < 0.02
     same = WB.samples_of(SP.denoised(WB.blocks_of(songs, 5000, 1024, 1024), 0.0))
     assert np.abs(same - x.astype(np.float32)).max() < 1e-5
+
+
+def test_silences_and_muting_over_blocks(spark):
+    """The spans of the whole file, however it is cut; muted samples are zeros, the others stay."""
+    rng, rate = np.random.default_rng(11), 8000
+    x = rng.normal(0, 0.2, 5 * rate)
+    for a, b in ((0.0, 0.3), (1.0, 1.049), (1.5, 1.6), (2.2, 3.9), (4.96, 5.0)):
+        x[int(a * rate) : int(b * rate)] = 0
+    songs = spark.createDataFrame([("s", bytearray(M.wav_bytes(x, rate))), ("t", bytearray(M.wav_bytes(np.zeros(2 * rate), rate))), ("u", bytearray(M.wav_bytes(x[:100], rate)))], "song_id string, data binary")
+    want = sorted((r.song_id, r.sil_idx, r.start, r.end) for r in M.silences(songs).collect())
+    assert {s for s, *_ in want} == {"s", "t"} and len(want) >= 4
+    for block in (5 * rate, 3000, 1001):
+        assert sorted((r.song_id, r.sil_idx, r.start, r.end) for r in SP.silences(WB.blocks_of(songs, block, 0, 400)).collect()) == want
+    spans = [(0.5, 0.6), (0.55, 0.7), (3.0, 4.2), (4.9, 99.0), (1.0, 1.0)]
+    given = spark.createDataFrame([("s", a, b) for a, b in spans] + [("none", 0.0, 1.0)], "song_id string, start double, end double")
+    whole = M.samples(M.wav_bytes(x, rate))[0]
+    quiet = M.muted(whole, rate, spans)
+    for block in (3000, 777):
+        out = SP.muted(WB.blocks_of(songs, block, 100, 50), given)
+        assert out.columns == WB.blocks_of(songs).columns and np.array_equal(WB.samples_of(out.filter("song_id = 's'")), quiet)
+        assert np.array_equal(WB.samples_of(out.filter("song_id = 'u'")), whole[:100])
+        for r in out.filter("song_id = 's'").collect():
+            low = r["first"] - r["lead"]
+            assert np.array_equal(np.array(r["samples"], np.float32), quiet[low : low + len(r["samples"])])
