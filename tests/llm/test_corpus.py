@@ -160,6 +160,18 @@ def test_large_regions_in_blocks(spark, monkeypatch):
     test_large_group_that_links_through_one_base(spark)
 
 
+def test_near_copies_of_very_long_texts(spark):
+    rng = random.Random(14)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150_000)]
+    near, far = list(base), list(base)
+    for k in rng.sample(range(len(base)), 4_000):
+        near[k] = "edited"
+    for k in rng.sample(range(len(base)), 30_000):
+        far[k] = "edited"
+    rows = [(5, " ".join(base)), (3, " ".join(near)), (4, " ".join(far)), (9, "short text of six words here"), (1, "short text of six words here")]
+    assert ordered(near_dedup.grouped(frame(spark, rows)).collect()) == linked(rows)
+
+
 @pytest.fixture
 def small_regions(monkeypatch):
     """Regions of over 24 nodes count as large; how often their shingles were asked for."""

@@ -99,6 +99,18 @@ def test_ids_equal_the_library(kind):
     assert pieces.decoded(ids, at) == [(x or "").replace("▁", " ") for x in t]
 
 
+def test_a_very_long_text_has_the_librarys_ids():
+    import sentencepiece
+
+    rng, model = random.Random(13), sp.model_bytes()
+    text = " ".join("".join(rng.choice("abcdefghij\u00e9\u65e5") for _ in range(rng.randint(1, 14))) for _ in range(120_000)) + "\n" * 500 + "x" * 2000
+    pieces = sp.Pieces(model)
+    ids, at = pieces.encoded(pa.array([text, "", text[:50]]))
+    library = sentencepiece.SentencePieceProcessor(model_proto=model)
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [library.encode(x) for x in (text, "", text[:50])]
+    assert pieces.decoded(ids, at)[0] == text
+
+
 def test_encoded_frame(spark):
     df = spark.createDataFrame([(None, None, [1]), (1, "two  words", [2]), (1, "two  words", [2])], "doc_id long, text string, ids array<int>")
     rows = sp.encoded(df, sp.model_bytes(), "back").collect()
