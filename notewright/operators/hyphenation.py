@@ -37,9 +37,9 @@ def word_cuts(words: DataFrame, patterns: DataFrame, left: int = LEFT, right: in
     sends its substrings that are no longer than the longest pattern, and its hits meet in one row.
     """
     rated = ratings(patterns)
-    longest = rated.agg(F.max(F.length("letters")).alias("n"))
+    longest = rated.agg(F.max(F.length("letters"))).scalar()
     bare = words.select("lang", F.lower(E.bare(F.col("word"))).alias("word")).filter(F.length("word").between(left + right, LONGEST)).distinct()
-    dotted = bare.crossJoin(F.broadcast(longest)).withColumn("_d", F.concat(F.lit("."), "word", F.lit(".")))  # one row: the longest pattern's length
+    dotted = bare.withColumns({"_d": F.concat(F.lit("."), "word", F.lit(".")), "n": longest})
     starts = dotted.withColumn("_at", F.explode(F.sequence(F.lit(1), F.length("_d"))))
     ends = F.least(F.col("n"), F.length("_d") - F.col("_at") + 1)
     parts = starts.withColumn("_n", F.explode(F.when(ends > 0, F.sequence(F.lit(1), ends)))).withColumn("letters", F.substr("_d", "_at", "_n"))
