@@ -227,7 +227,9 @@ def q_two_way_link(spark, d):
 yr AS (SELECT query, CASE WHEN gid % 4 = 0 THEN NULL ELSE (1900 + gid % 100)::VARCHAR END AS year FROM rl WHERE k = 1 AND gid % 5 <> 0), cv AS (SELECT query, rid, row_number() OVER (PARTITION BY query ORDER BY k) AS m FROM rl WHERE rid % 3 = 0)
 SELECT o_orderkey AS query, year, 'front' || rid AS cover_url FROM orders LEFT JOIN yr ON yr.query = o_orderkey LEFT JOIN cv ON cv.query = o_orderkey AND m = 1""")
 def q_release_facts(spark, d):
-    rel = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("query")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("x"))
+    # Of lines with one number and part the one that stands first in the table comes first, as in a stable sort.
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"), "l_suppkey")
+    rel = lines.groupBy(F.col("l_orderkey").alias("query")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "file", "row", "l_suppkey"))).alias("x"))
     rec = table(spark, d, "orders").select(F.col("o_orderkey").alias("query")).join(rel, "query", "left").select("query", F.transform("x", lambda r: F.struct(r["l_partkey"].alias("id"), r["l_suppkey"].alias("group_id"))).alias("releases"))
     g = F.col("s_suppkey")
     groups = table(spark, d, "supplier").filter(g % 5 != 0).select(g.alias("group_id"), F.when(g % 4 != 0, F.concat(F.lit(" "), (1900 + g % 100).cast("string"), F.lit("-02-03"))).alias("first_date"))
