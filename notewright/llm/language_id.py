@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from .common import lean, mapped, read, steps
 
-DIMS, SAMPLE, TOTAL, LANGUAGES, STEP, UNKNOWN = 4096, 500, 20_000, 256, 2 << 20, "und"
+DIMS, SAMPLE, TOTAL, LANGUAGES, STEP, UNKNOWN, BLOCK = 4096, 500, 20_000, 256, 2 << 20, "und", 128
 _B = np.arange(256)
 _TABLE = np.where((_B >= 128) | ((_B >= 97) & (_B <= 122)), _B, np.where((_B >= 65) & (_B <= 90), _B + 32, 32)).astype(np.uint8)
 
@@ -54,10 +54,9 @@ def shares(texts: pa.Array) -> np.ndarray:
     return out / np.maximum(out.sum(axis=1, keepdims=True), 1)
 
 
-def machine(x: np.ndarray, side: np.ndarray, rounds: int = 300, penalty: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Linear support vector machine (squared hinge, both sides weigh the same) by accelerated descent; side: +1 or -1."""
+def machine(a: np.ndarray, side: np.ndarray, rounds: int = 300, penalty: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Linear support vector machine (squared hinge, both sides weigh the same) by accelerated descent; side: +1 or -1. The last column of a is 1."""
     weight = np.where(side > 0, 0.5 / max(1, (side > 0).sum()), 0.5 / max(1, (side < 0).sum())).astype(np.float32)
-    a = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1)
     step = 1.0 / (2 * float((weight * np.einsum("ij,ij->i", a, a)).sum()) + penalty)
     w = ahead = np.zeros(a.shape[1], np.float32)
     for k in range(rounds):
@@ -68,14 +67,28 @@ def machine(x: np.ndarray, side: np.ndarray, rounds: int = 300, penalty: float =
 
 
 class Model:
-    """families: lists of languages; pairs: (level, a, b) for column k of weights, positive for a. level -1: families."""
+    """families: lists of languages; pairs: (level, a, b) for column k of weights, positive for a. level -1: families.
+
+    The rows x may be of half precision: only those of the pair at hand are held as doubles, once.
+    """
 
     def __init__(self, x: np.ndarray, langs: list[str], sample: int = SAMPLE):
         names = sorted(set(langs))
         y = np.array([names.index(g) for g in langs], np.int64)
-        mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-4
-        z = (x - mean) / scale / np.sqrt(x.shape[1])
-        middle = np.stack([z[y == k].mean(axis=0) for k in range(len(names))])
+        mean, scale = np.empty(x.shape[1], np.float32), np.empty(x.shape[1], np.float32)
+        for k in range(0, x.shape[1], BLOCK):
+            wide = x[:, k : k + BLOCK].astype(np.float32)
+            mean[k : k + BLOCK], scale[k : k + BLOCK] = wide.mean(axis=0), wide.std(axis=0) + 1e-4
+
+        def scaled(take: np.ndarray) -> np.ndarray:
+            """The rows as doubles, with a last column of ones."""
+            at = np.flatnonzero(take)
+            out = np.ones((len(at), x.shape[1] + 1))
+            for k in range(0, len(at), BLOCK):
+                out[k : k + BLOCK, :-1] = (x[at[k : k + BLOCK]].astype(np.float32) - mean) / scale / np.sqrt(x.shape[1])
+            return out
+
+        middle = np.stack([scaled(y == k)[:, :-1].mean(axis=0) for k in range(len(names))])
         unit = middle / np.maximum(np.linalg.norm(middle, axis=1, keepdims=True), 1e-9)
         like = unit @ unit.T
         group = list(range(len(names)))
@@ -92,7 +105,7 @@ class Model:
 
         def fit(level: int, a: int, b: int, first: np.ndarray, second: np.ndarray) -> None:
             take = first | second
-            w, bias = machine(z[take], np.where(first[take], 1, -1).astype(np.float32))
+            w, bias = machine(scaled(take), np.where(first[take], 1, -1).astype(np.float32))
             w = w / scale / np.sqrt(x.shape[1])
             columns.append(np.append(w, bias - float(w @ mean)))
             self.pairs.append((level, a, b))
@@ -158,15 +171,20 @@ def learned(rows: DataFrame, sample: int = SAMPLE, seed: int = 7) -> Model | Non
                 x = shares(texts.filter(pa.array(keep)))
                 yield pa.RecordBatch.from_arrays([batch.column("_h"), batch.column("lang"), pa.array([v.tobytes() for v in x.astype(np.float16)], pa.binary())], names=["h", "lang", "x"])
 
-    found = sorted(((r["h"], r["lang"], bytes(r["x"])) for r in chosen.mapInArrow(featured, "h long, lang string, x binary").collect()))
+    lean()
+    found = sorted(chosen.mapInArrow(featured, "h long, lang string, x binary").collect(), key=lambda r: (r["h"], r["lang"]))
     kept, seen = [], dict.fromkeys(counts, 0)
-    for _, lang, x in found:
-        if seen[lang] < sample:
-            seen[lang] += 1
-            kept.append((lang, x))
+    for r in found:
+        if seen[r["lang"]] < sample:
+            seen[r["lang"]] += 1
+            kept.append(r)
     if not kept:
         return None
-    return Model(np.stack([np.frombuffer(x, np.float16).astype(np.float32) for _, x in kept]), [g for g, _ in kept])
+    x, langs = np.empty((len(kept), DIMS), np.float16), [r["lang"] for r in kept]
+    for k, r in enumerate(kept):
+        x[k] = np.frombuffer(r["x"], np.float16)
+    del found, kept, r  # the rows go before the model is fit
+    return Model(x, langs)
 
 
 def identified(docs: DataFrame, model: Model | None) -> DataFrame:

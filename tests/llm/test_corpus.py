@@ -5,8 +5,10 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -676,3 +678,24 @@ def test_a_dirty_language_column_is_bounded(spark, monkeypatch):
     out = language_id.identified(df.select("doc_id", "text"), language_id.learned(df)).collect()
     assert set(taken[0]) == set(says) and all(n == 10 for n in taken[0].values())
     assert all(r.lang_pred == "de" for r in out if r.doc_id >= 1000) and all(r.lang_pred == list(says)[r.doc_id % 3] for r in out if r.doc_id < 1000)
+
+
+def test_language_model_is_fit_in_little_memory():
+    """The rows of one pair at a time are held as doubles, once, and the weights are those of plain arrays."""
+    rng, n = np.random.default_rng(3), 400
+    x = (rng.random((n, language_id.DIMS)) ** 8).astype(np.float16)
+    langs = [("de", "en")[k % 2] for k in range(n)]
+    x[::2, :40] *= np.float16(1.5)
+    whole = n * language_id.DIMS * 8
+    tracemalloc.start()
+    model = language_id.Model(x, langs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * whole, (peak, whole)
+    wide = x.astype(np.float32)
+    mean, scale = wide.mean(axis=0), wide.std(axis=0) + 1e-4
+    rows = (wide - mean) / scale / np.sqrt(language_id.DIMS)
+    side = np.where(np.arange(n) % 2 == 0, 1, -1).astype(np.float32)
+    w, bias = language_id.machine(np.concatenate([rows, np.ones((n, 1))], axis=1), side)
+    w = w / scale / np.sqrt(language_id.DIMS)
+    assert np.allclose(model.weights[:, -1], np.append(w, bias - float(w @ mean)), rtol=1e-9, atol=1e-9)
