@@ -155,7 +155,7 @@ ls AS (SELECT song_id, variant, unnest([CASE WHEN version >= '1.0.0' THEN '#VERS
 SELECT song_id, variant, md5(string_agg(line, chr(10) ORDER BY ord)) AS content_md5 FROM ls WHERE line IS NOT NULL GROUP BY ALL""")
 def q_song_assembly(spark, d):
     heads = K.song_headers(_media(spark, d), "me 1", karaoke=True).withColumn("song_id", F.struct("song_id", "variant"))
-    return K.files(K.header_lines(heads)).select("song_id.song_id", "song_id.variant", F.md5("content").alias("content_md5"))
+    return K.header_files(heads).select("song_id.song_id", "song_id.variant", F.md5("content").alias("content_md5"))
 
 
 @query(f"WITH {_MEDIA} SELECT song_id, kind, base || ' [' || name || '].mp3' AS file FROM md JOIN (VALUES ('Karaoke', 'instrumental', true), ('Instrumental', 'instrumental', false), ('Vocals', 'vocals', false)) v(name, kind, old) ON (version = '0.2.0') = old")

@@ -49,16 +49,31 @@ def segments(notes: DataFrame) -> DataFrame:
     return notes.select("song_id", F.col("line_no").alias("seq"), E.midi_to_name(F.col("pitch") + 48).alias("note"), F.col("start_time").alias("start"), F.col("end_time").alias("end"), "word")
 
 
-def header_lines(songs: DataFrame) -> DataFrame:
-    """ord, line of the headers of songs (song_id, version, and a nullable column for each header), gated by version."""
+def _header_arrays(songs: DataFrame) -> DataFrame:
+    """song_id, lines array<struct<ord, line>>: the headers of songs, gated by version, which is read once for all of them."""
     have = {c.upper().replace("_", "") if c != "video_url" else "VIDEOURL": c for c in songs.columns}
+    gates = {since: f"_since_{k}" for k, since in enumerate(sorted({s for tag, s in HEADER_ORDER if s is not None and tag in have}))}
+    if gates:
+        songs = songs.withColumn("_key", E.version_key(F.col("version")))
+        songs = songs.withColumns({name: F.coalesce(F.col("_key") >= E.version_key(F.lit(since)), F.lit(False)) for since, name in gates.items()})
     items = []
     for k, (tag, since) in enumerate(HEADER_ORDER):
         if tag in have:
             value = F.col(have[tag]).cast("string")
-            ok = value.isNotNull() & (F.lit(True) if since is None else E.at_least(F.col("version"), since))
+            ok = value.isNotNull() & (F.lit(True) if since is None else F.col(gates[since]))
             items.append(F.when(ok, F.struct(F.lit(k - 1000).alias("ord"), F.concat(F.lit(f"#{tag}:"), value).alias("line"))))
-    return songs.select("song_id", F.explode(F.array_compact(F.array(*items))).alias("x")).select("song_id", "x.*")
+    return songs.select("song_id", F.array_compact(F.array(*items)).alias("lines"))
+
+
+def header_lines(songs: DataFrame) -> DataFrame:
+    """ord, line of the headers of songs (song_id, version, and a nullable column for each header), gated by version."""
+    return _header_arrays(songs).select("song_id", F.explode("lines").alias("x")).select("song_id", "x.*")
+
+
+def header_files(songs: DataFrame) -> DataFrame:
+    """files(header_lines(songs)); a song's lines stay together, so a row for each song is dealt out instead of one for each line."""
+    g = _header_arrays(songs).groupBy("song_id").agg(F.sort_array(F.flatten(F.collect_list("lines"))).alias("p")).filter(F.size("p") > 0)
+    return g.select("song_id", _ended("p").alias("content"))
 
 
 def note_text(notes: DataFrame) -> DataFrame:
@@ -68,10 +83,15 @@ def note_text(notes: DataFrame) -> DataFrame:
     return notes.select("song_id", F.explode(F.array_compact(rows)).alias("x")).select("song_id", "x.*")
 
 
+def _ended(lines: str) -> Column:
+    """The text of an array of (ord, line), with an `E` as its last line."""
+    return F.concat(F.array_join(F.transform(lines, lambda x: x["line"]), "\n"), F.lit("\nE"))
+
+
 def files(lines: DataFrame) -> DataFrame:
     """song_id, content: lines(song_id, ord, line) in order, then `E`, no line feed at the end."""
-    g = lines.groupBy("song_id").agg(F.array_sort(F.collect_list(F.struct("ord", "line"))).alias("p"))
-    return g.select("song_id", F.concat(F.array_join(F.transform("p", lambda x: x["line"]), "\n"), F.lit("\nE")).alias("content"))
+    g = lines.groupBy("song_id").agg(F.sort_array(F.collect_list(F.struct("ord", "line"))).alias("p"))
+    return g.select("song_id", _ended("p").alias("content"))
 
 
 def with_score(lines: DataFrame, scores: DataFrame) -> DataFrame:
@@ -147,7 +167,7 @@ def repitched_lines(lines: DataFrame, notes: DataFrame, compat: bool = False) ->
 
 def verbatim(lines: DataFrame) -> DataFrame:
     """song_id, content: lines(song_id, ord, line) in order and nothing else."""
-    g = lines.groupBy("song_id").agg(F.array_sort(F.collect_list(F.struct("ord", "line"))).alias("p"))
+    g = lines.groupBy("song_id").agg(F.sort_array(F.collect_list(F.struct("ord", "line"))).alias("p"))
     return g.select("song_id", F.array_join(F.transform("p", lambda x: x["line"]), "\n").alias("content"))
 
 

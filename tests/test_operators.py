@@ -241,3 +241,13 @@ def test_word_search_in_blocks(spark):
     for rows in (1, 2, 100):
         got = sorted(map(tuple, L.nearest_word(words, entries, rows).collect()))
         assert got == [("hose", "horse", 1), ("house", "house", 0), ("zzz", "z", 2)]
+
+
+def test_header_files_deal_out_songs_not_lines(spark):
+    """The same files as by lines, also where a song has several rows; a version is read once for all headers, and no line is a row of its own."""
+    rows = [(1, "1.2.0", "A", "T", "m.mp3", "v"), (2, "0.2.0", "B", None, None, "w"), (2, "1.1.0", "C", "U", "n.mp3", None), (3, None, "D", "V", "o.mp3", "x"), (4, "none", "E", "W", "p.mp3", "y"), (5, None, None, None, None, None)]
+    songs = spark.createDataFrame(rows, "song_id int, version string, artist string, title string, audio string, video_url string")
+    got = K.header_files(songs)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, K.files(K.header_lines(songs)).collect()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("RLIKE") == 1
