@@ -138,24 +138,28 @@ def marked_syllables(word: Column, syllables: Column) -> Column:
 
     Null without at least two syllables, or for a bare word of over 100 letters.
     """
-    letters = F.filter(F.split(word, ""), lambda c: c != "")
-    gone = F.filter(F.transform(letters, lambda c, i: F.when(c.rlike(r"[!-/:-@\[-`{-~ ]"), F.struct(i.alias("i"), c.alias("c")))), lambda x: x.isNotNull())
-    flat = F.flatten(F.transform(syllables, lambda s, k: F.transform(F.filter(F.split(s, ""), lambda c: c != ""), lambda c: F.struct(k.alias("k"), c.alias("c")))))
-    none = F.expr("cast(array() as array<struct<k:int,c:string>>)")
-
-    def step(st: Column, x: Column) -> Column:
-        hit = F.exists(gone, lambda g: g["i"] == st["i"])
-        text = F.when(hit & (st["n"] < F.size(gone)), F.concat(F.get(gone, st["n"])["c"], x["c"])).otherwise(x["c"])
-        more = F.when(hit, 1).otherwise(0)
-        return F.struct((st["i"] + 1 + more).alias("i"), (st["n"] + more).alias("n"), F.concat(st["out"], F.array(F.struct(x["k"].alias("k"), text.alias("c")))).alias("out"))
-
-    def told(st: Column) -> Column:
-        rest = F.array_join(F.transform(F.slice(gone, st["n"] + 1, F.size(gone)), lambda g: g["c"]), "")
-        own = F.transform(syllables, lambda s, k: F.array_join(F.transform(F.filter(st["out"], lambda x: x["k"] == k), lambda x: x["c"]), ""))
-        return F.transform(own, lambda s, k: F.when(k == F.size(own) - 1, F.concat(s, rest)).otherwise(s))
-
-    put = F.aggregate(flat, F.struct(F.lit(0).alias("i"), F.lit(0).alias("n"), none.alias("out")), step, told)
-    return F.when((F.size(syllables) > 1) & (F.length(bare(word)) <= 100), put)
+    marks = F.regexp_replace(word, r"[^!-/:-@\[-`{-~ ]", "")
+    count = F.aggregate(syllables, F.lit(0), lambda n, s: n + F.length(s))
+    # A mark that stands before a letter is put there together with it, so a step takes two characters of the word, else one.
+    steps = F.slice(F.regexp_extract_all(word, F.lit(r"(?s)[!-/:-@\[-`{-~ ].?|[^!-/:-@\[-`{-~ ]"), F.lit(0)), F.lit(1), count)
+    hits = F.filter(F.transform(steps, lambda x, i: F.when(x.rlike(r"^[!-/:-@\[-`{-~ ]"), i)), lambda i: i.isNotNull())
+
+    def closed(own: Column, left: Column) -> Column:
+        return F.transform(own, lambda s, k: F.when(k == F.size(own) - 1, F.concat(s, left)).otherwise(s))
+
+    def put(at: Column) -> Column:
+        def marked(s: Column, k: Column) -> Column:
+            before = F.aggregate(F.slice(syllables, F.lit(1), k), F.lit(0), lambda n, x: n + F.length(x))
+            one = lambda c, j: F.concat(F.substr(marks, F.array_position(at, before + j), F.when(F.array_contains(at, before + j), 1).otherwise(0)), c)
+            return F.array_join(F.transform(F.filter(F.split(s, ""), lambda c: c != ""), one), "")
+
+        return closed(F.transform(syllables, marked), F.substr(marks, F.size(at) + 1, F.length(marks)))
+
+    # Where the first mark comes after as many letters as the syllables have, all marks go to the end.
+    first = F.length(F.regexp_extract(word, r"^[^!-/:-@\[-`{-~ ]*", 0))
+    # hits are worked out once for a row, as the only element of an array.
+    out = F.when(first >= count, closed(syllables, marks)).when(count >= 0, F.get(F.transform(F.array(hits), put), F.lit(0)))
+    return F.when((F.size(syllables) > 1) & (F.length(bare(word)) <= 100), out)
 
 
 def plain_title(text: Column) -> Column:

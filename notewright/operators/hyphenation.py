@@ -23,30 +23,23 @@ def ratings(patterns: DataFrame) -> DataFrame:
     return own.filter((F.size("rates") > 0) & (F.length("letters") > 0)).distinct()
 
 
-def _cuts(hits: Column, size: Column, left: int, right: int) -> Column:
-    """Places between letters whose highest digit is odd."""
-    places = F.when(size >= left + right, F.sequence(F.lit(left), size - right)).otherwise(F.expr("cast(array() as array<int>)"))
-    best = lambda at: F.array_max(F.transform(F.filter(hits, lambda h: h["cut"] == at), lambda h: h["digit"]))
-    return F.filter(places, lambda at: F.coalesce(best(at) % 2 == 1, F.lit(False)))
-
-
 def word_cuts(words: DataFrame, patterns: DataFrame, left: int = LEFT, right: int = RIGHT) -> DataFrame:
     """lang, word, cuts: each distinct bare word(lang, word) in lower case with the letters before each of its cuts; words without any are left out.
 
     The table of patterns may be of any size: it is joined on language and letters. A word of up to LONGEST letters
-    sends its substrings that are no longer than the longest pattern, and its hits meet in one row.
+    sends its substrings that are as long as some pattern, and its hits meet by word and place.
     """
     rated = ratings(patterns)
-    longest = rated.agg(F.max(F.length("letters"))).scalar()
-    bare = words.select("lang", F.lower(E.bare(F.col("word"))).alias("word")).filter(F.length("word").between(left + right, LONGEST)).distinct()
-    dotted = bare.withColumns({"_d": F.concat(F.lit("."), "word", F.lit(".")), "n": longest})
-    starts = dotted.withColumn("_at", F.explode(F.sequence(F.lit(1), F.length("_d"))))
-    ends = F.least(F.col("n"), F.length("_d") - F.col("_at") + 1)
-    parts = starts.withColumn("_n", F.explode(F.when(ends > 0, F.sequence(F.lit(1), ends)))).withColumn("letters", F.substr("_d", "_at", "_n"))
+    lengths = rated.agg(F.sort_array(F.collect_set(F.length("letters")))).scalar()
+    # The word goes before the language in all keys: rows are then sorted by their first letters.
+    bare = words.select(F.lower(E.bare(F.col("word"))).alias("word"), "lang").filter(F.length("word").between(left + right, LONGEST)).distinct()
+    starts = bare.withColumn("_d", F.concat(F.lit("."), "word", F.lit("."))).withColumn("_at", F.explode(F.sequence(F.lit(1), F.length("_d"))))
+    parts = starts.withColumn("_n", F.explode(lengths)).filter(F.col("_at") + F.col("_n") - 1 <= F.length("_d")).withColumn("letters", F.substr("_d", "_at", "_n"))
     hit = parts.select("lang", "word", "_at", "letters").join(rated, ["lang", "letters"]).select("lang", "word", "_at", F.inline("rates"))
     # The place is counted in the dotted word, which has one character before the word's first letter.
-    met = hit.groupBy("lang", "word").agg(F.collect_set(F.struct((F.col("_at") + F.col("place") - 2).alias("cut"), "digit")).alias("hits"))
-    return met.select("lang", "word", _cuts(F.col("hits"), F.length("word"), left, right).alias("cuts")).filter(F.size("cuts") > 0)
+    placed = hit.select("lang", "word", (F.col("_at") + F.col("place") - 2).alias("cut"), "digit").filter(F.col("cut").between(F.lit(left), F.length("word") - right))
+    odd = placed.groupBy("word", "lang", "cut").agg(F.max("digit").alias("digit")).filter(F.col("digit") % 2 == 1)
+    return odd.groupBy("word", "lang").agg(F.sort_array(F.collect_list("cut")).alias("cuts")).select("lang", "word", "cuts")
 
 
 def sliced(word: Column, cuts: Column) -> Column:
@@ -59,8 +52,10 @@ def sliced(word: Column, cuts: Column) -> Column:
 def hyphenated(tokens: DataFrame, patterns: DataFrame, left: int = LEFT, right: int = RIGHT) -> DataFrame:
     """tokens(lang, word, ...) with parts: the word's syllables, its marks put back; null for a word of one syllable, of over LONGEST letters, or of a language without patterns."""
     found = word_cuts(tokens, patterns, left, right).select(F.col("lang").alias("_lang"), F.col("word").alias("_word"), F.col("cuts").alias("_cuts"))
-    bare = E.bare(F.col("word"))
-    both = tokens.join(found, (F.col("lang") == F.col("_lang")) & (F.lower(bare) == F.col("_word")), "left")
-    whole, plain = F.col("_cuts").isNotNull() & (F.length(bare) == F.length("_word")), bare == F.col("word")
-    parts = F.when(whole & plain, sliced(F.col("word"), F.col("_cuts"))).when(whole, E.marked_syllables(F.col("word"), sliced(bare, F.col("_cuts"))))
-    return both.withColumn("parts", parts).drop("_lang", "_word", "_cuts")
+    # Each of these is a column of its own, so that it is worked out once for a row: a sort compares by columns, and lambdas look at them for each syllable.
+    keyed = tokens.withColumn("_key", F.lower(E.bare(F.col("word"))))
+    both = keyed.join(found, (F.col("_key") == F.col("_word")) & (F.col("lang") == F.col("_lang")), "left").withColumn("_bare", E.bare(F.col("word")))
+    whole, plain = F.col("_cuts").isNotNull() & (F.length("_bare") == F.length("_word")), F.col("_bare") == F.col("word")
+    cut = both.withColumn("_own", F.when(whole, sliced(F.col("_bare"), F.col("_cuts"))))
+    parts = F.when(plain, F.col("_own")).otherwise(E.marked_syllables(F.col("word"), F.col("_own")))
+    return cut.withColumn("parts", parts).drop("_key", "_lang", "_word", "_cuts", "_bare", "_own")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from ..functions import expr as E
@@ -257,7 +259,8 @@ def _rule_patterns(spark):
     for lang in ("de", "en", "es", "fr"):
         rows += [(lang, f"1{c}{v}") for c in _CONSONANTS for v in _VOWELS] + [(lang, f".{v}2") for v in _VOWELS] + [(lang, f"{c}2h") for c in "cpst"]
         rows += [(lang, f"1{c}h{v}") for c in "cpst" for v in _VOWELS] + [(lang, f"2{c}e.") for c in _CONSONANTS if lang in ("en", "fr")]
-    return spark.createDataFrame(rows, "lang string, pattern string")
+    # As an Arrow table its size is known to the planner, which then sends it to all tasks instead of shuffling the words' substrings.
+    return spark.createDataFrame(pa.table({"lang": [x for x, _ in rows], "pattern": [p for _, p in rows]}))
 
 
 @query(f"""WITH {_PATTERNS}, dt AS (SELECT lang, unnest(string_split_regex(coalesce(text, ''), '[ \\t\\n]+')) AS word FROM documents),
@@ -270,9 +273,11 @@ SELECT wd.lang, word, n, array_to_string(list_transform(range(0, len(cuts) + 1),
   (len(cuts) + 1)::INT AS n_syllables FROM wd LEFT JOIN ct ON ct.lang = wd.lang AND w = lower(bare) AND len(w) = len(bare)""")
 def q_syllables(spark, d):
     docs = table(spark, d, "documents").select("lang", F.explode(F.split("text", "[ \\t\\n]+")).alias("word")).filter("word <> ''")
-    words = docs.groupBy("lang", "word").agg(F.count("*").alias("n"))
+    # The words are asked for twice. Kept, they are counted once; else the marks would be taken off each word of each text before any is counted.
+    words = docs.groupBy("lang", "word").agg(F.count("*").alias("n")).localCheckpoint(False, StorageLevel.DISK_ONLY)
     parts = H.hyphenated(words, _rule_patterns(spark))
-    return parts.select("lang", "word", "n", F.array_join(F.transform("parts", lambda p: E.bare(p)), "-").alias("syllables"), F.when(F.col("parts").isNotNull(), F.size("parts")).alias("n_syllables"))
+    # No word holds a line's end, so one stands between its syllables while the marks go.
+    return parts.select("lang", "word", "n", F.replace(E.bare(F.array_join("parts", "\n")), F.lit("\n"), F.lit("-")).alias("syllables"), F.when(F.col("parts").isNotNull(), F.size("parts")).alias("n_syllables"))
 
 
 #: A song's frames as emissions of six symbols, its first four event types as words; quarters are exact in binary.

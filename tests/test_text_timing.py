@@ -7,10 +7,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from notewright.functions import expr as E
 from notewright.operators import alignment as A
 from notewright.operators import generators as G
 from notewright.operators import hyphenation as H
 from notewright.operators import sequences as S
+from notewright.plans import songs
 
 
 def slow_parts(word, patterns, left=2, right=2):
@@ -61,6 +63,38 @@ def test_syllables_of_odd_words(spark):
     assert [r.parts for r in H.hyphenated(t, table.limit(0)).collect()] == [None] * 9
 
 
+def slow_marks(word, syllables):
+    """Marks put back letter by letter: one before a letter, two characters of the word further then; what is left goes to the end."""
+    gone = [(i, c) for i, c in enumerate(word) if c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~ "]
+    at, i, out = {i for i, _ in gone}, 0, []
+    for s in syllables:
+        text = ""
+        for c in s:
+            if i in at:
+                text, i = text + gone.pop(0)[1], i + 1
+            text, i = text + c, i + 1
+        out.append(text)
+    return [*out[:-1], out[-1] + "".join(c for _, c in gone)]
+
+
+def test_marks_equal_the_slow_method(spark):
+    rng, rows = random.Random(4), [("!" * 300 + "ab", ["a", "b"]), ("a." * 100, ["a"] * 100), ("ab\U0001f600--", ["ab", "\U0001f600"]), ("ab!", ["abx", "yz"])]
+    for _ in range(400):
+        word = "".join(rng.choice("abé.-!( \n") for _ in range(rng.randint(2, 14)))
+        own = "".join(c for c in word if c not in ".-!( ")[: rng.choice([99, 99, 3])]
+        k = sorted(rng.randint(0, len(own)) for _ in range(rng.randint(1, 3)))
+        rows.append((word, [own[a:b] for a, b in zip([0, *k], [*k, len(own)])]))
+    df = spark.createDataFrame(rows, "word string, s array<string>").select("word", "s", E.marked_syllables(F.col("word"), F.col("s")).alias("got"))
+    assert [(r.word, r.got) for r in df.collect()] == [(w, slow_marks(w, s)) for w, s in rows]
+
+
+def test_syllables_cut_the_texts_once(spark):
+    """Neither are texts read for the words and again for their cuts, nor are substrings shuffled to the small table of patterns."""
+    plan = songs.q_syllables(spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert "FileScan" not in plan and plan.count("ExistingRDD") == 2
+    assert plan.count("BroadcastHashJoin [lang") == 1
+
+
 def slow_paths(blank, own):
     """Every way to put the symbols on frames: for each, the total and the frames of the steps; the best, by the same ties."""
     frames, symbols = own.shape
